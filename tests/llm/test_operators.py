@@ -172,9 +172,11 @@ def test_merges_on_random_words():
     with open(bpe.default_vocabulary(), "rb") as f:
         definition = f.read()
     own, library, rng = bpe.Encoder(definition), Tokenizer.from_str(definition.decode()), random.Random(4)
+    packer = packing.LibraryEncoder(definition)
     for _ in range(3000):
         text = "".join(rng.choice("abcdeéßİΣſǅ'’0٣ \n ́‍中🙂<|>sS") for _ in range(rng.randint(0, 24)))
         assert list(struct.unpack(f"<{len(own.encode(text)) // 4}I", own.encode(text))) == library.encode(text, add_special_tokens=False).ids, repr(text)
+        assert next(packer.encode_batch([text])) == own.encode(text), repr(text)
 
 
 def test_packing_places_every_token_once(spark):

@@ -39,17 +39,23 @@ def byte_letters() -> list[str]:
 class Memo(dict):
     """Computes missing values; forgets everything when full, so a worker's memory is bounded."""
 
-    def __init__(self, compute):
+    def __init__(self, compute, most: int = WORDS_KEPT):
         super().__init__()
-        self.compute = compute
+        self.compute, self.most = compute, most
 
     def __missing__(self, key):
-        if len(self) >= WORDS_KEPT:
+        if len(self) >= self.most:
             self.clear()
         value = self[key] = self.compute(key)
         return value
 
 
+def split_pattern(spec: dict) -> regex.Pattern:
+    """The pattern whose matches are a text's pieces."""
+    split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+    return regex.compile(split["pattern"]["Regex"])
+
+
 class Encoder:
     def __init__(self, definition: bytes):
         spec = json.loads(definition)
@@ -64,8 +70,7 @@ class Encoder:
         self.strings = [b""] * (1 + max([*self.vocab.values(), *self.added.values()]))
         for token, i in [*self.vocab.items(), *self.added.items()]:
             self.strings[i] = token.encode()
-        split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pieces = regex.compile(split["pattern"]["Regex"]).findall
+        self.pieces = split_pattern(spec).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         letters = byte_letters()
         self.inner = [self.vocab.get(c) for c in letters]

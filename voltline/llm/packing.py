@@ -13,7 +13,10 @@ from __future__ import annotations
 import bisect
 import heapq
 import itertools
+import json
 import os
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -23,11 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe import WORDS_KEPT, definition_bytes
+from .bpe import Memo, byte_letters, definition_bytes, lowered, split_pattern
 
 WINDOWS = (256, 512, 1024, 2048)
 END_ID = 1
 POOL = 4096
+PIECES_KEPT, RUNS_KEPT = 400_000, 600_000
 STEP_TOKENS = 131_072
 STEPS_AT_ONCE = 8
 
@@ -35,27 +39,37 @@ Piece = tuple  # (length, order, document, start, document's tokens, packed ids)
 
 
 class LibraryEncoder:
-    """Packed ids by the tokenizers library; each distinct string between blanks goes to the library once."""
+    """Packed ids by the tokenizers library's model; a string between blanks, and a piece of one, go to it once while they are remembered."""
 
     def __init__(self, definition: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(definition.decode())
-        self.known: dict[str, bytes] = {}
+        self.model = self.library.model
+        self.split = split_pattern(json.loads(definition)).findall
+        self.letters = byte_letters()
+        self.added = tuple(t["content"][:2] for t in json.loads(definition)["added_tokens"])
+        self.pieces = Memo(self.encode_piece, PIECES_KEPT)
+        self.runs = Memo(self.encode_run, RUNS_KEPT)
+
+    def encode_piece(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize("".join([self.letters[b] for b in piece.encode()]))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode_run(self, run: str) -> bytes:
+        if any(start in run for start in self.added):
+            ids = self.library.encode(run, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        core = run.rstrip(".,!?:;")
+        if core.isalpha() and "İ" not in core and unicodedata.is_normalized("NFC", run):  # one word, perhaps with a stop: two pieces
+            tail = run[len(core) :]
+            return self.pieces[lowered(core)] + self.pieces[tail] if tail else self.pieces[lowered(core)]
+        return b"".join([self.pieces[p] for p in self.split(lowered(unicodedata.normalize("NFC", run)))])
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
-        import numpy as np
-
         for text in texts:
-            runs = text.replace("\n", " ").split(" ")
-            if new := list(set(runs).difference(self.known)):
-                if len(self.known) + len(new) > WORDS_KEPT:
-                    self.known.clear()
-                    new = list(set(runs))
-                for run, encoded in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-                    self.known[run] = np.array(encoded.ids, "<u4").tobytes()
-            yield b"".join(map(self.known.__getitem__, runs))
+            yield b"".join(map(self.runs.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 _library: dict[int, LibraryEncoder] = {}
