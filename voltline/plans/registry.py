@@ -12,3 +12,6 @@ ORACLES: dict[str, str] = {}
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["r7_station_rollup"](spark, sf_dir)
+
+
+from . import feature_queries  # noqa: E402, F401  (fills QUERIES and ORACLES)
