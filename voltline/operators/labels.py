@@ -94,17 +94,15 @@ def slow_pairing(facts: DataFrame) -> DataFrame:
 
 def rematch_aborts(rows: DataFrame, facts: DataFrame) -> DataFrame:
     """A matching request well inside the dialog around which this session's own dialog broke; at the dialog row before it."""
-    v2g_t = F.when(V2G, F.col("t"))
-    # rows at the same instant are neither before nor after: the next is the least later time, the previous the greatest earlier one
-    later = Window.partitionBy(*SESSION).orderBy("t").rangeBetween(1e-9, Window.unboundedFollowing)
-    earlier = Window.partitionBy(*SESSION).orderBy("t").rangeBetween(Window.unboundedPreceding, -1e-9)
-    confirm = Window.partitionBy(*SESSION).orderBy("t").rangeBetween(0, 10)
-    cnf = (F.col("kind") == "hpav") & F.col("msg").contains("SLAC_PARM.CNF")
+    # rows at the same instant are neither before nor after: times count from a microsecond apart
+    over = lambda what, frame: F.expr(f"{what} OVER (PARTITION BY {', '.join(SESSION)} ORDER BY t RANGE BETWEEN {frame})")
+    later, earlier = "0.000001D FOLLOWING AND UNBOUNDED FOLLOWING", "UNBOUNDED PRECEDING AND 0.000001D PRECEDING"
+    v2g_t = "CASE WHEN kind = 'v2g' THEN t END"
     marked = (
-        rows.withColumn("nxt", F.min(v2g_t).over(later))
-        .withColumn("prv", F.max(v2g_t).over(earlier))
-        .withColumn("answered", F.max(F.when(cnf, 1).otherwise(0)).over(confirm) == 1)
-        .withColumn("again", F.max(F.when(V2G & (F.col("msg") == "supportedAppProtocolReq"), 1).otherwise(0)).over(later) == 1)
+        rows.withColumn("nxt", over(f"min({v2g_t})", later))
+        .withColumn("prv", over(f"max({v2g_t})", earlier))
+        .withColumn("answered", over("bool_or(kind = 'hpav' AND contains(msg, 'SLAC_PARM.CNF'))", "CURRENT ROW AND 10.0D FOLLOWING"))
+        .withColumn("again", over("bool_or(kind = 'v2g' AND msg = 'supportedAppProtocolReq')", later))
     )
     asks = with_facts(marked.where((F.col("kind") == "hpav") & F.col("msg").contains("SLAC_PARM.REQ")), facts.where("n_v2g > 0"), "first_v2g", "graceful_close", "stop_res")
     asks = asks.where("t > first_v2g + 1.0 AND NOT (graceful_close AND t > stop_res)")

@@ -112,3 +112,134 @@ k2 AS (SELECT *, CASE WHEN sfx = 'Res' AND sent >= 0 THEN t - sent END AS req_re
   coalesce(mv <> 0 AND evse_v > mv * 1.02::DOUBLE, false) AS v_over,
   coalesce(phase = 'delivery' AND ti > 50 AND evse_i < greatest(0.15::DOUBLE * ti, 5) AND reached AND NOT contains(limit_achieved, 'c'), false) AS i_collapse FROM k1),
 trk AS (SELECT *, {run("sum(CASE WHEN evse_i IS NOT NULL AND NOT i_collapse THEN 1 ELSE 0 END)")} AS island FROM k2)"""
+
+_REQS = {"supportedAppProtocol": 2.0, "SessionSetup": 2.0, "ServiceDiscovery": 2.0, "ServiceDetail": 5.0, "ServicePaymentSelection": 2.0, "PaymentDetails": 5.0, "ContractAuthentication": 2.0, "ChargeParameterDiscovery": 2.0, "ChargingStatus": 2.0, "MeteringReceipt": 2.0, "PowerDelivery": 5.0, "CableCheck": 2.0, "PreCharge": 2.0, "CurrentDemand": 0.25, "WeldingDetection": 2.0, "SessionStop": 2.0}
+_USED = ("supportedAppProtocol", "SessionSetup", "ServiceDiscovery", "ChargeParameterDiscovery", "PowerDelivery", "CableCheck", "PreCharge", "CurrentDemand", "WeldingDetection", "SessionStop")
+LIMIT = "CASE {} " + " ".join(f"WHEN '{b}' THEN {v}::DOUBLE" for b, v in _REQS.items()) + " END"
+PERF = "CASE {} " + " ".join(f"WHEN '{b}' THEN {({2.0: 1.5, 5.0: 4.5, 0.25: 0.025})[v]}::DOUBLE" for b, v in _REQS.items()) + " END"
+_OUT = ", ".join(f"""CASE WHEN {last(f"CASE msg WHEN '{b}Req' THEN t WHEN '{b}Res' THEN -1 END", ", dialog")} >= 0 THEN (t - {last(f"CASE msg WHEN '{b}Req' THEN t WHEN '{b}Res' THEN -1 END", ", dialog")}) / {_REQS[b]}::DOUBLE ELSE 0 END""" for b in _USED)
+D = ", dialog"
+_NEXT = {
+    "": "supportedAppProtocolReq SessionSetupReq", "supportedAppProtocolRes": "SessionSetupReq", "SessionSetupRes": "ServiceDiscoveryReq", "ServiceDiscoveryRes": "ServiceDetailReq ServicePaymentSelectionReq",
+    "ChargeParameterDiscoveryRes": "ChargeParameterDiscoveryReq CableCheckReq", "CableCheckRes": "CableCheckReq PreChargeReq", "PreChargeRes": "PreChargeReq PowerDeliveryReq",
+    "PowerDeliveryRes": "CurrentDemandReq WeldingDetectionReq SessionStopReq ChargeParameterDiscoveryReq", "CurrentDemandRes": "CurrentDemandReq MeteringReceiptReq PowerDeliveryReq",
+    "WeldingDetectionRes": "WeldingDetectionReq SessionStopReq", "SessionStopRes": "",
+}
+_LEGAL = "CASE coalesce(lres, '') " + " ".join(f"WHEN '{r}' THEN [{', '.join(repr(q) for q in qs.split())}]::VARCHAR[]" for r, qs in _NEXT.items()) + " END"
+_STAGES = "supportedAppProtocol SessionSetup ServiceDiscovery ServicePaymentSelection ContractAuthentication ChargeParameterDiscovery CableCheck PreCharge PowerDelivery CurrentDemand WeldingDetection SessionStop".split()
+STAGE = "CASE WHEN kind = 'v2g' THEN CASE regexp_replace(msg, '(Req|Res)$', '') " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(_STAGES)) + " END END"
+
+CONF = TRACK + f""",
+c0 AS (SELECT *, {last("CASE WHEN sfx = 'Res' OR msg = 'supportedAppProtocolReq' THEN msg END", before=True)} AS mk FROM trk),
+c1 AS (SELECT *, CAST({run("sum(CASE WHEN msg = 'supportedAppProtocolReq' OR (msg = 'SessionSetupReq' AND coalesce(mk, '') <> 'supportedAppProtocolRes') THEN 1 ELSE 0 END)")} AS BIGINT) AS dialog FROM c0),
+c2 AS (SELECT *,
+  {last("CASE sfx WHEN 'Req' THEN t WHEN 'Res' THEN -1 END", ", dialog, base", True)} AS dsent,
+  greatest({_OUT}) AS waiting,
+  {last("CASE WHEN sfx = 'Req' THEN -1 WHEN sfx = 'Res' AND (msg = 'SessionStopRes' OR resp_code <> '') THEN -1 WHEN sfx = 'Res' THEN t END", D)} AS sq,
+  {run("sum(CASE WHEN evse_processing = 'Finished' OR (sfx = 'Res' AND (msg = 'SessionStopRes' OR resp_code <> '')) THEN 1 ELSE 0 END)", D)} AS og,
+  greatest({last("CASE WHEN contains(msg, 'SLAC_MATCH.CNF') THEN t END")}, {run("min(t)", D)}) AS ready,
+  {run("min(CASE WHEN msg = 'SessionSetupRes' THEN t END)", D)} AS setup,
+  {run("min(CASE WHEN msg = 'CableCheckReq' THEN t END)", D)} AS cc0,
+  {run("min(CASE WHEN msg = 'PreChargeReq' THEN t END)", D)} AS pc0,
+  {run("max(CASE WHEN msg = 'PowerDeliveryReq' THEN 1 ELSE 0 END)", D)} AS pd,
+  {last("CASE WHEN sfx = 'Res' THEN msg END", D, True)} AS lres,
+  coalesce({run(f"max({STAGE})")}, -1) AS stage_max
+  FROM c1),
+c3 AS (SELECT *, CASE WHEN sfx = 'Res' AND dsent >= 0 THEN t - dsent END AS dlat,
+  CASE WHEN sq >= 0 THEN t - sq ELSE 0 END AS seq_gap_s,
+  coalesce(t - {run("min(CASE WHEN evse_processing = 'Ongoing' THEN t END)", ", dialog, og")}, 0) AS ongoing_s,
+  CASE WHEN dialog = 0 THEN 0 ELSE coalesce(setup, t) - ready END AS comm_setup_s,
+  {run("min(CASE WHEN (msg = 'CableCheckRes' AND resp_code = '' AND evse_processing = 'Finished') OR (msg = 'PreChargeReq' AND cc0 IS NOT NULL) THEN t END)", D)} AS cc1,
+  CASE WHEN pd = 1 THEN 0 ELSE coalesce(t - pc0, 0) END AS precharge_s,
+  coalesce(sfx = 'Req' AND dialog > 0 AND NOT list_contains({_LEGAL}, msg), false) AS seq_illegal
+  FROM c2),
+conf AS (SELECT *, greatest(coalesce(dlat / {LIMIT.format('base')}, 0), waiting) AS msg_timeout_ratio,
+  coalesce(dlat / {PERF.format('base')}, 0) AS msg_perf_ratio,
+  coalesce(coalesce(cc1, t) - cc0, 0) AS cablecheck_s, cc0 IS NOT NULL AND cc1 IS NULL AS cablecheck_open,
+  CAST({run("sum(CASE WHEN seq_illegal THEN 1 ELSE 0 END)")} AS BIGINT) AS n_seq_illegal,
+  coalesce({STAGE} < stage_max AND seq_illegal, false) AS stage_regress,
+  coalesce(evse_v / nullif({last("evse_max_v")}, 0) - 1, 0) AS v_over_max, coalesce(evse_i / nullif({last("evse_max_i")}, 0) - 1, 0) AS i_over_max
+  FROM c3)"""
+
+_SLAC = "SLAC_PARM.REQ SLAC_PARM.CNF START_ATTEN_CHAR.IND MNBC_SOUND.IND ATTEN_PROFILE.IND ATTEN_CHAR.IND ATTEN_CHAR.RSP SLAC_MATCH.REQ SLAC_MATCH.CNF SET_KEY.REQ SET_KEY.CNF".split()
+MATCH = SES + f""",
+m0 AS (SELECT *, CASE {' '.join(f"WHEN contains(msg, '{x}') THEN {i + 1}" for i, x in enumerate(_SLAC))} END AS st FROM ses),
+m1 AS (SELECT *, {run("sum(CASE WHEN st = 9 THEN 1 ELSE 0 END)")} AS cnf, {run("sum(CASE WHEN st = 8 OR contains(msg, 'VALIDATE.REQ') THEN 1 ELSE 0 END)")} AS asked,
+  {last("CASE WHEN st = 1 THEN 1 WHEN st > 2 THEN 2 END", before=True)} AS late FROM m0),
+m2 AS (SELECT *, {run("min(CASE WHEN st = 8 THEN t END)", ", cnf")} AS pend, {run("min(CASE WHEN contains(msg, 'ATTEN_CHAR.RSP') THEN t END)", ", asked")} AS await_t FROM m1),
+mat AS (SELECT *, coalesce({run("max(st)")}, 0) AS slac_stage, cnf > 0 AS matched, {run("max(CASE WHEN kind = 'v2g' THEN 1 ELSE 0 END)")} = 1 AS v2g_seen,
+  pend IS NOT NULL AS match_pending, coalesce(t - pend, 0) AS match_pending_s, await_t IS NOT NULL AS awaiting, coalesce(t - await_t, 0) AS awaiting_s,
+  CAST({run("sum(CASE WHEN st = 8 THEN 1 ELSE 0 END)")} AS BIGINT) AS n_match_req, CAST({run("sum(CASE WHEN st = 1 AND late = 2 THEN 1 ELSE 0 END)")} AS BIGINT) AS n_restart,
+  coalesce(t - {last("CASE WHEN st = 9 THEN t END")}, 0) AS since_match_s FROM m2)"""
+
+FACTS = """facts AS (SELECT station, connector, sid, min(t) AS t_start, max(t) AS t_end, count(*) AS n_events, count(*) FILTER (kind = 'v2g') AS n_v2g,
+  count(*) FILTER (regexp_matches(msg, 'SLAC|ATTEN_CHAR')) AS n_slac, min(t) FILTER (regexp_matches(msg, 'SLAC|ATTEN_CHAR')) AS first_slac, min(t) FILTER (kind = 'v2g') AS first_v2g,
+  min(t) FILTER (msg LIKE 'CurrentDemand%') AS first_cd, max(t) FILTER (msg LIKE 'CurrentDemand%') AS last_cd,
+  max(t) FILTER (msg = 'SessionStopRes' AND resp_code = '') AS stop_res, min(t) FILTER (msg = 'SessionStopReq') AS stop_req,
+  max(t) FILTER (msg IN ('supportedAppProtocolReq', 'SessionSetupReq')) AS last_opener, min(t) FILTER (msg = 'ChargeParameterDiscoveryReq') AS param_req,
+  min(t) FILTER (msg = 'CableCheckReq') AS cable_req, max(t) FILTER (regexp_matches(msg, '^(ChargeParameterDiscovery|CableCheck|PreCharge|PowerDelivery)')) AS last_dc,
+  max(t) FILTER (msg LIKE 'CableCheck%') AS last_cable, coalesce(bool_or(msg LIKE 'PreCharge%'), false) AS has_precharge, coalesce(bool_or(msg LIKE 'PowerDelivery%'), false) AS has_power
+  FROM ses GROUP BY ALL),
+fct AS (SELECT *, coalesce(stop_res IS NOT NULL AND (last_opener IS NULL OR stop_res >= last_opener), false) AS graceful_close, first_cd IS NOT NULL AS reached_current_demand FROM facts WHERE n_v2g > 0 OR n_slac >= 3)"""
+
+K3 = "station, connector, sid"
+MARK = f"""mark AS (SELECT {K3}, t, 'PROTOCOL_FAILED' AS family FROM ses WHERE resp_code <> '' UNION ALL SELECT {K3}, t, 'EVSE_FAULT' FROM ses WHERE evse_status <> ''
+  UNION ALL SELECT {K3}, t, 'ISOLATION_FAULT' FROM ses WHERE isolation = 'Fault' UNION ALL SELECT {K3}, t, 'EV_ERROR' FROM ses WHERE ev_err <> '')"""
+STUCK = f"""stuck AS (SELECT {K3}, cable_req + 60 AS t, 'COMM_FREEZE' AS family FROM fct f WHERE cable_req IS NOT NULL AND
+  coalesce((SELECT min(t) FROM ses s WHERE s.station = f.station AND s.connector = f.connector AND s.sid = f.sid AND s.t > f.cable_req AND s.msg IN ('PreChargeReq', 'PowerDeliveryReq')), last_cable) - cable_req > 60)"""
+STALL = f"""stall AS (SELECT {K3}, lt + 5 AS t, 'COMM_FREEZE' AS family FROM (SELECT {K3}, t, lag(t) OVER (PARTITION BY {K3} ORDER BY t, seq) AS lt FROM ses JOIN fct USING ({K3}) WHERE kind = 'v2g' AND t BETWEEN first_cd AND last_cd) WHERE t - lt > 5)"""
+SLACF = f"""slacf AS (SELECT {K3}, t_end AS t, 'SLAC_FAILURE' AS family FROM fct WHERE n_v2g = 0), slow AS (SELECT {K3}, first_slac + 60 AS t, 'SLAC_FAILURE' AS family FROM fct WHERE first_v2g - first_slac > 60)"""
+SAME = "o.station = s.station AND o.connector = s.connector AND o.sid = s.sid"
+REMATCH = f"""rm0 AS (SELECT s.*, first_v2g, graceful_close, stop_res,
+    (SELECT min(o.t) FROM ses o WHERE {SAME} AND o.kind = 'v2g' AND o.t > s.t) AS nxt, coalesce((SELECT max(o.t) FROM ses o WHERE {SAME} AND o.kind = 'v2g' AND o.t < s.t), first_v2g) AS prv,
+    EXISTS (SELECT 1 FROM ses o WHERE {SAME} AND contains(o.msg, 'SLAC_PARM.CNF') AND o.t BETWEEN s.t AND s.t + 10) AS answered,
+    EXISTS (SELECT 1 FROM ses o WHERE {SAME} AND o.msg = 'supportedAppProtocolReq' AND o.t > s.t) AS again
+  FROM ses s JOIN fct USING ({K3}) WHERE contains(s.msg, 'SLAC_PARM.REQ') AND n_v2g > 0 AND s.t > first_v2g + 1 AND NOT (graceful_close AND s.t > stop_res)),
+remat AS (SELECT {K3}, arg_min(prv, (t, seq)) AS t, 'SESSION_ABORT' AS family FROM rm0 WHERE nxt IS NULL OR nxt - prv > 5 OR answered OR again GROUP BY ALL)"""
+RESET = f"""rest AS (SELECT * FROM fct WHERE n_v2g > 0 AND NOT graceful_close AND ({K3}) NOT IN (SELECT ({K3}) FROM remat)),
+streams AS (SELECT {K3}, list(DISTINCT tcp_stream) AS st FROM ses WHERE kind = 'v2g' AND tcp_stream <> '' GROUP BY ALL),
+reset AS (SELECT {K3}, min(t) AS t, 'SESSION_ABORT' AS family FROM ses JOIN rest USING ({K3}) LEFT JOIN streams USING ({K3}) WHERE msg = 'RST' AND t >= first_v2g AND (st IS NULL OR list_contains(st, tcp_stream)) GROUP BY ALL)"""
+NOPOWER = f"""nopower AS (SELECT {K3}, coalesce(stop_req, last_dc, stop_res) AS t, 'NO_POWER_DELIVERED' AS family FROM fct WHERE graceful_close AND first_cd IS NULL AND param_req IS NOT NULL)"""
+W = "PARTITION BY station, connector, sid ORDER BY t, seq"
+EVID = f"""ev_q AS (SELECT * FROM rest WHERE ({K3}) NOT IN (SELECT ({K3}) FROM reset)),
+ev_a AS (SELECT s.*, q.t_end, right(msg, 3) AS sx, left(msg, len(msg) - 3) AS bs FROM ses s JOIN ev_q q USING ({K3}) WHERE kind = 'v2g'),
+ev_b AS (SELECT *, last_value(CASE WHEN sx = 'Res' THEN msg END IGNORE NULLS) OVER ({W} {B}) AS lr, last_value(CASE sx WHEN 'Req' THEN -1 WHEN 'Res' THEN t END IGNORE NULLS) OVER ({W} {B}) AS since,
+  lag(bs) OVER ({W}) AS pb FROM ev_a),
+ev_c AS (SELECT *, sum(CASE WHEN msg = 'supportedAppProtocolReq' OR (msg = 'SessionSetupReq' AND coalesce(lr, '') <> 'supportedAppProtocolRes') THEN 1 ELSE 0 END) OVER ({W}) AS nd,
+  msg = 'supportedAppProtocolReq' OR (msg = 'SessionSetupReq' AND coalesce(lr, '') <> 'supportedAppProtocolRes') AS op,
+  sum(CASE WHEN bs <> coalesce(pb, bs) OR (evse_processing = 'Finished' AND sx = 'Res') THEN 1 ELSE 0 END) OVER ({W}) AS g FROM ev_b),
+ev_d AS (SELECT *, min(CASE WHEN sx = 'Res' AND evse_processing = 'Ongoing' THEN t END) OVER (PARTITION BY station, connector, sid, g ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS og FROM ev_c),
+ev_w AS (
+  SELECT {K3}, lt + lim AS at FROM (SELECT {K3}, bs, t_end, arg_max(sx, (t, seq)) AS ls, arg_max(t, (t, seq)) AS lt FROM ev_a GROUP BY ALL), (SELECT * FROM (VALUES {', '.join(f"('{b}', {v}::DOUBLE)" for b, v in _REQS.items())}) x(lb, lim)) WHERE lb = bs AND ls = 'Req' AND t_end - lt >= lim
+  UNION ALL SELECT {K3}, lt + 60 FROM (SELECT {K3}, t_end, arg_max(sx, (t, seq)) AS ls, arg_max(t, (t, seq)) AS lt FROM ev_a GROUP BY ALL) WHERE ls = 'Res' AND t_end - lt >= 60
+  UNION ALL SELECT {K3}, og + 60 FROM (SELECT *, row_number() OVER (PARTITION BY station, connector, sid ORDER BY t DESC, seq DESC) AS rn FROM ev_d) WHERE rn = 1 AND t_end - og >= 60),
+evid AS (SELECT {K3}, min(t) AS t, 'SESSION_ABORT' AS family FROM (
+  SELECT {K3}, t FROM ev_d WHERE op AND nd > 1
+  UNION ALL SELECT {K3}, since + 60 FROM ev_d WHERE sx = 'Req' AND since >= 0 AND t - since >= 60
+  UNION ALL SELECT {K3}, og + 60 FROM ev_d WHERE sx = 'Res' AND evse_processing = 'Ongoing' AND t - og >= 60
+  UNION ALL SELECT s.station, s.connector, s.sid, s.at FROM ev_w s WHERE (SELECT count(*) FROM ses o WHERE {SAME} AND o.t > s.at AND o.t <= s.at + 10) >= 20) GROUP BY ALL)"""
+REAL = f"SELECT m.* FROM mark m SEMI JOIN fct USING ({K3})"
+LABELS = f"""{FACTS}, {MARK}, {STUCK}, {STALL}, {SLACF}, {REMATCH}, {RESET}, {NOPOWER}, {EVID},
+cand AS ({REAL} UNION ALL FROM stuck UNION ALL FROM stall UNION ALL FROM slacf UNION ALL FROM slow UNION ALL FROM remat UNION ALL FROM reset UNION ALL FROM nopower UNION ALL FROM evid),
+ff AS (SELECT {K3}, family, min(t) AS t FROM cand GROUP BY ALL),
+lab AS (SELECT f.*, a.first_fault_t, a.first_fault_family, coalesce(a.families, []) AS families, coalesce(a.n, 0) AS n_faults
+  FROM fct f LEFT JOIN (SELECT {K3}, min(t) AS first_fault_t, arg_min(family, (t, family)) AS first_fault_family, list_sort(list(family)) AS families, count(*) AS n FROM ff GROUP BY ALL) a USING ({K3}))"""
+
+SPEC = """CASE WHEN resp_code <> '' THEN 'PROTOCOL_FAILED' WHEN evse_status <> '' THEN 'EVSE_FAULT' WHEN isolation = 'Fault' THEN 'ISOLATION_FAULT' WHEN ev_err <> '' THEN 'EV_ERROR'
+  WHEN cablecheck_elapsed > 40 THEN 'COMM_FREEZE' WHEN phase = 'delivery' AND dt_v2g > 3.5 THEN 'COMM_FREEZE' WHEN v_over THEN 'EVSE_FAULT' WHEN retx_60s > 60 THEN 'SESSION_ABORT'
+  WHEN link_gap > 3 AND phase <> 'idle' THEN 'SESSION_ABORT' WHEN slac_attempts >= 3 THEN 'SLAC_FAILURE' WHEN rst_seen AND phase IN ('delivery', 'cablecheck', 'precharge') THEN 'SESSION_ABORT' END"""
+CONFR = """CASE WHEN resp_code <> '' THEN 'PROTOCOL_FAILED' WHEN evse_status <> '' THEN 'EVSE_FAULT' WHEN isolation = 'Fault' THEN 'ISOLATION_FAULT' WHEN ev_err <> '' THEN 'EV_ERROR'
+  WHEN ongoing_s >= 55 THEN 'COMM_FREEZE' WHEN seq_gap_s >= 60 THEN 'COMM_FREEZE' WHEN comm_setup_s >= 20 THEN 'SESSION_ABORT' WHEN cablecheck_open AND cablecheck_s >= 40 THEN 'COMM_FREEZE'
+  WHEN dialog > 1 THEN 'SESSION_ABORT' WHEN msg_timeout_ratio >= 1 THEN 'COMM_FREEZE' END"""
+
+
+def alerts(source: str, rule: str, name: str) -> str:
+    return f"SELECT {K3}, '{name}' AS detector, arg_min(t, (t, seq)) AS t, arg_min(g, (t, seq)) AS guess FROM (SELECT *, {rule} AS g FROM {source}) WHERE g IS NOT NULL GROUP BY ALL"
+
+
+SCORED = CONF + f""", {LABELS},
+al AS ({alerts("trk", SPEC, "Spec")} UNION ALL {alerts("conf", CONFR, "Conformance")}),
+sc AS (SELECT l.*, d.detector, al.t AS alert_t, al.guess,
+  CASE WHEN n_faults > 0 THEN CASE WHEN al.t IS NULL THEN 'miss' WHEN al.t <= first_fault_t + 10 THEN 'tp' ELSE 'late' END ELSE CASE WHEN al.t IS NULL THEN 'quiet' ELSE 'fp' END END AS outcome,
+  CASE WHEN n_faults > 0 AND al.t <= first_fault_t + 10 THEN greatest(0, first_fault_t - al.t) END AS lead
+  FROM lab l CROSS JOIN (VALUES ('Spec'), ('Conformance')) d(detector) LEFT JOIN al ON al.station = l.station AND al.connector = l.connector AND al.sid = l.sid AND al.detector = d.detector)"""
