@@ -147,35 +147,41 @@ def abort_evidence(rows: DataFrame, facts: DataFrame) -> DataFrame:
     """
     v = with_facts(rows.where(V2G), facts.where("n_v2g > 0 AND NOT graceful_close"), "t_end")
     suffix, base = S.msg_suffix(F.col("msg")), S.msg_base(F.col("msg"))
-    offer = lambda df, t, detail: df.select(*SESSION, t.alias("t"), detail.alias("detail"))
-    last_res = last_before(F.when(F.col("msg").endswith("Res"), F.col("msg")), *SESSION)
-    opens = (F.col("msg") == "supportedAppProtocolReq") | ((F.col("msg") == "SessionSetupReq") & (F.coalesce(last_res, F.lit("")) != "supportedAppProtocolRes"))
-    opened = v.withColumn("_n", count_so_far(opens, *SESSION)).withColumn("_o", opens)
-    reopened = opened.where("_o AND _n > 1")
-    found = offer(reopened, F.col("t"), F.format_string("dialog reopened after an error [8.8.1] (#%d)", "_n"))
+    v = v.withColumn("_x", suffix).withColumn("_base", base)
+    req, res = F.col("_x") == "Req", F.col("_x") == "Res"
+    last_res = F.coalesce(last_before(F.when(res, F.col("msg")), *SESSION), F.lit(""))
+    v = v.withColumn("_opens", (F.col("msg") == "supportedAppProtocolReq") | ((F.col("msg") == "SessionSetupReq") & (last_res != "supportedAppProtocolRes")))
+    v = v.withColumn("_n", count_so_far(F.col("_opens"), *SESSION))
     # the sequence timer runs from a response to the next request
-    state = F.when(suffix == "Req", F.lit(-1.0)).when(suffix == "Res", F.col("t"))
-    timed = v.withColumn("_since", last_before(state, *SESSION)).where((suffix == "Req") & (F.col("_since") >= 0) & (F.col("t") - F.col("_since") >= K.SEQ_TIMEOUT_S))
-    found = found.unionByName(offer(timed, F.col("_since") + K.SEQ_TIMEOUT_S, F.format_string("no request for %.0fs [V2G2-443]", F.col("t") - F.col("_since"))))
+    v = v.withColumn("_since", last_before(F.when(req, F.lit(-1.0)).when(res, F.col("t")), *SESSION))
     # Ongoing belongs to one response's phase: any other response or a request of another kind ends it
-    phase = F.when(suffix != "", base)
-    ends = (F.col("evse_processing") == "Finished") & (suffix == "Res")
-    turn = v.withColumn("_p", phase).withColumn("_q", last_before(phase, *SESSION))
-    turn = turn.withColumn("_g", count_so_far((F.col("_p") != F.col("_q")) | ends, *SESSION))
-    going = F.when((suffix == "Res") & (F.col("evse_processing") == "Ongoing"), F.col("t"))
-    turn = turn.withColumn("_o", F.min(going).over(per(*SESSION, "_g").rowsBetween(*UP_TO)))
-    long = turn.where((suffix == "Res") & (F.col("evse_processing") == "Ongoing") & (F.col("t") - F.col("_o") >= K.ONGOING_TIMEOUT_S))
-    found = found.unionByName(offer(long, F.col("_o") + K.ONGOING_TIMEOUT_S, F.format_string("EVSEProcessing Ongoing %.0fs [V2G2-711]", F.col("t") - F.col("_o"))))
+    phase = F.when(F.col("_x") != "", F.col("_base"))
+    v = v.withColumn("_q", last_before(phase, *SESSION))
+    v = v.withColumn("_g", count_so_far((phase != F.col("_q")) | ((F.col("evse_processing") == "Finished") & res), *SESSION))
+    ongoing = res & (F.col("evse_processing") == "Ongoing")
+    v = v.withColumn("_o", F.min(F.when(ongoing, F.col("t"))).over(per(*SESSION, "_g").rowsBetween(*UP_TO))).persist()
+    offer = lambda when, t, detail: F.when(when, F.struct(t.alias("t"), detail.alias("detail")))
+    gap, span = F.col("t") - F.col("_since"), F.col("t") - F.col("_o")
+    offers = F.array_compact(F.array(
+        offer(F.col("_opens") & (F.col("_n") > 1), F.col("t"), F.format_string("dialog reopened after an error [8.8.1] (#%d)", "_n")),
+        offer(req & (F.col("_since") >= 0) & (gap >= K.SEQ_TIMEOUT_S), F.col("_since") + K.SEQ_TIMEOUT_S, F.format_string("no request for %.0fs [V2G2-443]", gap)),
+        offer(ongoing & (span >= K.ONGOING_TIMEOUT_S), F.col("_o") + K.ONGOING_TIMEOUT_S, F.format_string("EVSEProcessing Ongoing %.0fs [V2G2-711]", span)),
+    ))
+    found = v.select(*SESSION, F.explode(offers).alias("e")).select(*SESSION, "e.t", "e.detail")
     # what still waits at the end
-    by_base = v.where(suffix != "").withColumn("_base", base).groupBy(*SESSION, "_base", "t_end").agg(F.max_by(F.struct(suffix.alias("kind"), "t"), F.struct("t", "seq")).alias("l"))
-    open_req = by_base.where("l.kind = 'Req'").withColumn("limit", K.lookup({k[:-3]: s for k, s in K.MSG_TIMEOUT_S.items()}, F.col("_base"))).where("t_end - l.t >= limit")
+    order = F.struct("t", "seq")
+    by_base = v.where(F.col("_x") != "").groupBy(*SESSION, "_base", "t_end").agg(F.max_by(F.struct("_x", "t"), order).alias("l"))
+    limit = K.lookup({k[:-3]: s for k, s in K.MSG_TIMEOUT_S.items()}, F.col("_base"))
+    open_req = by_base.where(F.col("l._x") == "Req").withColumn("limit", limit).where("t_end - l.t >= limit")
     waits = open_req.select(*SESSION, (F.col("l.t") + F.col("limit")).alias("at"), F.format_string("%sReq unanswered past its %ss timeout [V2G2-438]", F.col("_base"), F.col("limit").cast("string")).alias("detail"))
-    end = v.groupBy(*SESSION, "t_end").agg(F.max_by(F.when(suffix == "Res", F.col("t")).when(suffix == "Req", F.lit(-1.0)), F.when(suffix != "", F.struct("t", "seq"))).alias("res"))
-    idle = end.where((F.col("res") >= 0) & (F.col("t_end") - F.col("res") >= K.SEQ_TIMEOUT_S)).select(*SESSION, (F.col("res") + K.SEQ_TIMEOUT_S).alias("at"), F.lit("no further request for 60s [V2G2-443]").alias("detail"))
-    left = turn.groupBy(*SESSION, "t_end").agg(F.max_by("_o", F.struct("t", "seq")).alias("o")).where(F.col("t_end") - F.col("o") >= K.ONGOING_TIMEOUT_S)
-    stuck = left.select(*SESSION, (F.col("o") + K.ONGOING_TIMEOUT_S).alias("at"), F.lit("EVSEProcessing left Ongoing past 60s [V2G2-711]").alias("detail"))
-    alive = alive_after(rows, waits.unionByName(idle).unionByName(stuck)).where(F.col("alive_rows") >= ALIVE_ROWS)
-    found = found.unionByName(offer(alive, F.col("at"), F.col("detail")))
+    end = v.groupBy(*SESSION, "t_end").agg(F.max_by(F.when(res, F.col("t")).when(req, F.lit(-1.0)), F.when(F.col("_x") != "", order)).alias("res"), F.max_by("_o", order).alias("o"))
+    last = F.array_compact(F.array(
+        F.when((F.col("res") >= 0) & (F.col("t_end") - F.col("res") >= K.SEQ_TIMEOUT_S), F.struct((F.col("res") + K.SEQ_TIMEOUT_S).alias("at"), F.lit("no further request for 60s [V2G2-443]").alias("detail"))),
+        F.when(F.col("t_end") - F.col("o") >= K.ONGOING_TIMEOUT_S, F.struct((F.col("o") + K.ONGOING_TIMEOUT_S).alias("at"), F.lit("EVSEProcessing left Ongoing past 60s [V2G2-711]").alias("detail"))),
+    ))
+    left = end.select(*SESSION, F.explode(last).alias("e")).select(*SESSION, "e.at", "e.detail")
+    alive = alive_after(rows, waits.unionByName(left)).where(F.col("alive_rows") >= ALIVE_ROWS)
+    found = found.unionByName(alive.select(*SESSION, F.col("at").alias("t"), "detail"))
     return found.groupBy(*SESSION).agg(F.min(F.struct("t", "detail")).alias("e")).select(*SESSION, "e.t", "e.detail")
 
 
@@ -196,11 +202,12 @@ def decode_quality(rows: DataFrame) -> DataFrame:
 
 def strict_faults(rows: DataFrame, facts: DataFrame, legacy_abort: bool = False) -> DataFrame:
     """All fault candidates of the strict profile."""
-    real = is_session(facts)
-    rematch = rematch_aborts(rows, real)
-    rest = real.join(rematch.select(*SESSION), list(SESSION), "left_anti")
-    resets = reset_aborts(rows, rest)
-    quiet = rest.where("n_v2g > 0 AND NOT graceful_close").join(resets.select(*SESSION), list(SESSION), "left_anti")
+    # one row per session each; kept, since every later rule reads them
+    real = is_session(facts).persist()
+    rematch = rematch_aborts(rows, real).persist()
+    rest = real.join(rematch.select(*SESSION), list(SESSION), "left_anti").persist()
+    resets = reset_aborts(rows, rest).persist()
+    quiet = rest.where("n_v2g > 0 AND NOT graceful_close").join(resets.select(*SESSION), list(SESSION), "left_anti").persist()
     if legacy_abort:
         aborts = _faults(quiet, F.col("t_end"), "SESSION_ABORT", F.lit("stream death, no SessionStop"))
     else:

@@ -164,8 +164,9 @@ def g9(s, d):
 
 
 def _quiet(rows, facts):
-    rest = facts.join(G.rematch_aborts(rows, facts).select(*Z.SESSION), list(Z.SESSION), "left_anti")
-    return rest.where("n_v2g > 0 AND NOT graceful_close").join(G.reset_aborts(rows, rest).select(*Z.SESSION), list(Z.SESSION), "left_anti")
+    facts = facts.persist()
+    rest = facts.join(G.rematch_aborts(rows, facts).select(*Z.SESSION), list(Z.SESSION), "left_anti").persist()
+    return rest.where("n_v2g > 0 AND NOT graceful_close").join(G.reset_aborts(rows, rest).select(*Z.SESSION), list(Z.SESSION), "left_anti").persist()
 
 
 @query("g10_abort_evidence", fault_sql("evid", f"{O.REMATCH}, {O.RESET}, {O.EVID}"))
@@ -198,7 +199,7 @@ def g18(s, d):
 
 @query("g20_labels", f"WITH {O.SES}, {O.LABELS} SELECT {K3}, n_events, graceful_close, reached_current_demand, {us('first_fault_t')}, first_fault_family, array_to_string(families, ',') AS families FROM lab")
 def g20(s, d):
-    out = G.label_sessions(sessions(s, d))
+    out = labels(s, d)
     return out.select(*Z.SESSION, "n_events", "graceful_close", "reached_current_demand", *micros("first_fault_t"), "first_fault_family", F.concat_ws(",", F.array_sort("faults.family")).alias("families"))
 
 
@@ -237,8 +238,12 @@ def _names(s):
     return s.createDataFrame([(n,) for n in NAMES], "detector string")
 
 
+def labels(s, d) -> DataFrame:
+    return G.label_sessions(sessions(s, d)).persist()
+
+
 def outcomes(s, d) -> DataFrame:
-    return R.outcomes(G.label_sessions(sessions(s, d)), alerts(s, d), _names(s)).persist()
+    return R.outcomes(labels(s, d), alerts(s, d), _names(s)).persist()
 
 
 _METRICS = """count(*) AS sessions, count(first_fault_t) AS n_faulty, count(*) - count(first_fault_t) AS n_clean, count(*) FILTER (outcome = 'tp') AS tp, count(*) FILTER (outcome = 'late') AS late, count(*) FILTER (outcome = 'miss') AS miss,
@@ -283,7 +288,7 @@ def r5(s, d):
 
 @query("r6_fault_rate_top", f"WITH {O.SES}, {O.LABELS}, g AS (SELECT station, count(*) AS n, count(first_fault_t) AS f FROM lab GROUP BY 1) SELECT station, n, f, CAST(round(f / n * 1e6) AS BIGINT) AS rate_us FROM g ORDER BY f / n DESC, station LIMIT 15")
 def r6(s, d):
-    g = G.label_sessions(sessions(s, d)).groupBy("station").agg(F.count("*").alias("n"), F.count("first_fault_t").alias("f")).withColumn("rate", F.col("f") / F.col("n"))
+    g = labels(s, d).groupBy("station").agg(F.count("*").alias("n"), F.count("first_fault_t").alias("f")).withColumn("rate", F.col("f") / F.col("n"))
     return g.orderBy(F.desc("rate"), "station").limit(15).select("station", "n", "f", *micros("rate"))
 
 
@@ -294,13 +299,13 @@ def r7(s, d):
 
 @query("r7_top_family", f"WITH {O.SES}, {O.LABELS}, c AS (SELECT station, first_fault_family AS f, count(*) AS n FROM lab WHERE n_faults > 0 GROUP BY ALL) SELECT station, arg_min(f, (-n, f)) AS top_family FROM c GROUP BY ALL")
 def r7b(s, d):
-    return R.top_family(G.label_sessions(sessions(s, d)), "station")
+    return R.top_family(labels(s, d), "station")
 
 
 @query("r8_levels", f"WITH {O.SES}, {O.LABELS}, x AS (SELECT *, coalesce(first_fault_family, 'none') AS family FROM lab) SELECT station, connector, family, count(*) AS sessions, count(first_fault_t) AS n_faulty FROM x GROUP BY GROUPING SETS ((station), (station, connector), (station, family))")
 def r8(s, d):
-    labels = G.label_sessions(sessions(s, d)).withColumn("outcome", F.lit("none"))
-    return R.levels(labels).select("station", "connector", "family", "sessions", "n_faulty")
+    rows = labels(s, d).withColumn("outcome", F.lit("none"))
+    return R.levels(rows).select("station", "connector", "family", "sessions", "n_faulty")
 
 
 @query("r9_violations", f"WITH {O.TEL} SELECT station AS detector, msg AS rule FROM tel WHERE false")
@@ -323,7 +328,7 @@ w AS (SELECT station, count(*) AS sessions, 100.0::DOUBLE * count(first_fault_t)
 j AS (SELECT *, greatest(0, coalesce(worst, rate) - rate) AS ex FROM w JOIN cc USING (station))
 SELECT station, sessions, CAST(round(10 * round(0.55 * greatest(0, least(100, 100 - 2 * rate)) + 0.3 * greatest(0, least(100, 100 - 2.5 * wt)) + 0.15 * greatest(0, least(100, 100 - 2 * ex)), 1)) AS BIGINT) AS score_tenths FROM j""")
 def r11(s, d):
-    return R.station_health(G.label_sessions(sessions(s, d))).select("station", "sessions", F.round(F.col("score") * 10).cast("bigint").alias("score_tenths"))
+    return R.station_health(labels(s, d)).select("station", "sessions", F.round(F.col("score") * 10).cast("bigint").alias("score_tenths"))
 
 
 @query("r12_natural_order", f"WITH {O.TEL} SELECT station, CAST(row_number() OVER (ORDER BY CAST(substr(station, 3) AS INT)) AS INT) AS place FROM (SELECT DISTINCT station FROM tel)")
@@ -341,12 +346,12 @@ def r13(s, d):
 
 @query("r14_fleet", f"WITH {O.SES}, {O.LABELS} SELECT station, count(*) AS n, count(first_fault_t) AS faulty, CAST(round(avg(CAST(reached_current_demand AS INT)) * 1e6) AS BIGINT) AS delivered_us, CAST(round(avg(CAST(graceful_close AS INT)) * 1e6) AS BIGINT) AS graceful_us, CAST(round(median((t_end - t_start) / 60) * 1e6) AS BIGINT) AS median_min_us FROM lab GROUP BY ALL")
 def r14(s, d):
-    return R.fleet(G.label_sessions(sessions(s, d))).select("station", "n", "faulty", *micros("delivered", "graceful", "median_min"))
+    return R.fleet(labels(s, d)).select("station", "n", "faulty", *micros("delivered", "graceful", "median_min"))
 
 
 @query("r15_connector_skew", f"WITH {O.SES}, {O.LABELS}, c AS (SELECT station, connector, count(*) AS n, 100.0::DOUBLE * count(first_fault_t) / count(*) AS rate FROM lab GROUP BY ALL), p AS (SELECT a.station, a.rate AS ra, b.rate AS rb FROM c a JOIN c b ON a.station = b.station AND a.connector = 'connector1' AND b.connector = 'connector2' WHERE a.n >= 30 AND b.n >= 30) SELECT station, CAST(round(ra * 1e6) AS BIGINT) AS connector1_rate_us, CAST(round(rb * 1e6) AS BIGINT) AS connector2_rate_us FROM p WHERE greatest(ra, rb) >= 5 AND abs(ra - rb) >= 5")
 def r15(s, d):
-    return R.connector_skew(G.label_sessions(sessions(s, d))).select("station", *micros("connector1_rate", "connector2_rate"))
+    return R.connector_skew(labels(s, d)).select("station", *micros("connector1_rate", "connector2_rate"))
 
 
 _BUCKET = "CASE WHEN detector = 'Spec' THEN CASE guess WHEN 'PROTOCOL_FAILED' THEN 'baseline rule: ResponseCode' END END"
@@ -362,7 +367,7 @@ g AS (SELECT msg, faulty, count(*) AS n, list_sort(list(l)) AS ls, max(l) AS mos
 SELECT msg, faulty, n, CAST(round(ls[CAST(round_even((n - 1) * 0.5, 0) AS INT) + 1] * 1e6) AS BIGINT) AS p50_us, CAST(round(ls[CAST(round_even((n - 1) * 0.99, 0) AS INT) + 1] * 1e6) AS BIGINT) AS p99_us, CAST(round(most * 1e6) AS BIGINT) AS most_us, CAST(round(100 * o / n * 1e6) AS BIGINT) AS over_us FROM g""")
 def r24(s, d):
     rows = X.latency(sessions(s, d))
-    return R.latency_evidence(rows, G.label_sessions(sessions(s, d))).select("msg", "faulty", "n", *micros("p50", "p99", "most", "over"))
+    return R.latency_evidence(rows, labels(s, d)).select("msg", "faulty", "n", *micros("p50", "p99", "most", "over"))
 
 
 _CRIT = " UNION ALL ".join(f"SELECT '{n}' AS criterion, {K3} FROM conf GROUP BY ALL HAVING max({c}) >= {v}" for n, (c, v) in R.CRITERIA.items())
@@ -370,12 +375,12 @@ _CRIT = " UNION ALL ".join(f"SELECT '{n}' AS criterion, {K3} FROM conf GROUP BY
 
 @query("r25_criterion_audit", f"WITH {O.SCORED}, h AS ({_CRIT}) SELECT criterion, count(*) AS n, count(first_fault_t) AS on_faulty, count(*) - count(first_fault_t) AS on_clean FROM h JOIN lab USING ({K3}) GROUP BY ALL")
 def r25(s, d):
-    return R.criterion_audit(conformance(s, d), G.label_sessions(sessions(s, d)))
+    return R.criterion_audit(conformance(s, d), labels(s, d))
 
 
 @query("r23_abort_audit", f"WITH {O.SCORED}, m AS (SELECT {K3}, max(msg_timeout_ratio) AS a, max(seq_gap_s) AS b, max(ongoing_s) AS c, max(dialog) AS d, bool_or(msg = 'RST') AS e FROM conf GROUP BY ALL) SELECT {K3}, concat_ws(',', CASE WHEN a >= 1 THEN 'unanswered' END, CASE WHEN b >= 60 THEN 'idle' END, CASE WHEN c >= 60 THEN 'ongoing' END, CASE WHEN d > 1 THEN 'redialog' END, CASE WHEN e THEN 'rst' END) AS tags FROM lab JOIN m USING ({K3}) WHERE first_fault_family = 'SESSION_ABORT'")
 def r23(s, d):
-    return R.abort_audit(conformance(s, d), G.label_sessions(sessions(s, d))).select(*Z.SESSION, F.concat_ws(",", "tags").alias("tags"))
+    return R.abort_audit(conformance(s, d), labels(s, d)).select(*Z.SESSION, F.concat_ws(",", "tags").alias("tags"))
 
 
 @query("r22_transitions", f"WITH {O.SES}, {O.LABELS}, leg AS (SELECT {K3}, t_end AS t, 'SESSION_ABORT' AS family FROM rest WHERE ({K3}) NOT IN (SELECT ({K3}) FROM reset)), c2 AS (SELECT * FROM cand WHERE ({K3}, family) NOT IN (SELECT ({K3}, family) FROM evid) UNION ALL FROM leg), f2 AS (SELECT {K3}, arg_min(family, (t, family)) AS fam FROM (SELECT {K3}, family, min(t) AS t FROM c2 GROUP BY ALL) GROUP BY ALL) SELECT coalesce(first_fault_family, 'clean') AS before, coalesce(fam, 'clean') AS after, count(*) AS n FROM lab LEFT JOIN f2 USING ({K3}) GROUP BY ALL")

@@ -16,3 +16,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 from . import feature_queries  # noqa: E402, F401  (fills QUERIES and ORACLES)
 from . import label_queries  # noqa: E402, F401
+from . import more_queries  # noqa: E402, F401
