@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import scalars as S
-from .features import V2G
+from .features import v2g
 from .sessions import SESSION, UP_TO, per
 
 DETECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {}
@@ -109,7 +109,7 @@ def all_first_alerts(rows: DataFrame, names: list[str] | None = None) -> DataFra
 
 def cadence(rows: DataFrame, every: int = 4) -> DataFrame:
     """The dialog rows at which models score: every so many of a session."""
-    return rows.where(V2G).withColumn("_n", F.row_number().over(per(*SESSION))).where(F.col("_n") % every == 0).drop("_n")
+    return rows.where(v2g()).withColumn("_n", F.row_number().over(per(*SESSION))).where(F.col("_n") % every == 0).drop("_n")
 
 
 def evidence_posts(rows: DataFrame) -> dict[str, Column]:

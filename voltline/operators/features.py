@@ -12,7 +12,9 @@ from ..functions import constants as K
 from ..functions import scalars as S
 from .sessions import SESSION, UP_TO, count_so_far, last_before, last_so_far, per
 
-V2G = F.expr("kind = 'v2g'")
+def v2g():
+    """Rows of the dialog itself."""
+    return F.col("kind") == "v2g"
 
 
 def min_so_far(value, *keys: str):
@@ -30,7 +32,7 @@ def first_since(start, reset, *keys: str, name: str):
 
 def phases(rows: DataFrame) -> DataFrame:
     """phase, phase_elapsed, session_elapsed."""
-    named = F.when(V2G, S.phase_of(F.col("msg"))).when((F.col("kind") == "hpav") & F.col("msg").contains("SLAC_PARM.REQ"), "slac")
+    named = F.when(v2g(), S.phase_of(F.col("msg"))).when((F.col("kind") == "hpav") & F.col("msg").contains("SLAC_PARM.REQ"), "slac")
     rows = rows.withColumn("phase", F.coalesce(last_so_far(named, *SESSION), F.lit("idle")))
     before = F.lag("phase").over(per(*SESSION))
     rows = rows.withColumn("_turn", count_so_far((F.col("phase") != before) & before.isNotNull() | (before.isNull() & (F.col("phase") != "idle")), *SESSION))
@@ -40,17 +42,17 @@ def phases(rows: DataFrame) -> DataFrame:
 
 def dialog_gap(rows: DataFrame) -> DataFrame:
     """dt_v2g: seconds since the dialog row before, on dialog rows."""
-    return rows.withColumn("dt_v2g", F.when(V2G, F.col("t") - last_before(F.when(V2G, F.col("t")), *SESSION)))
+    return rows.withColumn("dt_v2g", F.when(v2g(), F.col("t") - last_before(F.when(v2g(), F.col("t")), *SESSION)))
 
 
 def latency(rows: DataFrame) -> DataFrame:
     """req_res_latency: response minus the latest request of its kind; a response consumes the request."""
     base, suffix = S.msg_base(F.col("msg")), S.msg_suffix(F.col("msg"))
-    rows = rows.withColumn("_base", F.when(V2G & (suffix != ""), base).otherwise(""))
-    open_at = F.last(F.when(V2G & (suffix == "Req"), F.struct(F.lit(1).alias("open"), "t")).when(V2G & (suffix == "Res"), F.struct(F.lit(0).alias("open"), "t")), True)
+    rows = rows.withColumn("_base", F.when(v2g() & (suffix != ""), base).otherwise(""))
+    open_at = F.last(F.when(v2g() & (suffix == "Req"), F.struct(F.lit(1).alias("open"), "t")).when(v2g() & (suffix == "Res"), F.struct(F.lit(0).alias("open"), "t")), True)
     before = open_at.over(per(*SESSION, "_base").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_open", before)
-    return rows.withColumn("req_res_latency", F.when(V2G & (suffix == "Res") & (F.col("_open.open") == 1), F.col("t") - F.col("_open.t"))).drop("_open", "_base")
+    return rows.withColumn("req_res_latency", F.when(v2g() & (suffix == "Res") & (F.col("_open.open") == 1), F.col("t") - F.col("_open.t"))).drop("_open", "_base")
 
 
 def link_health(rows: DataFrame) -> DataFrame:
@@ -69,7 +71,7 @@ def link_health(rows: DataFrame) -> DataFrame:
 
 def charge_checks(rows: DataFrame) -> DataFrame:
     """cablecheck_n, cablecheck_elapsed, precharge_elapsed; needs ``phase``."""
-    cable, pre = V2G & (F.col("msg") == "CableCheckReq"), V2G & (F.col("msg") == "PreChargeReq")
+    cable, pre = v2g() & (F.col("msg") == "CableCheckReq"), v2g() & (F.col("msg") == "PreChargeReq")
     since = lambda start: F.col("t") - min_so_far(F.when(start, F.col("t")), *SESSION)
     return (
         rows.withColumn("cablecheck_n", count_so_far(cable, *SESSION))
@@ -80,7 +82,7 @@ def charge_checks(rows: DataFrame) -> DataFrame:
 
 def electrical(rows: DataFrame) -> DataFrame:
     """v_dev, i_dev, precharge_v_gap, v_over, i_collapse; needs ``phase``. Targets and limits are carried forward."""
-    carried = lambda c: F.coalesce(F.col(c), last_so_far(F.when(V2G, F.col(c)), *SESSION))
+    carried = lambda c: F.coalesce(F.col(c), last_so_far(F.when(v2g(), F.col(c)), *SESSION))
     rows = rows.withColumn("_tv", carried("ev_target_v")).withColumn("_ti", carried("ev_target_i")).withColumn("_mv", carried("ev_max_v"))
     reached = (F.col("evse_i") >= 0.8 * F.col("_ti")) & (F.col("_ti") > 20)
     rows = rows.withColumn("_reached", max_so_far(F.when(reached, 1).otherwise(0), *SESSION) == 1)
@@ -194,10 +196,10 @@ def feature_vector(rows: DataFrame) -> DataFrame:
 
 def dialogs(rows: DataFrame) -> DataFrame:
     """dialog: the number of dialogs opened so far in the session (0 before the first)."""
-    marker = F.when(V2G & (F.col("msg").endswith("Res") | (F.col("msg") == "supportedAppProtocolReq")), F.col("msg"))
+    marker = F.when(v2g() & (F.col("msg").endswith("Res") | (F.col("msg") == "supportedAppProtocolReq")), F.col("msg"))
     # an opened dialog forgets the last response, so the first opener's own name stands for "none"
     after_handshake = F.coalesce(last_before(marker, *SESSION) == "supportedAppProtocolRes", F.lit(False))
-    opens = V2G & ((F.col("msg") == "supportedAppProtocolReq") | ((F.col("msg") == "SessionSetupReq") & ~after_handshake))
+    opens = v2g() & ((F.col("msg") == "supportedAppProtocolReq") | ((F.col("msg") == "SessionSetupReq") & ~after_handshake))
     return rows.withColumn("dialog", count_so_far(opens, *SESSION))
 
 
@@ -209,15 +211,15 @@ def message_timers(rows: DataFrame) -> DataFrame:
     worst = []
     for req, limit in K.MSG_TIMEOUT_S.items():
         res = req[:-3] + "Res"
-        state = F.when(V2G & (F.col("msg") == req), F.col("t")).when(V2G & (F.col("msg") == res), F.lit(-1.0))
+        state = F.when(v2g() & (F.col("msg") == req), F.col("t")).when(v2g() & (F.col("msg") == res), F.lit(-1.0))
         sent = last_so_far(state, *DIALOG)
         worst.append(F.when(sent >= 0, (F.col("t") - sent) / limit).otherwise(0.0))
     limits = K.lookup({k[:-3]: v for k, v in K.MSG_TIMEOUT_S.items()}, S.msg_base(F.col("msg")))
     suffix = S.msg_suffix(F.col("msg"))
-    rows = rows.withColumn("_base", F.when(V2G & (suffix != ""), S.msg_base(F.col("msg"))).otherwise(""))
-    state = F.when(V2G & (suffix == "Req"), F.col("t")).when(V2G & (suffix == "Res"), F.lit(-1.0))
+    rows = rows.withColumn("_base", F.when(v2g() & (suffix != ""), S.msg_base(F.col("msg"))).otherwise(""))
+    state = F.when(v2g() & (suffix == "Req"), F.col("t")).when(v2g() & (suffix == "Res"), F.lit(-1.0))
     sent = F.last(state, True).over(per(*DIALOG, "_base").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_lat", F.when(V2G & (suffix == "Res") & (sent >= 0), F.col("t") - sent))
+    rows = rows.withColumn("_lat", F.when(v2g() & (suffix == "Res") & (sent >= 0), F.col("t") - sent))
     rows = rows.withColumn("msg_timeout_ratio", F.greatest(F.coalesce(F.col("_lat") / limits, F.lit(0.0)), *worst))
     rows = rows.withColumn("msg_perf_ratio", F.coalesce(F.col("_lat") / K.lookup(K.RES_PERFORMANCE_S, F.col("msg")), F.lit(0.0)))
     return rows.withColumn("msg_timeout_max", max_so_far(F.col("msg_timeout_ratio"), *SESSION)).drop("_base", "_lat")
@@ -227,19 +229,19 @@ def sequence_timer(rows: DataFrame) -> DataFrame:
     """seq_gap_s since the last response that still owes a request (0 if none); needs ``dialog``."""
     req, res = F.col("msg").endswith("Req"), F.col("msg").endswith("Res")
     ends = (F.col("msg") == "SessionStopRes") | S.is_failed(F.col("resp_code"))
-    state = F.when(V2G & req, F.lit(-1.0)).when(V2G & res & ends, F.lit(-1.0)).when(V2G & res, F.col("t"))
+    state = F.when(v2g() & req, F.lit(-1.0)).when(v2g() & res & ends, F.lit(-1.0)).when(v2g() & res, F.col("t"))
     last = last_so_far(state, *DIALOG)
     return rows.withColumn("seq_gap_s", F.when(last >= 0, F.col("t") - last).otherwise(0.0))
 
 
 def ongoing_timer(rows: DataFrame) -> DataFrame:
     """ongoing_s since processing was first Ongoing (0 if not); needs ``dialog``."""
-    res = V2G & F.col("msg").endswith("Res")
-    reset = (V2G & (F.col("evse_processing") == "Finished")) | (res & ((F.col("msg") == "SessionStopRes") | S.is_failed(F.col("resp_code"))) & (F.col("evse_processing") != "Ongoing"))
+    res = v2g() & F.col("msg").endswith("Res")
+    reset = (v2g() & (F.col("evse_processing") == "Finished")) | (res & ((F.col("msg") == "SessionStopRes") | S.is_failed(F.col("resp_code"))) & (F.col("evse_processing") != "Ongoing"))
     # a response that ends the dialog and is itself Ongoing resets first and starts anew
     restart = res & ((F.col("msg") == "SessionStopRes") | S.is_failed(F.col("resp_code"))) & (F.col("evse_processing") == "Ongoing")
     rows = rows.withColumn("_r", count_so_far(reset | restart, *DIALOG))
-    start = min_so_far(F.when(V2G & (F.col("evse_processing") == "Ongoing"), F.col("t")), *DIALOG, "_r")
+    start = min_so_far(F.when(v2g() & (F.col("evse_processing") == "Ongoing"), F.col("t")), *DIALOG, "_r")
     return rows.withColumn("ongoing_s", F.coalesce(F.col("t") - start, F.lit(0.0))).drop("_r")
 
 
@@ -247,19 +249,19 @@ def setup_timer(rows: DataFrame) -> DataFrame:
     """comm_setup_s from the link's readiness to SessionSetupRes, growing until then; 0 before a dialog opens. Needs ``dialog``."""
     link = F.when((F.col("kind") == "hpav") & F.col("msg").contains("SLAC_MATCH.CNF"), F.col("t"))
     ready = F.greatest(last_so_far(link, *SESSION), min_so_far(F.col("t"), *DIALOG))  # a dialog's first row is its opener
-    done = min_so_far(F.when(V2G & (F.col("msg") == "SessionSetupRes"), F.col("t")), *DIALOG)
+    done = min_so_far(F.when(v2g() & (F.col("msg") == "SessionSetupRes"), F.col("t")), *DIALOG)
     return rows.withColumn("comm_setup_s", F.when(F.col("dialog") == 0, 0.0).otherwise(F.coalesce(done, F.col("t")) - ready))
 
 
 def cable_and_precharge(rows: DataFrame) -> DataFrame:
     """cablecheck_s (stops at its end), cablecheck_open, precharge_s (0 once power is asked for); needs ``dialog``."""
-    cable = min_so_far(F.when(V2G & (F.col("msg") == "CableCheckReq"), F.col("t")), *DIALOG)
+    cable = min_so_far(F.when(v2g() & (F.col("msg") == "CableCheckReq"), F.col("t")), *DIALOG)
     rows = rows.withColumn("_c0", cable)
-    ok = V2G & (F.col("msg") == "CableCheckRes") & (S.rc_severity(F.col("resp_code")) == 0) & (F.col("evse_processing") == "Finished")
-    ended = ok | (V2G & (F.col("msg") == "PreChargeReq") & F.col("_c0").isNotNull())
+    ok = v2g() & (F.col("msg") == "CableCheckRes") & (S.rc_severity(F.col("resp_code")) == 0) & (F.col("evse_processing") == "Finished")
+    ended = ok | (v2g() & (F.col("msg") == "PreChargeReq") & F.col("_c0").isNotNull())
     rows = rows.withColumn("_c1", min_so_far(F.when(ended, F.col("t")), *DIALOG))
-    pre = min_so_far(F.when(V2G & (F.col("msg") == "PreChargeReq"), F.col("t")), *DIALOG)
-    power = max_so_far(F.when(V2G & (F.col("msg") == "PowerDeliveryReq"), 1).otherwise(0), *DIALOG)
+    pre = min_so_far(F.when(v2g() & (F.col("msg") == "PreChargeReq"), F.col("t")), *DIALOG)
+    power = max_so_far(F.when(v2g() & (F.col("msg") == "PowerDeliveryReq"), 1).otherwise(0), *DIALOG)
     return (
         rows.withColumn("cablecheck_s", F.coalesce(F.coalesce(F.col("_c1"), F.col("t")) - F.col("_c0"), F.lit(0.0)))
         .withColumn("cablecheck_open", F.col("_c0").isNotNull() & F.col("_c1").isNull())
@@ -270,19 +272,19 @@ def cable_and_precharge(rows: DataFrame) -> DataFrame:
 
 def sequence_legality(rows: DataFrame) -> DataFrame:
     """seq_illegal, n_seq_illegal, stage_max, stage_regress; needs ``dialog``."""
-    last_res = last_before(F.when(V2G & F.col("msg").endswith("Res"), F.col("msg")), *DIALOG)
+    last_res = last_before(F.when(v2g() & F.col("msg").endswith("Res"), F.col("msg")), *DIALOG)
     # the opener itself is the first row of its dialog, so nothing stands before it
     legal = F.element_at(F.create_map(*[x for k, v in K.NEXT_REQ.items() for x in (F.lit(k), F.array(*map(F.lit, v)) if v else F.array().cast("array<string>"))]), F.coalesce(last_res, F.lit("")))
-    illegal = V2G & F.col("msg").endswith("Req") & (F.col("dialog") > 0) & ~F.array_contains(legal, F.col("msg"))
+    illegal = v2g() & F.col("msg").endswith("Req") & (F.col("dialog") > 0) & ~F.array_contains(legal, F.col("msg"))
     rows = rows.withColumn("seq_illegal", F.coalesce(illegal, F.lit(False)))
-    stage = F.when(V2G, S.stage_index(F.col("msg")))
+    stage = F.when(v2g(), S.stage_index(F.col("msg")))
     rows = rows.withColumn("n_seq_illegal", count_so_far(F.col("seq_illegal"), *SESSION)).withColumn("stage_max", F.coalesce(max_so_far(stage, *SESSION), F.lit(-1)))
     return rows.withColumn("stage_regress", F.coalesce((stage < F.col("stage_max")) & F.col("seq_illegal"), F.lit(False)))
 
 
 def severities(rows: DataFrame) -> DataFrame:
     """rc_sev, evse_sev, isolation_sev, notification_sev, ev_err_sev, and voltage and current over the announced maxima."""
-    over = lambda v, m: F.coalesce(F.col(v) / F.nullif(last_so_far(F.when(V2G, F.col(m)), *SESSION), F.lit(0.0)) - 1, F.lit(0.0))
+    over = lambda v, m: F.coalesce(F.col(v) / F.nullif(last_so_far(F.when(v2g(), F.col(m)), *SESSION), F.lit(0.0)) - 1, F.lit(0.0))
     return (
         rows.withColumn("rc_sev", S.rc_severity(F.col("resp_code")))
         .withColumn("evse_sev", S.evse_severity(F.col("evse_status")))
@@ -323,7 +325,7 @@ def matching(rows: DataFrame) -> DataFrame:
     return (
         rows.withColumn("slac_stage", F.coalesce(max_so_far(F.col("_stage"), *SESSION), F.lit(0)))
         .withColumn("matched", F.col("_cnf") > 0)
-        .withColumn("v2g_seen", max_so_far(F.when(V2G, 1).otherwise(0), *SESSION) == 1)
+        .withColumn("v2g_seen", max_so_far(F.when(v2g(), 1).otherwise(0), *SESSION) == 1)
         .withColumn("match_pending", pending.isNotNull())
         .withColumn("match_pending_s", zero(pending))
         .withColumn("awaiting", awaiting.isNotNull())

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import scalars as S
-from .features import V2G
+from .features import v2g
 from .sessions import SESSION, UP_TO, count_so_far, last_before, per
 
-CD = V2G & F.expr("msg LIKE 'CurrentDemand%'")
+def cd():
+    """Rows of power delivery."""
+    return v2g() & F.col("msg").startswith("CurrentDemand")
 FREEZE_S, CABLE_STRICT_S, SLAC_SLOW_S, PRECHARGE_S = 5.0, 60.0, 60.0, 10.0
 ALIVE_ROWS, ALIVE_S = 20, 10.0
 FAULT = "struct<t: double, family: string, detail: string>"
@@ -34,25 +36,25 @@ def marker_faults(rows: DataFrame) -> DataFrame:
             F.when(~F.col("ev_err").isin("", "NO_ERROR"), F.struct(F.lit("EV_ERROR").alias("family"), F.concat_ws(":", "msg", "ev_err").alias("detail"))),
         )
     )
-    return rows.where(V2G).select(*SESSION, "t", F.explode(found).alias("f")).select(*SESSION, "t", "f.family", "f.detail")
+    return rows.where(v2g()).select(*SESSION, "t", F.explode(found).alias("f")).select(*SESSION, "t", "f.family", "f.detail")
 
 
 def session_facts(rows: DataFrame) -> DataFrame:
     """One row per session: bounds, first and last delivery, stops, openers, graceful_close, reached_current_demand."""
     at = lambda c: F.when(c, F.col("t"))
-    is_msg = lambda *m: V2G & F.col("msg").isin(*m)
+    is_msg = lambda *m: v2g() & F.col("msg").isin(*m)
     slac = (F.col("kind") == "hpav") & (F.col("msg").contains("SLAC") | F.col("msg").contains("ATTEN_CHAR"))
-    dc = V2G & S.msg_base(F.col("msg")).isin("ChargeParameterDiscovery", "CableCheck", "PreCharge", "PowerDelivery")
+    dc = v2g() & S.msg_base(F.col("msg")).isin("ChargeParameterDiscovery", "CableCheck", "PreCharge", "PowerDelivery")
     facts = rows.groupBy(*SESSION).agg(
         F.min("t").alias("t_start"), F.max("t").alias("t_end"), F.count("*").alias("n_events"),
-        F.count_if(V2G).alias("n_v2g"), F.count_if(slac).alias("n_slac"), F.min(at(slac)).alias("first_slac"), F.min(at(V2G)).alias("first_v2g"),
-        F.min(at(CD)).alias("first_cd"), F.max(at(CD)).alias("last_cd"),
+        F.count_if(v2g()).alias("n_v2g"), F.count_if(slac).alias("n_slac"), F.min(at(slac)).alias("first_slac"), F.min(at(v2g())).alias("first_v2g"),
+        F.min(at(cd())).alias("first_cd"), F.max(at(cd())).alias("last_cd"),
         F.max(at(is_msg("SessionStopRes") & ~S.is_failed(F.col("resp_code")))).alias("stop_res"), F.min(at(is_msg("SessionStopReq"))).alias("stop_req"),
         F.max(at(is_msg(*K.OPENERS))).alias("last_opener"), F.min(at(is_msg("ChargeParameterDiscoveryReq"))).alias("param_req"),
         F.min(at(is_msg("CableCheckReq"))).alias("cable_req"), F.max(at(dc)).alias("last_dc"),
-        F.max(at(V2G & F.col("msg").startswith("CableCheck"))).alias("last_cable"),
-        F.bool_or(V2G & F.col("msg").startswith("PreCharge")).alias("has_precharge"), F.bool_or(V2G & F.col("msg").startswith("PowerDelivery")).alias("has_power"),
-        F.bool_or(CD & S.truthy(F.col("charge_complete"))).alias("charge_complete"), F.bool_or(V2G & (F.col("notification") == "StopCharging")).alias("stop_asked"),
+        F.max(at(v2g() & F.col("msg").startswith("CableCheck"))).alias("last_cable"),
+        F.bool_or(v2g() & F.col("msg").startswith("PreCharge")).alias("has_precharge"), F.bool_or(v2g() & F.col("msg").startswith("PowerDelivery")).alias("has_power"),
+        F.bool_or(cd() & S.truthy(F.col("charge_complete"))).alias("charge_complete"), F.bool_or(v2g() & (F.col("notification") == "StopCharging")).alias("stop_asked"),
     )
     graceful = F.col("stop_res").isNotNull() & (F.col("last_opener").isNull() | (F.col("stop_res") >= F.col("last_opener")))
     return facts.withColumn("graceful_close", graceful).withColumn("reached_current_demand", F.col("first_cd").isNotNull())
@@ -68,7 +70,7 @@ def with_facts(rows: DataFrame, facts: DataFrame, *columns: str) -> DataFrame:
 
 def cable_stuck(rows: DataFrame, facts: DataFrame, limit_s: float = CABLE_STRICT_S) -> DataFrame:
     """Cable check longer than ``limit_s``: from its first request to the next pre-charge or power request, else to its last row."""
-    joined = with_facts(rows.where(V2G & F.col("msg").isin("PreChargeReq", "PowerDeliveryReq")), facts.where("cable_req IS NOT NULL"), "cable_req")
+    joined = with_facts(rows.where(v2g() & F.col("msg").isin("PreChargeReq", "PowerDeliveryReq")), facts.where("cable_req IS NOT NULL"), "cable_req")
     ends = joined.where("t > cable_req").groupBy(*SESSION).agg(F.min("t").alias("end"))
     spans = facts.where("cable_req IS NOT NULL").select(*SESSION, "cable_req", "last_cable").join(ends, list(SESSION), "left")
     span = F.coalesce("end", "last_cable") - F.col("cable_req")
@@ -77,7 +79,7 @@ def cable_stuck(rows: DataFrame, facts: DataFrame, limit_s: float = CABLE_STRICT
 
 def delivery_stalls(rows: DataFrame, facts: DataFrame) -> DataFrame:
     """Dialog gaps of more than FREEZE_S between the first and last CurrentDemand row."""
-    inside = with_facts(rows.where(V2G), facts.where("first_cd IS NOT NULL"), "first_cd", "last_cd").where("t BETWEEN first_cd AND last_cd")
+    inside = with_facts(rows.where(v2g()), facts.where("first_cd IS NOT NULL"), "first_cd", "last_cd").where("t BETWEEN first_cd AND last_cd")
     gaps = inside.withColumn("before", F.lag("t").over(per(*SESSION))).where(F.col("t") - F.col("before") > FREEZE_S)
     return _faults(gaps, F.col("before") + FREEZE_S, "COMM_FREEZE", F.format_string("stall %.1fs in power delivery", F.col("t") - F.col("before")))
 
@@ -114,7 +116,7 @@ def rematch_aborts(rows: DataFrame, facts: DataFrame) -> DataFrame:
 
 def reset_aborts(rows: DataFrame, facts: DataFrame) -> DataFrame:
     """The first TCP reset at or after the dialog's begin on one of the dialog's own streams; not after a graceful close."""
-    streams = rows.where(V2G & (F.col("tcp_stream") != "")).groupBy(*SESSION).agg(F.collect_set("tcp_stream").alias("streams"))
+    streams = rows.where(v2g() & (F.col("tcp_stream") != "")).groupBy(*SESSION).agg(F.collect_set("tcp_stream").alias("streams"))
     resets = with_facts(rows.where("kind = 'tcp' AND msg = 'RST'"), facts.where("n_v2g > 0 AND NOT graceful_close"), "first_v2g").where("t >= first_v2g")
     own = resets.join(streams, list(SESSION), "left").where(F.col("streams").isNull() | F.array_contains("streams", F.col("tcp_stream")))
     return _faults(own.groupBy(*SESSION).agg(F.min("t").alias("t")), F.col("t"), "SESSION_ABORT", F.lit("TCP RST"))
@@ -145,7 +147,7 @@ def abort_evidence(rows: DataFrame, facts: DataFrame) -> DataFrame:
     A dialog reopened; 60 s without the next request; processing Ongoing for 60 s within one response's
     phase; a request unanswered past its limit. Where nothing follows, the link must have stayed alive.
     """
-    v = with_facts(rows.where(V2G), facts.where("n_v2g > 0 AND NOT graceful_close"), "t_end")
+    v = with_facts(rows.where(v2g()), facts.where("n_v2g > 0 AND NOT graceful_close"), "t_end")
     suffix, base = S.msg_suffix(F.col("msg")), S.msg_base(F.col("msg"))
     v = v.withColumn("_x", suffix).withColumn("_base", base)
     req, res = F.col("_x") == "Req", F.col("_x") == "Res"
@@ -196,7 +198,7 @@ def decode_quality(rows: DataFrame) -> DataFrame:
     """(session, flag): the first physically impossible voltage or state of charge on rows that did not fail."""
     bad = [F.when((F.col(c) < 0) | (F.col(c) > 1000), F.format_string(f"DECODE_ERROR:{c}=%s", F.col(c).cast("string"))) for c in ("evse_v", "ev_target_v", "ev_max_v", "evse_max_v")]
     bad.append(F.when((F.col("soc") < 0) | (F.col("soc") > 100), F.format_string("DECODE_ERROR:soc=%s", F.col("soc").cast("string"))))
-    flagged = rows.where(V2G & ~S.is_failed(F.col("resp_code"))).withColumn("flag", F.coalesce(*bad)).where("flag IS NOT NULL")
+    flagged = rows.where(v2g() & ~S.is_failed(F.col("resp_code"))).withColumn("flag", F.coalesce(*bad)).where("flag IS NOT NULL")
     return flagged.groupBy(*SESSION).agg(F.min_by("flag", F.struct("t", "seq")).alias("flag"))
 
 

@@ -11,7 +11,7 @@ from ..operators import features as X
 from ..operators import sessions as Z
 from ..sources import telemetry as T
 from . import oracle_base as O
-from .registry import ORACLES, QUERIES
+from .catalog import ORACLES, QUERIES
 
 
 def query(name: str, oracle: str | None = None):

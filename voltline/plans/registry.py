@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import feature_queries, label_queries, more_queries  # noqa: F401  (they fill the catalogue)
+from .catalog import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions, faults, recall, false alarms and score by station and detector."""
     return QUERIES["r7_station_rollup"](spark, sf_dir)
-
-
-from . import feature_queries  # noqa: E402, F401  (fills QUERIES and ORACLES)
-from . import label_queries  # noqa: E402, F401
-from . import more_queries  # noqa: E402, F401
