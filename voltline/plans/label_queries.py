@@ -21,6 +21,10 @@ K3 = O.K3
 NAMES = ("Spec", "Conformance")
 
 
+# The frames below are lazy and persisted; one frame for a session and folder lets queries of one run share what is kept.
+
+
+@cache
 def sessions(s, d) -> DataFrame:
     """Sessionized rows, kept on disk and in memory: the label rules read them a dozen times."""
     return Q.sessions(s, d).persist()
@@ -34,8 +38,9 @@ def conformance(s, d) -> DataFrame:
     return X.conformance(sessions(s, d))
 
 
+@cache
 def everything(s, d) -> DataFrame:
-    return X.conformance(tracked(s, d))
+    return X.conformance(tracked(s, d)).persist()
 
 
 def faults(s, d, part) -> DataFrame:
@@ -238,10 +243,12 @@ def _names(s):
     return s.createDataFrame([(n,) for n in NAMES], "detector string")
 
 
+@cache
 def labels(s, d) -> DataFrame:
     return G.label_sessions(sessions(s, d)).persist()
 
 
+@cache
 def outcomes(s, d) -> DataFrame:
     return R.outcomes(labels(s, d), alerts(s, d), _names(s)).persist()
 
