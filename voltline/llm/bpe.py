@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WORDS_KEPT = 200_000
+PIECES_KEPT, RUNS_KEPT = 400_000, 600_000
 
 
 def default_vocabulary() -> str:
@@ -50,6 +51,10 @@ class Memo(dict):
         return value
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def split_pattern(spec: dict) -> regex.Pattern:
     """The pattern whose matches are a text's pieces."""
     split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -75,8 +80,8 @@ class Encoder:
         letters = byte_letters()
         self.inner = [self.vocab.get(c) for c in letters]
         self.final = [self.vocab.get(c + self.suffix) for c in letters]
-        self.piece_ids = Memo(self.merge)
-        self.packed = Memo(self.encode_run)
+        self.piece_ids = Memo(lambda piece: pack_ids(self.merge(piece)), PIECES_KEPT)
+        self.packed = Memo(self.encode_run, RUNS_KEPT)
 
     def merge(self, piece: str) -> list[int]:
         data = piece.encode()
@@ -104,14 +109,17 @@ class Encoder:
 
     def encode_run(self, run: str) -> bytes:
         """Packed ids of a string without blanks."""
-        out: list[int] = []
+        core = run.rstrip(".,!?:;")
+        if core.isalpha() and "İ" not in core and unicodedata.is_normalized("NFC", run):  # one word, perhaps with a stop: two pieces
+            tail = run[len(core) :]
+            return self.piece_ids[lowered(core)] + self.piece_ids[tail] if tail else self.piece_ids[lowered(core)]
+        out = []
         for part in self.specials.split(run) if self.specials else [run]:
             if part in self.added:
-                out.append(self.added[part])
+                out.append(pack_ids([self.added[part]]))
             elif part:
-                for piece in self.pieces(lowered(unicodedata.normalize("NFC", part))):
-                    out += self.piece_ids[piece]
-        return struct.pack(f"<{len(out)}I", *out)
+                out += [self.piece_ids[piece] for piece in self.pieces(lowered(unicodedata.normalize("NFC", part)))]
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""

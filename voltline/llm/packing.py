@@ -15,7 +15,6 @@ import heapq
 import itertools
 import json
 import os
-import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -26,12 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe import Memo, byte_letters, definition_bytes, lowered, split_pattern
+from .bpe import PIECES_KEPT, RUNS_KEPT, Memo, byte_letters, definition_bytes, lowered, pack_ids, split_pattern
 
 WINDOWS = (256, 512, 1024, 2048)
 END_ID = 1
 POOL = 4096
-PIECES_KEPT, RUNS_KEPT = 400_000, 600_000
 STEP_TOKENS = 131_072
 STEPS_AT_ONCE = 8
 
@@ -55,12 +53,11 @@ class LibraryEncoder:
 
     def encode_piece(self, piece: str) -> bytes:
         ids = [t.id for t in self.model.tokenize("".join([self.letters[b] for b in piece.encode()]))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return pack_ids(ids)
 
     def encode_run(self, run: str) -> bytes:
         if any(start in run for start in self.added):
-            ids = self.library.encode(run, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
+            return pack_ids(self.library.encode(run, add_special_tokens=False).ids)
         core = run.rstrip(".,!?:;")
         if core.isalpha() and "İ" not in core and unicodedata.is_normalized("NFC", run):  # one word, perhaps with a stop: two pieces
             tail = run[len(core) :]
