@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, jaccard
 
 FANOUT = 8
 RADIUS = 3
@@ -258,47 +258,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
 
 
-def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(id, shingles): the distinct hashes of the k-word shingles of each (id, body)."""
-    id_type = docs.schema["id"].dataType.simpleString()
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = []
-        for text in common.as_bytes(batch.column("body")):
-            words = text.lower().split()
-            parts = zip(*(words[i:] for i in range(k))) if len(words) > k else [words]
-            sets.append(list({xxhash.xxh3_64_intdigest(b" ".join(p)) - 2**63 for p in parts}))
-        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
-
-    return common.map_arrow(docs, run, f"id {id_type}, shingles array<bigint>")
-
-
-def similar_links(docs: DataFrame, fps: DataFrame, k: int, radius: int, similarity: float) -> DataFrame:
-    """Links (a, b) between fingerprints within ``radius`` whose texts have Jaccard ``similarity`` or more over k-word shingles.
-
-    Each fingerprint is held by the text of its smallest id.
-    """
-    pairs, _ = common.written(fingerprint_links(fps, radius, spanning=False), "pairs")
-    heads = fps.groupBy("fp").agg(F.min("id").alias("id"))
-    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    wanted = heads.join(ends, "fp", "left_semi").where("id is not null")
-    bodies = docs.join(wanted, "id").select("fp", "body").groupBy("fp").agg(F.min("body").alias("body"))
-    sets, _ = common.written(_shingle_sets(bodies.withColumnRenamed("fp", "id"), k), "shingles")
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    joined = pairs.join(left, "a").join(right, "b")
-    common_size = F.size(F.array_intersect("sa", "sb"))
-    return joined.where(common_size >= similarity * (F.size("sa") + F.size("sb") - common_size)).select("a", "b")
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, radius: int = 6, similarity: float = 0.8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its group, with all their columns.
 
-    Groups join texts with equal fingerprints and texts within ``radius`` bits that share ``similarity`` of
-    their k-word shingles. Rows that repeat an id stay or go together; rows with a null id stay.
+    Groups join texts that share ``similarity`` of their k-word shingles, however far their fingerprints lie
+    apart; fingerprints take no part. Rows that repeat an id stay or go together; rows with a null id stay.
     """
     source = docs.select(F.col(id_col).alias("id"), common.text_or_empty(text_col).alias("body"))
-    fps, _ = common.written(fingerprints(docs, id_col, text_col, k), "fingerprints")
-    found = label_components(fps, similar_links(source, fps, k, radius, similarity))
+    keyed, _ = common.written(jaccard.keyed_sets(source, k, similarity), "sets")
+    found = label_components(keyed.select("id", "fp"), jaccard.similar_links(source, keyed, k, similarity))
     gone = found.where("id <> component_id").select(F.col("id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
