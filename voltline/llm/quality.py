@@ -21,6 +21,7 @@ from .bpe import RUNS_KEPT, Memo
 BUCKETS = 1 << 16
 DIM = 8
 GRAMS = (3, 4)
+WORD = 63
 EPOCHS = 8
 BATCH = 8
 RATE = 4.0
@@ -29,17 +30,26 @@ THRESHOLD = 0.5
 AGAIN = "\x00again"
 
 
+def pieces(words: list[str], most: int, shared: int) -> list[str]:
+    """The words; those of over ``most`` characters as successive pieces, of which neighbours share ``shared`` characters, so
+    that each n-gram of one more character lies in a piece. Pieces are short, so no memory holds long keys."""
+    if len(max(words, key=len, default="")) <= most:
+        return words
+    step = most - shared
+    return [p for w in words for p in ([w] if len(w) <= most else [w[i : i + most] for i in range(0, len(w) - shared, step)])]
+
+
 def tokens(text: str) -> list[str]:
-    """The text's words; a word that repeats one of the two before it counts as AGAIN, so that any stutter looks alike."""
-    words = text.split()
+    """The text's words, long ones in pieces; one that repeats one of the two before it counts as AGAIN, so that any stutter looks alike."""
+    words = pieces(text.split(), WORD, GRAMS[-1] - 1)
     return words[:1] + [AGAIN if w == p or w == q else w for q, p, w in zip(words[:1] + words, words, words[1:])]
 
 
 def subwords(word: str) -> list[int]:
     """Buckets of the word and of its character n-grams, its ends marked."""
-    marked = f"<{word}>" if len(word) < 64 else f"<{word[:63]}"
+    marked = f"<{word}>"
     text = marked.encode() if marked.isascii() else marked  # ASCII is cut as bytes, which are its letters
-    parts = [text, *(text[i : i + n] for n in GRAMS for i in range(len(text) - n + 1))] if len(word) < 64 else [text, text[:4]]
+    parts = [text, *(text[i : i + n] for n in GRAMS for i in range(len(text) - n + 1))]
     return [zlib.crc32(p if isinstance(p, bytes) else p.encode("utf-8", "surrogatepass")) % BUCKETS for p in parts]
 
 

@@ -9,6 +9,7 @@ text, so long clean texts do not add up.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -17,10 +18,11 @@ from pyspark.sql import functions as F
 
 from . import common, labelled
 from .bpe import RUNS_KEPT, Memo
-from .quality import scored
+from .quality import pieces, scored
 
 BUCKETS = 1 << 18
 GRAMS = (4, 5)
+WORD = 64
 EVIDENCE = 16.0
 EPOCHS = 400
 RATE = 0.3
@@ -39,15 +41,23 @@ IDENTITY_TERMS = (
     "männer", "femmes", "hommes", "mujeres", "hombres", "musulmanes", "juden", "ausländer",
 )
 _EDGES = ".,;:!?\"'()[]{}<>*%$&#|-_«»¿¡"
+_BETWEEN = re.compile(f"[{re.escape(_EDGES)}]+")
 
 
 def bare(word: str) -> str:
     return word.strip(_EDGES).lower()
 
 
+def distinct_words(words: list[str]) -> set[str]:
+    """The bare words; one of over WORD characters as its parts between punctuation, and these in pieces, so all of it counts."""
+    cores = {bare(w) for w in set(words)}
+    long = {w for w in cores if len(w) > WORD}
+    return cores - long | {p for w in long for p in pieces(_BETWEEN.split(w), WORD, GRAMS[-1] - 1)}
+
+
 def word_features(word: str) -> list[int]:
     """Buckets of the lower-cased word, its beginnings and its character n-grams; none for bare punctuation."""
-    core = bare(word)[:64]
+    core = bare(word)
     if not core:
         return []
     marked = f"<{core}>"
@@ -67,7 +77,7 @@ class Model:
 
     def score(self, text: str) -> float:
         """Probability of label 1; texts without words have the bias alone."""
-        margin = self.bias + sum(map(self.word_score.__getitem__, sorted({bare(w) for w in set(text.split())})))
+        margin = self.bias + sum(map(self.word_score.__getitem__, sorted(distinct_words(text.split()))))
         return float(1 / (1 + np.exp(-np.clip(margin, -50, 50))))
 
 
@@ -94,7 +104,7 @@ def telling_features(sample: list[tuple[str, int]]) -> np.ndarray:
     """Buckets that occur in label 1's texts more than chance explains: a log-likelihood ratio of at least EVIDENCE."""
     memo, found, n = Memo(lambda w: np.array(word_features(w), np.int64), WORDS_HELD), np.zeros((2, BUCKETS)), np.zeros((2, 1))
     for text, label in sample:  # one text at a time: the driver holds counts, not features
-        found[int(label), np.unique(_features({bare(w) for w in text.split()}, memo))] += 1
+        found[int(label), np.unique(_features(distinct_words(text.split()), memo))] += 1
         n[int(label)] += 1
     df = found.sum(axis=0)
     expected = df * n / n.sum()
@@ -120,8 +130,8 @@ def train(sample: list[tuple[str, int]], penalty: float = PENALTY, epochs: int =
     for text, _ in sample:
         words = text.split()
         # a sentence without an identity term takes part with an inserted one and with another in its place
-        one, two = ({bare(w) for w in s} for s in swapped(words, rng))
-        parts.append((_features({bare(w) for w in words}, memo), _features(one - two, memo), _features(two - one, memo)))
+        one, two = (distinct_words(s) for s in swapped(words, rng))
+        parts.append((_features(distinct_words(words), memo), _features(one - two, memo), _features(two - one, memo)))
     columns = [[p[i] for p in parts] for i in range(3)]
     (rows, places), (row_a, place_a), (row_b, place_b) = ((np.repeat(np.arange(len(c)), [len(x) for x in c]), np.concatenate(c)) for c in columns)
     weights, size, n = np.zeros(len(chosen)), len(chosen), len(y)
