@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import scalars as S
-from .features import v2g
+from .features import ewm, v2g
 from .sessions import SESSION, UP_TO, per
 
 DETECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {}
@@ -153,18 +153,18 @@ def evidence_board(rows: DataFrame, posts: dict[str, Column], half_life_s: float
 
 def station_baselines(sessions: DataFrame, value: str, alpha: float = 0.25, default: float = 1.0, least: int = 3) -> DataFrame:
     """``sessions`` (station, connector, t_start, healthy, value) with expected: mean + 3 sigma + 0.25 |mean| of the
-    smoothed healthy sessions of the connector before this one, not under default / 2, and default until there are ``least``.
-
-    The decayed sums are taken over at most the last 200 healthy sessions, whose weights hold all but 1e-24 of the whole.
+    smoothed healthy sessions of the connector before this one, all of them, not under default / 2; default until there
+    are ``least`` sessions, healthy or not, and a healthy one among them. Null values are not learned.
     """
-    order = Window.partitionBy("station", "connector").orderBy("t_start")
-    past = F.collect_list(F.when(F.col("healthy"), F.col(value))).over(order.rowsBetween(-200, -1))
-    b = 1 - alpha
-    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("v"))
-    step = lambda a, x: F.struct((a.n + 1).alias("n"), F.when(a.n == 0, x).otherwise(b * a.m + alpha * x).alias("m"), F.when(a.n == 0, 0.0).otherwise(b * (a.v + alpha * (x - a.m) * (x - a.m))).alias("v"))
-    s = F.aggregate(past, start, step)
-    learned = F.greatest(s.m + 3 * F.sqrt(s.v) + 0.25 * F.abs(s.m), F.lit(default / 2))
-    return sessions.withColumn("expected", F.when(s.n >= least, learned).otherwise(default))
+    place = Window.partitionBy("station", "connector").orderBy("t_start", *[c for c in SESSION if c in sessions.columns])
+    rows = sessions.withColumn("t", F.col("t_start")).withColumn("seq", F.row_number().over(place))
+    rows = ewm(rows.withColumn("_healthy", F.when(F.col("healthy"), F.col(value))), "_healthy", "_b", "station", "connector", alpha=alpha)
+    before = Window.partitionBy("station", "connector").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    state = F.last(F.when(F.col("_b_mean").isNotNull(), F.struct(F.col("_b_mean").alias("m"), F.col("_b_var").alias("v"))), True).over(before)
+    rows = rows.withColumn("_s", state)
+    learned = F.greatest(F.col("_s.m") + 3 * F.sqrt("_s.v") + 0.25 * F.abs("_s.m"), F.lit(default / 2))
+    known = (F.col("seq") > least) & F.col("_s").isNotNull()
+    return rows.withColumn("expected", F.when(known, learned).otherwise(default)).select(*sessions.columns, "expected")
 
 
 register_detector("Spec", spec_rules)
