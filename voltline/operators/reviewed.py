@@ -40,7 +40,7 @@ def timer_faults(rows: DataFrame, facts: DataFrame) -> DataFrame:
     v = v.withColumn("_ends", count_so_far(own & (F.col("evse_processing") == "Finished"), *SESSION, "_base"))
     # the row that says Finished still belongs to the wait that it ends
     v = v.withColumn("_wait", F.col("_ends") - F.when(own & (F.col("evse_processing") == "Finished"), 1).otherwise(0))
-    v = v.withColumn("_o", F.min(F.when(own & (F.col("evse_processing") == "Ongoing"), F.col("t"))).over(per(*SESSION, "_base", "_wait").rowsBetween(*UP_TO))).persist()
+    v = v.withColumn("_o", F.min(F.when(own & (F.col("evse_processing") == "Ongoing"), F.col("t"))).over(per(*SESSION, "_base", "_wait").rowsBetween(*UP_TO)))
     lat = F.col("t") - F.col("_sent")
     late = _candidate(v.where(res & (F.col("_sent") >= 0) & (lat >= F.col("_margin"))), F.col("_sent") + F.col("_limit"), "COMM_FREEZE", F.format_string("%sReq unanswered for %.2fs", F.col("_base"), lat), F.col("_sent"), F.col("t"))
     gap = F.col("t") - F.col("_since")
@@ -114,22 +114,19 @@ def unpaired(rows: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return faults, rest.select(*SESSION, F.when(F.col("own"), "capture ended before 20s setup budget").otherwise("shared-PLC SLAC could not be attributed").alias("reason"))
 
 
-def label(rows: DataFrame, facts: DataFrame) -> DataFrame:
+def label(rows: DataFrame) -> DataFrame:
     """Labels with censored, censor_reason and quality_flags."""
-    real = G.is_session(facts).persist()
-    rows = rows.join(real.select(*SESSION), list(SESSION), "left_semi").persist()
-    flags = G.decode_quality(rows).persist()
+    real = G.is_session(G.session_evidence(rows))
+    rows = rows.join(real.select(*SESSION), list(SESSION), "left_semi")
+    flags = G.decode_quality(rows)
     reserved = rows.where(v2g() & ~S.is_failed(F.col("resp_code")) & F.upper("ev_err").isin("RESERVED_A", "RESERVED_B", "RESERVED_C")).select(*SESSION, F.concat(F.lit("RESERVED_EV_ERROR:"), "ev_err").alias("flag"))
-    rematch = G.rematch_aborts(rows, real).persist()
-    rest = real.join(rematch.select(*SESSION), list(SESSION), "left_anti").persist()
-    resets = G.reset_aborts(rows, rest).persist()
-    quiet = rest.where("n_v2g > 0 AND NOT graceful_close").join(resets.select(*SESSION), list(SESSION), "left_anti").persist()
-    reopened = G.abort_evidence(rows, quiet).where(F.col("detail").contains("dialog reopened")).select(*SESSION, "t", F.lit("SESSION_ABORT").alias("family"), "detail")
+    reopened = G.quiet(real).where("reopened IS NOT NULL").select(*SESSION, "reopened.t", F.lit("SESSION_ABORT").alias("family"), "reopened.detail")
     pairing, unknown = unpaired(rows, real)
-    parts = [marker_faults(rows, real), timer_faults(rows, real), cable_faults(rows, real), precharge_faults(rows, real, flags), pairing, rematch, resets, reopened, G.no_power(real)]
+    parts = [marker_faults(rows, real), timer_faults(rows, real), cable_faults(rows, real), precharge_faults(rows, real, flags), pairing, G.rematch_aborts(real), G.reset_aborts(real), reopened, G.no_power(real)]
     out = G.assembled(real, G.first_faults(_join(parts)), "reviewed").join(unknown, list(SESSION), "left")
     clean = F.size("faults") == 0
     ended = F.when(F.col("charge_complete") | F.col("stop_asked"), "normal stop evidence present but SessionStopRes was not observable").otherwise("non-graceful end without positive fault evidence")
     reason = F.when(clean & F.col("reason").isNotNull(), F.col("reason")).when(clean & ~F.col("graceful_close"), ended).otherwise("")
     all_flags = flags.unionByName(reserved).groupBy(*SESSION).agg(F.array_sort(F.collect_set("flag")).alias("quality_flags"))
-    return out.drop("reason").withColumn("censor_reason", reason).withColumn("censored", F.col("censor_reason") != "").join(all_flags, list(SESSION), "left").withColumn("quality_flags", F.coalesce("quality_flags", F.expr("cast(array() as array<string>)")))
+    out = out.withColumn("censor_reason", reason).withColumn("censored", F.col("censor_reason") != "").drop("reason")
+    return out.join(all_flags, list(SESSION), "left").withColumn("quality_flags", F.coalesce("quality_flags", F.expr("cast(array() as array<string>)")))

@@ -39,24 +39,24 @@ def sessionize(events: DataFrame, gap_s: float = GAP_S, join_next_s: float = JOI
     session, whose buffer keeps the newest and takes those at most ``join_next_s`` before it. The others
     belong to no session and go.
     """
-    act = S.is_activity(F.col("kind"), F.col("msg"))
-    rows = events.withColumn("_act", act).withColumn("_last", last_before(F.when(F.col("_act"), F.col("t")), *CONNECTOR))
-    gap = F.col("_act") & (F.col("_last").isNull() | (F.col("t") - F.col("_last") > gap_s))
-    rows = rows.withColumn("_gap", gap).withColumn("_run", count_so_far(F.col("_gap"), *CONNECTOR))
-    marker = F.when((F.col("kind") == "v2g") & F.col("msg").isin("SessionStopReq", "SessionStopRes"), "S").when(S.is_opener(F.col("kind"), F.col("msg")), "O")
-    split = S.is_opener(F.col("kind"), F.col("msg")) & (last_before(marker, *CONNECTOR, "_run") == "S")
-    rows = rows.withColumn("_new", F.col("_gap") | F.coalesce(split, F.lit(False))).withColumn("_sid", count_so_far(F.col("_new"), *CONNECTOR) - 1)
-    ahead = per(*CONNECTOR).rowsBetween(1, Window.unboundedFollowing)
-    rows = rows.withColumn("_next", F.first(F.when(F.col("_act"), F.col("t")), True).over(ahead))
-    stays = F.col("_act") | (F.col("t") - F.col("_last") <= gap_s)
-    rows = rows.withColumn("_stays", F.coalesce(stays, F.lit(False)))
-    waiting = Window.partitionBy(*CONNECTOR, "_stays", "_sid")  # between two activity rows nothing but quiet rows stand
-    back = F.row_number().over(waiting.orderBy(F.desc("t"), F.desc("seq")))
-    n = F.count("*").over(waiting)
+    back = Window.partitionBy(*CONNECTOR).orderBy(F.desc("t"), F.desc("seq"))  # a running frame backwards: one that looks ahead would be summed anew for every row
+    opener = S.is_opener(F.col("kind"), F.col("msg"))
+    rows = events.withColumn("_act", S.is_activity(F.col("kind"), F.col("msg"))).withColumn("_last", last_before(F.when(F.col("_act"), F.col("t")), *CONNECTOR))
+    rows = rows.withColumn("_gap", F.col("_act") & (F.col("_last").isNull() | (F.col("t") - F.col("_last") > gap_s)))
+    # what a row leaves behind for the rows after it: its own marker, or none where a gap begins a new run
+    left = F.when((F.col("kind") == "v2g") & F.col("msg").isin("SessionStopReq", "SessionStopRes"), "S").when(opener, "O").when(F.col("_gap"), "")
+    split = opener & ~F.col("_gap") & (last_before(left, *CONNECTOR) == "S")
+    rows = rows.withColumn("_new", F.col("_gap") | F.coalesce(split, F.lit(False)))
+    rows = rows.withColumn("_stays", F.coalesce(F.col("_act") | (F.col("t") - F.col("_last") <= gap_s), F.lit(False)))
+    # quiet rows that wait are counted from the activity before them and from the one after
+    rows = rows.withColumn("_sid", count_so_far(F.col("_new"), *CONNECTOR) - 1).withColumn("_w", count_so_far(~F.col("_stays"), *CONNECTOR))
+    rows = rows.withColumn("_w0", F.coalesce(last_before(F.when(F.col("_act"), F.col("_w")), *CONNECTOR), F.lit(0)))
+    rows = rows.withColumn("_next", F.last(F.when(F.col("_act"), F.struct("t", "_w")), True).over(back.rowsBetween(*BEFORE)))
+    n = F.col("_next._w") - F.col("_w0")
     held = F.when(n <= 200, n).otherwise(100 + (n - 201) % 101)
-    joins = ~F.col("_stays") & (back <= held) & (F.col("_next") - F.col("t") <= join_next_s)
+    joins = ~F.col("_stays") & (F.col("_next._w") - F.col("_w") < held) & (F.col("_next.t") - F.col("t") <= join_next_s)
     rows = rows.withColumn("sid", F.when(F.col("_stays"), F.col("_sid")).when(joins, F.col("_sid") + 1).cast("int"))
-    return rows.where("sid IS NOT NULL").drop("_act", "_last", "_gap", "_run", "_new", "_sid", "_next", "_stays")
+    return rows.where("sid IS NOT NULL").drop("_act", "_last", "_gap", "_new", "_sid", "_next", "_stays", "_w", "_w0")
 
 
 def session_key(station="station", connector="connector", sid="sid"):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,13 +19,7 @@ K3 = O.K3
 NAMES = ("Spec", "Conformance")
 
 
-# The frames below are lazy and persisted; one frame for a session and folder lets queries of one run share what is kept.
-
-
-@cache
-def sessions(s, d) -> DataFrame:
-    """Sessionized rows, kept on disk and in memory: the label rules read them a dozen times."""
-    return Q.sessions(s, d).persist()
+sessions = Q.sessions
 
 
 def tracked(s, d) -> DataFrame:
@@ -38,16 +30,17 @@ def conformance(s, d) -> DataFrame:
     return X.conformance(sessions(s, d))
 
 
-@cache
 def everything(s, d) -> DataFrame:
-    return X.conformance(tracked(s, d)).persist()
+    return X.conformance(tracked(s, d))
+
+
+def evidence(s, d) -> DataFrame:
+    return G.is_session(G.session_evidence(sessions(s, d)))
 
 
 def faults(s, d, part) -> DataFrame:
     """First candidate of a part of the rules per session and family."""
-    rows = sessions(s, d)
-    facts = G.is_session(G.session_facts(rows))
-    return G.first_faults(part(rows, facts)).select(*Z.SESSION, "family", *micros("t"))
+    return part(evidence(s, d)).select(*Z.SESSION, "family", *micros("t"))
 
 
 def fault_sql(name: str, ctes: str) -> str:
@@ -150,12 +143,12 @@ def g5(s, d):
 
 @query("g6_slac_failure", fault_sql("slacf", O.SLACF))
 def g6(s, d):
-    return faults(s, d, lambda rows, facts: G.slac_failures(facts))
+    return faults(s, d, G.slac_failures)
 
 
 @query("g7_slow_pairing", fault_sql("slow", O.SLACF))
 def g7(s, d):
-    return faults(s, d, lambda rows, facts: G.slow_pairing(facts))
+    return faults(s, d, G.slow_pairing)
 
 
 @query("g8_rematch", fault_sql("remat", O.REMATCH))
@@ -165,28 +158,22 @@ def g8(s, d):
 
 @query("g9_tcp_reset", fault_sql("reset", f"{O.REMATCH}, {O.RESET}"))
 def g9(s, d):
-    return faults(s, d, lambda rows, facts: G.reset_aborts(rows, facts.join(G.rematch_aborts(rows, facts).select(*Z.SESSION), list(Z.SESSION), "left_anti")))
-
-
-def _quiet(rows, facts):
-    facts = facts.persist()
-    rest = facts.join(G.rematch_aborts(rows, facts).select(*Z.SESSION), list(Z.SESSION), "left_anti").persist()
-    return rest.where("n_v2g > 0 AND NOT graceful_close").join(G.reset_aborts(rows, rest).select(*Z.SESSION), list(Z.SESSION), "left_anti").persist()
+    return faults(s, d, G.reset_aborts)
 
 
 @query("g10_abort_evidence", fault_sql("evid", f"{O.REMATCH}, {O.RESET}, {O.EVID}"))
 def g10(s, d):
-    return faults(s, d, lambda rows, facts: G.abort_evidence(rows, _quiet(rows, facts)).withColumn("family", F.lit("SESSION_ABORT")))
+    return faults(s, d, G.abort_evidence)
 
 
 @query("g11_legacy_abort", fault_sql("legacy", f"{O.REMATCH}, {O.RESET}, legacy AS (SELECT {K3}, t_end AS t, 'SESSION_ABORT' AS family FROM rest WHERE ({K3}) NOT IN (SELECT ({K3}) FROM reset))"))
 def g11(s, d):
-    return faults(s, d, lambda rows, facts: _quiet(rows, facts).select(*Z.SESSION, F.col("t_end").alias("t"), F.lit("SESSION_ABORT").alias("family"), F.lit("stream death, no SessionStop").alias("detail")))
+    return faults(s, d, G.legacy_aborts)
 
 
 @query("g12_no_power", fault_sql("nopower", O.NOPOWER))
 def g12(s, d):
-    return faults(s, d, lambda rows, facts: G.no_power(facts))
+    return faults(s, d, G.no_power)
 
 
 @query("g13_alive_after", f"WITH {O.SES} SELECT {K3}, seq, (SELECT count(*) FROM ses o WHERE {O.SAME} AND o.t > s.t AND o.t <= s.t + 10) AS alive_rows FROM ses s WHERE msg LIKE '%Req'")
@@ -198,8 +185,7 @@ def g13(s, d):
 
 @query("g18_first_faults", f"WITH {O.SES}, {O.LABELS} SELECT {K3}, family, CAST(round(t * 1e6) AS BIGINT) AS t_us FROM ff")
 def g18(s, d):
-    rows = sessions(s, d)
-    return G.first_faults(G.strict_faults(rows, G.session_facts(rows))).select(*Z.SESSION, "family", *micros("t"))
+    return G.strict_faults(evidence(s, d)).select(*Z.SESSION, "family", *micros("t"))
 
 
 @query("g20_labels", f"WITH {O.SES}, {O.LABELS} SELECT {K3}, n_events, graceful_close, reached_current_demand, {us('first_fault_t')}, first_fault_family, array_to_string(families, ',') AS families FROM lab")
@@ -238,19 +224,16 @@ def d4(s, d):
     return alerts(s, d).select(*Z.SESSION, "detector", *micros("t"), "fault_guess")
 
 
-@cache
 def _names(s):
     return s.createDataFrame([(n,) for n in NAMES], "detector string")
 
 
-@cache
 def labels(s, d) -> DataFrame:
-    return G.label_sessions(sessions(s, d)).persist()
+    return G.label_sessions(sessions(s, d))
 
 
-@cache
 def outcomes(s, d) -> DataFrame:
-    return R.outcomes(labels(s, d), alerts(s, d), _names(s)).persist()
+    return R.outcomes(labels(s, d), alerts(s, d), _names(s))
 
 
 _METRICS = """count(*) AS sessions, count(first_fault_t) AS n_faulty, count(*) - count(first_fault_t) AS n_clean, count(*) FILTER (outcome = 'tp') AS tp, count(*) FILTER (outcome = 'late') AS late, count(*) FILTER (outcome = 'miss') AS miss,
@@ -347,8 +330,7 @@ def r12(s, d):
 
 @query("r13_distribution", f"WITH {O.SES}, {O.LABELS} SELECT family, count(*) AS n, count(DISTINCT station) AS stations FROM ff GROUP BY ALL")
 def r13(s, d):
-    rows = sessions(s, d)
-    return G.first_faults(G.strict_faults(rows, G.session_facts(rows))).groupBy("family").agg(F.count("*").alias("n"), F.countDistinct("station").alias("stations"))
+    return G.strict_faults(evidence(s, d)).groupBy("family").agg(F.count("*").alias("n"), F.countDistinct("station").alias("stations"))
 
 
 @query("r14_fleet", f"WITH {O.SES}, {O.LABELS} SELECT station, count(*) AS n, count(first_fault_t) AS faulty, CAST(round(avg(CAST(reached_current_demand AS INT)) * 1e6) AS BIGINT) AS delivered_us, CAST(round(avg(CAST(graceful_close AS INT)) * 1e6) AS BIGINT) AS graceful_us, CAST(round(median((t_end - t_start) / 60) * 1e6) AS BIGINT) AS median_min_us FROM lab GROUP BY ALL")
@@ -410,8 +392,7 @@ def r26(s, d):
 
 @query("r31_fault_share", f"WITH {O.SES}, {O.LABELS}, g AS (SELECT family, count(*) AS n FROM ff GROUP BY 1) SELECT family, n, CAST(round(n / sum(n) OVER () * 1e6) AS BIGINT) AS share_us FROM g")
 def r31(s, d):
-    rows = sessions(s, d)
-    g = G.first_faults(G.strict_faults(rows, G.session_facts(rows))).groupBy("family").agg(F.count("*").alias("n"))
+    g = G.strict_faults(evidence(s, d)).groupBy("family").agg(F.count("*").alias("n"))
     return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy())).select("family", "n", *micros("share"))
 
 
