@@ -121,39 +121,63 @@ def collapse_runs(rows: DataFrame) -> DataFrame:
 ALPHA, BLOCK = 0.05, 500
 
 
-def ewm(rows: DataFrame, value: str, prefix: str, *keys: str, alpha: float = ALPHA) -> DataFrame:
-    """{prefix}_mean, {prefix}_var and {prefix}_z of the non-null readings of ``value``; z is taken before a
-    reading is absorbed, against a floor of 0.5 % of the mean.
+def _recurrence(df: DataFrame, name: str, u, b: float, *keys: str) -> DataFrame:
+    """``df`` with ``name``: y = b * y' + u over the readings of ``keys`` in order; needs the place ``_n``.
 
-    Both are linear recurrences y = b * y' + u, so y at place k is b^k times a running sum of u * b^-k. The
-    place counts from the start of a block of BLOCK readings, which keeps the powers in range; blocks hand
-    over their last value.
+    y at place k is b^k times a running sum of u * b^-k. Places count from the start of a block of BLOCK readings,
+    which keeps the powers in range; a block takes over the state at the end of the one before, and what that took
+    over itself, decayed by b^BLOCK. What lies two blocks back weighs b^(2 BLOCK), beyond a double's precision.
     """
-    b = 1 - alpha
+    k = (F.col("_n") % BLOCK).cast("double")
+    end = F.col("_n") % BLOCK == BLOCK - 1
+    before = lambda x: F.coalesce(last_before(F.when(end, x), *keys), F.lit(0.0))
+    within = F.sum(F.col("_u") * F.pow(F.lit(b), -k)).over(per(*keys, "_block").rowsBetween(*UP_TO)) * F.pow(F.lit(b), k)
+    df = df.withColumn("_u", u).withColumn("_block", F.floor(F.col("_n") / BLOCK)).withColumn("_w", within)
+    df = df.withColumn("_h", before(F.col("_w")))
+    df = df.withColumn("_h", before(F.col("_w") + F.pow(F.lit(b), F.lit(float(BLOCK))) * F.col("_h")))
+    return df.withColumn(name, F.col("_w") + F.col("_h") * F.pow(F.lit(b), k + 1.0)).drop("_u", "_w", "_h", "_block")
+
+
+def ewm_readings(read: DataFrame, value: str, prefix: str, *keys: str, alpha: float = ALPHA) -> DataFrame:
+    """``read``, whose ``value`` is never null, with {prefix}_mean, {prefix}_var and {prefix}_z; windows only, no join."""
+    b, x = 1 - alpha, F.col(value)
+    read = read.withColumn("_n", F.row_number().over(per(*keys)) - 1)
+    first = F.col("_n") == 0
+    read = _recurrence(read, f"{prefix}_mean", F.when(first, x).otherwise(alpha * x), b, *keys)
+    read = read.withColumn("_m0", F.lag(f"{prefix}_mean").over(per(*keys)))
+    read = _recurrence(read, f"{prefix}_var", F.when(first, 0.0).otherwise(b * alpha * F.pow(x - F.col("_m0"), 2)), b, *keys)
+    sigma = F.sqrt(F.lag(f"{prefix}_var").over(per(*keys)))
+    z = F.coalesce((x - F.col("_m0")) / F.greatest(sigma, 0.005 * F.abs("_m0") + 1e-6), F.lit(0.0))
+    return read.withColumn(f"{prefix}_z", z).drop("_n", "_m0")
+
+
+def ewm(rows: DataFrame, value: str, prefix: str, *keys: str, alpha: float = ALPHA) -> DataFrame:
+    """{prefix}_mean, {prefix}_var and {prefix}_z of the non-null readings of ``value``; z is taken before a
+    reading is absorbed, against a floor of 0.5 % of the mean."""
     keys = keys or SESSION
     read = rows.where(F.col(value).isNotNull()).select(*keys, "t", "seq", F.col(value).alias("_x"))
-    read = read.withColumn("_n", F.row_number().over(per(*keys)) - 1)
-    read = read.withColumn("_block", F.floor(F.col("_n") / BLOCK)).withColumn("_k", F.col("_n") % BLOCK)
-
-    def recur(df: DataFrame, u, name: str) -> DataFrame:
-        within = F.sum(F.col("_u") * F.pow(F.lit(b), -F.col("_k").cast("double"))).over(per(*keys, "_block").rowsBetween(*UP_TO)) * F.pow(F.lit(b), F.col("_k").cast("double"))
-        df = df.withColumn("_u", u).withColumn("_w", within)
-        # blocks are few: the state that each takes over is the sum of the earlier blocks' ends, each decayed by b^BLOCK a block
-        ends = df.groupBy(*keys, "_block").agg(F.max_by("_w", "_k").alias("_e"), F.max("_k").alias("_m"))
-        over = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-        scale = F.pow(F.lit(b), F.lit(float(BLOCK)))
-        ends = ends.withColumn("_h", F.aggregate(F.collect_list("_e").over(over), F.lit(0.0), lambda acc, e: acc * scale + e))
-        joined = df.join(ends.select(*keys, "_block", "_h"), [*keys, "_block"])
-        return joined.withColumn(name, F.col("_w") + F.col("_h") * F.pow(F.lit(b), F.col("_k") + 1.0)).drop("_u", "_w", "_h")
-
-    read = recur(read, F.when(F.col("_n") == 0, F.col("_x")).otherwise(alpha * F.col("_x")), "_mean")
-    read = read.withColumn("_m0", F.lag("_mean").over(per(*keys)))
-    read = recur(read, F.when(F.col("_n") == 0, 0.0).otherwise(b * alpha * F.pow(F.col("_x") - F.col("_m0"), 2)), "_var")
-    read = read.withColumn("_v0", F.lag("_var").over(per(*keys)))
-    floor = 0.005 * F.abs("_m0") + 1e-6
-    z = F.coalesce((F.col("_x") - F.col("_m0")) / F.greatest(F.sqrt("_v0"), floor), F.lit(0.0))
-    read = read.select(*keys, "seq", F.col("_mean").alias(f"{prefix}_mean"), F.col("_var").alias(f"{prefix}_var"), z.alias(f"{prefix}_z"))
-    return rows.join(read, [*keys, "seq"], "left")
+    read = ewm_readings(read, "_x", prefix, *keys, alpha=alpha)
+    return rows.join(read.select(*keys, "seq", *[f"{prefix}_{c}" for c in ("mean", "var", "z")]), [*keys, "seq"], "left")
+
+
+def smoothed(rows: DataFrame) -> DataFrame:
+    """latency_z, gap_z, v_ripple_z, i_ripple_z, 0 where there is no reading; needs the tracked features.
+
+    Latency is smoothed throughout, the dialog gap where delivery was on before the row, voltage and current during
+    delivery. The four series are stacked, so one pass smooths all of them.
+    """
+    delivery = F.col("phase") == "delivery"
+    was = F.coalesce(F.lag("phase").over(per(*SESSION)), F.lit("idle"))
+    rows = rows.withColumn("_was", was)
+    series = {
+        "latency": F.col("req_res_latency"), "gap": F.when(F.col("_was") == "delivery", F.col("dt_v2g")),
+        "v_ripple": F.when(delivery, F.col("evse_v")), "i_ripple": F.when(delivery, F.col("evse_i")),
+    }
+    stacked = F.explode(F.array_compact(F.array(*[F.when(x.isNotNull(), F.struct(F.lit(n).alias("n"), x.cast("double").alias("x"))) for n, x in series.items()])))
+    read = rows.select(*SESSION, "t", "seq", stacked.alias("r")).select(*SESSION, "t", "seq", F.col("r.n").alias("_series"), F.col("r.x").alias("_x"))
+    z = ewm_readings(read, "_x", "_s", *SESSION, "_series")
+    wide = z.groupBy(*SESSION, "seq").agg(*[F.max(F.when(F.col("_series") == n, F.col("_s_z"))).alias(f"{n}_z") for n in series])
+    return rows.drop("_was").join(wide, [*SESSION, "seq"], "left").fillna(0.0, [f"{n}_z" for n in series])
 
 
 def tracked(rows: DataFrame) -> DataFrame:
@@ -168,8 +192,19 @@ def phase_durations(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*SESSION, "phase").agg((F.max("t") - F.min("t")).alias("seconds"), F.count("*").alias("n_rows"), F.avg("req_res_latency").alias("mean_latency"))
 
 
+def session_observations(rows: DataFrame) -> DataFrame:
+    """One row per session: {phase}_s (from the last entry into a phase to the next phase), mean_latency, mean_ripple,
+    reached_delivery, graceful; needs tracked and smoothed features."""
+    before = F.coalesce(F.lag("phase").over(per(*SESSION)), F.lit("idle"))
+    turn = rows.withColumn("_before", before).withColumn("_turn", F.col("phase") != F.col("_before"))
+    turn = turn.withColumn("_entered", last_before(F.when(F.col("_turn"), F.col("t")), *SESSION))
+    spans = [F.max_by(F.when(F.col("_turn") & (F.col("_before") == p), F.col("t") - F.col("_entered")), F.when(F.col("_turn") & (F.col("_before") == p), F.struct("t", "seq"))).alias(f"{p}_s") for p in K.PHASES[1:]]
+    ripple = F.when((F.col("phase") == "delivery") & (F.abs("v_ripple_z") > 0), F.abs("v_ripple_z"))
+    return turn.groupBy(*SESSION).agg(*spans, F.avg("req_res_latency").alias("mean_latency"), F.avg(ripple).alias("mean_ripple"), F.bool_or(F.col("phase") == "delivery").alias("reached_delivery"), F.bool_or(v2g() & (F.col("msg") == "SessionStopRes")).alias("graceful"))
+
+
 def feature_vector(rows: DataFrame) -> DataFrame:
-    """The scaled and clipped numbers that models read, as ``vector``; smoothed scores count as 0 where absent."""
+    """The 33 scaled and clipped numbers that models read, in a fixed order, as ``vector``; needs tracked and smoothed features (a missing column counts as 0)."""
     have = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("double")
     nz = lambda c, d=0.0: F.coalesce(have(c).cast("double"), F.lit(d))
     upto = lambda x, top: F.least(x, F.lit(top))
@@ -207,42 +242,59 @@ DIALOG = (*SESSION, "dialog")
 
 
 def message_timers(rows: DataFrame) -> DataFrame:
-    """msg_timeout_ratio: the worst of this response's and all outstanding requests' times over their limits; msg_perf_ratio; needs ``dialog``."""
-    worst = []
-    for req, limit in K.MSG_TIMEOUT_S.items():
-        res = req[:-3] + "Res"
-        state = F.when(v2g() & (F.col("msg") == req), F.col("t")).when(v2g() & (F.col("msg") == res), F.lit(-1.0))
-        sent = last_so_far(state, *DIALOG)
-        worst.append(F.when(sent >= 0, (F.col("t") - sent) / limit).otherwise(0.0))
-    limits = K.lookup({k[:-3]: v for k, v in K.MSG_TIMEOUT_S.items()}, S.msg_base(F.col("msg")))
+    """msg_timeout_ratio: the worst of this response's and all outstanding requests' times over their limits;
+    msg_timeout_max (so far), msg_perf_ratio, n_msg_breach (each request counts once), last_timeout_msg (the request
+    that is past its limit at this row, "" if none); needs ``dialog``."""
     suffix = S.msg_suffix(F.col("msg"))
     rows = rows.withColumn("_base", F.when(v2g() & (suffix != ""), S.msg_base(F.col("msg"))).otherwise(""))
     state = F.when(v2g() & (suffix == "Req"), F.col("t")).when(v2g() & (suffix == "Res"), F.lit(-1.0))
-    sent = F.last(state, True).over(per(*DIALOG, "_base").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_lat", F.when(v2g() & (suffix == "Res") & (sent >= 0), F.col("t") - sent))
-    rows = rows.withColumn("msg_timeout_ratio", F.greatest(F.coalesce(F.col("_lat") / limits, F.lit(0.0)), *worst))
-    rows = rows.withColumn("msg_perf_ratio", F.coalesce(F.col("_lat") / K.lookup(K.RES_PERFORMANCE_S, F.col("msg")), F.lit(0.0)))
-    return rows.withColumn("msg_timeout_max", max_so_far(F.col("msg_timeout_ratio"), *SESSION)).drop("_base", "_lat")
+    sent = {req: last_so_far(F.when(F.col("_base") == req[:-3], state), *DIALOG) for req in K.MSG_TIMEOUT_S}
+    rows = rows.withColumns({"_sent": F.array(*sent.values()), "_pt": F.lag("t").over(per(*DIALOG))})
+    asked = F.last(state, True).over(per(*DIALOG, "_base").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_asked", F.when(v2g() & (suffix == "Res"), asked))
+    rows = rows.withColumn("_lat", F.when(F.col("_asked") >= 0, F.col("t") - F.col("_asked"))).withColumn("_limit", K.lookup({k[:-3]: v for k, v in K.MSG_TIMEOUT_S.items()}, F.col("_base")))
+    # a request is counted at the first row past its limit: the row before, still within the wait, was not
+    late, breaches = [], F.when((F.col("_lat") >= F.col("_limit")) & (F.col("_pt") - F.col("_asked") < F.col("_limit")), 1).otherwise(0)
+    for i, (req, limit) in enumerate(K.MSG_TIMEOUT_S.items()):
+        at = F.col("_sent")[i]
+        late.append(F.when(at >= 0, F.struct(((F.col("t") - at) / limit).alias("ratio"), F.lit(req).alias("req"))))
+        breaches = breaches + F.when((at >= 0) & (F.col("t") - at >= limit) & (F.col("_pt") - at < limit), 1).otherwise(0)
+    answered = F.when(F.col("_lat").isNotNull() & F.col("_limit").isNotNull(), F.struct((F.col("_lat") / F.col("_limit")).alias("ratio"), F.concat("_base", F.lit("Req")).alias("req")))
+    rows = rows.withColumns({"_worst": F.greatest(*late, answered), "_b": breaches})
+    ratio = F.coalesce(F.col("_worst.ratio"), F.lit(0.0))
+    rows = rows.withColumns({
+        "msg_timeout_ratio": ratio, "last_timeout_msg": F.when(ratio >= 1, F.col("_worst.req")).otherwise(""),
+        "msg_perf_ratio": F.coalesce(F.col("_lat") / K.lookup(K.RES_PERFORMANCE_S, F.col("msg")), F.lit(0.0)),
+    })
+    over = per(*SESSION).rowsBetween(*UP_TO)
+    return rows.withColumns({"msg_timeout_max": F.max("msg_timeout_ratio").over(over), "n_msg_breach": F.sum("_b").over(over)}).drop("_base", "_lat", "_sent", "_pt", "_asked", "_limit", "_worst", "_b")
 
 
 def sequence_timer(rows: DataFrame) -> DataFrame:
-    """seq_gap_s since the last response that still owes a request (0 if none); needs ``dialog``."""
+    """seq_gap_s since the last response that still owes a request (0 if none), seq_gap_ratio (of 40 s),
+    seq_timeout_ratio (of 60 s), n_seq_breach (requests that came after 40 s or more); needs ``dialog``."""
     req, res = F.col("msg").endswith("Req"), F.col("msg").endswith("Res")
     ends = (F.col("msg") == "SessionStopRes") | S.is_failed(F.col("resp_code"))
     state = F.when(v2g() & req, F.lit(-1.0)).when(v2g() & res & ends, F.lit(-1.0)).when(v2g() & res, F.col("t"))
-    last = last_so_far(state, *DIALOG)
-    return rows.withColumn("seq_gap_s", F.when(last >= 0, F.col("t") - last).otherwise(0.0))
+    rows = rows.withColumns({"_owed": last_so_far(state, *DIALOG), "_due": last_before(state, *DIALOG)})
+    gap = F.when(F.col("_owed") >= 0, F.col("t") - F.col("_owed")).otherwise(0.0)
+    late = v2g() & req & (F.col("_due") >= 0) & (F.col("t") - F.col("_due") >= K.SEQ_PERFORMANCE_S)
+    rows = rows.withColumns({"seq_gap_s": gap, "n_seq_breach": count_so_far(late, *SESSION)}).drop("_owed", "_due")
+    return rows.withColumns({"seq_gap_ratio": F.col("seq_gap_s") / K.SEQ_PERFORMANCE_S, "seq_timeout_ratio": F.col("seq_gap_s") / K.SEQ_TIMEOUT_S})
 
 
 def ongoing_timer(rows: DataFrame) -> DataFrame:
-    """ongoing_s since processing was first Ongoing (0 if not); needs ``dialog``."""
+    """ongoing_s since processing was first Ongoing (0 if not), ongoing_ratio (of 60 s), ongoing_breach (from 55 s); needs ``dialog``."""
     res = v2g() & F.col("msg").endswith("Res")
     reset = (v2g() & (F.col("evse_processing") == "Finished")) | (res & ((F.col("msg") == "SessionStopRes") | S.is_failed(F.col("resp_code"))) & (F.col("evse_processing") != "Ongoing"))
     # a response that ends the dialog and is itself Ongoing resets first and starts anew
     restart = res & ((F.col("msg") == "SessionStopRes") | S.is_failed(F.col("resp_code"))) & (F.col("evse_processing") == "Ongoing")
     rows = rows.withColumn("_r", count_so_far(reset | restart, *DIALOG))
-    start = min_so_far(F.when(v2g() & (F.col("evse_processing") == "Ongoing"), F.col("t")), *DIALOG, "_r")
-    return rows.withColumn("ongoing_s", F.coalesce(F.col("t") - start, F.lit(0.0))).drop("_r")
+    # of the greatest reset so far, the least time: valid while no reset came after it
+    start = F.max(F.when(v2g() & (F.col("evse_processing") == "Ongoing"), F.struct("_r", (-F.col("t")).alias("m")))).over(per(*DIALOG).rowsBetween(*UP_TO))
+    rows = rows.withColumn("_o", start)
+    rows = rows.withColumn("ongoing_s", F.when(F.col("_o._r") == F.col("_r"), F.col("t") + F.col("_o.m")).otherwise(0.0)).drop("_r", "_o")
+    return rows.withColumns({"ongoing_ratio": F.col("ongoing_s") / K.ONGOING_TIMEOUT_S, "ongoing_breach": F.col("ongoing_s") >= K.ONGOING_PERFORMANCE_S})
 
 
 def setup_timer(rows: DataFrame) -> DataFrame:
@@ -254,7 +306,9 @@ def setup_timer(rows: DataFrame) -> DataFrame:
 
 
 def cable_and_precharge(rows: DataFrame) -> DataFrame:
-    """cablecheck_s (stops at its end), cablecheck_open, precharge_s (0 once power is asked for); needs ``dialog``."""
+    """cablecheck_s (stops at its end), cablecheck_open, precharge_s (0 once power is asked for), their ratios of 40 and
+    7 s, cablecheck_breach, precharge_breach, and precharge_v_gap_ratio: the gap to the target in bands of 20 V or 5 %,
+    from half the timer on; needs ``dialog``."""
     cable = min_so_far(F.when(v2g() & (F.col("msg") == "CableCheckReq"), F.col("t")), *DIALOG)
     rows = rows.withColumn("_c0", cable)
     ok = v2g() & (F.col("msg") == "CableCheckRes") & (S.rc_severity(F.col("resp_code")) == 0) & (F.col("evse_processing") == "Finished")
@@ -262,12 +316,19 @@ def cable_and_precharge(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("_c1", min_so_far(F.when(ended, F.col("t")), *DIALOG))
     pre = min_so_far(F.when(v2g() & (F.col("msg") == "PreChargeReq"), F.col("t")), *DIALOG)
     power = max_so_far(F.when(v2g() & (F.col("msg") == "PowerDeliveryReq"), 1).otherwise(0), *DIALOG)
-    return (
-        rows.withColumn("cablecheck_s", F.coalesce(F.coalesce(F.col("_c1"), F.col("t")) - F.col("_c0"), F.lit(0.0)))
-        .withColumn("cablecheck_open", F.col("_c0").isNotNull() & F.col("_c1").isNull())
-        .withColumn("precharge_s", F.when(power == 1, 0.0).otherwise(F.coalesce(F.col("t") - pre, F.lit(0.0))))
-        .drop("_c0", "_c1")
-    )
+    target = last_so_far(F.when(v2g(), F.col("ev_target_v")), *SESSION)
+    rows = rows.withColumns({
+        "cablecheck_s": F.coalesce(F.coalesce(F.col("_c1"), F.col("t")) - F.col("_c0"), F.lit(0.0)),
+        "cablecheck_open": F.col("_c0").isNotNull() & F.col("_c1").isNull(),
+        "precharge_s": F.when(power == 1, 0.0).otherwise(F.coalesce(F.col("t") - pre, F.lit(0.0))),
+        "_target": target,
+    })
+    rows = rows.withColumns({"cablecheck_ratio": F.col("cablecheck_s") / K.CABLECHECK_TIMEOUT_S, "precharge_ratio": F.col("precharge_s") / K.PRECHARGE_TIMEOUT_S})
+    far = (F.col("precharge_ratio") >= 0.5) & F.col("evse_v").isNotNull() & (F.col("_target") != 0)
+    return rows.withColumns({
+        "cablecheck_breach": F.col("cablecheck_open") & (F.col("cablecheck_ratio") >= 1), "precharge_breach": F.col("precharge_ratio") >= 1,
+        "precharge_v_gap_ratio": F.when(far, F.abs(F.col("_target") - F.col("evse_v")) / F.greatest(F.lit(20.0), 0.05 * F.col("_target"))).otherwise(0.0),
+    }).drop("_c0", "_c1", "_target")
 
 
 def sequence_legality(rows: DataFrame) -> DataFrame:
@@ -303,6 +364,27 @@ def conformance(rows: DataFrame) -> DataFrame:
     return rows
 
 
+def conformance_vector(rows: DataFrame) -> DataFrame:
+    """The 27 clipped numbers of the conformance features, in a fixed order, as ``conformance_vector``."""
+    top = lambda c, by=1.0, most=8.0: F.greatest(F.least(F.col(c) / by, F.lit(most)), F.lit(0.0))
+    over = lambda c: F.greatest(F.least(F.col(c), F.lit(4.0)), F.lit(-1.0))
+    flag = lambda c: F.when(F.col(c), 1.0).otherwise(0.0)
+    parts = [
+        top("msg_timeout_ratio"), top("msg_timeout_max"), top("msg_perf_ratio"), top("n_msg_breach", 5.0), top("seq_gap_ratio"), top("seq_timeout_ratio"), top("n_seq_breach", 3.0),
+        top("ongoing_ratio"), flag("ongoing_breach"), F.greatest(F.least(F.col("comm_setup_s") / K.COMM_SETUP_TIMEOUT_S, F.lit(8.0)), F.lit(0.0)),
+        top("cablecheck_ratio"), flag("cablecheck_breach"), top("precharge_ratio"), flag("precharge_breach"), flag("seq_illegal"), top("n_seq_illegal", 3.0),
+        F.greatest(F.col("stage_max"), F.lit(0)) / float(len(K.DC_STAGES) - 1), flag("stage_regress"), F.col("rc_sev"), F.col("evse_sev"), F.col("isolation_sev"), F.col("notification_sev"), F.col("ev_err_sev"),
+        over("v_over_max"), over("i_over_max"), top("precharge_v_gap_ratio"), F.least(F.greatest(F.col("dialog") - 1, F.lit(0)).cast("double"), F.lit(4.0)),
+    ]
+    return rows.withColumn("conformance_vector", F.array(*[p.cast("double") for p in parts]))
+
+
+def narrow(rows: DataFrame, n: int, column: str = "vector") -> DataFrame:
+    """``rows`` whose vectors keep their first ``n`` numbers; a shorter vector is an error."""
+    short = F.assert_true(F.size(column) >= n, F.lit(f"a vector has fewer than {n} numbers"))
+    return rows.withColumn(column, F.when(short.isNull(), F.slice(column, 1, n)))
+
+
 # ---------------------------------------------------------------- matching
 
 

@@ -112,10 +112,10 @@ def marked(rows: DataFrame) -> DataFrame:
     req, res = F.col("_x") == "Req", F.col("_x") == "Res"
     before = lambda value: last_before(value, *SESSION)
     last_res = F.coalesce(before(F.when(res, F.col("msg"))), F.lit(""))
-    v = v.withColumn("_before", before(_at(v2g()))).withColumn("_since", before(F.when(req, F.lit(-1.0)).when(res, F.col("t")))).withColumn("_q", before(F.col("_base")))
+    v = v.withColumns({"_before": before(_at(v2g())), "_since": before(F.when(req, F.lit(-1.0)).when(res, F.col("t"))), "_q": before(F.col("_base"))})
     v = v.withColumn("_opens", v2g() & ((F.col("msg") == "supportedAppProtocolReq") | ((F.col("msg") == "SessionSetupReq") & (last_res != "supportedAppProtocolRes"))))
     turn = (F.col("_base") != F.col("_q")) | ((F.col("evse_processing") == "Finished") & res)
-    v = v.withColumn("_n", count_so_far(F.col("_opens"), *SESSION)).withColumn("_g", count_so_far(turn, *SESSION))
+    v = v.withColumns({"_n": count_so_far(F.col("_opens"), *SESSION), "_g": count_so_far(turn, *SESSION)})
     # the first Ongoing of the present phase: of the greatest phase so far, the least time
     ongoing = res & (F.col("evse_processing") == "Ongoing")
     v = v.withColumn("_o", F.max(F.when(ongoing, F.struct("_g", (-F.col("t")).alias("m")))).over(per(*SESSION).rowsBetween(*UP_TO)))
@@ -123,16 +123,17 @@ def marked(rows: DataFrame) -> DataFrame:
     # rows at the same instant are neither before nor after; frames run forward or backward from the session's edge, never both ways
     over = lambda what, order, edge: F.expr(f"{what} OVER (PARTITION BY {', '.join(SESSION)} ORDER BY t {order} RANGE BETWEEN UNBOUNDED PRECEDING AND {edge})")
     apart, v2g_t = "0.000001D PRECEDING", "CASE WHEN kind = 'v2g' THEN t END"
-    v = v.withColumn("_prv", over(f"max({v2g_t})", "ASC", apart)).withColumn("_nxt", over(f"min({v2g_t})", "DESC", apart))
-    v = v.withColumn("_cnf", over("min(CASE WHEN kind = 'hpav' AND contains(msg, 'SLAC_PARM.CNF') THEN t END)", "DESC", "CURRENT ROW"))
-    v = v.withColumn("_again", F.coalesce(over("bool_or(kind = 'v2g' AND msg = 'supportedAppProtocolReq')", "DESC", apart), F.lit(False)))
+    v = v.withColumn("_prv", over(f"max({v2g_t})", "ASC", apart)).withColumns({
+        "_nxt": over(f"min({v2g_t})", "DESC", apart),
+        "_cnf": over("min(CASE WHEN kind = 'hpav' AND contains(msg, 'SLAC_PARM.CNF') THEN t END)", "DESC", "CURRENT ROW"),
+        "_again": F.coalesce(over("bool_or(kind = 'v2g' AND msg = 'supportedAppProtocolReq')", "DESC", apart), F.lit(False)),
+    })
     bounds = {
         "_t_end": F.max("t"), "_first_v2g": F.min(_at(v2g())), "_first_cd": F.min(_at(cd())), "_last_cd": F.max(_at(cd())), "_cable_req": F.min(_at(_is_msg("CableCheckReq"))),
         "_stop_res": F.max(_at(_is_msg("SessionStopRes") & ~S.is_failed(F.col("resp_code")))), "_last_opener": F.max(_at(_is_msg(*K.OPENERS))),
         "_streams": F.collect_set(F.when(v2g() & (F.col("tcp_stream") != ""), F.col("tcp_stream"))),
     }
-    for name, value in bounds.items():
-        v = v.withColumn(name, value.over(WHOLE))
+    v = v.withColumns({name: value.over(WHOLE) for name, value in bounds.items()})
     return v.withColumn("_graceful", F.col("_stop_res").isNotNull() & (F.col("_last_opener").isNull() | (F.col("_stop_res") >= F.col("_last_opener"))))
 
 
@@ -148,8 +149,7 @@ def session_evidence(rows: DataFrame) -> DataFrame:
     # what still waits at the session's end: by message, the last request past its limit; the last response; Ongoing
     ends = {b: F.max(F.when(F.col("_base") == b, F.struct("t", "seq", "_x"))).over(WHOLE) for b in LIMITS}
     ends |= {"": F.max(F.when(F.col("_x") != "", F.struct("t", "seq", "_x"))).over(WHOLE), "o": F.max(F.when(v2g(), F.struct("t", "seq", "_o"))).over(WHOLE)}
-    for i, end in enumerate(ends.values()):
-        v = v.withColumn(f"_e{i}", end)
+    v = v.withColumns({f"_e{i}": end for i, end in enumerate(ends.values())})
     waits: list[tuple[Column, Column]] = []
     for i, (base, limit) in enumerate(LIMITS.items()):
         e = F.col(f"_e{i}")
@@ -183,17 +183,19 @@ def session_evidence(rows: DataFrame) -> DataFrame:
     open_end = talks & ~F.col("graceful_close")
     span = F.coalesce("cable_end", "last_cable") - F.col("cable_req")
     alive = [F.when(F.col(f"_live{i}") >= ALIVE_ROWS, F.col(f"_wait{i}")) for i in range(len(waits))]
-    facts = facts.withColumn("stuck", _says(span > CABLE_STRICT_S, F.col("cable_req") + CABLE_STRICT_S, F.format_string("CableCheck stuck %.0fs", span)))
-    facts = facts.withColumn("rematch", _says(talks & F.col("_rematch").isNotNull(), F.col("_rematch.prv"), F.lit("re-SLAC mid-session (link drop)")))
-    facts = facts.withColumn("reset", _says(open_end & F.col("_reset").isNotNull(), F.col("_reset"), F.lit("TCP RST")))
     wait = F.col("first_v2g") - F.col("first_slac")
     phase = F.when(F.col("has_power"), "PowerDelivery").when(F.col("has_precharge"), "PreCharge").when(F.col("cable_req").isNotNull(), "CableCheck").otherwise("ChargeParameterDiscovery")
     unpowered = F.col("graceful_close") & F.col("first_cd").isNull() & F.col("param_req").isNotNull()
-    facts = facts.withColumn("unmatched", _says(~talks & (F.col("n_slac") >= 3), F.col("t_end"), F.format_string("SLAC attempts without V2G (%d frames)", "n_slac")))
-    facts = facts.withColumn("slow", _says(wait > SLAC_SLOW_S, F.col("first_slac") + SLAC_SLOW_S, F.format_string("PLC pairing took %.0fs before V2G opened (fleet median 9s)", wait)))
-    facts = facts.withColumn("no_power", _says(unpowered, F.coalesce("stop_req", "last_dc", "stop_res"), F.concat(F.lit("stopped after "), phase, F.lit(", never reached CurrentDemand"))))
-    facts = facts.withColumn("silent", _says(open_end, F.col("t_end"), F.lit("stream death, no SessionStop")))
-    facts = facts.withColumn("broken", F.when(open_end, F.array_min(F.array_compact(F.array("reopened", "_idle", "_slow", *alive)))))
+    facts = facts.withColumns({
+        "stuck": _says(span > CABLE_STRICT_S, F.col("cable_req") + CABLE_STRICT_S, F.format_string("CableCheck stuck %.0fs", span)),
+        "rematch": _says(talks & F.col("_rematch").isNotNull(), F.col("_rematch.prv"), F.lit("re-SLAC mid-session (link drop)")),
+        "reset": _says(open_end & F.col("_reset").isNotNull(), F.col("_reset"), F.lit("TCP RST")),
+        "unmatched": _says(~talks & (F.col("n_slac") >= 3), F.col("t_end"), F.format_string("SLAC attempts without V2G (%d frames)", "n_slac")),
+        "slow": _says(wait > SLAC_SLOW_S, F.col("first_slac") + SLAC_SLOW_S, F.format_string("PLC pairing took %.0fs before V2G opened (fleet median 9s)", wait)),
+        "no_power": _says(unpowered, F.coalesce("stop_req", "last_dc", "stop_res"), F.concat(F.lit("stopped after "), phase, F.lit(", never reached CurrentDemand"))),
+        "silent": _says(open_end, F.col("t_end"), F.lit("stream death, no SessionStop")),
+        "broken": F.when(open_end, F.array_min(F.array_compact(F.array("reopened", "_idle", "_slow", *alive)))),
+    })
     return facts.select([c for c in facts.columns if not c.startswith("_")])
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.sessions import session_key
+
 FRAME_SCHEMA = "t string, tcp_stream string, tcp_rst string, tcp_rex string, tcp_lost string, name string, xml string, validation string, info string"
 # fixed values: words of link-layer frames that are kept
 KEEP = "SLAC|ATTEN_CHAR|SET_KEY|GET_KEY|VALIDATE|NW_INFO|NW_STATS|STA_CAP|AMP_MAP|LINK_STATUS|SW_VER|Broadcom|Qualcomm"
@@ -12,7 +14,14 @@ KEEP = "SLAC|ATTEN_CHAR|SET_KEY|GET_KEY|VALIDATE|NW_INFO|NW_STATS|STA_CAP|AMP_MA
 TEXT_TAGS = {"ResponseCode": "resp_code", "EVSEStatusCode": "evse_status", "EVSEIsolationStatus": "isolation", "EVSENotification": "notification", "EVErrorCode": "ev_err", "EVRESSSOC": "soc", "EVReady": "ev_ready", "ChargingComplete": "charge_complete", "BulkChargingComplete": "bulk_complete", "EVSEProcessing": "evse_processing"}
 VALUE_TAGS = {"EVSEPresentVoltage": "evse_v", "EVSEPresentCurrent": "evse_i", "EVTargetVoltage": "ev_target_v", "EVTargetCurrent": "ev_target_i", "EVMaximumVoltageLimit": "ev_max_v", "EVMaximumCurrentLimit": "ev_max_i", "EVSEMaximumVoltageLimit": "evse_max_v", "EVSEMaximumCurrentLimit": "evse_max_i", "RemainingTimeToFullSoC": "remaining_full_min", "RemainingTimeToBulkSoC": "remaining_bulk_min"}
 LIMIT_TAGS = {"EVSEVoltageLimitAchieved": "v", "EVSECurrentLimitAchieved": "c", "EVSEPowerLimitAchieved": "p"}
-EXTRA_TAGS = ("EVCCID", "EVSEID", "FaultCode", "FaultMsg", "ProtocolNamespace", "SchemaID", "DepartureTime", "EAmount", "FullSOC", "BulkSOC")
+EXTRA_TAGS = (
+    "EVCCID", "EVSEID", "ServiceCategory", "ChargeProgress", "ChargingSession",
+    "ReadyToChargeState", "FaultCode", "FaultMsg", "EVSEVoltageLimitAchieved",
+    "EVSECurrentLimitAchieved", "EVSEPowerLimitAchieved", "ProtocolNamespace",
+    "SchemaID", "DepartureTime", "EAmount", "FullSOC", "BulkSOC",
+    "EVSEMinimumVoltageLimit", "EVSEMinimumCurrentLimit",
+    "EVSEPeakCurrentRipple", "EVSEEnergyToBeDelivered",
+)
 # fixed values: the first four bytes of capture files by format
 MAGIC_FORMATS = {"D4C3B2A1": "pcap", "A1B2C3D4": "pcap", "4D3CB2A1": "pcap-ns", "A1B23C4D": "pcap-ns", "0A0D0D0A": "pcapng"}
 LEAST_HEADER = 24
@@ -47,6 +56,7 @@ def extract_v2g_fields(df: DataFrame, xml_col: str = "xml") -> DataFrame:
     safe = F.when(~F.col("_blank") & ~F.col("_bad"), xml)
     df = df.withColumn("_xml", safe)
     read = lambda tag, rest="text()": F.nullif(F.trim(F.xpath_string("_xml", F.lit(f"(//*[local-name()='{tag}'])[1]{'' if rest == 'text()' else rest}"))), F.lit(""))
+    df = df.withColumn("session", read("SessionID"))
     for tag, name in TEXT_TAGS.items():
         df = df.withColumn(name, read(tag))
     for tag, name in VALUE_TAGS.items():
@@ -80,20 +90,39 @@ def read_labels(spark: SparkSession, path: str, profile: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("label_profile") == profile)
 
 
-def write_sessions(sessions: DataFrame, path: str) -> None:
-    sessions.write.mode("overwrite").partitionBy("station").parquet(path)
+def label_json(labels: DataFrame) -> DataFrame:
+    """(session_key, body): each label with its nested faults as one JSON object, for export."""
+    return labels.select(session_key().alias("session_key"), F.to_json(F.struct("*")).alias("body"))
+
+
+def write_sessions(sessions: DataFrame, path: str, buckets: int | None = None) -> None:
+    """Rows of sessions, a partition for each station; with ``buckets`` a table named ``path``, bucketed and sorted by session,
+    which later joins and windows by session read without a shuffle."""
+    writer = sessions.write.mode("overwrite").partitionBy("station")
+    if buckets is None:
+        writer.parquet(path)
+    else:
+        writer.bucketBy(buckets, "connector", "sid").sortBy("connector", "sid", "t").saveAsTable(path)
 
 
 def write_alerts(alerts: DataFrame, path: str) -> None:
     alerts.write.mode("overwrite").partitionBy("detector").parquet(path)
 
 
-def report(**tables: DataFrame) -> DataFrame:
-    """(part, body) with each small table as rows of JSON, for export."""
+def read_alerts(spark: SparkSession, path: str, *detectors: str) -> DataFrame:
+    """First alerts of the named (or all) detectors; only their partitions are read."""
+    alerts = spark.read.parquet(path)
+    return alerts.where(F.col("detector").isin(*detectors)) if detectors else alerts
+
+
+def report(parts: list[str], **tables: DataFrame) -> DataFrame:
+    """(part, body) with each small table as rows of JSON, for export; a part without a table or without rows has one row, body null."""
+    spark = next(iter(tables.values())).sparkSession
+    wanted = spark.createDataFrame([(p,) for p in parts], "part string")
     out = None
     for name, df in tables.items():
         part = df.select(F.lit(name).alias("part"), F.to_json(F.struct("*")).alias("body"))
         out = part if out is None else out.unionByName(part)
-    return out
+    return wanted.join(out, "part", "left")
 
 
