@@ -6,11 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROWS_PER_BATCH = 1000
+BYTES_AT_ONCE = 16 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,9 +24,11 @@ def text_or_empty(column: str = "text") -> F.Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none, as in tests."""
+    """The folder that all executors share. A session of this machine alone that names none, as in tests, gets one; on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="voltline-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -47,14 +51,28 @@ def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``fn`` on each Arrow batch of ``df``; batches are kept small because one text may be megabytes long."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+def portions(batch: pa.RecordBatch, most: int = BYTES_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of at most ``most`` bytes, a row at least: one text may be megabytes long."""
+    n = batch.num_rows
+    if n <= 1 or batch.nbytes <= most:
+        yield batch
+        return
+    yield from portions(batch.slice(0, n // 2), most)
+    yield from portions(batch.slice(n // 2), most)
+
+
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = ROWS_PER_BATCH) -> DataFrame:
+    """``fn`` on each Arrow batch of ``df``, in portions of bounded bytes.
+
+    Spark reads the size of its own batches from the session when the plan runs, so it stays set to ``rows``.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield out
+            for part in portions(batch) if batch.num_rows else ():
+                if (out := fn(part)) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
@@ -64,6 +82,14 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def majority_bits(hashes: np.ndarray) -> int:
+    """A 64-bit code of which a bit is set where over half the 64-bit ``hashes`` set it."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):
+        ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``links`` (a, b) as (node, root), root the smallest node reachable.
 

@@ -125,7 +125,8 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     clashes = clashing_digests(docs, text_col, digest_bytes)
     rows, _ = common.written(recipes(docs, id_col, text_col, clashes, digest_bytes), "recipes")
     best = F.struct((-F.col("n_points")).alias("p"), F.col("id").isNull().alias("n"), F.col("id").alias("id"))
-    groups = rows.groupBy("recipe").agg(F.min(best).alias("best"), F.count("*").alias("group_size"))
+    # written first: the join is then a plain one, whose hot recipes Spark may split
+    groups, _ = common.written(rows.groupBy("recipe").agg(F.min(best).alias("best"), F.count("*").alias("group_size")), "groups")
     joined = rows.join(groups, "recipe")
     kept = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("n_points") == -F.col("best.p"))
     return joined.select("id", F.col("best.id").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256")

@@ -4,9 +4,10 @@ Two sets of similarity t share a shingle among the first n - ceil(t n) + 1 of ea
 that holds for all sets. The order is by hash, shingles that many texts share last, so buckets of one shingle
 stay small; which ones are last comes from a sample of texts and changes the work, never the links.
 
-A bucket's members are first compared with three of their own, and parts that this joins are not compared
-again: near copies of one text cost a number of comparisons in proportion to their number. Other pairs are
-compared where sizes and places in the order leave the similarity possible.
+It completes what a caller has joined already: a bucket, the sets that share a shingle, whose members are all
+joined is left alone. In the others members are first compared with three of their own bucket that they are not
+joined with, and then, where this leaves several parts, across parts where sizes and places in the order leave the
+similarity possible. So near copies of one text cost a number of comparisons in proportion to their number.
 """
 
 from __future__ import annotations
@@ -74,18 +75,19 @@ def _hot_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def keyed_sets(docs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(id, fp, n, first) per (id, body): the set's name and size and its first shingles; rows with a null id have none."""
+    """(id, fp, code, n, first) per (id, body): the set's name, SimHash, size and first shingles; rows with a null id have none."""
     shared = docs.sparkSession.sparkContext.broadcast(_hot_shingles(docs, k))
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         hot = shared.value
         sets = [shingle_set(t, k) for t in common.as_bytes(batch.column("body"))]
+        codes = np.fromiter(map(common.majority_bits, sets), np.uint64, len(sets)).view(np.int64)
         first = [prefix(s, hot, similarity).view(np.int64) if known else [] for s, known in zip(sets, batch.column("id").is_valid().to_pylist())]
-        columns = [pa.array([set_key(s) for s in sets], pa.int64()), pa.array(list(map(len, sets)), pa.int32()), pa.array(first, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", "fp", "n", "first"])
+        columns = [pa.array([set_key(s) for s in sets], pa.int64()), pa.array(codes), pa.array(list(map(len, sets)), pa.int32()), pa.array(first, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", "fp", "code", "n", "first"])
 
-    return common.map_arrow(docs, run, f"id {id_type}, fp bigint, n int, first array<bigint>")
+    return common.map_arrow(docs, run, f"id {id_type}, fp bigint, code bigint, n int, first array<bigint>")
 
 
 def _possible(a: str, b: str, similarity: float):
@@ -112,25 +114,37 @@ def verified(docs: DataFrame, keyed: DataFrame, pairs: DataFrame, k: int, simila
     return joined.where(both >= similarity * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
 
 
-def similar_links(docs: DataFrame, keyed: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Links (a, b) between the names in ``keyed``; their closure is that of all pairs of the similarity."""
-    entries = keyed.select(F.col("fp").alias("d"), "n", F.posexplode("first").alias("pos", "s"))
-    me = F.struct("d", "n", "pos")
-    heads = entries.groupBy("s").agg(F.min(me).alias("low"), F.max(me).alias("high"), F.min(F.struct(F.xxhash64("d").alias("h"), "d", "n", "pos")).alias("any"))
-    heads, _ = common.written(heads.where("low.d < high.d"), "buckets")
-    members, _ = common.written(entries.join(heads.select("s"), "s").distinct(), "members")
-
-    star = members.select("s", me.alias("m")).join(heads, "s").select("m", F.explode(F.array("low", "high", F.struct("any.d", "any.n", "any.pos"))).alias("c"))
-    star = star.where("m.d <> c.d").where(_possible("m", "c", similarity))
-    stars, _ = common.written(star.select(F.least("m.d", "c.d").alias("a"), F.greatest("m.d", "c.d").alias("b")).distinct(), "stars")
-    links, _ = common.written(verified(docs, keyed, stars, k, similarity), "links")
-
-    roots = common.components(links).select(F.col("node").alias("d"), F.col("root").alias("r"))
-    placed = members.join(roots, "d", "left").withColumn("r", F.coalesce("r", "d"))
-    mixed_buckets = placed.groupBy("s").agg(F.min("r").alias("r0"), F.max("r").alias("r1")).where("r0 < r1").select("s")
-    placed, _ = common.written(placed.join(mixed_buckets, "s", "left_semi").select("s", F.struct("d", "n", "pos", "r").alias("m")), "placed")
-    other = placed.select("s", F.col("m").alias("c"))
-    rest = placed.join(other, (placed.s == other.s) & (F.col("m.r") < F.col("c.r")) & _possible("m", "c", similarity))
-    rest = rest.select(F.least("m.d", "c.d").alias("a"), F.greatest("m.d", "c.d").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+def _ordered(a: F.Column, b: F.Column) -> list[F.Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def completed_links(docs: DataFrame, keyed: DataFrame, links: DataFrame, k: int, similarity: float) -> DataFrame:
+    """``links`` (a, b) between names in ``keyed``, and more: the closure of all is that of all pairs of the similarity."""
+
+    def placed(links: DataFrame, rows: DataFrame) -> DataFrame:
+        roots = common.components(links).select(F.col("node").alias("d"), F.col("root").alias("r"))
+        return rows.drop("r").join(roots, "d", "left").withColumn("r", F.coalesce("r", "d"))
+
+    def open_buckets(entries: DataFrame) -> DataFrame:
+        """Buckets whose members are not all joined; numbers only, so they are combined before the shuffle."""
+        return common.written(entries.groupBy("s").agg(F.min("r").alias("r0"), F.max("r").alias("r1")).where("r0 < r1").select("s"), "buckets")[0]
+
+    sets = keyed.where("size(first) > 0").select(F.col("fp").alias("d"), "n", "first").dropDuplicates(["d"])
+    rows, _ = common.written(placed(links, sets), "placed-sets")
+    entries = rows.select("d", "n", "r", F.posexplode("first").alias("pos", "s"))
+    members, _ = common.written(entries.join(open_buckets(entries), "s", "left_semi"), "members")
+
+    me = F.struct("d", "n", "pos", "r")
+    heads = members.groupBy("s").agg(F.min(me).alias("low"), F.max(me).alias("high"), F.min(F.struct(F.xxhash64("d").alias("h"), me.alias("m"))).alias("any"))
+    heads, _ = common.written(heads.select("s", F.array("low", "high", "any.m").alias("c")), "heads")
+    star = members.select("s", me.alias("m")).join(heads, "s").select("m", F.explode("c").alias("c")).where(F.col("m.r") != F.col("c.r"))
+    stars, _ = common.written(star.where(_possible("m", "c", similarity)).select(*_ordered(F.col("m.d"), F.col("c.d"))).distinct(), "stars")
+    found, _ = common.written(links.unionByName(verified(docs, keyed, stars, k, similarity)), "links")
+
+    again = placed(found, members)
+    again, _ = common.written(again.join(open_buckets(again), "s", "left_semi").select("s", me.alias("m")), "placed")
+    other = again.select("s", F.col("m").alias("c"))
+    rest = again.join(other, (again.s == other.s) & (F.col("m.r") < F.col("c.r")) & _possible("m", "c", similarity))
+    rest = rest.select(*_ordered(F.col("m.d"), F.col("c.d"))).distinct().join(stars, ["a", "b"], "left_anti")
     rest, _ = common.written(rest, "pairs")
-    return links.unionByName(verified(docs, keyed, rest, k, similarity))
+    return found.unionByName(verified(docs, keyed, rest, k, similarity))

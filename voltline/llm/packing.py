@@ -33,7 +33,7 @@ POOL = 4096
 STEP_TOKENS = 131_072
 STEPS_AT_ONCE = 8
 
-Piece = tuple  # (length, order, document, start, document's tokens, packed ids)
+Piece = tuple  # (length, order, document, start, document's tokens, the piece's packed ids)
 
 
 class LibraryEncoder:
@@ -90,10 +90,10 @@ class Packer:
     def add(self, document, ids: bytes) -> Iterator[tuple[int, list]]:
         n, longest, start = len(ids) // 4, self.windows[-1], 0
         while n - start >= longest:
-            yield longest, [((longest, 0, document, start, n, ids), 0)]
+            yield longest, [((longest, 0, document, start, n, ids[4 * start : 4 * (start + longest)]), 0)]
             start += longest
-        if n > start:
-            bisect.insort(self.pool, (n - start, next(self.order), document, start, n, ids), key=lambda p: p[:2])
+        if n > start:  # the pool keeps the ids of the piece alone
+            bisect.insort(self.pool, (n - start, next(self.order), document, start, n, ids[4 * start :]), key=lambda p: p[:2])
         if len(self.pool) >= self.room:
             while len(self.pool) > self.room // 2:
                 yield from self.window()
@@ -102,8 +102,8 @@ class Packer:
         """The pool's piece at ``at``, or its first ``most`` tokens; the rest goes back."""
         n, order, document, start, total, ids = self.pool.pop(at)
         if n > most:
-            bisect.insort(self.pool, (n - most, next(self.order), document, start + most, total, ids), key=lambda p: p[:2])
-        return (min(n, most), order, document, start, total, ids)
+            bisect.insort(self.pool, (n - most, next(self.order), document, start + most, total, ids[4 * most :]), key=lambda p: p[:2])
+        return (min(n, most), order, document, start, total, ids[: 4 * most])
 
     def window(self) -> Iterator[tuple[int, list]]:
         size = next(w for w in self.windows if w >= self.pool[-1][0])
@@ -133,9 +133,9 @@ def powers(pieces: list) -> Iterator[tuple[int, list]]:
         while used < size:
             n, order, document, start, tokens, ids = left.pop(0)
             cut = min(n, size - used)
-            out.append(((cut, order, document, start, tokens, ids), used))
+            out.append(((cut, order, document, start, tokens, ids[: 4 * cut]), used))
             if n > cut:
-                left.insert(0, (n - cut, order, document, start + cut, tokens, ids))
+                left.insert(0, (n - cut, order, document, start + cut, tokens, ids[4 * cut :]))
             used += cut
         yield size, out
         total -= size
@@ -181,7 +181,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
             out = []
             for (window, pieces), group in zip(waiting, groups):
                 for (n, _, document, start, total, ids), offset in pieces:
-                    crc = zlib.crc32(memoryview(ids)[4 * start : 4 * (start + n)])
+                    crc = zlib.crc32(ids)
                     out.append((document, start, n, crc, total, base + next_sequence, offset, window, base + next_step + group))
                 next_sequence += 1
             waiting, tokens, next_step = [], 0, next_step + n_groups

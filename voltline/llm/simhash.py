@@ -1,17 +1,16 @@
-"""SimHash near-duplicates through a Gray-order hierarchical index.
-
-Distinct fingerprints are dealt by pairs of bit segments (two fingerprints within ``radius`` bits
-agree on at least two of ``radius + 2`` segments, so no link is missed). In each bucket they are
-sorted by Gray rank, which puts codes with long common patterns side by side; runs of eight become
-nodes that hold the bits their members share (mask and pattern), and nodes become parents in the
-same way. A search walks down from the root and leaves a node as soon as the differences on its
-shared bits exceed the radius.
+"""SimHash near-duplicates through one Gray-order hierarchical index over the whole table.
+
+The distinct fingerprints are sorted by Gray rank, which puts codes with long common patterns side by side, and cut
+into ranges: the chunks. Every node of the tree holds the bits that all codes below it share (mask and pattern). The
+upper nodes stand over the chunks; there are at most MOST_CHUNKS chunk roots, so they go to every task. A query walks
+down from the top and leaves a node, with all its codes, as soon as its differences on the shared bits exceed the
+radius; chunks that it reaches receive it, and go on with the lower nodes, which each chunk builds from its own codes.
+A query only looks ahead in rank, so every pair is met once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +24,9 @@ FANOUT = 8
 RADIUS = 3
 SHINGLE_WORDS = 3
 PAIRS_AT_ONCE = 400_000
+CHUNK_CODES = 8192
+MOST_CHUNKS = 4096  # roots of chunks that are broadcast
+QUERIES_A_CODE = 16  # a chunk with more queries for each of its codes is dealt to several tasks
 
 
 def fingerprint(text: bytes, k: int = SHINGLE_WORDS) -> int:
@@ -39,11 +41,8 @@ def fingerprint(text: bytes, k: int = SHINGLE_WORDS) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - k + 1]
         shingles = [joined[s:e] for s, e in zip(starts.tolist(), ends[k - 1 :].tolist())]
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    hashes = np.fromiter((digest(s, 42) for s in shingles), "<u8", len(shingles))
-    for at in range(0, len(hashes), 65536):
-        ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    digest = xxhash.xxh64_intdigest
+    return common.majority_bits(np.fromiter((digest(s, 42) for s in shingles), "<u8", len(shingles)))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS) -> DataFrame:
@@ -65,76 +64,81 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
+def gray_key(code: str = "fp") -> F.Column:
+    """The Gray rank of a code as a long whose signed order is that of the ranks."""
+    rank = F.col(code)
+    for shift in (1, 2, 4, 8, 16, 32):
+        rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, shift))
+    return rank.bitwiseXOR(F.lit(-(2**63)))
+
+
 class GrayIndex:
-    """The hierarchy over codes that are sorted by (group, Gray rank); each group has a tree of its own."""
-
-    def __init__(self, codes: np.ndarray, group: np.ndarray):
-        ones = np.full(len(codes), np.uint64(0xFFFFFFFFFFFFFFFF))
-        self.codes = codes
-        self.levels = [(codes, ones, np.arange(len(codes)), np.arange(1, len(codes) + 1))]  # pattern, mask, first and last-plus-one child
-        self.spans = [(np.arange(len(codes)), np.arange(1, len(codes) + 1))]  # codes below each node
-        while True:
+    """A tree over leaves in Gray order. A leaf is a code, or a node further down given by its shared bits."""
+
+    def __init__(self, pattern: np.ndarray, mask: np.ndarray | None = None):
+        n = len(pattern)
+        mask = np.full(n, np.uint64(0xFFFFFFFFFFFFFFFF)) if mask is None else mask
+        self.levels = [(pattern, mask, np.arange(n), np.arange(1, n + 1))]  # pattern, mask, first and last-plus-one child
+        self.spans = [(np.arange(n), np.arange(1, n + 1))]  # leaves below each node
+        while len(self.levels[-1][0]) > 1:
             pattern, mask = self.levels[-1][:2]
-            new = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-            if len(new) == len(group):
-                break
-            rank = np.arange(len(group)) - np.repeat(new, np.diff(np.append(new, len(group))))
-            starts = np.flatnonzero(rank % FANOUT == 0)
-            ends = np.append(starts[1:], len(group))
+            starts = np.arange(0, len(pattern), FANOUT)
+            ends = np.append(starts[1:], len(pattern))
             head = np.repeat(pattern[starts], ends - starts)
             shared = np.bitwise_and.reduceat(mask, starts) & ~np.bitwise_or.reduceat(pattern ^ head, starts)
-            self.levels.append((pattern[starts], shared, starts, ends))
             first, last = self.spans[-1]
+            self.levels.append((pattern[starts], shared, starts, ends))
             self.spans.append((first[starts], last[ends - 1]))
-            group = group[starts]
-        self.root = np.repeat(np.arange(len(group)), self.spans[-1][1] - self.spans[-1][0])
-
-    def pairs(self, radius: int, whole_nodes: bool) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-        """Index pairs i < j within ``radius``. With ``whole_nodes``, a node all of whose members lie within the
-        radius of i and of one another gives one pair (flag True) and its members are chained."""
-        top = len(self.levels) - 1
-        if whole_nodes:
-            for level in range(1, top + 1):
-                first, last = self.spans[level]
-                tight = np.bitwise_count(~self.levels[level][1]) <= radius
-                for a, b in zip(first[tight], last[tight]):
-                    if b - a > 1:
-                        yield np.arange(a, b - 1), np.arange(a + 1, b), True
+
+    def chained(self, radius: int) -> np.ndarray:
+        """Places i for which leaves i and i + 1 lie below one node whose codes differ in at most ``radius`` bits."""
+        edges = np.zeros(len(self.levels[0][0]) + 1, np.int64)
+        for (_, mask, _, _), (first, last) in zip(self.levels[1:], self.spans[1:]):
+            tight = np.bitwise_count(~mask) <= radius
+            np.add.at(edges, first[tight], 1)
+            np.add.at(edges, last[tight] - 1, -1)
+        return np.flatnonzero(np.cumsum(edges)[:-1] > 0)
+
+    def search(self, queries: np.ndarray, first: np.ndarray, radius: int, whole_nodes: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, leaf) places within the radius on the leaf's bits, leaves from ``first`` of each query on.
+
+        With ``whole_nodes``, a node all of whose codes lie within the radius of the query and of one another
+        gives its last leaf only; ``chained`` connects the others to it.
+        """
+        if not len(self.levels[0][0]):
+            return
         step = max(1, PAIRS_AT_ONCE // FANOUT // 4)
-        for at in range(0, len(self.codes), step):
-            todo = [(top, np.arange(at, min(at + step, len(self.codes))), self.root[at : at + step])]
+        for at in range(0, len(queries), step):
+            query = np.arange(at, min(at + step, len(queries)))
+            todo = [(len(self.levels) - 1, query, np.zeros(len(query), np.int64))]
             while todo:
                 level, query, node = todo.pop()
                 if len(query) > PAIRS_AT_ONCE:
                     half = len(query) // 2
                     todo += [(level, query[:half], node[:half]), (level, query[half:], node[half:])]
                     continue
-                pattern, mask, _, _ = self.levels[level]
-                ahead = self.spans[level][1][node] > query + 1
-                query, node = query[ahead], node[ahead]
-                differences = np.bitwise_count((self.codes[query] ^ pattern[node]) & mask[node])
-                near = differences <= radius
+                pattern, mask, child, past = self.levels[level]
+                end = self.spans[level][1]
+                differences = np.bitwise_count((queries[query] ^ pattern[node]) & mask[node])
+                near = (differences <= radius) & (end[node] > first[query])
                 query, node, differences = query[near], node[near], differences[near]
                 if not len(query):
                     continue
                 if level == 0:
-                    yield query, node, False
+                    yield query, node
                     continue
                 if whole_nodes:
-                    free = np.bitwise_count(~mask[node])
-                    whole = differences.astype(int) + free <= radius
+                    whole = differences.astype(int) + np.bitwise_count(~mask[node]) <= radius
                     if whole.any():
-                        yield query[whole], self.spans[level][0][node[whole]], True
+                        yield query[whole], end[node[whole]] - 1
                         query, node = query[~whole], node[~whole]
-                first, last = self.levels[level][2][node], self.levels[level][3][node]
-                n = last - first
-                children = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+                n = past[node] - child[node]
+                children = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(child[node], n)
                 todo.append((level - 1, np.repeat(query, n), children))
 
 
-def _forest(pairs: Iterator[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """The pairs that join two parts; enough of them to connect what all of them connect."""
-    above: dict[int, int] = {}
+def _forest(pairs: Iterator[tuple[int, int]], above: dict[int, int]) -> Iterator[tuple[int, int]]:
+    """The pairs that join two parts of what ``above`` connects so far."""
 
     def top(x: int) -> int:
         while (y := above.get(x, x)) != x:
@@ -149,85 +153,86 @@ def _forest(pairs: Iterator[tuple[int, int]]) -> Iterator[tuple[int, int]]:
             yield a, b
 
 
-def segments(radius: int) -> list[tuple[int, int]]:
-    """(shift, width) of radius + 2 bit segments that cover 64 bits."""
-    n = radius + 2
-    edges = [round(i * 64 / n) for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+def _routed(index: DataFrame, roots: list, radius: int) -> DataFrame:
+    """(chunk, fp, g) for each chunk, the code's own or a later one, whose root the code reaches through the upper nodes."""
+    unsigned = lambda name: np.array([r[name] for r in roots], np.int64).view(np.uint64)
+    pattern, mask = unsigned("pattern"), unsigned("mask")
+    chunk_of = np.array([r.chunk for r in roots], np.int32)
+    upper = index.sparkSession.sparkContext.broadcast((pattern, mask, chunk_of))
 
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        pattern, mask, chunk_of = upper.value
+        codes = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+        own = np.searchsorted(chunk_of, batch.column("chunk").to_numpy(zero_copy_only=False))
+        found = list(GrayIndex(pattern, mask).search(codes, own, radius))
+        if not found:
+            return None
+        query, leaf = (np.concatenate(x) for x in zip(*found))
+        rows = pa.array(query)
+        return pa.RecordBatch.from_arrays([pa.array(chunk_of[leaf]), batch.column("fp").take(rows), batch.column("g").take(rows)], ["chunk", "fp", "g"])
 
-def fingerprint_links(fps: DataFrame, radius: int = RADIUS, spanning: bool = True) -> DataFrame:
+    return common.map_arrow(index, run, "chunk int, fp bigint, g bigint", rows=10_000)
+
+
+def fingerprint_links(fps: DataFrame, radius: int = RADIUS, spanning: bool = True, chunk_codes: int = CHUNK_CODES) -> DataFrame:
     """Links (a, b) between distinct fingerprints in column ``fp`` that differ in at most ``radius`` bits.
 
-    ``spanning``: each bucket returns only links that connect parts of its own (their closure is that of
-    all links); otherwise every link is returned once. Null fingerprints link to nothing.
+    ``spanning``: each task returns only links that connect parts of its own (their closure is that of all
+    links); otherwise every link is returned once. Null fingerprints link to nothing.
     """
-    parts = segments(radius)
-    tables = list(combinations(range(len(parts)), 2))
-
-    def segment(i: int) -> F.Column:
-        shift, width = parts[i]
-        return F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
-
-    keys = F.array(*[F.struct(F.lit(t).alias("t"), (F.shiftleft(segment(i), 32).bitwiseOR(segment(j))).alias("key")) for t, (i, j) in enumerate(tables)])
-    dealt = fps.where("fp is not null").select("fp").distinct().select("fp", F.explode(keys).alias("k")).select("k.t", "k.key", "fp")
-    dealt = dealt.repartition("t", "key").sortWithinPartitions("t", "key")
-    masks = np.array([((1 << w) - 1) << s for s, w in parts], dtype=np.uint64)
-
-    def first_table(x: np.ndarray) -> np.ndarray:
-        """The table in which a pair with these differing bits is met first."""
-        same = (x[:, None] & masks[None, :]) == 0
-        one = same.argmax(axis=1)
-        same[np.arange(len(x)), one] = False
-        two = same.argmax(axis=1)
-        place = {p: t for t, p in enumerate(tables)}
-        lookup = np.zeros((len(parts), len(parts)), np.int64)
-        for (i, j), t in place.items():
-            lookup[i, j] = t
-        return lookup[one, two]
-
-    def solve(t: np.ndarray, key: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        change = np.concatenate(([True], (t[1:] != t[:-1]) | (key[1:] != key[:-1])))
-        group = np.cumsum(change)
-        keep = np.bincount(group)[group] > 1
-        t, group, codes = t[keep], group[keep], fp[keep].view(np.uint64)
-        if not len(codes):
-            return
-        order = np.lexsort((gray_rank(codes), group))
-        t, group, codes = t[order], group[order], codes[order]
-        for i, j, always in GrayIndex(codes, group).pairs(radius, spanning):
-            if not always:
-                own = first_table(codes[i] ^ codes[j]) == t[i]
-                i, j = i[own], j[own]
-            if len(i):
-                yield codes[i], codes[j]
+    spark = fps.sparkSession
+    n_chunks = min(MOST_CHUNKS, max(1, -(-fps.count() // chunk_codes)))
+    codes = fps.where("fp is not null").select("fp").distinct().withColumn("g", gray_key())
+    index, _ = common.written(codes.repartitionByRange(n_chunks, "g").sortWithinPartitions("g").select("fp", "g", F.spark_partition_id().alias("chunk")), "gray-index")
+    shared = F.bitwise_not(F.bit_and("fp").bitwiseXOR(F.bit_or("fp")))
+    roots = index.groupBy("chunk").agg(F.bit_and("fp").alias("pattern"), shared.alias("mask")).orderBy("chunk").collect()  # at most MOST_CHUNKS rows
+    routed, _ = common.written(_routed(index, roots, radius), "gray-queries")
+    size = lambda df: df.groupBy("chunk").agg(F.count("*").alias("n"))
+    parts = size(routed).withColumnRenamed("n", "q").join(size(index), "chunk").select("chunk", F.ceil(F.col("q") / (QUERIES_A_CODE * F.col("n"))).cast("int").alias("parts"))
+    parts = F.broadcast(spark.createDataFrame(parts.collect() or [], "chunk int, parts int"))  # at most MOST_CHUNKS rows
+    leaves = index.join(parts, "chunk").select("chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "g", "fp")
+    asked = routed.join(parts, "chunk").select("chunk", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "g", "fp")
+    dealt = leaves.unionByName(asked).repartition("chunk", "part").sortWithinPartitions("chunk", "part", "kind", "g")
+
+    def links(tree: GrayIndex, ranks: np.ndarray, codes: np.ndarray, query: np.ndarray, rank: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i, j in tree.search(query, np.searchsorted(ranks, rank, side="right"), radius, spanning):
+            yield query[i], codes[j]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def flush(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            found = solve(rows[0], rows[1], rows[2])
-            if spanning:
-                found = (np.array(x, dtype=np.uint64) for x in [list(zip(*_forest(p for a, b in found for p in zip(a.tolist(), b.tolist()))))] if x)
-            for a, b in found:
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        held: tuple | None = None  # the chunk and part at hand
+        leaf: list[np.ndarray] = []
+        tree = ranks = codes = None
+        above: dict[int, int] = {}
+
+        def given(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            for a, b in pairs:
+                if spanning:
+                    kept = list(_forest(zip(a.tolist(), b.tolist()), above))
+                    a, b = (np.array([p[i] for p in kept], np.uint64) for i in (0, 1))
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-        size = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("t", "key", "fp")]))
-            size += batch.num_rows
-            last = held[-1][:2, -1]
-            if size >= 200_000 and not (held[0][:2, 0] == last).all():
-                rows = np.concatenate(held, axis=1)
-                cut = np.flatnonzero((rows[0] != last[0]) | (rows[1] != last[1]))[-1] + 1
-                yield from flush(rows[:, :cut])
-                held, size = [rows[:, cut:]], rows.shape[1] - cut
-        if held:
-            yield from flush(np.concatenate(held, axis=1))
+            chunk, part, kind, g, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("chunk", "part", "kind", "g", "fp"))
+            cuts = np.flatnonzero((chunk[1:] != chunk[:-1]) | (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for lo, hi in zip(np.concatenate(([0], cuts)), np.append(cuts, len(chunk))):
+                if held != (chunk[lo], part[lo]):
+                    held, leaf, tree, above = (chunk[lo], part[lo]), [], None, {}
+                if kind[lo] == 0:
+                    leaf.append(np.stack([g[lo:hi], fp[lo:hi]]))
+                    continue
+                if tree is None:
+                    ranks, codes = np.concatenate(leaf, axis=1)
+                    codes = codes.view(np.uint64)
+                    tree = GrayIndex(codes)
+                    if spanning:
+                        at = tree.chained(radius)
+                        yield from given(iter([(codes[at], codes[at + 1])]))
+                yield from given(links(tree, ranks, codes, fp[lo:hi].view(np.uint64), g[lo:hi]))
 
-    return dealt.select(F.col("t").cast("bigint"), "key", "fp").mapInArrow(run, "a bigint, b bigint")
+    return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
@@ -249,7 +254,8 @@ def label_components(fps: DataFrame, links: DataFrame) -> DataFrame:
     linked = heads.join(roots, heads.fp == roots.node).select("fp", "root", "head")
     low = linked.groupBy("root").agg(F.min("head").alias("low"))
     named = linked.join(low, "root").select("fp", "low")
-    classes = heads.join(named, "fp", "left").select("fp", F.coalesce("low", "head").alias("component_id"))
+    # written first: the join with the rows is then a plain one, whose hot fingerprints Spark may split
+    classes, _ = common.written(heads.join(named, "fp", "left").select("fp", F.coalesce("low", "head").alias("component_id")), "classes")
     return fps.join(classes, "fp").select("id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -258,14 +264,29 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
+def code_links(source: DataFrame, keyed: DataFrame, k: int, similarity: float, radius: int) -> DataFrame:
+    """Links (a, b) between sets in one component of the Gray index's links, each set compared with its component's first and last."""
+    sets = keyed.where("id is not null").select("fp", "code").distinct()
+    roots = common.components(fingerprint_links(sets.select(F.col("code").alias("fp")), radius)).select(F.col("node").alias("code"), "root")
+    grouped, _ = common.written(sets.join(roots, "code", "left").select("fp", F.coalesce("root", "code").alias("c")), "codes")
+    ends, _ = common.written(grouped.groupBy("c").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high"), "ends")
+    pairs = grouped.join(ends, "c").select("fp", F.explode(F.array("low", "high")).alias("end")).where("fp <> end")
+    pairs, _ = common.written(pairs.select(F.least("fp", "end").alias("a"), F.greatest("fp", "end").alias("b")).distinct(), "code-pairs")
+    return jaccard.verified(source, keyed, pairs, k, similarity)
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its group, with all their columns.
 
-    Groups join texts that share ``similarity`` of their k-word shingles, however far their fingerprints lie
-    apart; fingerprints take no part. Rows that repeat an id stay or go together; rows with a null id stay.
+    Groups join texts that share ``similarity`` of their k-word shingles. SimHash codes of the sets go through the
+    Gray index; sets in one component of its links are compared exactly with two of it. Codes of similar sets may
+    lie further apart than the radius, so a prefix-filtered join adds the links that codes cannot show. Texts of up
+    to k words are one shingle, so null and empty texts are one group. Rows that repeat an id stay or go together;
+    rows with a null id stay. Empty tables give empty tables; further columns of any names are kept.
     """
     source = docs.select(F.col(id_col).alias("id"), common.text_or_empty(text_col).alias("body"))
     keyed, _ = common.written(jaccard.keyed_sets(source, k, similarity), "sets")
-    found = label_components(keyed.select("id", "fp"), jaccard.similar_links(source, keyed, k, similarity))
+    links, _ = common.written(code_links(source, keyed, k, similarity, radius), "code-links")
+    found = label_components(keyed.select("id", "fp"), jaccard.completed_links(source, keyed, links, k, similarity))
     gone = found.where("id <> component_id").select(F.col("id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -138,16 +138,17 @@ def duplicate_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(id, th, lo, hi): ranges of window starts whose windows also start elsewhere; th is the text's hash."""
     source = _source(docs, id_col, text_col)
     table, table_path = common.written(_anchor_table(source, window), "anchors")
-    often = table.groupBy("a").count().where("count > 1").select("a")
+    # small sides are written first: joins with them are then plain ones, whose hot anchors Spark may split
+    often, _ = common.written(table.groupBy("a").count().where("count > 1").select("a"), "often")
     index, _ = common.written(table.join(often, "a", "left_semi"), "index")
     common.drop_path(docs.sparkSession, table_path)
-    around = index.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "lo", "hi")).alias("one"))
+    around, _ = common.written(index.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "lo", "hi")).alias("one")), "around")
     shared = around.where("n > 1").select("a", "c")
     factors = index.join(shared, ["a", "c"], "left_semi").select("id", "th", "lo", "hi")
-    mixed_anchors = around.groupBy("a").count().where("count > 1").select("a")
+    mixed_anchors, _ = common.written(around.groupBy("a").count().where("count > 1").select("a"), "mixed-anchors")
     probes = around.join(mixed_anchors, "a", "left_semi").select("one.id", "one.th", "a", "one.lo", "one.hi")
     single, _ = common.written(_boundary_windows(source, probes, window), "windows")
-    known = single.groupBy("a", "w").count().where("count > 1").select("a", "w")
+    known, _ = common.written(single.groupBy("a", "w").count().where("count > 1").select("a", "w"), "known-windows")
     boundaries = single.join(known, ["a", "w"], "left_semi").select("id", "th", "lo", F.col("lo").alias("hi"))
     return factors.unionByName(boundaries)
 
