@@ -133,16 +133,26 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; rows that repeat id and text stay once."""
+    """The rows of ``docs`` that stay, with all their columns; rows that repeat id and text stay once.
+
+    Null and empty texts are one group. Of rows of one id whose texts differ in white space only, the longest stays,
+    of equals the least row. Null ids stay only where their group has no other. Empty tables give empty tables;
+    columns may have any names.
+    """
+    key, bare_hash = (_free(docs, name) for name in ("key", "hash"))
     kept = duplicate_groups(docs, id_col, text_col).where("kept")
-    kept = kept.select(F.xxhash64("id", "text_sha256").alias("_voltline_k"), F.col("text_sha256").alias("_voltline_s"))
+    kept = kept.select(F.xxhash64("id", "text_sha256").alias(key), F.col("text_sha256").alias(bare_hash)).distinct()
     bare = F.translate(common.text_or_empty(text_col), " \t\n\x0b\f\r", "")
-    keyed = docs.withColumn("_voltline_s", F.sha2(bare, 256)).withColumn("_voltline_k", F.xxhash64(id_col, "_voltline_s"))
-    kept = kept.distinct()
-    longest = keyed.join(kept, ["_voltline_k", "_voltline_s"], "left_semi")
-    # rows of one id whose texts differ in white space only: the longest of them
-    rank = F.max_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.char_length(common.text_or_empty(text_col)))
-    return longest.groupBy("_voltline_k", "_voltline_s").agg(rank.alias("row")).select("row.*")
+    keyed = docs.withColumn(bare_hash, F.sha2(bare, 256)).withColumn(key, F.xxhash64(id_col, bare_hash))
+    row = F.struct((-F.char_length(common.text_or_empty(text_col))).alias("n"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return keyed.join(kept, [key, bare_hash], "left_semi").groupBy(key, bare_hash).agg(F.min(row).alias("one")).select("one.row.*")
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
 
 
 def op2_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
