@@ -14,40 +14,63 @@ LEAD_CAP_S, GRACE_S, TIE_S = 120.0, 10.0, 0.1
 def outcomes(labels: DataFrame, alerts: DataFrame, detectors: DataFrame) -> DataFrame:
     """One row per session and detector: outcome (tp, late, miss, fp, quiet), lead (seconds before the fault, on time only).
 
-    ``labels`` has first_fault_t (null: clean); ``detectors`` is the short list of names.
+    ``labels`` has first_fault_t (null: clean); ``detectors`` is the list of names, from the registry, so a few rows.
     """
     pairs = labels.crossJoin(F.broadcast(detectors.select("detector")))
     a = alerts.select(*SESSION, "detector", F.col("t").alias("alert_t"), *[c for c in ("confidence", "reason", "fault_guess") if c in alerts.columns])
-    joined = pairs.join(a, [*SESSION, "detector"], "left")
+    return judged(pairs.join(a, [*SESSION, "detector"], "left"))
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """``rows`` (first_fault_t, alert_t) with outcome and lead."""
     faulty, silent = F.col("first_fault_t").isNotNull(), F.col("alert_t").isNull()
     on_time = F.col("alert_t") <= F.col("first_fault_t") + GRACE_S
     outcome = F.when(faulty, F.when(silent, "miss").when(on_time, "tp").otherwise("late")).otherwise(F.when(silent, "quiet").otherwise("fp"))
-    return joined.withColumn("outcome", outcome).withColumn("lead", F.when(faulty & on_time, F.greatest(F.lit(0.0), F.col("first_fault_t") - F.col("alert_t"))))
+    return rows.withColumn("outcome", outcome).withColumn("lead", F.when(faulty & on_time, F.greatest(F.lit(0.0), F.col("first_fault_t") - F.col("alert_t"))))
 
 
 def share(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 
 
-def upper_median(values: Column) -> Column:
-    """The middle of the sorted values, the upper of two; 0 without any."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.coalesce(F.try_element_at(ordered, (F.floor(F.size(ordered) / 2) + 1).cast("int")), F.lit(0.0))
+def order_statistics(rows: DataFrame, value: str, places: dict[str, Column], *keys: str) -> DataFrame:
+    """(keys, one column per place): the values at the given indexes, from 0, of each group's sorted ``value``.
+
+    A place is a column over ``n``, the number of non-null values. Nothing is gathered: values are counted, their
+    counts by range of a 64th of an octave say which range holds an index, and only the distinct values of that range
+    are ranked. Values are not negative; groups without values have no row.
+    """
+    keys = list(keys)
+    x = F.col(value).cast("double")
+    counts = rows.where(x.isNotNull()).groupBy(*keys, x.alias("_x")).agg(F.count("*").alias("_c")).withColumn("_b", F.floor(F.log2(F.col("_x") + 1e-9) * 64))
+    ranges = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c"))
+    run = Window.partitionBy(*keys).orderBy("_b")
+    ranges = ranges.withColumn("_upto", F.sum("_c").over(run)).withColumn("n", F.sum("_c").over(Window.partitionBy(*keys)))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), place.cast("bigint").alias("at")) for name, place in places.items()]))
+    hit = ranges.select(*keys, "_b", "_upto", "_c", wanted.alias("_w")).where((F.col("_w.at") < F.col("_upto")) & (F.col("_w.at") >= F.col("_upto") - F.col("_c")))
+    hit = hit.select(*keys, "_b", F.col("_w.name").alias("_name"), (F.col("_w.at") - F.col("_upto") + F.col("_c")).alias("_at"))
+    inner = counts.join(hit, [*keys, "_b"]).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys, "_name").orderBy("_x"))).where("_at < _n AND _at >= _n - _c")
+    return inner.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == name, F.col("_x"))).alias(name) for name in places])
+
+
+def upper_medians(rows: DataFrame, value: str, *keys: str) -> DataFrame:
+    """(keys, median): the middle of the sorted values, the upper of two."""
+    return order_statistics(rows, value, {"median": F.floor(F.col("n") / 2)}, *keys)
 
 
 def scored(outcomes: DataFrame, *keys: str) -> DataFrame:
-    """Counts, recall, far, earliness, score, leads for each group of ``keys``. Leads are capped, so the list that the
-    median sorts holds one number per on-time session of the group."""
+    """Counts, recall, far, earliness, score, leads for each group of ``keys``, which are not null."""
     n = lambda o: F.count_if(F.col("outcome") == o)
     faulty, clean = F.count_if(F.col("first_fault_t").isNotNull()), F.count_if(F.col("first_fault_t").isNull())
     early = F.coalesce(F.sum(F.least("lead", F.lit(LEAD_CAP_S)) / LEAD_CAP_S), F.lit(0.0))
     out = outcomes.groupBy(*keys).agg(
         F.count("*").alias("sessions"), faulty.alias("n_faulty"), clean.alias("n_clean"), *[n(o).alias(o) for o in ("tp", "late", "miss", "fp", "quiet")],
-        early.alias("_early"), upper_median(F.col("lead")).alias("median_lead"), F.coalesce(F.avg("lead"), F.lit(0.0)).alias("mean_lead"),
+        early.alias("_early"), F.coalesce(F.avg("lead"), F.lit(0.0)).alias("mean_lead"),
     )
-    out = out.withColumn("recall", share(F.col("tp"), F.col("n_faulty"))).withColumn("far", share(F.col("fp"), F.col("n_clean"))).withColumn("earliness", share(F.col("_early"), F.col("n_faulty")))
-    out = out.withColumn("score", 50 * F.col("recall") + 30 * (1 - F.col("far")) + 20 * F.col("earliness")).withColumn("precision", share(F.col("tp"), F.col("tp") + F.col("fp")))
-    return out.withColumn("f1", share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))).withColumn("fault_rate", share(100 * F.col("n_faulty"), F.col("sessions"))).drop("_early")
+    out = out.join(upper_medians(outcomes, "lead", *keys), list(keys), "left").withColumn("median_lead", F.coalesce("median", F.lit(0.0))).drop("median")
+    out = out.withColumns({"recall": share(F.col("tp"), F.col("n_faulty")), "far": share(F.col("fp"), F.col("n_clean")), "earliness": share(F.col("_early"), F.col("n_faulty"))})
+    out = out.withColumns({"score": 50 * F.col("recall") + 30 * (1 - F.col("far")) + 20 * F.col("earliness"), "precision": share(F.col("tp"), F.col("tp") + F.col("fp"))})
+    return out.withColumns({"f1": share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), "fault_rate": share(100 * F.col("n_faulty"), F.col("sessions"))}).drop("_early")
 
 
 def recall_by_family(outcomes: DataFrame) -> DataFrame:
@@ -187,20 +210,48 @@ def transitions(old: DataFrame, new: DataFrame) -> DataFrame:
     return o.join(n, list(SESSION)).groupBy(state("o").alias("before"), state("n").alias("after")).agg(F.count("*").alias("n"))
 
 
-def bankers_percentile(values: Column, p: float) -> Column:
-    """The value at index round-half-even(p * (n - 1)) of the sorted values."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.try_element_at(ordered, (F.bround((F.size(ordered) - 1) * F.lit(p), 0) + 1).cast("int"))
+def anchor_moves(old: DataFrame, new: DataFrame, moved_s: float = 0.5) -> DataFrame:
+    """(family, n, moved, mean_s, least_s, most_s): how first faults of one family move in time between two profiles."""
+    o = old.where("first_fault_t IS NOT NULL").select(*SESSION, F.col("first_fault_t").alias("a"), F.col("first_fault_family").alias("family"))
+    n = new.where("first_fault_t IS NOT NULL").select(*SESSION, F.col("first_fault_t").alias("b"), F.col("first_fault_family").alias("family"))
+    d = F.col("b") - F.col("a")
+    j = o.join(n, [*SESSION, "family"])
+    return j.groupBy("family").agg(F.count("*").alias("n"), F.count_if(F.abs(d) > moved_s).alias("moved"), F.avg(d).alias("mean_s"), F.min(d).alias("least_s"), F.max(d).alias("most_s"))
+
+
+def censor_counts(labels: DataFrame) -> DataFrame:
+    """(kind, value, n): censor reasons and quality flags of a profile, flags by their name before the colon."""
+    reasons = labels.where("censored").select(F.lit("reason").alias("kind"), F.col("censor_reason").alias("value"))
+    flags = labels.select(F.lit("flag").alias("kind"), F.substring_index(F.explode("quality_flags"), ":", 1).alias("value"))
+    return reasons.unionByName(flags).groupBy("kind", "value").agg(F.count("*").alias("n"))
 
 
 def latency_evidence(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Response times by message and class of session: n, p50, p99, max, per cent over the limit."""
+    """Response times by message and class of session: n, p50, p99 (at index round-half-even(p (n - 1))), max, per cent over the limit."""
     from ..functions import constants as K
 
     limit = K.lookup({k[:-3] + "Res": v for k, v in K.MSG_TIMEOUT_S.items()}, F.col("msg"))
-    j = rows.where("req_res_latency IS NOT NULL").join(labels.select(*SESSION, F.col("first_fault_t").isNotNull().alias("faulty")), list(SESSION))
+    j = rows.where("req_res_latency IS NOT NULL").select(*SESSION, "msg", "req_res_latency").join(labels.select(*SESSION, F.col("first_fault_t").isNotNull().alias("faulty")), list(SESSION))
     x = F.col("req_res_latency")
-    return j.groupBy("msg", "faulty").agg(F.count("*").alias("n"), bankers_percentile(x, 0.5).alias("p50"), bankers_percentile(x, 0.99).alias("p99"), F.max(x).alias("most"), share(100 * F.count_if(x > limit), F.count("*")).alias("over"))
+    out = j.groupBy("msg", "faulty").agg(F.count("*").alias("n"), F.max(x).alias("most"), share(100 * F.count_if(x > limit), F.count("*")).alias("over"))
+    at = lambda p: F.bround((F.col("n") - 1) * F.lit(p), 0)
+    return out.join(order_statistics(j, "req_res_latency", {"p50": at(0.5), "p99": at(0.99)}, "msg", "faulty"), ["msg", "faulty"])
+
+
+def span_evidence(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Longest sequence gap, Ongoing span and cable check of each session by class: n, p50, p99, max, share past the limit, and a verdict.
+
+    A limit "separates" where faulty sessions pass it at least twice as often as clean ones, else it is "flat"; needs conformance features.
+    """
+    limits = {"seq_gap_s": 60.0, "ongoing_s": 60.0, "cablecheck_s": 40.0, "comm_setup_s": 20.0}
+    most = rows.groupBy(*SESSION).agg(*[F.max(c).alias(c) for c in limits])
+    j = most.join(labels.select(*SESSION, F.col("first_fault_t").isNotNull().alias("faulty")), list(SESSION))
+    long = j.select("faulty", F.explode(F.array(*[F.struct(F.lit(c).alias("timer"), F.col(c).alias("x"), F.lit(v).alias("limit")) for c, v in limits.items()])).alias("s")).select("faulty", "s.*")
+    out = long.groupBy("timer", "faulty").agg(F.count("*").alias("n"), F.max("x").alias("most"), share(F.count_if(F.col("x") >= F.col("limit")), F.count("*")).alias("past"))
+    at = lambda p: F.bround((F.col("n") - 1) * F.lit(p), 0)
+    out = out.join(order_statistics(long, "x", {"p50": at(0.5), "p99": at(0.99)}, "timer", "faulty"), ["timer", "faulty"])
+    side = lambda f: F.max(F.when(F.col("faulty") == f, F.col("past"))).over(Window.partitionBy("timer"))
+    return out.withColumn("verdict", F.when(F.coalesce(side(True), F.lit(0.0)) >= 2 * F.coalesce(side(False), F.lit(0.0)), "separates").otherwise("flat"))
 
 
 def projected(alerts: DataFrame, fires: DataFrame, adopting: list[str]) -> DataFrame:
@@ -212,10 +263,23 @@ def projected(alerts: DataFrame, fires: DataFrame, adopting: list[str]) -> DataF
     return j.withColumn("t", F.when(F.col("detector").isin(*adopting), F.least("_a", "_f")).otherwise(F.col("_a"))).where("t IS NOT NULL").select(*SESSION, "detector", "t")
 
 
-def wait_sweep(trace: DataFrame, waits: list[float]) -> DataFrame:
-    """(wait, session, t): when a rule that waits so long would first fire, from rows (session, age_s, t)."""
-    table = trace.sparkSession.createDataFrame([(float(w),) for w in waits], "wait double")
-    return trace.crossJoin(F.broadcast(table)).where(F.col("age_s") >= F.col("wait")).groupBy("wait", *SESSION).agg(F.min("t").alias("t"))
+# fixed values: the waits of the sweep, in seconds
+WAITS = (0.2, 0.4, 0.6, 0.8, 1.0, 2.0, 3.0, 5.0, 7.0, 10.0, 15.0, 20.0, 30.0, 45.0, 60.0)
+
+
+def wait_sweep(trace: DataFrame, waits: tuple[float, ...] = WAITS) -> DataFrame:
+    """(wait, session, t): when a rule that waits so long would first fire, from rows (session, age_s, t); one pass for all waits."""
+    fires = trace.groupBy(*SESSION).agg(*[F.min(F.when(F.col("age_s") >= w, F.col("t"))).alias(f"_{i}") for i, w in enumerate(waits)])
+    each = F.array_compact(F.array(*[F.when(F.col(f"_{i}").isNotNull(), F.struct(F.lit(float(w)).alias("wait"), F.col(f"_{i}").alias("t"))) for i, w in enumerate(waits)]))
+    return fires.select(*SESSION, F.explode(each).alias("f")).select("f.wait", *SESSION, "f.t")
+
+
+def wait_scores(labels: DataFrame, alerts: DataFrame, sweep: DataFrame, waits: tuple[float, ...] = WAITS) -> DataFrame:
+    """Scores by wait of one detector whose first alert is the earlier of its own (session, t) and the rule's at that wait."""
+    table = labels.sparkSession.createDataFrame([(float(w),) for w in waits], "wait double")  # a short list
+    base = labels.select(*SESSION, "first_fault_t", "first_fault_family").join(alerts.select(*SESSION, F.col("t").alias("_a")), list(SESSION), "left").crossJoin(F.broadcast(table))
+    j = base.join(sweep.select("wait", *SESSION, F.col("t").alias("_f")), ["wait", *SESSION], "left").withColumn("alert_t", F.least("_a", "_f"))
+    return scored(judged(j), "wait")
 
 
 def agreement(projected: DataFrame, replayed: DataFrame) -> DataFrame:
@@ -232,18 +296,94 @@ def abort_audit(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return labels.where("first_fault_family = 'SESSION_ABORT'").select(*SESSION).join(m.withColumn("tags", tags).select(*SESSION, "tags"), list(SESSION))
 
 
-CRITERIA = {"ongoing 55": ("ongoing_s", 55.0), "ongoing 60": ("ongoing_s", 60.0), "sequence 40": ("seq_gap_s", 40.0), "sequence 60": ("seq_gap_s", 60.0), "setup 18": ("comm_setup_s", 18.0), "setup 20": ("comm_setup_s", 20.0), "cable 38": ("cablecheck_s", 38.0), "cable 40": ("cablecheck_s", 40.0), "precharge 5": ("precharge_s", 5.0), "precharge 7": ("precharge_s", 7.0), "message 1": ("msg_timeout_ratio", 1.0), "redialog": ("dialog", 2.0)}
+# fixed values: criterion, feature, limit; the first eight have no equivalent in the strict labels
+CRITERIA = {
+    "Ongoing 60 s": ("ongoing_ratio", 1.0), "sequence 60 s": ("seq_timeout_ratio", 1.0), "setup 20 s": ("comm_setup_s", 20.0), "cable check 40 s": ("cablecheck_breach", 1.0),
+    "pre-charge 7 s": ("precharge_breach", 1.0), "message timeout": ("msg_timeout_ratio", 1.0), "illegal successor": ("seq_illegal", 1.0), "dialog reopened": ("dialog", 2.0),
+    "response failed": ("rc_sev", 1.0), "EVSE status": ("evse_sev", 1.0), "isolation fault": ("isolation_sev", 1.0), "EV error": ("ev_err_sev", 1.0),
+}
+NEW_CRITERIA = tuple(CRITERIA)[:8]
 
 
-def criterion_audit(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """For each criterion: sessions that meet it, among them faulty and clean ones."""
-    most = rows.groupBy(*SESSION).agg(*[F.max(c).cast("double").alias(c) for c in sorted({c for c, _ in CRITERIA.values()})])
+def _criteria_met(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    most = rows.groupBy(*SESSION).agg(*[F.max(F.col(c).cast("double")).alias(c) for c in sorted({c for c, _ in CRITERIA.values()})])
     hits = F.array_compact(F.array(*[F.when(F.col(c) >= v, name) for name, (c, v) in CRITERIA.items()]))
-    j = most.join(labels.select(*SESSION, "first_fault_t"), list(SESSION)).select("first_fault_t", F.explode(hits).alias("criterion"))
+    return most.withColumn("hits", hits).select(*SESSION, "hits").join(labels.select(*SESSION, "first_fault_t", "first_fault_family"), list(SESSION))
+
+
+def criterion_audit(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """For each criterion, for "any" and for "new only": sessions that meet it, among them faulty and clean ones."""
+    new = F.exists("hits", lambda h: h.isin(*NEW_CRITERIA))
+    named = F.concat("hits", F.when(F.size("hits") > 0, F.array(F.lit("any"))).otherwise(F.array().cast("array<string>")), F.when(new, F.array(F.lit("new only"))).otherwise(F.array().cast("array<string>")))
+    j = _criteria_met(rows, labels).select("first_fault_t", F.explode(named).alias("criterion"))
     return j.groupBy("criterion").agg(F.count("*").alias("n"), F.count_if(F.col("first_fault_t").isNotNull()).alias("on_faulty"), F.count_if(F.col("first_fault_t").isNull()).alias("on_clean"))
 
 
+def unmet_by_family(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(family, n): faulty sessions that meet no criterion."""
+    return _criteria_met(rows, labels).where("first_fault_t IS NOT NULL AND size(hits) = 0").groupBy(F.col("first_fault_family").alias("family")).agg(F.count("*").alias("n"))
+
+
 def fleet(labels: DataFrame) -> DataFrame:
     """By station: sessions, faulty, delivered and graceful shares, true median of minutes."""
     minutes = (F.col("t_end") - F.col("t_start")) / 60
     return labels.groupBy("station").agg(F.count("*").alias("n"), F.count_if(F.col("first_fault_t").isNotNull()).alias("faulty"), share(F.count_if(F.col("reached_current_demand")), F.count("*")).alias("delivered"), share(F.count_if(F.col("graceful_close")), F.count("*")).alias("graceful"), F.percentile(minutes, F.lit(0.5)).alias("median_min"))
+
+
+def corroborated_detection(audit: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(detector, corroborated, n, detected): abort sessions with and without evidence tags, and how many were caught."""
+    tagged = audit.select(*SESSION, (F.size("tags") > 0).alias("corroborated"))
+    return tagged.join(outcomes.select(*SESSION, "detector", "outcome"), list(SESSION)).groupBy("detector", "corroborated").agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "tp").alias("detected"))
+
+
+def by_source(outcomes: DataFrame, sources: DataFrame, *names: str) -> DataFrame:
+    """(detector, recall_<source>, far_<source>, spread): scores by the stations' source (station, source), and the widest gap in recall."""
+    g = scored(outcomes.join(sources, "station"), "detector", "source")
+    wide = g.groupBy("detector").pivot("source", list(names)).agg(F.first("recall").alias("recall"), F.first("far").alias("far"))
+    spread = g.groupBy("detector").agg((F.max("recall") - F.min("recall")).alias("spread"))
+    return wide.select("detector", *[F.col(f"{n}_{m}").alias(f"{m}_{n}") for n in names for m in ("recall", "far")]).join(spread, "detector")
+
+
+def fault_rates(labels: DataFrame, n: int = 15) -> DataFrame:
+    """(station, n, faulty, rate): the stations with the highest fault rates, of equals by name; the limit is the report's length."""
+    g = labels.groupBy("station").agg(F.count("*").alias("n"), F.count("first_fault_t").alias("faulty")).withColumn("rate", F.col("faulty") / F.col("n"))
+    return g.orderBy(F.desc("rate"), "station").limit(n)
+
+
+def totals(stations: DataFrame, split: str | None = None, name_part: str = "") -> DataFrame:
+    """One row over station rows (station, split, sessions, n_faulty): stations, sessions, faulty of those that match, and hidden, how many do not."""
+    match = F.col("station").contains(name_part) if split is None else (F.col("split") == split) & F.col("station").contains(name_part)
+    m = F.coalesce(match, F.lit(False))
+    return stations.agg(F.count_if(m).alias("stations"), F.coalesce(F.sum(F.when(m, F.col("sessions"))), F.lit(0)).alias("sessions"), F.coalesce(F.sum(F.when(m, F.col("n_faulty"))), F.lit(0)).alias("n_faulty"), F.count_if(~m).alias("hidden"))
+
+
+def rescored(alerts: DataFrame, labels: DataFrame, detectors: DataFrame) -> DataFrame:
+    """Scores of recorded first alerts under another label set; sessions that it does not have take no part."""
+    return scored(outcomes(labels, alerts, detectors), "detector")
+
+
+def without(outcomes: DataFrame, questioned: DataFrame) -> DataFrame:
+    """Scores without the questioned sessions."""
+    return scored(outcomes.join(questioned.select(*SESSION).distinct(), list(SESSION), "left_anti"), "detector")
+
+
+def generations(boards: DataFrame, names: list[str], metric: str = "score") -> DataFrame:
+    """(detector, arm, one column per generation, change): a metric of boards (generation, arm, detector) side by side, and last minus first."""
+    wide = boards.groupBy("detector", "arm").pivot("generation", names).agg(F.first(metric))
+    return wide.withColumn("change", F.col(f"`{names[-1]}`") - F.col(f"`{names[0]}`"))
+
+
+def matched_grid(board: DataFrame, grids: DataFrame, n_detectors: int = 5) -> DataFrame:
+    """(grid, matches, relation): published grids (grid, detector, score, recall, far, to one decimal) against a leaderboard.
+
+    "same" where all detectors agree in the three to one decimal, "different" where not; "unknown" if the board
+    does not have exactly ``n_detectors`` scored rows.
+    """
+    one = lambda c: F.round(F.col(c), 1)
+    full = board.where("score IS NOT NULL AND recall IS NOT NULL AND far IS NOT NULL")
+    j = grids.join(full.select("detector", one("score").alias("_s"), one("recall").alias("_r"), one("far").alias("_f")), "detector", "left")
+    same = (one("score") == F.col("_s")) & (one("recall") == F.col("_r")) & (one("far") == F.col("_f"))
+    g = j.groupBy("grid").agg(F.count_if(F.coalesce(same, F.lit(False))).alias("matches"))
+    known = full.agg((F.count("*") == n_detectors).alias("_known"))
+    relation = F.when(~F.col("_known"), "unknown").when(F.col("matches") == n_detectors, "same").otherwise("different")
+    return g.crossJoin(F.broadcast(known)).select("grid", "matches", relation.alias("relation"))  # one row

@@ -16,40 +16,86 @@ def hash_order(*columns: str, seed: int = 42):
     return F.xxhash64(F.lit(seed), *columns)
 
 
-def station_holdout(stations: DataFrame, share: float = 0.2, seed: int = 42) -> DataFrame:
-    """(station, site, group, split): whole sites go to test, in hash order, until a group's stations reach its share."""
+def station_holdout(stations: DataFrame, share: float = 0.2, seed: int = 42, inherited: DataFrame | None = None) -> DataFrame:
+    """(station, site, group, split): whole sites go to test, in hash order, until a group's stations reach its share.
+
+    ``inherited`` (station) are test stations of an earlier split: their sites come first and always stay in test. An
+    inherited station that is missing is an error. A site lies in one split only, whatever groups its stations have.
+    """
     s = stations.select("station").distinct().withColumn("site", S.site_of(F.col("station"))).withColumn("group", S.station_group(F.col("station")))
-    sites = s.groupBy("group", "site").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("group").orderBy(hash_order("site", seed=seed), "site")
+    if inherited is None:
+        inherited = s.where("false").select("station")
+    old = inherited.select("station").distinct().join(s, "station", "left")
+    old = old.select("site", F.assert_true(F.col("site").isNotNull(), F.concat(F.lit("inherited station is missing: "), "station")).alias("_ok")).where("_ok IS NULL").select("site").distinct().withColumn("_old", F.lit(True))
+    sites = s.groupBy("group", "site").agg(F.count("*").alias("n")).join(old, "site", "left").withColumn("_old", F.coalesce("_old", F.lit(False)))
+    order = Window.partitionBy("group").orderBy(F.desc("_old"), hash_order("site", seed=seed), "site")
     before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     want = F.ceil(share * F.sum("n").over(Window.partitionBy("group")))
-    chosen = sites.withColumn("split", F.when(before < want, "test").otherwise("train"))
+    chosen = sites.withColumn("split", F.when(F.col("_old") | (before < want), "test").otherwise("train"))
     # a site that is held out in one group is held out in all
     chosen = chosen.groupBy("site").agg(F.min("split").alias("split"))
     return s.join(chosen, "site").select("station", "site", "group", "split")
 
 
+def leaked_sites(split: DataFrame) -> DataFrame:
+    """Sites whose stations lie in more than one split; none is expected."""
+    return split.groupBy("site").agg(F.countDistinct("split").alias("n_splits")).where("n_splits > 1")
+
+
 def step_labels(rows: DataFrame, labels: DataFrame, horizon_s: float = HORIZON_S) -> DataFrame:
     """``rows`` with y = 1 from ``horizon_s`` before the first fault on."""
     j = rows.join(labels.select(*SESSION, "first_fault_t"), list(SESSION))
     return j.withColumn("y", F.when(F.col("first_fault_t") - F.col("t") <= horizon_s, 1).otherwise(0))
 
 
+RANGES = 1 << 16
+
+
+def least_by_hash(rows: DataFrame, n: int, *keys: str, seed: int = 42) -> DataFrame:
+    """The ``n`` rows of ``rows`` with the least hash of ``keys``: a uniform, deterministic choice, which no task sorts or holds whole.
+
+    Rows are counted by RANGES ranges of the hash. Ranges below the one that holds the n-th hash are taken whole; only
+    that range's rows are ranked.
+    """
+    h = hash_order(*keys, seed=seed)
+    rows = rows.withColumn("_h", h).withColumn("_r", F.shiftright("_h", 48))
+    ranges = rows.groupBy("_r").agg(F.count("*").alias("_c"))
+    ranges = ranges.withColumn("_before", F.sum("_c").over(Window.orderBy("_r")) - F.col("_c"))  # at most RANGES rows
+    room = ranges.where(F.col("_before") < n).select("_r", (F.lit(n) - F.col("_before")).alias("_room"), "_c")
+    kept = rows.join(F.broadcast(room), "_r")  # at most RANGES rows
+    edge = kept.where("_room < _c").withColumn("_n", F.row_number().over(Window.partitionBy("_r").orderBy("_h", *keys))).where("_n <= _room").drop("_n")
+    return kept.where("_room >= _c").unionByName(edge).drop("_h", "_r", "_room", "_c")
+
+
 def subsample_negatives(rows: DataFrame, ratio: int = 8, least: int = 1000, cap: int = 400_000, seed: int = 42) -> DataFrame:
-    """All positives and at most ratio x max(positives, least) negatives, no more than ``cap``, in hash order.
+    """All positives and at most ratio x max(positives, least) negatives, no more than ``cap``, those of the least hash.
 
-    The threshold hash is found from counts of hash ranges, so no partition sorts all negatives.
+    The number of positives is a row of the plan, not an action: the threshold is found from counts of hash ranges.
     """
-    positives = rows.agg(F.count_if(F.col("y") == 1)).first()[0]
-    keep = min(cap, ratio * max(positives, least))
-    negatives = rows.where("y = 0").orderBy(hash_order(*SESSION, "seq", seed=seed)).limit(keep)
-    return rows.where("y = 1").unionByName(negatives)
+    h = hash_order(*SESSION, "seq", seed=seed)
+    rows = rows.withColumn("_h", h).withColumn("_r", F.shiftright("_h", 48))
+    negatives = rows.where("y = 0")
+    keep = rows.agg(F.least(F.lit(cap), ratio * F.greatest(F.count_if(F.col("y") == 1), F.lit(least))).alias("_keep"))
+    ranges = negatives.groupBy("_r").agg(F.count("*").alias("_c"))
+    ranges = ranges.withColumn("_before", F.sum("_c").over(Window.orderBy("_r")) - F.col("_c")).crossJoin(F.broadcast(keep))  # at most RANGES rows, and one
+    room = ranges.where("_before < _keep").select("_r", (F.col("_keep") - F.col("_before")).alias("_room"), "_c")
+    kept = negatives.join(F.broadcast(room), "_r")
+    edge = kept.where("_room < _c").withColumn("_n", F.row_number().over(Window.partitionBy("_r").orderBy("_h", *SESSION, "seq"))).where("_n <= _room").drop("_n")
+    out = kept.where("_room >= _c").unionByName(edge).drop("_room", "_c")
+    return rows.where("y = 1").unionByName(out).drop("_h", "_r")
 
 
 def session_threshold(scores: DataFrame, labels: DataFrame, quantile: float = 0.95) -> DataFrame:
-    """The quantile over clean sessions of their greatest score."""
+    """The quantile, linear between neighbours, over clean sessions of their greatest score; by counting, without gathering the scores."""
+    from .scoring import order_statistics
+
     clean = scores.join(labels.where("first_fault_t IS NULL").select(*SESSION), list(SESSION), "left_semi")
-    return clean.groupBy(*SESSION).agg(F.max("score").alias("score")).agg(F.percentile("score", F.lit(quantile)).alias("threshold"))
+    most = clean.groupBy(*SESSION).agg(F.max("score").alias("score")).withColumn("_all", F.lit(1))
+    at = (F.col("n") - 1) * F.lit(quantile)
+    two = order_statistics(most, "score", {"lo": F.floor(at), "hi": F.ceil(at)}, "_all")
+    place = most.where("score IS NOT NULL").groupBy("_all").agg(((F.count("*") - 1) * F.lit(quantile)).alias("_at"))
+    part = F.col("_at") - F.floor("_at")
+    return two.join(place, "_all").select((F.col("lo") * (1 - part) + F.col("hi") * part).alias("threshold"))
 
 
 def sliding_windows(rows: DataFrame, value: str, length: int = 32, stride: int = 8) -> DataFrame:
@@ -61,7 +107,7 @@ def sliding_windows(rows: DataFrame, value: str, length: int = 32, stride: int =
 
 def capped(df: DataFrame, n: int, *keys: str, seed: int = 42) -> DataFrame:
     """A uniform, deterministic choice of at most ``n`` rows."""
-    return df.orderBy(hash_order(*keys, seed=seed), *keys).limit(n)
+    return least_by_hash(df, n, *keys, seed=seed)
 
 
 def state_stack(rows: DataFrame, value: str, depth: int = 4) -> DataFrame:
@@ -91,10 +137,35 @@ def patch_labels(features: DataFrame, labels: DataFrame, moved_s: float = 0.5) -
 
 def clean_sample(labels: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """All faulty sessions and ``n`` clean ones in hash order."""
-    clean = labels.where("first_fault_t IS NULL").orderBy(hash_order(*SESSION, seed=seed), *SESSION).limit(n)
+    clean = least_by_hash(labels.where("first_fault_t IS NULL"), n, *SESSION, seed=seed)
     return labels.where("first_fault_t IS NOT NULL").unionByName(clean)
 
 
 def stage_split(sessions: DataFrame, split: DataFrame, name: str) -> DataFrame:
     """The rows of one split's stations."""
     return sessions.join(split.where(F.col("split") == name).select("station"), "station", "left_semi")
+
+
+def missing_from(staged: DataFrame, labels: DataFrame, split: DataFrame, name: str) -> DataFrame:
+    """Labelled sessions of the split that ``staged`` does not have; none is expected."""
+    wanted = labels.join(split.where(F.col("split") == name).select("station"), "station", "left_semi").select(*SESSION)
+    return wanted.join(staged.select(*SESSION).distinct(), list(SESSION), "left_anti")
+
+
+def window_samples(windows: DataFrame, n: int, *keys: str, source: str = "station", seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """A uniform choice of at most ``n`` windows over all sources, and (source, windows, kept): where they come from."""
+    kept = least_by_hash(windows, n, *keys, seed=seed)
+    seen = windows.groupBy(source).agg(F.count("*").alias("windows"))
+    return kept, seen.join(kept.groupBy(source).agg(F.count("*").alias("kept")), source, "left").fillna(0, ["kept"])
+
+
+def select_split(index: DataFrame, split: DataFrame, wanted: str) -> DataFrame:
+    """Sessions of ``index`` by what is asked for: "all", a split's name, a group's name, or station name parts with commas between."""
+    if wanted == "all":
+        return index
+    if wanted in ("test", "train"):
+        return stage_split(index, split, wanted)
+    if wanted in ("main", "v2g2024", "v2g2025"):
+        return index.where(S.station_group(F.col("station")) == wanted)
+    parts = F.array(*[F.lit(p.strip()) for p in wanted.split(",") if p.strip()])
+    return index.where(F.exists(parts, lambda p: F.col("station").contains(p)))

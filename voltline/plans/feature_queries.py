@@ -235,14 +235,63 @@ def f14(s, d):
 
 
 _FLAG = lambda c: f"CASE WHEN {c} THEN 1.0 ELSE 0.0 END"
+_WITHIN = lambda c, by, top: f"greatest(least(coalesce({c}, 0) / {by}, {top}), -{top})"
+VECTOR_SQL = [
+    f"CASE phase {' '.join(f"WHEN '{p}' THEN {i}" for i, p in enumerate(K.PHASES))} END / 6.0", "least(phase_elapsed / 60, 5)", "least(session_elapsed / 600, 5)", "least(coalesce(dt_v2g, 0), 10)", "least(coalesce(req_res_latency, 0) / 0.25, 10)",
+    _WITHIN("latency_z", 1, 8), _WITHIN("v_dev", 50, 8), _WITHIN("i_dev", 50, 8), _WITHIN("v_ripple_z", 1, 8), _WITHIN("i_ripple_z", 1, 8), "coalesce(soc, 50) / 100", _WITHIN("soc_rate * 60", 1, 5), "least(coalesce(remaining_full_min, 0) / 60, 5)", _WITHIN("remaining_trend", 1, 5),
+    "least(retx_60s / 20.0, 3)", _FLAG("rst_seen"), "least(coalesce(link_gap, 0) / 5, 10)", "least(slac_attempts / 3.0, 3)", "least(cablecheck_n / 40.0, 3)", "least(cablecheck_elapsed / 40, 3)", "least(precharge_elapsed / 7, 3)", _WITHIN("precharge_v_gap", 50, 8),
+    "CASE WHEN notification = 'StopCharging' THEN 2.0 ELSE 0.0 END", _FLAG("isolation = 'Warning'"), "len(limit_achieved)", _FLAG("validation = 'FAIL'"), _FLAG("i_collapse"), _FLAG("v_over"), _WITHIN("gap_z", 1, 8),
+    _FLAG("resp_code <> ''"), _FLAG("evse_status <> ''"), _FLAG("ev_err <> ''"), _FLAG("isolation = 'Fault'"),
+]
 
 
-@query("b10_feature_vector", f"""WITH {O.TRACK}, v AS (SELECT seq, [
- CASE phase {' '.join(f"WHEN '{p}' THEN {i}" for i, p in enumerate(K.PHASES))} END / 6.0, least(phase_elapsed / 60, 5), least(session_elapsed / 600, 5), least(coalesce(dt_v2g, 0), 10), least(coalesce(req_res_latency, 0) / 0.25, 10),
- 0, greatest(least(coalesce(v_dev, 0) / 50, 8), -8), greatest(least(coalesce(i_dev, 0) / 50, 8), -8), coalesce(soc, 50) / 100, least(coalesce(remaining_full_min, 0) / 60, 5), least(retx_60s / 20.0, 3), {_FLAG('rst_seen')}, least(coalesce(link_gap, 0) / 5, 10),
- least(slac_attempts / 3.0, 3), least(cablecheck_n / 40.0, 3), least(cablecheck_elapsed / 40, 3), least(precharge_elapsed / 7, 3), greatest(least(coalesce(precharge_v_gap, 0) / 50, 8), -8),
- CASE WHEN notification = 'StopCharging' THEN 2.0 ELSE 0.0 END, {_FLAG("isolation = 'Warning'")}, len(limit_achieved), {_FLAG("validation = 'FAIL'")}, {_FLAG('i_collapse')}, {_FLAG('v_over')}, {_FLAG("resp_code <> ''")}, {_FLAG("evse_status <> ''")}, {_FLAG("ev_err <> ''")}, {_FLAG("isolation = 'Fault'")}
- ]::DOUBLE[] AS x FROM trk) SELECT seq, CAST(round(list_sum(x) * 1e4) AS BIGINT) AS total, 33 AS width FROM v""")
+def numbers(vector: str, width: int):
+    """The numbers of a vector as whole thousandths, a column each, so that order and every number are compared."""
+    return [F.round(F.col(vector)[i] * 1e3).cast("bigint").alias(f"x{i:02d}") for i in range(width)]
+
+
+def numbers_sql(parts: list[str]) -> str:
+    return ", ".join(f"CAST(round(({p})::DOUBLE * 1e3) AS BIGINT) AS x{i:02d}" for i, p in enumerate(parts))
+
+
+def smoothed(spark, sf_dir) -> DataFrame:
+    return X.smoothed(tracked(spark, sf_dir))
+
+
+@query("b10_feature_vector", f"WITH {O.FULL} SELECT seq, {numbers_sql(VECTOR_SQL)} FROM full_trk")
 def b10(s, d):
-    rows = X.feature_vector(tracked(s, d).withColumn("soc_rate", F.lit(0.0)).withColumn("remaining_trend", F.lit(0.0)))
-    return rows.select("seq", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x) * 1e4).cast("bigint").alias("total"), F.size("vector").alias("width"))
+    return X.feature_vector(smoothed(s, d)).select("seq", *numbers("vector", len(VECTOR_SQL)))
+
+
+@query("b12_narrow", f"WITH {O.FULL} SELECT seq, {numbers_sql(VECTOR_SQL[:12])} FROM full_trk")
+def b12(s, d):
+    return X.narrow(X.feature_vector(smoothed(s, d)), 12).select("seq", *numbers("vector", 12))
+
+
+@query("f4_all_series", f"WITH {O.FULL} SELECT seq, " + ", ".join(f"round({n}_z, 3) AS {n}_z" for n in ("latency", "gap", "v_ripple", "i_ripple")) + " FROM full_trk")
+def f4_all(s, d):
+    return smoothed(s, d).select("seq", *[F.round(f"{n}_z", 3).alias(f"{n}_z") for n in ("latency", "gap", "v_ripple", "i_ripple")])
+
+
+_TURNS = f"""tu AS (SELECT *, phase <> coalesce(lag(phase) OVER ({O.P} {O.O}), 'idle') AS turn, coalesce(lag(phase) OVER ({O.P} {O.O}), 'idle') AS was FROM full_trk),
+tv AS (SELECT *, {O.last("CASE WHEN turn THEN t END", before=True)} AS entered FROM tu)"""
+
+
+@query("f14_session_observations", f"WITH {O.FULL}, {_TURNS} SELECT station, connector, sid, CAST(round(arg_max(t - entered, (t, seq)) FILTER (turn AND was = 'handshake' AND entered IS NOT NULL) * 1e6) AS BIGINT) AS handshake_s_us, CAST(round(arg_max(t - entered, (t, seq)) FILTER (turn AND was = 'cablecheck' AND entered IS NOT NULL) * 1e6) AS BIGINT) AS cablecheck_s_us, CAST(round(avg(abs(v_ripple_z)) FILTER (phase = 'delivery' AND abs(v_ripple_z) > 0) * 1e3) AS BIGINT) AS mean_ripple_m, bool_or(phase = 'delivery') AS reached_delivery, bool_or(msg = 'SessionStopRes') AS graceful FROM tv GROUP BY ALL")
+def f14_sessions(s, d):
+    out = X.session_observations(smoothed(s, d))
+    return out.select(*Z.SESSION, *micros("handshake_s", "cablecheck_s"), F.round(F.col("mean_ripple") * 1e3).cast("bigint").alias("mean_ripple_m"), "reached_delivery", "graceful")
+
+
+_TOP = lambda c, by=1: f"greatest(least({c} / {by}, 8), 0)"
+CONFORMANCE_SQL = [
+    _TOP("msg_timeout_ratio"), _TOP("msg_timeout_max"), _TOP("msg_perf_ratio"), _TOP("n_msg_breach", 5.0), _TOP("seq_gap_s", 40.0), _TOP("seq_gap_s", 60.0), _TOP("n_seq_breach", 3.0), _TOP("ongoing_s", 60.0), _FLAG("ongoing_s >= 55"),
+    _TOP("comm_setup_s", 20.0), _TOP("cablecheck_s", 40.0), _FLAG("cablecheck_open AND cablecheck_s >= 40"), _TOP("precharge_s", 7.0), _FLAG("precharge_s >= 7"), _FLAG("seq_illegal"), _TOP("n_seq_illegal", 3.0),
+    "greatest(stage_max, 0) / 11.0", _FLAG("stage_regress"), _FLAG("resp_code <> ''"), _FLAG("evse_status <> ''"), "CASE isolation WHEN 'Fault' THEN 1.0 WHEN 'Warning' THEN 0.4 ELSE 0 END", "CASE notification WHEN 'StopCharging' THEN 0.4 ELSE 0 END", _FLAG("ev_err <> ''"),
+    "greatest(least(v_over_max, 4), -1)", "greatest(least(i_over_max, 4), -1)", _TOP("precharge_v_gap_ratio"), "least(greatest(dialog - 1, 0), 4)",
+]
+
+
+@query("b11_conformance_vector", f"WITH {O.CONF} SELECT seq, {numbers_sql(CONFORMANCE_SQL)} FROM conf")
+def b11(s, d):
+    return X.conformance_vector(X.conformance(sessions(s, d))).select("seq", *numbers("conformance_vector", len(CONFORMANCE_SQL)))

@@ -34,6 +34,10 @@ def everything(s, d) -> DataFrame:
     return X.conformance(tracked(s, d))
 
 
+def all_tools(s, d) -> DataFrame:
+    return X.matching(X.conformance(X.smoothed(tracked(s, d))))
+
+
 def evidence(s, d) -> DataFrame:
     return G.is_session(G.session_evidence(sessions(s, d)))
 
@@ -52,9 +56,9 @@ def c1(s, d):
     return X.dialogs(sessions(s, d)).select("seq", F.col("dialog").cast("bigint").alias("dialog"))
 
 
-@query("c2_message_timeouts", f"WITH {O.CONF} SELECT seq, {us('msg_timeout_ratio')} FROM conf")
+@query("c2_message_timeouts", f"WITH {O.CONF} SELECT seq, {us('msg_timeout_ratio', 'msg_timeout_max')}, n_msg_breach FROM conf")
 def c2(s, d):
-    return X.message_timers(X.dialogs(sessions(s, d))).select("seq", *micros("msg_timeout_ratio"))
+    return X.message_timers(X.dialogs(sessions(s, d))).select("seq", *micros("msg_timeout_ratio", "msg_timeout_max"), F.col("n_msg_breach").cast("bigint").alias("n_msg_breach"))
 
 
 @query("c3_message_performance", f"WITH {O.CONF} SELECT seq, {us('msg_perf_ratio')} FROM conf")
@@ -62,14 +66,14 @@ def c3(s, d):
     return X.message_timers(X.dialogs(sessions(s, d))).select("seq", *micros("msg_perf_ratio"))
 
 
-@query("c4_sequence_timer", f"WITH {O.CONF} SELECT seq, {us('seq_gap_s')} FROM conf")
+@query("c4_sequence_timer", f"WITH {O.CONF} SELECT seq, {us('seq_gap_s')}, n_seq_breach FROM conf")
 def c4(s, d):
-    return X.sequence_timer(X.dialogs(sessions(s, d))).select("seq", *micros("seq_gap_s"))
+    return X.sequence_timer(X.dialogs(sessions(s, d))).select("seq", *micros("seq_gap_s"), F.col("n_seq_breach").cast("bigint").alias("n_seq_breach"))
 
 
-@query("c5_ongoing", f"WITH {O.CONF} SELECT seq, {us('ongoing_s')} FROM conf")
+@query("c5_ongoing", f"WITH {O.CONF} SELECT seq, {us('ongoing_s')}, ongoing_s >= 55 AS ongoing_breach FROM conf")
 def c5(s, d):
-    return X.ongoing_timer(X.dialogs(sessions(s, d))).select("seq", *micros("ongoing_s"))
+    return X.ongoing_timer(X.dialogs(sessions(s, d))).select("seq", *micros("ongoing_s"), "ongoing_breach")
 
 
 @query("c6_comm_setup", f"WITH {O.CONF} SELECT seq, {us('comm_setup_s')} FROM conf")
@@ -77,14 +81,14 @@ def c6(s, d):
     return X.setup_timer(X.dialogs(sessions(s, d))).select("seq", *micros("comm_setup_s"))
 
 
-@query("c7_cable_check", f"WITH {O.CONF} SELECT seq, {us('cablecheck_s')}, cablecheck_open FROM conf")
+@query("c7_cable_check", f"WITH {O.CONF} SELECT seq, {us('cablecheck_s')}, cablecheck_open, cablecheck_open AND cablecheck_s >= 40 AS cablecheck_breach FROM conf")
 def c7(s, d):
-    return X.cable_and_precharge(X.dialogs(sessions(s, d))).select("seq", *micros("cablecheck_s"), "cablecheck_open")
+    return X.cable_and_precharge(X.dialogs(sessions(s, d))).select("seq", *micros("cablecheck_s"), "cablecheck_open", "cablecheck_breach")
 
 
-@query("c8_precharge", f"WITH {O.CONF} SELECT seq, {us('precharge_s')} FROM conf")
+@query("c8_precharge", f"WITH {O.CONF} SELECT seq, {us('precharge_s', 'precharge_v_gap_ratio')}, precharge_s >= 7 AS precharge_breach FROM conf")
 def c8(s, d):
-    return X.cable_and_precharge(X.dialogs(sessions(s, d))).select("seq", *micros("precharge_s"))
+    return X.cable_and_precharge(X.dialogs(sessions(s, d))).select("seq", *micros("precharge_s", "precharge_v_gap_ratio"), "precharge_breach")
 
 
 @query("c9_illegal_successor", f"WITH {O.CONF} SELECT seq, seq_illegal, n_seq_illegal FROM conf")
@@ -278,8 +282,7 @@ def r5(s, d):
 
 @query("r6_fault_rate_top", f"WITH {O.SES}, {O.LABELS}, g AS (SELECT station, count(*) AS n, count(first_fault_t) AS f FROM lab GROUP BY 1) SELECT station, n, f, CAST(round(f / n * 1e6) AS BIGINT) AS rate_us FROM g ORDER BY f / n DESC, station LIMIT 15")
 def r6(s, d):
-    g = labels(s, d).groupBy("station").agg(F.count("*").alias("n"), F.count("first_fault_t").alias("f")).withColumn("rate", F.col("f") / F.col("n"))
-    return g.orderBy(F.desc("rate"), "station").limit(15).select("station", "n", "f", *micros("rate"))
+    return R.fault_rates(labels(s, d)).select("station", "n", F.col("faulty").alias("f"), *micros("rate"))
 
 
 @query("r7_station_rollup", board_sql("station, detector"))
@@ -359,14 +362,24 @@ def r24(s, d):
     return R.latency_evidence(rows, labels(s, d)).select("msg", "faulty", "n", *micros("p50", "p99", "most", "over"))
 
 
-_CRIT = " UNION ALL ".join(f"SELECT '{n}' AS criterion, {K3} FROM conf GROUP BY ALL HAVING max({c}) >= {v}" for n, (c, v) in R.CRITERIA.items())
+_CSQL = {
+    "Ongoing 60 s": "ongoing_s >= 60", "sequence 60 s": "seq_gap_s >= 60", "setup 20 s": "comm_setup_s >= 20", "cable check 40 s": "cablecheck_open AND cablecheck_s >= 40", "pre-charge 7 s": "precharge_s >= 7", "message timeout": "msg_timeout_ratio >= 1",
+    "illegal successor": "seq_illegal", "dialog reopened": "dialog >= 2", "response failed": "resp_code <> ''", "EVSE status": "evse_status <> ''", "isolation fault": "isolation = 'Fault'", "EV error": "ev_err <> ''",
+}
+_CRIT = " UNION ALL ".join(f"SELECT '{n}' AS criterion, {K3} FROM conf GROUP BY ALL HAVING bool_or({c})" for n, c in _CSQL.items())
+_HITS = f"h0 AS ({_CRIT}), h AS (SELECT * FROM h0 UNION ALL SELECT DISTINCT 'any', {K3} FROM h0 UNION ALL SELECT DISTINCT 'new only', {K3} FROM h0 WHERE criterion IN ({', '.join(repr(c) for c in R.NEW_CRITERIA)}))"
 
 
-@query("r25_criterion_audit", f"WITH {O.SCORED}, h AS ({_CRIT}) SELECT criterion, count(*) AS n, count(first_fault_t) AS on_faulty, count(*) - count(first_fault_t) AS on_clean FROM h JOIN lab USING ({K3}) GROUP BY ALL")
+@query("r25_criterion_audit", f"WITH {O.SCORED}, {_HITS} SELECT criterion, count(*) AS n, count(first_fault_t) AS on_faulty, count(*) - count(first_fault_t) AS on_clean FROM h JOIN lab USING ({K3}) GROUP BY ALL")
 def r25(s, d):
     return R.criterion_audit(conformance(s, d), labels(s, d))
 
 
+@query("r25_unmet_by_family", f"WITH {O.SCORED}, {_HITS} SELECT first_fault_family AS family, count(*) AS n FROM lab ANTI JOIN h USING ({K3}) WHERE first_fault_t IS NOT NULL GROUP BY ALL")
+def r25_unmet(s, d):
+    return R.unmet_by_family(conformance(s, d), labels(s, d))
+
+
 @query("r23_abort_audit", f"WITH {O.SCORED}, m AS (SELECT {K3}, max(msg_timeout_ratio) AS a, max(seq_gap_s) AS b, max(ongoing_s) AS c, max(dialog) AS d, bool_or(msg = 'RST') AS e FROM conf GROUP BY ALL) SELECT {K3}, concat_ws(',', CASE WHEN a >= 1 THEN 'unanswered' END, CASE WHEN b >= 60 THEN 'idle' END, CASE WHEN c >= 60 THEN 'ongoing' END, CASE WHEN d > 1 THEN 'redialog' END, CASE WHEN e THEN 'rst' END) AS tags FROM lab JOIN m USING ({K3}) WHERE first_fault_family = 'SESSION_ABORT'")
 def r23(s, d):
     return R.abort_audit(conformance(s, d), labels(s, d)).select(*Z.SESSION, F.concat_ws(",", "tags").alias("tags"))
@@ -378,10 +391,24 @@ def r22(s, d):
     return R.transitions(G.label_sessions(rows), G.label_sessions(rows, "legacy"))
 
 
-@query("r27_wait_sweep", f"WITH {O.MATCH} SELECT w AS wait, {K3}, CAST(round(min(t) * 1e6) AS BIGINT) AS t_us FROM mat, (VALUES (0.5::DOUBLE), (1.0), (2.0), (5.0), (10.0), (20.0), (45.0)) x(w) WHERE match_pending AND NOT v2g_seen AND match_pending_s >= w GROUP BY ALL")
-def r27(s, d):
+_W15 = ", ".join(f"({w}::DOUBLE)" for w in R.WAITS)
+_SWEEP = f"sw AS (SELECT w AS wait, {K3}, min(t) AS t FROM mat, (VALUES {_W15}) x(w) WHERE match_pending AND NOT v2g_seen AND match_pending_s >= w GROUP BY ALL)"
+
+
+def sweep(s, d) -> DataFrame:
     trace = X.matching(sessions(s, d)).where("match_pending AND NOT v2g_seen").select(*Z.SESSION, F.col("match_pending_s").alias("age_s"), "t")
-    return R.wait_sweep(trace, [0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 45.0]).select("wait", *Z.SESSION, *micros("t"))
+    return R.wait_sweep(trace)
+
+
+@query("r27_wait_sweep", f"WITH {O.MATCH}, {_SWEEP} SELECT wait, {K3}, CAST(round(t * 1e6) AS BIGINT) AS t_us FROM sw")
+def r27(s, d):
+    return sweep(s, d).select("wait", *Z.SESSION, *micros("t"))
+
+
+@query("r27_wait_scores", f"WITH {O.SCORED}, {O.MATCH.replace(O.SES + ',', '', 1)}, {_SWEEP}, j AS (SELECT w AS wait, l.*, least(a.t, f.t) AS alert_t FROM lab l CROSS JOIN (VALUES {_W15}) x(w) LEFT JOIN (SELECT * FROM al WHERE detector = 'Spec') a USING ({K3}) LEFT JOIN sw f ON f.wait = w AND f.station = l.station AND f.connector = l.connector AND f.sid = l.sid), k AS (SELECT *, {O.OUTCOME.replace('a.t', 'alert_t')} AS outcome, CASE WHEN first_fault_t IS NOT NULL AND alert_t <= first_fault_t + 10 THEN greatest(0, first_fault_t - alert_t) END AS lead FROM j), g AS (SELECT wait, {_METRICS} FROM k GROUP BY wait), h AS (SELECT *, {_RATES} FROM g) SELECT wait, {_OUT} FROM h")
+def r27_scores(s, d):
+    spec = alerts(s, d, ["Spec"]).select(*Z.SESSION, "t")
+    return board(R.wait_scores(labels(s, d), spec, sweep(s, d)), "wait")
 
 
 @query("r26_projection", f"WITH {O.SCORED}, f AS ({O.alerts('conf', O.CONFR, 'x')}) SELECT {K3}, 'Spec' AS detector, CAST(round(least(a.t, f.t) * 1e6) AS BIGINT) AS t_us FROM (SELECT * FROM al WHERE detector = 'Spec') a FULL JOIN f USING ({K3})")
@@ -401,12 +428,14 @@ _P = ("spec", "conformance", "comm", "trend", "link")
 
 @query("d8_evidence_board")
 def d8(s, d):
-    rows = everything(s, d)
+    rows = all_tools(s, d)
     return D.first_alerts(D.evidence_board(rows, D.evidence_posts(rows)), "Board").select(*Z.SESSION, *micros("t", "confidence"))
 
 
-@query("b16_severity", f"WITH {O.SCORED} SELECT detector, CASE WHEN guess IN ('PROTOCOL_FAILED', 'EVSE_FAULT', 'ISOLATION_FAULT', 'EV_ERROR') THEN 'x' ELSE 'y' END AS grp, count(*) AS n FROM al WHERE detector = 'Spec' GROUP BY ALL")
+_CONFIDENCE = """CASE WHEN resp_code <> '' OR evse_status <> '' OR isolation = 'Fault' OR ev_err <> '' THEN 1.0 WHEN cablecheck_elapsed > 40 THEN 0.9 WHEN phase = 'delivery' AND dt_v2g > 3.5 THEN 0.85 WHEN v_over THEN 0.9
+  WHEN retx_60s > 60 THEN 0.7 WHEN link_gap > 3 AND phase <> 'idle' THEN 0.75 WHEN slac_attempts >= 3 THEN 0.8 WHEN rst_seen AND phase IN ('delivery', 'cablecheck', 'precharge') THEN 0.8 END"""
+
+
+@query("b16_severity", f"WITH {O.TRACK}, a AS (SELECT {K3}, arg_min(c, (t, seq)) AS c FROM (SELECT *, {_CONFIDENCE} AS c FROM trk) WHERE c IS NOT NULL GROUP BY ALL) SELECT CASE WHEN c >= 0.95 THEN 'critical' WHEN c >= 0.85 THEN 'high' WHEN c >= 0.7 THEN 'medium' ELSE 'low' END AS severity, count(*) AS n FROM a GROUP BY ALL")
 def b16(s, d):
-    a = alerts(s, d, ["Spec"])
-    grp = F.when(F.col("fault_guess").isin("PROTOCOL_FAILED", "EVSE_FAULT", "ISOLATION_FAULT", "EV_ERROR"), "x").otherwise("y")
-    return a.withColumn("severity", S.severity_for(F.col("confidence"))).groupBy("detector", grp.alias("grp")).agg(F.count("*").alias("n"))
+    return D.first_alerts(D.spec_rules(tracked(s, d)), "Spec").groupBy(S.severity_for(F.col("confidence")).alias("severity")).agg(F.count("*").alias("n"))

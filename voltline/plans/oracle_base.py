@@ -117,7 +117,10 @@ _REQS = {"supportedAppProtocol": 2.0, "SessionSetup": 2.0, "ServiceDiscovery": 2
 _USED = ("supportedAppProtocol", "SessionSetup", "ServiceDiscovery", "ChargeParameterDiscovery", "PowerDelivery", "CableCheck", "PreCharge", "CurrentDemand", "WeldingDetection", "SessionStop")
 LIMIT = "CASE {} " + " ".join(f"WHEN '{b}' THEN {v}::DOUBLE" for b, v in _REQS.items()) + " END"
 PERF = "CASE {} " + " ".join(f"WHEN '{b}' THEN {({2.0: 1.5, 5.0: 4.5, 0.25: 0.025})[v]}::DOUBLE" for b, v in _REQS.items()) + " END"
-_OUT = ", ".join(f"""CASE WHEN {last(f"CASE msg WHEN '{b}Req' THEN t WHEN '{b}Res' THEN -1 END", ", dialog")} >= 0 THEN (t - {last(f"CASE msg WHEN '{b}Req' THEN t WHEN '{b}Res' THEN -1 END", ", dialog")}) / {_REQS[b]}::DOUBLE ELSE 0 END""" for b in _USED)
+# per message the request that waits, then the worst of them and how many pass their limit at this row
+_WAITS = ", ".join(f"""{last(f"CASE msg WHEN '{b}Req' THEN t WHEN '{b}Res' THEN -1 END", ", dialog")} AS w{i}""" for i, b in enumerate(_USED))
+_OUT = ", ".join(f"CASE WHEN w{i} >= 0 THEN (t - w{i}) / {_REQS[b]}::DOUBLE ELSE 0 END" for i, b in enumerate(_USED))
+_PAST = " + ".join(f"CASE WHEN w{i} >= 0 AND t - w{i} >= {_REQS[b]}::DOUBLE AND pt - w{i} < {_REQS[b]}::DOUBLE THEN 1 ELSE 0 END" for i, b in enumerate(_USED))
 D = ", dialog"
 _NEXT = {
     "": "supportedAppProtocolReq SessionSetupReq", "supportedAppProtocolRes": "SessionSetupReq", "SessionSetupRes": "ServiceDiscoveryReq", "ServiceDiscoveryRes": "ServiceDetailReq ServicePaymentSelectionReq",
@@ -132,9 +135,11 @@ STAGE = "CASE WHEN kind = 'v2g' THEN CASE regexp_replace(msg, '(Req|Res)$', '')
 CONF = TRACK + f""",
 c0 AS (SELECT *, {last("CASE WHEN sfx = 'Res' OR msg = 'supportedAppProtocolReq' THEN msg END", before=True)} AS mk FROM trk),
 c1 AS (SELECT *, CAST({run("sum(CASE WHEN msg = 'supportedAppProtocolReq' OR (msg = 'SessionSetupReq' AND coalesce(mk, '') <> 'supportedAppProtocolRes') THEN 1 ELSE 0 END)")} AS BIGINT) AS dialog FROM c0),
+c1w AS (SELECT *, {_WAITS}, lag(t) OVER ({P}, dialog {O}) AS pt FROM c1),
 c2 AS (SELECT *,
   {last("CASE sfx WHEN 'Req' THEN t WHEN 'Res' THEN -1 END", ", dialog, base", True)} AS dsent,
-  greatest({_OUT}) AS waiting,
+  greatest({_OUT}) AS waiting, {_PAST} AS past, {last("ev_target_v")} AS target,
+  {last("CASE WHEN sfx = 'Req' THEN -1 WHEN sfx = 'Res' AND (msg = 'SessionStopRes' OR resp_code <> '') THEN -1 WHEN sfx = 'Res' THEN t END", D, True)} AS sqb,
   {last("CASE WHEN sfx = 'Req' THEN -1 WHEN sfx = 'Res' AND (msg = 'SessionStopRes' OR resp_code <> '') THEN -1 WHEN sfx = 'Res' THEN t END", D)} AS sq,
   {run("sum(CASE WHEN evse_processing = 'Finished' OR (sfx = 'Res' AND (msg = 'SessionStopRes' OR resp_code <> '')) THEN 1 ELSE 0 END)", D)} AS og,
   greatest({last("CASE WHEN contains(msg, 'SLAC_MATCH.CNF') THEN t END")}, {run("min(t)", D)}) AS ready,
@@ -144,7 +149,7 @@ c2 AS (SELECT *,
   {run("max(CASE WHEN msg = 'PowerDeliveryReq' THEN 1 ELSE 0 END)", D)} AS pd,
   {last("CASE WHEN sfx = 'Res' THEN msg END", D, True)} AS lres,
   coalesce({run(f"max({STAGE})")}, -1) AS stage_max
-  FROM c1),
+  FROM c1w),
 c3 AS (SELECT *, CASE WHEN sfx = 'Res' AND dsent >= 0 THEN t - dsent END AS dlat,
   CASE WHEN sq >= 0 THEN t - sq ELSE 0 END AS seq_gap_s,
   coalesce(t - {run("min(CASE WHEN evse_processing = 'Ongoing' THEN t END)", ", dialog, og")}, 0) AS ongoing_s,
@@ -153,13 +158,17 @@ c3 AS (SELECT *, CASE WHEN sfx = 'Res' AND dsent >= 0 THEN t - dsent END AS dlat
   CASE WHEN pd = 1 THEN 0 ELSE coalesce(t - pc0, 0) END AS precharge_s,
   coalesce(sfx = 'Req' AND dialog > 0 AND NOT list_contains({_LEGAL}, msg), false) AS seq_illegal
   FROM c2),
-conf AS (SELECT *, greatest(coalesce(dlat / {LIMIT.format('base')}, 0), waiting) AS msg_timeout_ratio,
+conf0 AS (SELECT *, greatest(coalesce(dlat / {LIMIT.format('base')}, 0), waiting) AS msg_timeout_ratio,
+  past + CASE WHEN dlat >= {LIMIT.format('base')} AND pt - dsent < {LIMIT.format('base')} THEN 1 ELSE 0 END AS breach,
+  CAST({run("sum(CASE WHEN sfx = 'Req' AND sqb >= 0 AND t - sqb >= 40 THEN 1 ELSE 0 END)")} AS BIGINT) AS n_seq_breach,
+  CASE WHEN precharge_s / 7 >= 0.5 AND evse_v IS NOT NULL AND target <> 0 THEN abs(target - evse_v) / greatest(20, 0.05::DOUBLE * target) ELSE 0 END AS precharge_v_gap_ratio,
   coalesce(dlat / {PERF.format('base')}, 0) AS msg_perf_ratio,
   coalesce(coalesce(cc1, t) - cc0, 0) AS cablecheck_s, cc0 IS NOT NULL AND cc1 IS NULL AS cablecheck_open,
   CAST({run("sum(CASE WHEN seq_illegal THEN 1 ELSE 0 END)")} AS BIGINT) AS n_seq_illegal,
   coalesce({STAGE} < stage_max AND seq_illegal, false) AS stage_regress,
   coalesce(evse_v / nullif({last("evse_max_v")}, 0) - 1, 0) AS v_over_max, coalesce(evse_i / nullif({last("evse_max_i")}, 0) - 1, 0) AS i_over_max
-  FROM c3)"""
+  FROM c3),
+conf AS (SELECT *, {run("max(msg_timeout_ratio)")} AS msg_timeout_max, CAST({run("sum(breach)")} AS BIGINT) AS n_msg_breach FROM conf0)"""
 
 _SLAC = "SLAC_PARM.REQ SLAC_PARM.CNF START_ATTEN_CHAR.IND MNBC_SOUND.IND ATTEN_PROFILE.IND ATTEN_CHAR.IND ATTEN_CHAR.RSP SLAC_MATCH.REQ SLAC_MATCH.CNF SET_KEY.REQ SET_KEY.CNF".split()
 MATCH = SES + f""",
@@ -243,3 +252,35 @@ sc AS (SELECT l.*, d.detector, al.t AS alert_t, al.guess,
   CASE WHEN n_faults > 0 THEN CASE WHEN al.t IS NULL THEN 'miss' WHEN al.t <= first_fault_t + 10 THEN 'tp' ELSE 'late' END ELSE CASE WHEN al.t IS NULL THEN 'quiet' ELSE 'fp' END END AS outcome,
   CASE WHEN n_faults > 0 AND al.t <= first_fault_t + 10 THEN greatest(0, first_fault_t - al.t) END AS lead
   FROM lab l CROSS JOIN (VALUES ('Spec'), ('Conformance')) d(detector) LEFT JOIN al ON al.station = l.station AND al.connector = l.connector AND al.sid = l.sid AND al.detector = d.detector)"""
+
+
+def ewm(name: str, source: str, alpha: float = 0.05) -> str:
+    """CTEs {name}0 to {name}: mean, variance and z of column x of ``source`` (session, t, seq, x); blocks are not needed on short sessions."""
+    b = 1 - alpha
+    return f"""{name}0 AS (SELECT *, row_number() OVER ({P} {O}) - 1 AS n FROM ({source})),
+{name}1 AS (SELECT *, sum(CASE WHEN n = 0 THEN x ELSE {alpha}::DOUBLE * x END * pow({b}::DOUBLE, -n)) OVER ({P} {O}) * pow({b}::DOUBLE, n) AS m FROM {name}0),
+{name}2 AS (SELECT *, lag(m) OVER ({P} {O}) AS m0 FROM {name}1),
+{name}3 AS (SELECT *, sum(CASE WHEN n = 0 THEN 0 ELSE {alpha}::DOUBLE * {b}::DOUBLE * (x - m0) * (x - m0) * pow({b}::DOUBLE, -n) END) OVER ({P} {O}) * pow({b}::DOUBLE, n) AS v FROM {name}2),
+{name} AS (SELECT *, coalesce((x - m0) / greatest(sqrt(lag(v) OVER ({P} {O})), 0.005 * abs(m0) + 1e-6), 0) AS z FROM {name}3)"""
+
+
+_SMOOTHED = {
+    "latency": "SELECT station, connector, sid, seq, t, req_res_latency AS x FROM trk WHERE req_res_latency IS NOT NULL",
+    "gap": f"SELECT station, connector, sid, seq, t, dt_v2g AS x FROM (SELECT *, lag(phase) OVER ({P} {O}) AS was FROM trk) WHERE was = 'delivery' AND dt_v2g IS NOT NULL",
+    "v_ripple": "SELECT station, connector, sid, seq, t, evse_v AS x FROM trk WHERE phase = 'delivery' AND evse_v IS NOT NULL",
+    "i_ripple": "SELECT station, connector, sid, seq, t, evse_i AS x FROM trk WHERE phase = 'delivery' AND evse_i IS NOT NULL",
+}
+_SLOPE = f"""so AS (SELECT seq, t - first_value(t) OVER w AS dt, soc - first_value(soc) OVER w AS ds, remaining_full_min - first_value(remaining_full_min) OVER w AS dr
+  FROM ses WHERE soc IS NOT NULL WINDOW w AS ({P} {O} ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)),
+slope AS (SELECT seq, CASE WHEN dt > 0 THEN ds / dt END AS soc_rate, CASE WHEN dt / 60 > 0.05 THEN dr / (dt / 60) + 1 END AS remaining_trend FROM so)"""
+# trk with the smoothed scores and slopes
+FULL = TRACK + ", " + ", ".join(ewm(f"z_{n}", q) for n, q in _SMOOTHED.items()) + ", " + _SLOPE + ", full_trk AS (SELECT trk.*, soc_rate, remaining_trend, " + ", ".join(f"coalesce(z_{n}.z, 0) AS {n}_z" for n in _SMOOTHED) + " FROM trk LEFT JOIN slope USING (seq) " + " ".join(f"LEFT JOIN z_{n} ON z_{n}.seq = trk.seq" for n in _SMOOTHED) + ")"
+LEGACY = f"""leg AS (SELECT {K3}, t_end AS t, 'SESSION_ABORT' AS family FROM rest WHERE ({K3}) NOT IN (SELECT ({K3}) FROM reset)),
+cand_l AS (SELECT * FROM cand WHERE ({K3}, family) NOT IN (SELECT ({K3}, family) FROM evid) UNION ALL FROM leg),
+ff_l AS (SELECT {K3}, family, min(t) AS t FROM cand_l GROUP BY ALL),
+lab_l AS (SELECT f.*, a.first_fault_t, a.first_fault_family, coalesce(a.families, []) AS families, coalesce(a.n, 0) AS n_faults
+  FROM fct f LEFT JOIN (SELECT {K3}, min(t) AS first_fault_t, arg_min(family, (t, family)) AS first_fault_family, list_sort(list(family)) AS families, count(*) AS n FROM ff_l GROUP BY ALL) a USING ({K3}))"""
+OUTCOME = "CASE WHEN first_fault_t IS NOT NULL THEN CASE WHEN a.t IS NULL THEN 'miss' WHEN a.t <= first_fault_t + 10 THEN 'tp' ELSE 'late' END ELSE CASE WHEN a.t IS NULL THEN 'quiet' ELSE 'fp' END END"
+SCORED_L = SCORED + f""", {LEGACY},
+sc_l AS (SELECT l.*, d.detector, a.t AS alert_t, a.guess, {OUTCOME} AS outcome, CASE WHEN first_fault_t IS NOT NULL AND a.t <= first_fault_t + 10 THEN greatest(0, first_fault_t - a.t) END AS lead
+  FROM lab_l l CROSS JOIN (VALUES ('Spec'), ('Conformance')) d(detector) LEFT JOIN al a ON a.station = l.station AND a.connector = l.connector AND a.sid = l.sid AND a.detector = d.detector)"""
