@@ -98,20 +98,26 @@ def _possible(a: str, b: str, similarity: float):
 
 
 def verified(docs: DataFrame, keyed: DataFrame, pairs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Those of the ``pairs`` (a, b) of names whose sets have the similarity."""
-    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    wanted = keyed.where("id is not null").groupBy("fp").agg(F.min("id").alias("id")).join(ends, "fp", "left_semi").select("id").distinct()
+    """Those of the written ``pairs`` (a, b) of names whose sets have the similarity.
+
+    One text stands for each name. What names the texts and pairs is written first, so Spark knows its size: while it is
+    small it is broadcast and texts stay where they are, beyond that it is shuffled. Only the sets of a pair's two ends
+    meet. Links may repeat where an id repeats.
+    """
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("fp"))
+    ends, _ = common.written(ends, "ends")
+    wanted = keyed.where("id is not null").join(ends.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("id"))
+    wanted, _ = common.written(wanted.select("id").distinct(), "wanted")
     bodies = docs.join(wanted, "id", "left_semi").select("body")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t, k) for t in common.as_bytes(batch.column("body"))]
         return pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["fp", "set"])
 
-    sets, _ = common.written(common.map_arrow(bodies, run, "fp bigint, set array<bigint>").dropDuplicates(["fp"]), "shingles")
-    left, right = (sets.select(F.col("fp").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
-    both = F.size(F.array_intersect("sa", "sb"))
-    joined = pairs.join(left, "a").join(right, "b")
-    return joined.where(both >= similarity * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
+    sets = common.map_arrow(bodies, run, "fp bigint, set array<bigint>")
+    both = sets.join(ends, "fp").groupBy("a", "b").agg(F.min("set").alias("x"), F.max("set").alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where("x <> y").where(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
 
 
 def _ordered(a: F.Column, b: F.Column) -> list[F.Column]:

@@ -288,5 +288,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     keyed, _ = common.written(jaccard.keyed_sets(source, k, similarity), "sets")
     links, _ = common.written(code_links(source, keyed, k, similarity, radius), "code-links")
     found = label_components(keyed.select("id", "fp"), jaccard.completed_links(source, keyed, links, k, similarity))
-    gone = found.where("id <> component_id").select(F.col("id").alias(id_col)).distinct()
+    gone, _ = common.written(found.where("id <> component_id").select(F.col("id").alias(id_col)).distinct(), "gone")
     return docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
