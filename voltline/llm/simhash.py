@@ -24,8 +24,8 @@ FANOUT = 8
 RADIUS = 3
 SHINGLE_WORDS = 3
 PAIRS_AT_ONCE = 400_000
-CHUNK_CODES = 8192
-MOST_CHUNKS = 4096  # roots of chunks that are broadcast
+CHUNK_CODES = 1 << 20  # 16 MB
+LEAST_CHUNKS, MOST_CHUNKS = 64, 4096  # roots of chunks that are broadcast
 QUERIES_A_CODE = 16  # a chunk with more queries for each of its codes is dealt to several tasks
 
 
@@ -153,6 +153,16 @@ def _forest(pairs: Iterator[tuple[int, int]], above: dict[int, int]) -> Iterator
             yield a, b
 
 
+def _chunked(codes: DataFrame, cuts: np.ndarray) -> DataFrame:
+    """(fp, g, chunk): ``chunk`` is the range between two of the ``cuts`` that holds the rank; equal ranks lie in one."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        chunk = np.searchsorted(cuts, batch.column("g").to_numpy(zero_copy_only=False), side="right")
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(chunk.astype(np.int32))], ["fp", "g", "chunk"])
+
+    return common.map_arrow(codes, run, "fp bigint, g bigint, chunk int", rows=10_000)
+
+
 def _routed(index: DataFrame, roots: list, radius: int) -> DataFrame:
     """(chunk, fp, g) for each chunk, the code's own or a later one, whose root the code reaches through the upper nodes."""
     unsigned = lambda name: np.array([r[name] for r in roots], np.int64).view(np.uint64)
@@ -181,9 +191,10 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, spanning: bool = Tru
     links); otherwise every link is returned once. Null fingerprints link to nothing.
     """
     spark = fps.sparkSession
-    n_chunks = min(MOST_CHUNKS, max(1, -(-fps.count() // chunk_codes)))
-    codes = fps.where("fp is not null").select("fp").distinct().withColumn("g", gray_key())
-    index, _ = common.written(codes.repartitionByRange(n_chunks, "g").sortWithinPartitions("g").select("fp", "g", F.spark_partition_id().alias("chunk")), "gray-index")
+    n_chunks = min(MOST_CHUNKS, max(LEAST_CHUNKS, -(-fps.count() // chunk_codes)))
+    codes, _ = common.written(fps.where("fp is not null").select("fp").distinct().withColumn("g", gray_key()), "gray-codes")
+    cuts = codes.agg(F.percentile_approx("g", [i / n_chunks for i in range(1, n_chunks)], 10 * n_chunks)).first()[0] or []
+    index, _ = common.written(_chunked(codes, np.unique(np.array(cuts, np.int64))), "gray-index")
     shared = F.bitwise_not(F.bit_and("fp").bitwiseXOR(F.bit_or("fp")))
     roots = index.groupBy("chunk").agg(F.bit_and("fp").alias("pattern"), shared.alias("mask")).orderBy("chunk").collect()  # at most MOST_CHUNKS rows
     routed, _ = common.written(_routed(index, roots, radius), "gray-queries")
