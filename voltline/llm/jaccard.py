@@ -22,8 +22,9 @@ from . import common
 from .bpe import Memo
 from .substring import M, mixed
 
-SAMPLE_SHARE = 8  # one text in so many is counted
-HOT_COUNT = 4  # from so many of the counted texts on, a shingle is ordered last
+SAMPLE_SHARE = 16  # one text in so many is counted
+HOT_COUNT = 3  # from so many of the counted texts on, a shingle is ordered last
+BINS = 128
 HOT_MOST = 500_000
 
 _word = Memo(xxhash.xxh3_64_intdigest)
@@ -75,7 +76,8 @@ def _hot_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def keyed_sets(docs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(id, fp, code, n, first) per (id, body): the set's name, SimHash, size and first shingles; rows with a null id have none."""
+    """(id, fp, code, n, bins, first) per (id, body): the set's name, SimHash, size, its shingles counted by the first bits
+    of their hashes, and its first shingles; rows with a null id have none of these."""
     shared = docs.sparkSession.sparkContext.broadcast(_hot_shingles(docs, k))
     id_type = docs.schema["id"].dataType.simpleString()
 
@@ -84,10 +86,11 @@ def keyed_sets(docs: DataFrame, k: int, similarity: float) -> DataFrame:
         sets = [shingle_set(t, k) for t in common.as_bytes(batch.column("body"))]
         codes = np.fromiter(map(common.majority_bits, sets), np.uint64, len(sets)).view(np.int64)
         first = [prefix(s, hot, similarity).view(np.int64) if known else [] for s, known in zip(sets, batch.column("id").is_valid().to_pylist())]
-        columns = [pa.array([set_key(s) for s in sets], pa.int64()), pa.array(codes), pa.array(list(map(len, sets)), pa.int32()), pa.array(first, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", "fp", "code", "n", "first"])
+        bins = [np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=BINS).astype(np.int32) for s in sets]
+        columns = [pa.array([set_key(s) for s in sets], pa.int64()), pa.array(codes), pa.array(list(map(len, sets)), pa.int32()), pa.array(bins, pa.list_(pa.int32())), pa.array(first, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", "fp", "code", "n", "bins", "first"])
 
-    return common.map_arrow(docs, run, f"id {id_type}, fp bigint, code bigint, n int, first array<bigint>")
+    return common.map_arrow(docs, run, f"id {id_type}, fp bigint, code bigint, n int, bins array<int>, first array<bigint>")
 
 
 def _possible(a: str, b: str, similarity: float):
@@ -97,6 +100,14 @@ def _possible(a: str, b: str, similarity: float):
     return (most >= similarity / (1 + similarity) * (na + nb) - 1e-6) & (F.least(na, nb) >= similarity * F.greatest(na, nb) - 1e-6)
 
 
+def _plausible(keyed: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` whose bins leave the similarity possible: sets share at most the lesser count of each bin."""
+    side = lambda x: keyed.where("id is not null").select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"bins{x}"))
+    j = pairs.join(side("a"), "a").join(side("b"), "b")
+    most = F.aggregate(F.zip_with("binsa", "binsb", F.least), F.lit(0), lambda acc, x: acc + x)
+    return j.where(most >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b").distinct()
+
+
 def verified(docs: DataFrame, keyed: DataFrame, pairs: DataFrame, k: int, similarity: float) -> DataFrame:
     """Those of the written ``pairs`` (a, b) of names whose sets have the similarity.
 
@@ -104,8 +115,8 @@ def verified(docs: DataFrame, keyed: DataFrame, pairs: DataFrame, k: int, simila
     small it is broadcast and texts stay where they are, beyond that it is shuffled. Only the sets of a pair's two ends
     meet. Links may repeat where an id repeats.
     """
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("fp"))
-    ends, _ = common.written(ends, "ends")
+    pairs, _ = common.written(_plausible(keyed, pairs, similarity), "plausible-pairs")
+    ends, _ = common.written(pairs.select("a", "b", F.explode(F.array("a", "b")).alias("fp")), "ends")
     wanted = keyed.where("id is not null").join(ends.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("id"))
     wanted, _ = common.written(wanted.select("id").distinct(), "wanted")
     bodies = docs.join(wanted, "id", "left_semi").select("body")
@@ -128,17 +139,18 @@ def completed_links(docs: DataFrame, keyed: DataFrame, links: DataFrame, k: int,
     """``links`` (a, b) between names in ``keyed``, and more: the closure of all is that of all pairs of the similarity."""
 
     def placed(links: DataFrame, rows: DataFrame) -> DataFrame:
-        roots = common.components(links).select(F.col("node").alias("d"), F.col("root").alias("r"))
-        return rows.drop("r").join(roots, "d", "left").withColumn("r", F.coalesce("r", "d"))
+        roots, _ = common.written(common.components(links).select(F.col("node").alias("d"), F.col("root").alias("r")), "roots")
+        return rows.join(roots, "d", "left").withColumn("r", F.coalesce("r", "d"))
 
-    def open_buckets(entries: DataFrame) -> DataFrame:
+    def open_buckets(entries: DataFrame, key: str) -> DataFrame:
         """Buckets whose members are not all joined; numbers only, so they are combined before the shuffle."""
-        return common.written(entries.groupBy("s").agg(F.min("r").alias("r0"), F.max("r").alias("r1")).where("r0 < r1").select("s"), "buckets")[0]
+        return common.written(entries.groupBy(key).agg(F.min("r").alias("r0"), F.max("r").alias("r1")).where("r0 < r1").select(key), "buckets")[0]
 
-    sets = keyed.where("size(first) > 0").select(F.col("fp").alias("d"), "n", "first").dropDuplicates(["d"])
-    rows, _ = common.written(placed(links, sets), "placed-sets")
-    entries = rows.select("d", "n", "r", F.posexplode("first").alias("pos", "s"))
-    members, _ = common.written(entries.join(open_buckets(entries), "s", "left_semi"), "members")
+    rows = placed(links, keyed.where("size(first) > 0").select(F.col("fp").alias("d"), "n", "first"))
+    # all entries are shuffled here only: by a short hash of the shingle first, which may open a bucket too many
+    entries = rows.select("d", "n", F.posexplode("first").alias("pos", "s"), "r").withColumn("q", F.hash("s"))
+    near, _ = common.written(entries.join(open_buckets(entries.select("q", "r"), "q"), "q", "left_semi").drop("q"), "entries")
+    members, _ = common.written(near.join(open_buckets(near, "s"), "s", "left_semi"), "members")
 
     me = F.struct("d", "n", "pos", "r")
     heads = members.groupBy("s").agg(F.min(me).alias("low"), F.max(me).alias("high"), F.min(F.struct(F.xxhash64("d").alias("h"), me.alias("m"))).alias("any"))
@@ -147,8 +159,8 @@ def completed_links(docs: DataFrame, keyed: DataFrame, links: DataFrame, k: int,
     stars, _ = common.written(star.where(_possible("m", "c", similarity)).select(*_ordered(F.col("m.d"), F.col("c.d"))).distinct(), "stars")
     found, _ = common.written(links.unionByName(verified(docs, keyed, stars, k, similarity)), "links")
 
-    again = placed(found, members)
-    again, _ = common.written(again.join(open_buckets(again), "s", "left_semi").select("s", me.alias("m")), "placed")
+    again = placed(found, members.drop("r"))
+    again, _ = common.written(again.join(open_buckets(again, "s"), "s", "left_semi").select("s", me.alias("m")), "placed")
     other = again.select("s", F.col("m").alias("c"))
     rest = again.join(other, (again.s == other.s) & (F.col("m.r") < F.col("c.r")) & _possible("m", "c", similarity))
     rest = rest.select(*_ordered(F.col("m.d"), F.col("c.d"))).distinct().join(stars, ["a", "b"], "left_anti")
