@@ -104,7 +104,7 @@ def _plausible(keyed: DataFrame, pairs: DataFrame, similarity: float) -> DataFra
     """The ``pairs`` whose bins leave the similarity possible: sets share at most the lesser count of each bin."""
     side = lambda x: keyed.where("id is not null").select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"bins{x}"))
     j = pairs.join(side("a"), "a").join(side("b"), "b")
-    most = F.aggregate(F.zip_with("binsa", "binsb", F.least), F.lit(0), lambda acc, x: acc + x)
+    most = F.aggregate(F.zip_with("binsa", "binsb", lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
     return j.where(most >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b").distinct()
 
 
