@@ -89,6 +89,21 @@ def station_group(station: Column) -> Column:
     return F.when(station.startswith("2024__"), "v2g2024").when(station.startswith("2025__"), "v2g2025").otherwise("main")
 
 
+def display_name(station: Column) -> Column:
+    """The site, with the year of its data set in brackets where it has one."""
+    year = F.regexp_extract(station, "^(2024|2025)__", 1)
+    return F.concat(site_of(station), F.when(year != "", F.concat(F.lit(" ("), year, F.lit(")"))).otherwise(""))
+
+
+def clock_year(median_start: Column) -> Column:
+    """The year of a station's median session start, UTC; a clock is sane from 2024 to 2026."""
+    return F.year(F.timestamp_seconds(median_start))
+
+
+def clock_is_sane(median_start: Column) -> Column:
+    return clock_year(median_start).between(2024, 2026)
+
+
 def severity_for(confidence: Column) -> Column:
     return F.when(confidence >= 0.95, "critical").when(confidence >= 0.85, "high").when(confidence >= 0.70, "medium").otherwise("low")
 
@@ -102,6 +117,13 @@ def policy_arm(policy: Column) -> Column:
     return F.when(policy.isin("baseline", "iso15118-standard"), policy).otherwise(F.raise_error(F.concat(F.lit("unknown policy "), F.coalesce(policy, F.lit("null")))))
 
 
+def research_arm(iso2_rules: Column, slac_mode: Column) -> Column:
+    """The arm of a research grid that a policy's rule layers belong to; null for a combination that no grid has."""
+    mode = F.lower(F.trim(F.coalesce(slac_mode, F.lit(""))))
+    off, normative, empirical = mode.isin("", "off"), mode == "normative", mode == "empirical"
+    return F.when(iso2_rules & off, "iso2").when(iso2_rules & normative, "iso2normative").when(~iso2_rules & off, "baseline").when(~iso2_rules & (normative | empirical), mode)
+
+
 def percent_of(part: Column, whole: Column) -> Column:
     """One decimal in per cent as text; null where the whole is 0."""
     return F.format_string("%.1f%%", F.try_divide(part * 100.0, whole))

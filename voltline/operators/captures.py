@@ -141,7 +141,7 @@ def observations(rows: DataFrame) -> DataFrame:
     ).where("n_v2g > 0")
     one = lambda x: F.format_string("%.1f", F.round(x, 1))
     whole = lambda x: x.cast("string")
-    phase = F.coalesce(F.element_at(F.array(*[F.lit(p) for p in K.DC_STAGES]), (c("reached") + 1).cast("int")), F.lit("?"))
+    phase = F.when(c("reached").isNull(), "?").otherwise(F.get(F.array(*[F.lit(p) for p in K.DC_STAGES]), c("reached")))
     quiet, cable, short, pair = c("t_end") - c("last.t"), c("c1") - c("c0"), c("target") - c("volts"), c("first_v2g") - c("s0")
     say = lambda when, code, *args: F.when(when, F.struct(F.lit(code).alias("code"), F.array(*args).alias("args")))
     found = F.array_compact(F.array(

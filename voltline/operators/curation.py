@@ -18,10 +18,23 @@ def content_dedupe(files: DataFrame) -> DataFrame:
     return files.withColumn("kept", within == 1).join(first_batch, "sha256").withColumn("reused", F.col("kept") & (F.col("_first") < F.col("batch"))).drop("_first")
 
 
-def rejection_reason(size: Column, ratio: Column, path: Column, magic: Column | None = None) -> Column:
-    """The first reason against a file, null for valid ones."""
-    out = F.when(size <= 0, "empty").when(size > LARGEST, "too_large").when((size > 65536) & (ratio > 200), "ratio")
-    out = out.when(path.contains("..") | path.startswith("/") | path.contains("\\"), "unsafe_path")
+# fixed values: ZIP methods that are read (stored, deflated), and the endings of capture files
+METHODS = (0, 8)
+ENDINGS = r"(?i)\.(pcap|pcapng|cap)$"
+
+
+def rejection_reason(size: Column, ratio: Column, path: Column, magic: Column | None = None, encrypted: Column | None = None, linked: Column | None = None, method: Column | None = None) -> Column:
+    """The first reason against a file, null for valid ones; "ignored" for files that are no captures by their ending, if they name one.
+
+    Order: unsafe path, encrypted or linked entry, compression method, size, compression ratio above 64 KiB, first bytes.
+    """
+    no = F.lit(False)
+    out = F.when(path.contains("..") | path.startswith("/") | path.contains("\\"), "unsafe_path")
+    out = out.when(path.contains(".") & ~path.rlike(ENDINGS), "ignored")
+    out = out.when((encrypted if encrypted is not None else no) | (linked if linked is not None else no), "encrypted_or_linked")
+    if method is not None:
+        out = out.when(~method.isin(*METHODS), "method")
+    out = out.when(size <= 0, "empty").when(size > LARGEST, "too_large").when((size > 65536) & (ratio > 200), "ratio")
     return out if magic is None else out.when(~magic.isin(*MAGICS), "bad_magic")
 
 
@@ -52,9 +65,10 @@ def label_violations(revisions: DataFrame) -> DataFrame:
 
 
 def label_progress(files: DataFrame, labels: DataFrame) -> DataFrame:
-    """(batch, contents, labelled, state) over the kept contents of each batch."""
+    """(batch, contents, labelled, invalid, state) over the kept contents of each batch; a label of an unknown class is invalid and counts apart."""
+    known = F.col("classification").isin("normal", "fault", "exclude")
     j = files.where("kept AND reason IS NULL").select("batch", "sha256").join(labels.select("sha256", "classification"), "sha256", "left")
-    out = j.groupBy("batch").agg(F.count("*").alias("contents"), F.count("classification").alias("labelled"))
+    out = j.groupBy("batch").agg(F.count("*").alias("contents"), F.count_if(known).alias("labelled"), F.count_if(~known).alias("invalid"))
     return out.withColumn("state", F.when(F.col("labelled") == 0, "unlabeled").when(F.col("labelled") < F.col("contents"), "partially_reviewed").otherwise("reviewed"))
 
 

@@ -109,8 +109,14 @@ def first_alerts(rows: DataFrame, detector: str) -> DataFrame:
 
 
 def all_first_alerts(rows: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """First alerts of the named (or all registered) detectors."""
-    return reduce(DataFrame.unionByName, [first_alerts(DETECTORS[n](rows), n) for n in names or DETECTORS])
+    """First alerts of the named (or all registered) detectors, which all read one pass over the rows."""
+    names = list(names or DETECTORS)
+    for i, name in enumerate(names):
+        rows = DETECTORS[name](rows).withColumnRenamed("alert", f"_alert{i}")
+    firsts = [F.min(F.when(F.col(f"_alert{i}").isNotNull(), F.struct("t", "seq", F.col(f"_alert{i}").alias("alert")))).alias(f"_a{i}") for i in range(len(names))]
+    each = [F.when(F.col(f"_a{i}").isNotNull(), F.struct(F.lit(name).alias("detector"), F.col(f"_a{i}.t").alias("t"), F.col(f"_a{i}.alert").alias("alert"))) for i, name in enumerate(names)]
+    found = rows.groupBy(*SESSION).agg(*firsts).select(*SESSION, F.explode(F.array_compact(F.array(*each))).alias("f"))
+    return found.select(*SESSION, "f.detector", "f.t", "f.alert.confidence", "f.alert.reason", "f.alert.fault_guess")
 
 
 def cadence(rows: DataFrame, every: int = 4) -> DataFrame:

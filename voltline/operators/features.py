@@ -36,8 +36,10 @@ def phases(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("phase", F.coalesce(last_so_far(named, *SESSION), F.lit("idle")))
     before = F.lag("phase").over(per(*SESSION))
     rows = rows.withColumn("_turn", count_so_far((F.col("phase") != before) & before.isNotNull() | (before.isNull() & (F.col("phase") != "idle")), *SESSION))
-    rows = rows.withColumn("phase_elapsed", F.col("t") - min_so_far(F.col("t"), *SESSION, "_turn"))
-    return rows.withColumn("session_elapsed", F.col("t") - min_so_far(F.col("t"), *SESSION)).drop("_turn")
+    # the first time of the present turn: of the greatest turn so far, the least time
+    begun = F.max(F.struct("_turn", (-F.col("t")).alias("m"))).over(per(*SESSION).rowsBetween(*UP_TO))
+    rows = rows.withColumns({"_begun": begun, "session_elapsed": F.col("t") - min_so_far(F.col("t"), *SESSION)})
+    return rows.withColumn("phase_elapsed", F.col("t") + F.col("_begun.m")).drop("_turn", "_begun")
 
 
 def dialog_gap(rows: DataFrame) -> DataFrame:

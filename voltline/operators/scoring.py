@@ -33,16 +33,16 @@ def share(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 
 
-def order_statistics(rows: DataFrame, value: str, places: dict[str, Column], *keys: str) -> DataFrame:
+def order_statistics(rows: DataFrame, value: str, places: dict[str, Column], *keys: str, weight: str | None = None) -> DataFrame:
     """(keys, one column per place): the values at the given indexes, from 0, of each group's sorted ``value``.
 
     A place is a column over ``n``, the number of non-null values. Nothing is gathered: values are counted, their
     counts by range of a 64th of an octave say which range holds an index, and only the distinct values of that range
-    are ranked. Values are not negative; groups without values have no row.
+    are ranked. Values are not negative; groups without values have no row. ``weight`` names how often a row counts.
     """
     keys = list(keys)
     x = F.col(value).cast("double")
-    counts = rows.where(x.isNotNull()).groupBy(*keys, x.alias("_x")).agg(F.count("*").alias("_c")).withColumn("_b", F.floor(F.log2(F.col("_x") + 1e-9) * 64))
+    counts = rows.where(x.isNotNull()).groupBy(*keys, x.alias("_x")).agg((F.sum(weight) if weight else F.count("*")).alias("_c")).withColumn("_b", F.floor(F.log2(F.col("_x") + 1e-9) * 64))
     ranges = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c"))
     run = Window.partitionBy(*keys).orderBy("_b")
     ranges = ranges.withColumn("_upto", F.sum("_c").over(run)).withColumn("n", F.sum("_c").over(Window.partitionBy(*keys)))
@@ -53,21 +53,21 @@ def order_statistics(rows: DataFrame, value: str, places: dict[str, Column], *ke
     return inner.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == name, F.col("_x"))).alias(name) for name in places])
 
 
-def upper_medians(rows: DataFrame, value: str, *keys: str) -> DataFrame:
-    """(keys, median): the middle of the sorted values, the upper of two."""
-    return order_statistics(rows, value, {"median": F.floor(F.col("n") / 2)}, *keys)
-
-
 def scored(outcomes: DataFrame, *keys: str) -> DataFrame:
-    """Counts, recall, far, earliness, score, leads for each group of ``keys``, which are not null."""
-    n = lambda o: F.count_if(F.col("outcome") == o)
-    faulty, clean = F.count_if(F.col("first_fault_t").isNotNull()), F.count_if(F.col("first_fault_t").isNull())
-    early = F.coalesce(F.sum(F.least("lead", F.lit(LEAD_CAP_S)) / LEAD_CAP_S), F.lit(0.0))
-    out = outcomes.groupBy(*keys).agg(
-        F.count("*").alias("sessions"), faulty.alias("n_faulty"), clean.alias("n_clean"), *[n(o).alias(o) for o in ("tp", "late", "miss", "fp", "quiet")],
-        early.alias("_early"), F.coalesce(F.avg("lead"), F.lit(0.0)).alias("mean_lead"),
+    """Counts, recall, far, earliness, score, leads for each group of ``keys``, which are not null.
+
+    Outcomes are first counted by what the scores read, so counts and the upper median of the leads share one pass.
+    """
+    faulty = F.col("first_fault_t").isNotNull()
+    base = outcomes.groupBy(*keys, "outcome", faulty.alias("_faulty"), F.col("lead").alias("_lead")).agg(F.count("*").alias("_c"))
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("_c"))), F.lit(0))
+    has, lead = F.col("_lead").isNotNull(), F.col("_lead") * F.col("_c")
+    out = base.groupBy(*keys).agg(
+        F.sum("_c").alias("sessions"), n(F.col("_faulty")).alias("n_faulty"), n(~F.col("_faulty")).alias("n_clean"), *[n(F.col("outcome") == o).alias(o) for o in ("tp", "late", "miss", "fp", "quiet")],
+        F.coalesce(F.sum(F.least("_lead", F.lit(LEAD_CAP_S)) / LEAD_CAP_S * F.col("_c")), F.lit(0.0)).alias("_early"), share(F.sum(lead), n(has)).alias("mean_lead"),
     )
-    out = out.join(upper_medians(outcomes, "lead", *keys), list(keys), "left").withColumn("median_lead", F.coalesce("median", F.lit(0.0))).drop("median")
+    median = order_statistics(base, "_lead", {"median_lead": F.floor(F.col("n") / 2)}, *keys, weight="_c")
+    out = out.join(median, list(keys), "left").withColumn("median_lead", F.coalesce("median_lead", F.lit(0.0)))
     out = out.withColumns({"recall": share(F.col("tp"), F.col("n_faulty")), "far": share(F.col("fp"), F.col("n_clean")), "earliness": share(F.col("_early"), F.col("n_faulty"))})
     out = out.withColumns({"score": 50 * F.col("recall") + 30 * (1 - F.col("far")) + 20 * F.col("earliness"), "precision": share(F.col("tp"), F.col("tp") + F.col("fp"))})
     return out.withColumns({"f1": share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), "fault_rate": share(100 * F.col("n_faulty"), F.col("sessions"))}).drop("_early")
@@ -222,7 +222,7 @@ def anchor_moves(old: DataFrame, new: DataFrame, moved_s: float = 0.5) -> DataFr
 def censor_counts(labels: DataFrame) -> DataFrame:
     """(kind, value, n): censor reasons and quality flags of a profile, flags by their name before the colon."""
     reasons = labels.where("censored").select(F.lit("reason").alias("kind"), F.col("censor_reason").alias("value"))
-    flags = labels.select(F.lit("flag").alias("kind"), F.substring_index(F.explode("quality_flags"), ":", 1).alias("value"))
+    flags = labels.select(F.explode("quality_flags").alias("flag")).select(F.lit("flag").alias("kind"), F.substring_index("flag", ":", 1).alias("value"))
     return reasons.unionByName(flags).groupBy("kind", "value").agg(F.count("*").alias("n"))
 
 

@@ -98,11 +98,6 @@ def b7(s, d):
     return T.fixture(s, d).groupBy("station").agg(F.count_if(S.is_failed(c("resp_code"))).alias("failed"), F.count_if(c("isolation").isin("Fault", "Warning")).alias("isolation"), F.count_if(~c("ev_err").isin("", "NO_ERROR")).alias("ev_error"), F.count_if(S.validation_bad(c("validation"))).alias("invalid"), F.count_if(S.truthy(c("charge_complete"))).alias("complete"))
 
 
-@query("b8_station_keys", f"WITH {O.TEL} SELECT station, connector, station AS site, 'main' AS station_group, count(*) AS n FROM tel GROUP BY ALL")
-def b8(s, d):
-    return T.fixture(s, d).groupBy("station", "connector").agg(F.count("*").alias("n")).select("station", "connector", S.site_of(F.col("station")).alias("site"), S.station_group(F.col("station")).alias("station_group"), "n")
-
-
 @query("s1_sessionize", f"WITH {O.SES} SELECT station, connector, sid, count(*) AS n_events, sum(seq)::BIGINT AS seq_sum, {us('min(t)').replace('min(t)_us', 't_start_us')}, CAST(round(max(t) * 1e6) AS BIGINT) AS t_end_us FROM ses GROUP BY ALL")
 def s1(s, d):
     at = lambda f, n: F.round(f("t") * 1e6).cast("bigint").alias(n)
@@ -273,11 +268,11 @@ def f4_all(s, d):
     return smoothed(s, d).select("seq", *[F.round(f"{n}_z", 3).alias(f"{n}_z") for n in ("latency", "gap", "v_ripple", "i_ripple")])
 
 
-_TURNS = f"""tu AS (SELECT *, phase <> coalesce(lag(phase) OVER ({O.P} {O.O}), 'idle') AS turn, coalesce(lag(phase) OVER ({O.P} {O.O}), 'idle') AS was FROM full_trk),
-tv AS (SELECT *, {O.last("CASE WHEN turn THEN t END", before=True)} AS entered FROM tu)"""
+_TURNS = f"""tu AS (SELECT *, phase <> coalesce(lag(phase) OVER ({O.P} {O.O}), 'idle') AS turned, coalesce(lag(phase) OVER ({O.P} {O.O}), 'idle') AS was FROM full_trk),
+tv AS (SELECT *, {O.last("CASE WHEN turned THEN t END", before=True)} AS entered FROM tu)"""
 
 
-@query("f14_session_observations", f"WITH {O.FULL}, {_TURNS} SELECT station, connector, sid, CAST(round(arg_max(t - entered, (t, seq)) FILTER (turn AND was = 'handshake' AND entered IS NOT NULL) * 1e6) AS BIGINT) AS handshake_s_us, CAST(round(arg_max(t - entered, (t, seq)) FILTER (turn AND was = 'cablecheck' AND entered IS NOT NULL) * 1e6) AS BIGINT) AS cablecheck_s_us, CAST(round(avg(abs(v_ripple_z)) FILTER (phase = 'delivery' AND abs(v_ripple_z) > 0) * 1e3) AS BIGINT) AS mean_ripple_m, bool_or(phase = 'delivery') AS reached_delivery, bool_or(msg = 'SessionStopRes') AS graceful FROM tv GROUP BY ALL")
+@query("f14_session_observations", f"WITH {O.FULL}, {_TURNS} SELECT station, connector, sid, CAST(round(arg_max(t - entered, (t, seq)) FILTER (turned AND was = 'handshake' AND entered IS NOT NULL) * 1e6) AS BIGINT) AS handshake_s_us, CAST(round(arg_max(t - entered, (t, seq)) FILTER (turned AND was = 'cablecheck' AND entered IS NOT NULL) * 1e6) AS BIGINT) AS cablecheck_s_us, CAST(round(avg(abs(v_ripple_z)) FILTER (phase = 'delivery' AND abs(v_ripple_z) > 0) * 1e3) AS BIGINT) AS mean_ripple_m, bool_or(phase = 'delivery') AS reached_delivery, bool_or(msg = 'SessionStopRes') AS graceful FROM tv GROUP BY ALL")
 def f14_sessions(s, d):
     out = X.session_observations(smoothed(s, d))
     return out.select(*Z.SESSION, *micros("handshake_s", "cablecheck_s"), F.round(F.col("mean_ripple") * 1e3).cast("bigint").alias("mean_ripple_m"), "reached_delivery", "graceful")

@@ -14,11 +14,11 @@ from ..operators import training as T
 from ..sources import telemetry
 from ..streaming import live
 from . import oracle_base as O
-from .feature_queries import micros, query, us
+from .feature_queries import _SPANS, micros, query, smoothed, us
 from .label_queries import K3, labels, sessions, tracked
 
 FILES = """files AS (SELECT source AS batch, doc_id AS file_id, sha256(coalesce(text, '')) AS sha256, strlen(coalesce(text, '')) AS size, n_chars FROM documents),
-dd AS (SELECT *, row_number() OVER (PARTITION BY batch, sha256 ORDER BY file_id) = 1 AS kept, CASE WHEN size <= 0 THEN 'empty' WHEN size > 536870912 THEN 'too_large' WHEN size < 40 THEN 'bad_magic' END AS reason, min(batch) OVER (PARTITION BY sha256) AS fb FROM files),
+dd AS (SELECT *, row_number() OVER (PARTITION BY batch, sha256 ORDER BY file_id) = 1 AS kept, CASE WHEN file_id % 101 = 7 THEN 'unsafe_path' WHEN file_id % 101 = 8 THEN 'ignored' WHEN file_id % 101 IN (9, 10) THEN 'encrypted_or_linked' WHEN file_id % 101 = 11 THEN 'method' WHEN size <= 0 THEN 'empty' WHEN size > 536870912 THEN 'too_large' WHEN size > 65536 AND file_id % 2 = 0 THEN 'ratio' WHEN size < 40 THEN 'bad_magic' END AS reason, min(batch) OVER (PARTITION BY sha256) AS fb FROM files),
 fl AS (SELECT * EXCLUDE (fb), kept AND fb < batch AS reused FROM dd),
 rv AS (SELECT f.sha256, min(CASE WHEN toxic = 1 THEN 'exclude' WHEN quality = 1 THEN 'normal' ELSE 'fault' END) AS classification FROM files f JOIN labels l ON l.doc_id = f.file_id GROUP BY ALL)"""
 
@@ -28,8 +28,12 @@ def files(s, d) -> DataFrame:
     docs = s.read.parquet(f"{d}/documents.parquet")
     body = F.coalesce("text", F.lit(""))
     f = docs.select(F.col("source").alias("batch"), F.col("doc_id").alias("file_id"), F.sha2(body, 256).alias("sha256"), F.octet_length(body).cast("bigint").alias("size"))
-    short = F.when(F.col("size") < 40, "bad_magic")
-    return C.content_dedupe(f).withColumn("reason", F.coalesce(C.rejection_reason(F.col("size"), F.lit(1.0), F.lit("a")), short))
+    # an archive's entries: name, flags, method and ratio follow from the number of the document, the first bytes from its size
+    k = F.col("file_id") % 101
+    path = F.when(k == 7, "../a.pcap").when(k == 8, "notes.txt").otherwise("day/a.pcap")
+    ratio, magic = F.when(F.col("file_id") % 2 == 0, 250.0).otherwise(3.0), F.when(F.col("size") < 40, "00000000").otherwise(C.MAGICS[0])
+    reason = C.rejection_reason(F.col("size"), ratio, path, magic, k == 9, k == 10, F.when(k == 11, 14).otherwise(8))
+    return C.content_dedupe(f).withColumn("reason", reason)
 
 
 def reviews(s, d) -> DataFrame:
@@ -63,7 +67,7 @@ def k4(s, d):
     return C.current_labels(revisions).select("sha256", "revision", "classification")
 
 
-_PROG = "pg AS (SELECT batch, count(*) AS contents, count(classification) AS labelled FROM fl LEFT JOIN rv USING (sha256) WHERE kept AND reason IS NULL GROUP BY ALL)"
+_PROG = "pg AS (SELECT batch, count(*) AS contents, count(classification) AS labelled, 0::BIGINT AS invalid FROM fl LEFT JOIN rv USING (sha256) WHERE kept AND reason IS NULL GROUP BY ALL)"
 
 
 @query("k5_label_progress", f"WITH {FILES}, {_PROG} SELECT *, CASE WHEN labelled = 0 THEN 'unlabeled' WHEN labelled < contents THEN 'partially_reviewed' ELSE 'reviewed' END AS state FROM pg")
@@ -71,6 +75,15 @@ def k5(s, d):
     return C.label_progress(files(s, d), reviews(s, d))
 
 
+@query("k4_label_violations", f"WITH {_REV} SELECT sha256, CAST(revision AS INT) AS revision, 'family_without_fault' AS rule FROM rev WHERE classification <> 'fault' UNION ALL SELECT sha256, CAST(revision + 1 AS INT), 'revision_gap' FROM rev WHERE revision = 1")
+def k4_violations(s, d):
+    f = files(s, d).withColumn("revision", F.row_number().over(Window.partitionBy("sha256").orderBy("file_id")))
+    kind = F.when(F.col("file_id") % 3 == 0, "fault").when(F.col("file_id") % 3 == 1, "normal").otherwise("exclude")
+    # the first revision is numbered 2, so a number is left out
+    rows = f.select("sha256", (F.col("revision") + 1).alias("revision"), kind.alias("classification"), F.lit("EV_ERROR").alias("fault_family"), F.lit("r").alias("reviewer"))
+    return C.label_violations(rows).select("sha256", F.when(F.col("rule") == "revision_gap", F.col("revision")).otherwise(F.col("revision") - 1).alias("revision"), "rule")
+
+
 @query("k6_training_snapshot", f"WITH {FILES}, {_PROG}, ch AS (SELECT sha256, min(batch) AS batch FROM fl SEMI JOIN (SELECT batch FROM pg WHERE labelled >= 0.3 * contents) USING (batch) WHERE kept AND reason IS NULL GROUP BY ALL) SELECT sha256, batch, classification FROM ch JOIN rv USING (sha256) WHERE classification <> 'exclude'")
 def k6(s, d):
     return C.training_snapshot(files(s, d), reviews(s, d), 0.3)
@@ -88,6 +101,13 @@ def k8(s, d):
     return C.unreferenced(contents, reviews(s, d), manifests)
 
 
+@query("k8_guarded", f"WITH {FILES} SELECT sha256 FROM fl WHERE false")
+def k8_guarded(s, d):
+    """One batch's manifest cannot be read, so nothing counts as unreferenced."""
+    manifests = files(s, d).select("batch").distinct().withColumn("readable", F.col("batch") != F.min("batch").over(Window.partitionBy()))
+    return C.unreferenced(files(s, d).select("sha256").distinct(), reviews(s, d), manifests)
+
+
 @query("k9_next_window", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, CAST(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH AS DATE) AS next FROM orders")
 def k9(s, d):
     return s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderdate").cast("date").alias("day")).distinct().withColumn("next", C.next_window(F.col("day")))
@@ -157,19 +177,11 @@ def t11(s, d):
 
 @query("a9_feature_matrix")
 def a9(s, d):
-    rows = X.feature_vector(tracked(s, d))
+    rows = X.feature_vector(smoothed(s, d))
     sid = F.dense_rank().over(Window.partitionBy("station").orderBy("connector", "sid")) - 1
     return rows.select("station", sid.alias("session"), "seq", "vector")
 
 
-@query("b3_select_split", f"WITH {O.TEL} SELECT connector, count(*) AS n FROM tel WHERE contains(station, '01') OR contains(station, '02') GROUP BY ALL")
-def b3(s, d):
-    wanted = F.lit(False)
-    for part in "01,02".split(","):
-        wanted = wanted | F.col("station").contains(part)
-    return telemetry.fixture(s, d).where(wanted).groupBy("connector").agg(F.count("*").alias("n"))
-
-
 @query("b17_health_bands", f"WITH {O.SES}, {O.LABELS}, g AS (SELECT station, 100 - 100.0::DOUBLE * count(first_fault_t) / count(*) AS x FROM lab GROUP BY ALL) SELECT station, CASE WHEN x >= 85 THEN 'healthy' WHEN x >= 70 THEN 'watch' WHEN x >= 50 THEN 'plan_service' ELSE 'urgent' END AS band FROM g")
 def b17(s, d):
     g = labels(s, d).groupBy("station").agg((100 - 100.0 * F.count("first_fault_t") / F.count("*")).alias("x"))
@@ -182,12 +194,6 @@ def b13(s, d):
     return rows.groupBy(S.reason_bucket(F.col("alert.reason")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query("b20_percent_of", f"WITH {O.SES}, {O.LABELS}, g AS (SELECT station, count(first_fault_t) AS f, count(*) AS n FROM lab GROUP BY ALL) SELECT station, CAST(round(100.0::DOUBLE * f / n * 1e6) AS BIGINT) AS share_us FROM g")
-def b20(s, d):
-    g = labels(s, d).groupBy("station").agg(F.count("first_fault_t").alias("f"), F.count("*").alias("n"))
-    return g.select("station", F.round(F.try_divide(F.col("f") * 100.0, F.col("n")) * 1e6).cast("bigint").alias("share_us"))
-
-
 @query("d13_station_baselines")
 def d13(s, d):
     table = labels(s, d).select(*Z.SESSION, "t_start", (F.col("t_end") - F.col("t_start")).alias("seconds"), (F.col("graceful_close") & F.col("first_fault_t").isNull()).alias("healthy"))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import feature_queries, label_queries, more_queries  # noqa: F401  (they fill the catalogue)
+from . import feature_queries, label_queries, more_queries, outcome_queries  # noqa: F401  (they fill the catalogue)
 from .catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions, faults, recall, false alarms and score by station and detector."""
-    return QUERIES["r7_station_rollup"](spark, sf_dir)
+    """Sessions, faults, delivery and duration by station: one pass of sessions and labels."""
+    return QUERIES["r14_fleet"](spark, sf_dir)
