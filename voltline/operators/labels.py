@@ -27,10 +27,14 @@ def cd():
 FREEZE_S, CABLE_STRICT_S, SLAC_SLOW_S, PRECHARGE_S = 5.0, 60.0, 60.0, 10.0
 ALIVE_ROWS, ALIVE_S = 20, 10.0
 FAULT = "struct<t: double, family: string, detail: string>"
-WHOLE = Window.partitionBy(*SESSION)
 LIMITS = {k[:-3]: s for k, s in K.MSG_TIMEOUT_S.items()}
 
 
+def whole() -> Window:
+    """All rows of a session."""
+    return Window.partitionBy(*SESSION)
+
+
 def _faults(rows: DataFrame, t: Column, family: str, detail: Column) -> DataFrame:
     return rows.select(*SESSION, t.cast("double").alias("t"), F.lit(family).alias("family"), detail.alias("detail"))
 
@@ -133,7 +137,7 @@ def marked(rows: DataFrame) -> DataFrame:
         "_stop_res": F.max(_at(_is_msg("SessionStopRes") & ~S.is_failed(F.col("resp_code")))), "_last_opener": F.max(_at(_is_msg(*K.OPENERS))),
         "_streams": F.collect_set(F.when(v2g() & (F.col("tcp_stream") != ""), F.col("tcp_stream"))),
     }
-    v = v.withColumns({name: value.over(WHOLE) for name, value in bounds.items()})
+    v = v.withColumns({name: value.over(whole()) for name, value in bounds.items()})
     return v.withColumn("_graceful", F.col("_stop_res").isNotNull() & (F.col("_last_opener").isNull() | (F.col("_stop_res") >= F.col("_last_opener"))))
 
 
@@ -147,8 +151,8 @@ def session_evidence(rows: DataFrame) -> DataFrame:
     v = marked(rows)
     t, req, res = F.col("t"), F.col("_x") == "Req", F.col("_x") == "Res"
     # what still waits at the session's end: by message, the last request past its limit; the last response; Ongoing
-    ends = {b: F.max(F.when(F.col("_base") == b, F.struct("t", "seq", "_x"))).over(WHOLE) for b in LIMITS}
-    ends |= {"": F.max(F.when(F.col("_x") != "", F.struct("t", "seq", "_x"))).over(WHOLE), "o": F.max(F.when(v2g(), F.struct("t", "seq", "_o"))).over(WHOLE)}
+    ends = {b: F.max(F.when(F.col("_base") == b, F.struct("t", "seq", "_x"))).over(whole()) for b in LIMITS}
+    ends |= {"": F.max(F.when(F.col("_x") != "", F.struct("t", "seq", "_x"))).over(whole()), "o": F.max(F.when(v2g(), F.struct("t", "seq", "_o"))).over(whole())}
     v = v.withColumns({f"_e{i}": end for i, end in enumerate(ends.values())})
     waits: list[tuple[Column, Column]] = []
     for i, (base, limit) in enumerate(LIMITS.items()):
