@@ -24,6 +24,7 @@ from . import common
 
 WORDS_KEPT = 200_000
 PIECES_KEPT, RUNS_KEPT = 400_000, 600_000
+BYTES_KEPT, ENTRY_BYTES = 64 << 20, 150
 
 
 def default_vocabulary() -> str:
@@ -38,16 +39,19 @@ def byte_letters() -> list[str]:
 
 
 class Memo(dict):
-    """Computes missing values; forgets everything when full, so a worker's memory is bounded."""
+    """Computes missing values; forgets everything when full of entries or bytes, so a worker's memory is bounded."""
 
-    def __init__(self, compute, most: int = WORDS_KEPT):
+    def __init__(self, compute, most: int = WORDS_KEPT, most_bytes: int = BYTES_KEPT):
         super().__init__()
-        self.compute, self.most = compute, most
+        self.compute, self.most, self.most_bytes, self.bytes = compute, most, most_bytes, 0
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        value = self.compute(key)
+        self.bytes += ENTRY_BYTES + len(key) + (len(value) if hasattr(value, "__len__") else 0)
+        if len(self) >= self.most or self.bytes > self.most_bytes:
             self.clear()
-        value = self[key] = self.compute(key)
+            self.bytes = ENTRY_BYTES + len(key)
+        self[key] = value
         return value
 
 

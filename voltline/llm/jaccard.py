@@ -149,20 +149,23 @@ def completed_links(docs: DataFrame, keyed: DataFrame, links: DataFrame, k: int,
     rows = placed(links, keyed.where("size(first) > 0").select(F.col("fp").alias("d"), "n", "first"))
     # all entries are shuffled here only: by a short hash of the shingle first, which may open a bucket too many
     entries = rows.select("d", "n", F.posexplode("first").alias("pos", "s"), "r").withColumn("q", F.hash("s"))
-    near, _ = common.written(entries.join(open_buckets(entries.select("q", "r"), "q"), "q", "left_semi").drop("q"), "entries")
-    members, _ = common.written(near.join(open_buckets(near, "s"), "s", "left_semi"), "members")
+    near, near_path = common.written(entries.join(open_buckets(entries.select("q", "r"), "q"), "q", "left_semi").drop("q"), "entries")
+    members, members_path = common.written(near.join(open_buckets(near, "s"), "s", "left_semi"), "members")
+    common.drop_path(docs.sparkSession, near_path)
 
     me = F.struct("d", "n", "pos", "r")
     heads = members.groupBy("s").agg(F.min(me).alias("low"), F.max(me).alias("high"), F.min(F.struct(F.xxhash64("d").alias("h"), me.alias("m"))).alias("any"))
-    heads, _ = common.written(heads.select("s", F.array("low", "high", "any.m").alias("c")), "heads")
+    heads, heads_path = common.written(heads.select("s", F.array("low", "high", "any.m").alias("c")), "heads")
     star = members.select("s", me.alias("m")).join(heads, "s").select("m", F.explode("c").alias("c")).where(F.col("m.r") != F.col("c.r"))
     stars, _ = common.written(star.where(_possible("m", "c", similarity)).select(*_ordered(F.col("m.d"), F.col("c.d"))).distinct(), "stars")
     found, _ = common.written(links.unionByName(verified(docs, keyed, stars, k, similarity)), "links")
 
     again = placed(found, members.drop("r"))
-    again, _ = common.written(again.join(open_buckets(again, "s"), "s", "left_semi").select("s", me.alias("m")), "placed")
+    again, again_path = common.written(again.join(open_buckets(again, "s"), "s", "left_semi").select("s", me.alias("m")), "placed")
     other = again.select("s", F.col("m").alias("c"))
     rest = again.join(other, (again.s == other.s) & (F.col("m.r") < F.col("c.r")) & _possible("m", "c", similarity))
     rest = rest.select(*_ordered(F.col("m.d"), F.col("c.d"))).distinct().join(stars, ["a", "b"], "left_anti")
     rest, _ = common.written(rest, "pairs")
+    for path in (members_path, heads_path, again_path):
+        common.drop_path(docs.sparkSession, path)
     return found.unionByName(verified(docs, keyed, rest, k, similarity))

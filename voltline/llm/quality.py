@@ -27,6 +27,7 @@ BATCH = 8
 RATE = 4.0
 SEED = 7
 THRESHOLD = 0.5
+WORDS_HELD = 50_000
 AGAIN = "\x00again"
 
 
@@ -94,12 +95,12 @@ def _mean_features(text: str, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
     for w in words:
         counts[w] = counts.get(w, 0) + 1
     if not words:
-        return np.empty(0, np.int64), np.empty(0, np.float32)
+        return np.empty(0, np.int32), np.empty(0, np.float32)
     lists = [memo[w] for w in counts]
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
     weight = np.repeat(np.fromiter(counts.values(), np.float64, len(lists)) / sizes / len(words), sizes)
     buckets, at = np.unique(np.concatenate(lists), return_inverse=True)
-    return buckets, np.bincount(at, weight).astype(np.float32)
+    return buckets.astype(np.int32), np.bincount(at, weight).astype(np.float32)
 
 
 def train(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = SEED) -> Model:
@@ -112,8 +113,9 @@ def train(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = SEED)
     bias[1] = np.log(share / (1 - share))
     if len(np.unique(y)) < 2:
         return Model(vectors, layer, bias)
-    memo = Memo(subwords)
+    memo = Memo(lambda w: np.array(subwords(w), np.int32), WORDS_HELD)  # packed and few: the driver holds it beside the sample
     features = [_mean_features(text, memo) for text, _ in sample]
+    memo.clear()
     steps, done = epochs * -(-len(y) // BATCH), 0
     for _ in range(epochs):
         for part in np.array_split(rng.permutation(len(y)), -(-len(y) // BATCH)):
