@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline as pipeline
 from tests.llm.test_jaccard import kept, planted
-from voltline.llm import common, packing, quality
+from voltline.llm import bpe, common, packing, quality
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -76,7 +76,7 @@ def test_stages_equal_plain_restatements(spark, sf_dir):
     assert all(r.n_chars == len(r.text or "") for r in cut.collect())
 
     pieces = stage["packing"](spark, cut, sf_dir).collect()
-    encoder = packing.library_encoder(open(packing.definition_bytes.__globals__["default_vocabulary"](), "rb").read())
+    encoder = packing.library_encoder(open(bpe.default_vocabulary(), "rb").read())
     for i, t in plain_passages(near_rows):
         ids = next(encoder.encode_batch([t])) + (1).to_bytes(4, "little")
         mine = sorted((r.start, r.length, r.ids_crc32) for r in pieces if r.doc_id == i)
