@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators and their oracles."""
 
-from . import audio, bpe, compaction, exact, licenses, packing, quality, simhash, substring, toxicity, warc, whitening
+from . import audio, bpe, compaction, divergence, exact, licenses, packing, quality, simhash, substring, toxicity, warc, whitening
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -13,7 +13,8 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_bpe": bpe.op10_bpe,
+    "op11_divergence": divergence.op11_divergence,
     "op12_warc": warc.op12_warc,
     "op13_whitening": whitening.op13_whitening,
 }
-ORACLES = {"op2_exact": exact.OP2_SQL, "op3_compaction": compaction.OP3_SQL, "op12_warc": warc.OP12_SQL}
+ORACLES = {"op2_exact": exact.OP2_SQL, "op3_compaction": compaction.OP3_SQL, "op11_divergence": divergence.OP11_SQL, "op12_warc": warc.OP12_SQL}
