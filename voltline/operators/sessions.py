@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -31,32 +31,102 @@ def count_so_far(flag, *keys: str):
     return F.sum(F.when(flag, 1).otherwise(0)).over(per(*keys).rowsBetween(*UP_TO))
 
 
-def sessionize(events: DataFrame, gap_s: float = GAP_S, join_next_s: float = JOIN_NEXT_S) -> DataFrame:
+def sessionize(events: DataFrame, gap_s: float = GAP_S, join_next_s: float = JOIN_NEXT_S, bucket_s: float | None = None) -> DataFrame:
     """``events`` with ``sid``, the session's number within its connector from 0.
 
     A session ends when activity rows are more than ``gap_s`` apart, or when a dialog opens after a stop
     within it. Quiet rows stay with activity at most ``gap_s`` before them; later ones wait for the next
     session, whose buffer keeps the newest and takes those at most ``join_next_s`` before it. The others
     belong to no session and go.
+
+    Without ``bucket_s`` a connector's history is one window partition. With it, the history is cut into buckets of
+    so many seconds, which are scanned in parallel and hand over a small state each (``_scanned_by_bucket``), so that a
+    connector that holds most rows of the table uses many tasks; the result is the same.
     """
-    back = Window.partitionBy(*CONNECTOR).orderBy(F.desc("t"), F.desc("seq"))  # a running frame backwards: one that looks ahead would be summed anew for every row
-    opener = S.is_opener(F.col("kind"), F.col("msg"))
-    rows = events.withColumn("_act", S.is_activity(F.col("kind"), F.col("msg"))).withColumn("_last", last_before(F.when(F.col("_act"), F.col("t")), *CONNECTOR))
-    rows = rows.withColumn("_gap", F.col("_act") & (F.col("_last").isNull() | (F.col("t") - F.col("_last") > gap_s)))
-    # what a row leaves behind for the rows after it: its own marker, or none where a gap begins a new run
-    left = F.when((F.col("kind") == "v2g") & F.col("msg").isin("SessionStopReq", "SessionStopRes"), "S").when(opener, "O").when(F.col("_gap"), "")
-    split = opener & ~F.col("_gap") & (last_before(left, *CONNECTOR) == "S")
-    rows = rows.withColumn("_new", F.col("_gap") | F.coalesce(split, F.lit(False)))
-    rows = rows.withColumn("_stays", F.coalesce(F.col("_act") | (F.col("t") - F.col("_last") <= gap_s), F.lit(False)))
+    rows = events.withColumn("_act", S.is_activity(F.col("kind"), F.col("msg")))
+    rows = _scanned(rows, gap_s) if bucket_s is None else _scanned_by_bucket(rows, gap_s, bucket_s)
     # quiet rows that wait are counted from the activity before them and from the one after
-    rows = rows.withColumn("_sid", count_so_far(F.col("_new"), *CONNECTOR) - 1).withColumn("_w", count_so_far(~F.col("_stays"), *CONNECTOR))
-    rows = rows.withColumn("_w0", F.coalesce(last_before(F.when(F.col("_act"), F.col("_w")), *CONNECTOR), F.lit(0)))
-    rows = rows.withColumn("_next", F.last(F.when(F.col("_act"), F.struct("t", "_w")), True).over(back.rowsBetween(*BEFORE)))
     n = F.col("_next._w") - F.col("_w0")
     held = F.when(n <= 200, n).otherwise(100 + (n - 201) % 101)
     joins = ~F.col("_stays") & (F.col("_next._w") - F.col("_w") < held) & (F.col("_next.t") - F.col("t") <= join_next_s)
     rows = rows.withColumn("sid", F.when(F.col("_stays"), F.col("_sid")).when(joins, F.col("_sid") + 1).cast("int"))
-    return rows.where("sid IS NOT NULL").drop("_act", "_last", "_gap", "_new", "_sid", "_next", "_stays", "_w", "_w0")
+    return rows.where("sid IS NOT NULL").select(*events.columns, "sid")
+
+
+def _local(rows: DataFrame, gap_s: float, keys: tuple[str, ...], last_in: Column | None = None) -> DataFrame:
+    """Running values within each window partition of ``keys``; ``last_in`` is the last activity before it.
+
+    _new: begins a session; _maybe: does so if the marker before the partition is a stop; _left: the marker that a row leaves
+    behind; _stays: belongs to the activity at or before it; _n, _u, _w: new, maybe and waiting rows so far; _w0: _w at the activity
+    before; _next: time and _w of the next activity.
+    """
+    back = Window.partitionBy(*keys).orderBy(F.desc("t"), F.desc("seq"))  # a running frame backwards: one that looks ahead would be summed anew for every row
+    opener = S.is_opener(F.col("kind"), F.col("msg"))
+    last = last_before(F.when(F.col("_act"), F.col("t")), *keys)
+    rows = rows.withColumn("_last", last if last_in is None else F.coalesce(last, last_in))
+    rows = rows.withColumn("_gap", F.col("_act") & (F.col("_last").isNull() | (F.col("t") - F.col("_last") > gap_s)))
+    # what a row leaves behind for the rows after it: its own marker, or none where a gap begins a new run
+    left = F.when((F.col("kind") == "v2g") & F.col("msg").isin("SessionStopReq", "SessionStopRes"), "S").when(opener, "O").when(F.col("_gap"), "")
+    rows = rows.withColumn("_left", left).withColumn("_seen", last_before(F.col("_left"), *keys))
+    opens = opener & ~F.col("_gap")
+    flags = {
+        "_new": F.col("_gap") | F.coalesce(opens & (F.col("_seen") == "S"), F.lit(False)),
+        "_maybe": opens & F.col("_seen").isNull(),
+        "_stays": F.coalesce(F.col("_act") | (F.col("t") - F.col("_last") <= gap_s), F.lit(False)),
+    }
+    rows = rows.withColumns(flags)
+    rows = rows.withColumns({"_n": count_so_far(F.col("_new"), *keys), "_u": count_so_far(F.col("_maybe"), *keys), "_w": count_so_far(~F.col("_stays"), *keys)})
+    of_activity = {
+        "_w0": last_before(F.when(F.col("_act"), F.col("_w")), *keys),
+        "_next": F.last(F.when(F.col("_act"), F.struct("t", "_w")), True).over(back.rowsBetween(*BEFORE)),
+    }
+    return rows.withColumns(of_activity)
+
+
+def _scanned(rows: DataFrame, gap_s: float) -> DataFrame:
+    return _local(rows, gap_s, CONNECTOR).withColumns({"_sid": F.col("_n") - 1, "_w0": F.coalesce("_w0", F.lit(0))})
+
+
+def _scanned_by_bucket(rows: DataFrame, gap_s: float, bucket_s: float) -> DataFrame:
+    """What ``_scanned`` gives, by a scan in two levels.
+
+    Level one reduces a bucket to its last activity, which tells the next buckets whether their first activity follows a gap. Level two
+    reduces it to what else later rows need: sessions begun, the one opener whose begin depends on the marker before
+    the bucket, the last marker, waiting rows, and the first and last activity. These states, a row a bucket, are combined in order of time by
+    running windows and joined to the rows, which move once, by connector and bucket.
+    """
+    keys = (*CONNECTOR, "_b")
+    order = Window.partitionBy(*CONNECTOR).orderBy("_b").rowsBetween(*BEFORE)
+    back = Window.partitionBy(*CONNECTOR).orderBy(F.desc("_b")).rowsBetween(*BEFORE)
+    rows = rows.withColumn("_b", F.floor(F.col("t") / bucket_s))
+    ends = rows.groupBy(*keys).agg(F.max(F.when(F.col("_act"), F.col("t"))).alias("_end"))
+    rows = _local(rows.join(ends.select(*keys, F.last("_end", True).over(order).alias("_in")), list(keys)), gap_s, keys, F.col("_in"))
+
+    place = lambda flag, value: F.when(flag, F.struct("t", "seq", value))
+    states = rows.groupBy(*keys).agg(
+        F.count_if("_new").alias("n"),
+        F.count_if("_maybe").alias("u"),
+        F.count_if(~F.col("_stays")).alias("w"),
+        F.max(place(F.col("_left").isNotNull(), "_left")).alias("marker"),
+        F.min(place(F.col("_act"), "_w")).alias("first"),
+        F.max(place(F.col("_act"), "_w")).alias("last"),
+    )
+    zero = F.lit(0).cast("bigint")
+    states = states.withColumns({"_stop_in": F.coalesce(F.last("marker._left", True).over(order) == "S", F.lit(False)), "_w_in": F.coalesce(F.sum("w").over(order), zero)})
+    begun = F.col("n") + F.when(F.col("_stop_in"), F.col("u")).otherwise(0)
+    carried = {
+        "_n_in": F.coalesce(F.sum(begun).over(order), zero),
+        "_w0_in": F.last(F.col("last._w") + F.col("_w_in"), True).over(order),
+        "_next_in": F.last(F.when(F.col("first").isNotNull(), F.struct(F.col("first.t").alias("t"), (F.col("first._w") + F.col("_w_in")).alias("_w"))), True).over(back),
+    }
+    rows = rows.join(states.withColumns(carried).select(*keys, "_stop_in", "_w_in", *carried), list(keys))
+    after = F.when(F.col("_next").isNotNull(), F.struct(F.col("_next.t").alias("t"), (F.col("_next._w") + F.col("_w_in")).alias("_w")))
+    return rows.withColumns({
+        "_sid": F.col("_n_in") + F.col("_n") + F.when(F.col("_stop_in"), F.col("_u")).otherwise(0) - 1,
+        "_w0": F.coalesce(F.col("_w0") + F.col("_w_in"), F.col("_w0_in"), zero),
+        "_w": F.col("_w") + F.col("_w_in"),
+        "_next": F.coalesce(after, F.col("_next_in")),
+    })
 
 
 def session_key(station="station", connector="connector", sid="sid"):
