@@ -125,8 +125,10 @@ def research_arm(iso2_rules: Column, slac_mode: Column) -> Column:
 
 
 def percent_of(part: Column, whole: Column) -> Column:
-    """One decimal in per cent as text; null where the whole is 0."""
-    return F.format_string("%.1f%%", F.try_divide(part * 100.0, whole))
+    """One decimal in per cent as text, of two counts; null where the whole is 0. Decided in integers: halves go up."""
+    part, whole = part.cast("bigint"), F.when(whole != 0, whole.cast("bigint"))
+    tenths = F.call_function("div", 2000 * part + whole, 2 * whole)
+    return F.concat(F.call_function("div", tenths, F.lit(10)).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("%"))
 
 
 # fixed values: ordered groups of alert reasons, the first pattern that matches wins

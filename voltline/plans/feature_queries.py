@@ -28,6 +28,11 @@ def sessions(spark, sf_dir) -> DataFrame:
     return Z.sessionize(T.fixture(spark, sf_dir))
 
 
+def split_sessions(spark, sf_dir) -> DataFrame:
+    """The same by a scan in two levels, so that no connector's history is one task's work."""
+    return Z.sessionize(T.fixture(spark, sf_dir), bucket_s=600.0)
+
+
 def tracked(spark, sf_dir) -> DataFrame:
     return X.tracked(sessions(spark, sf_dir))
 
@@ -101,20 +106,20 @@ def b7(s, d):
 @query("s1_sessionize", f"WITH {O.SES} SELECT station, connector, sid, count(*) AS n_events, sum(seq)::BIGINT AS seq_sum, {us('min(t)').replace('min(t)_us', 't_start_us')}, CAST(round(max(t) * 1e6) AS BIGINT) AS t_end_us FROM ses GROUP BY ALL")
 def s1(s, d):
     at = lambda f, n: F.round(f("t") * 1e6).cast("bigint").alias(n)
-    return sessions(s, d).groupBy(*Z.SESSION).agg(F.count("*").alias("n_events"), F.sum("seq").alias("seq_sum"), at(F.min, "t_start_us"), at(F.max, "t_end_us"))
+    return split_sessions(s, d).groupBy(*Z.SESSION).agg(F.count("*").alias("n_events"), F.sum("seq").alias("seq_sum"), at(F.min, "t_start_us"), at(F.max, "t_end_us"))
 
 
 @query("s2_reopen", f"WITH {O.SES} SELECT station, connector, count(*) AS n_split FROM s3 WHERE mk = 'O' AND pm = 'S' GROUP BY ALL")
 def s2(s, d):
     # sessions that begin with an opener no more than the gap after the activity before them were split
-    rows = sessions(s, d)
+    rows = split_sessions(s, d)
     act = rows.where(S.is_activity(F.col("kind"), F.col("msg"))).withColumn("_p", F.lag("t").over(Z.per(*Z.CONNECTOR))).withColumn("_s", F.lag("sid").over(Z.per(*Z.CONNECTOR)))
     return act.where((F.col("sid") != F.col("_s")) & (F.col("t") - F.col("_p") <= Z.GAP_S)).groupBy(*Z.CONNECTOR).agg(F.count("*").alias("n_split"))
 
 
 @query("s3_carry_quiet", f"WITH {O.SES} SELECT seq, sid FROM ses WHERE kind = 'hpav' AND contains(msg, 'LINK_STATUS')")
 def s3(s, d):
-    return sessions(s, d).where("kind = 'hpav' AND contains(msg, 'LINK_STATUS')").select("seq", "sid")
+    return split_sessions(s, d).where("kind = 'hpav' AND contains(msg, 'LINK_STATUS')").select("seq", "sid")
 
 
 @query("s4_drop_noise", f"WITH {O.SES} SELECT station, connector, sid, count(*) AS n_events FROM ses GROUP BY ALL HAVING count(*) FILTER (kind = 'v2g') > 0 OR count(*) FILTER (kind = 'hpav' AND regexp_matches(msg, 'SLAC|ATTEN_CHAR')) >= 3")

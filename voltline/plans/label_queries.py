@@ -14,6 +14,7 @@ from ..operators import sessions as Z
 from . import oracle_base as O
 from . import feature_queries as Q
 from .feature_queries import micros, query, us
+from .tables import stored
 
 K3 = O.K3
 NAMES = ("Spec", "Conformance")
@@ -219,8 +220,9 @@ def d5(s, d):
     return D.cadence(sessions(s, d)).select("seq")
 
 
-def alerts(s, d, names=NAMES) -> DataFrame:
-    return D.all_first_alerts(everything(s, d), list(names))
+def alerts(s, d, names=NAMES, rows: DataFrame | None = None) -> DataFrame:
+    rows = sessions(s, d) if rows is None else rows
+    return D.all_first_alerts(X.conformance(X.tracked(rows)), list(names))
 
 
 @query("d4_first_alerts", f"WITH {O.SCORED} SELECT {K3}, detector, CAST(round(t * 1e6) AS BIGINT) AS t_us, guess AS fault_guess FROM al")
@@ -237,7 +239,8 @@ def labels(s, d) -> DataFrame:
 
 
 def outcomes(s, d) -> DataFrame:
-    return R.outcomes(labels(s, d), alerts(s, d), _names(s))
+    rows = stored(sessions(s, d), "sessions")  # labels and alerts read the same sessions
+    return R.outcomes(stored(G.label_sessions(rows), "labels"), alerts(s, d, rows=rows), _names(s))
 
 
 _METRICS = """count(*) AS sessions, count(first_fault_t) AS n_faulty, count(*) - count(first_fault_t) AS n_clean, count(*) FILTER (outcome = 'tp') AS tp, count(*) FILTER (outcome = 'late') AS late, count(*) FILTER (outcome = 'miss') AS miss,

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import catalogue as FC
@@ -27,18 +24,11 @@ from . import oracle_base as O
 from .feature_queries import file_spans, micros, query, smoothed, us
 from .label_queries import _METRICS, _OUT, _RATES, K3, _names, alerts, all_tools, board, conformance, everything, labels, outcomes, sessions, tracked
 from .more_queries import _SPANS
+from .tables import scratch, stored
 
 KEYS = list(Z.SESSION)
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that the session names for shared files; on this machine alone, one of its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{(named or tempfile.gettempdir()).rstrip('/')}/voltline/{label}-{uuid.uuid4().hex}"
-
-
 # ---------------------------------------------------------------- scalars and the catalogue
 
 
@@ -63,7 +53,7 @@ def b8_clock(s, d):
     return facts.groupBy("station").agg(F.percentile("t_start", F.lit(0.5)).alias("m")).select("station", S.clock_year(F.col("m")).alias("clock_year"))
 
 
-@query("b20_percent_of", f"WITH {O.SES}, {O.LABELS}, g AS (SELECT station, count(*) FILTER (first_fault_family = 'EV_ERROR') AS f, count(first_fault_t) AS n FROM lab GROUP BY ALL) SELECT station, CASE WHEN n > 0 THEN printf('%.1f%%', 100.0::DOUBLE * f / n) END AS share FROM g")
+@query("b20_percent_of", f"WITH {O.SES}, {O.LABELS}, g AS (SELECT station, count(*) FILTER (first_fault_family = 'EV_ERROR') AS f, count(first_fault_t) AS n FROM lab GROUP BY ALL) SELECT station, CASE WHEN n > 0 THEN ((2000 * f + n) // (2 * n) // 10) || '.' || ((2000 * f + n) // (2 * n) % 10) || '%' END AS share FROM g")
 def b20(s, d):
     g = labels(s, d).groupBy("station").agg(F.count_if(F.col("first_fault_family") == "EV_ERROR").alias("f"), F.count("first_fault_t").alias("n"))
     return g.select("station", S.percent_of(F.col("f"), F.col("n")).alias("share"))
@@ -330,13 +320,6 @@ def r22_moves(s, d):
 # ---------------------------------------------------------------- the reviewed profile
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a written table: the reviewed rules read it many times."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def reviewed_parts(s, d) -> tuple[DataFrame, DataFrame]:
     rows = stored(sessions(s, d), "sessions")
     return rows, stored(G.is_session(G.session_facts(rows)), "facts")
