@@ -20,6 +20,7 @@ from ..operators import training as T
 from ..sources import frames
 from ..sources import telemetry
 from ..streaming import live
+from ..streaming import stateful as TS
 from . import oracle_base as O
 from .feature_queries import file_spans, micros, query, smoothed, us
 from .label_queries import _METRICS, _OUT, _RATES, K3, _names, alerts, all_tools, board, conformance, everything, labels, outcomes, sessions, tracked
@@ -512,3 +513,24 @@ def l3(s, d):
     out = scratch(s, "stream-alerts")
     live.upsert(live.first_alerts(stream_of(s, d)), out, scratch(s, "stream-state")).awaitTermination()
     return s.read.schema(f"{live.ALERT}, batch int").parquet(out).drop("batch")
+
+
+# the watermark at the end of the stream: lateness behind the last row
+_WM = "(SELECT floor(max(t) * 1e3) / 1e3 - 600 FROM tel)"
+_CLOSED = f"""bg AS (SELECT {K3}, max(t) FILTER (act) AS la, min(t) FILTER (act) AS fa FROM ses JOIN (SELECT seq, act FROM s0) USING (seq) GROUP BY ALL),
+cl AS (SELECT {K3} FROM (SELECT *, lead(fa) OVER (PARTITION BY station, connector ORDER BY sid) AS nx FROM bg) WHERE la + 60 < {_WM} OR nx <= {_WM})"""
+
+
+@query("s10_stream_sessions", f"WITH {O.SES}, {_CLOSED} SELECT {K3}, count(*) AS n_events, sum(seq)::BIGINT AS seq_sum, CAST(round(min(t) * 1e6) AS BIGINT) AS t_start_us, CAST(round(max(t) * 1e6) AS BIGINT) AS t_end_us FROM ses JOIN cl USING ({K3}) GROUP BY ALL")
+def s10(s, d):
+    out = scratch(s, "stream-sessions")
+    live.upsert(TS.closed_sessions(stream_of(s, d)), out, scratch(s, "stream-state")).awaitTermination()
+    return s.read.schema(f"{TS.SESSION_OUT}, batch int").parquet(out).select(*KEYS, "n_events", "seq_sum", *micros("t_start", "t_end"))
+
+
+@query("l3_stream_rules", f"WITH {O.SCORED} SELECT {K3}, detector, CAST(round(t * 1e6) AS BIGINT) AS t_us, guess AS fault_guess FROM al WHERE t <= {_WM}")
+def l3_rules(s, d):
+    """First alerts of the stream at rows: those of the batch operators up to the watermark."""
+    out = scratch(s, "stream-alerts")
+    live.upsert(TS.stream_alerts(stream_of(s, d), timers=False), out, scratch(s, "stream-state")).awaitTermination()
+    return s.read.schema(f"{TS.ALERT_OUT}, batch int").parquet(out).select(*KEYS, "detector", *micros("t"), "fault_guess")
