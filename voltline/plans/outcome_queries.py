@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import catalogue as FC
+from ..functions import constants as K
 from ..functions import scalars as S
 from ..operators import captures as C
 from ..operators import detection as D
@@ -534,3 +535,30 @@ def l3_rules(s, d):
     out = scratch(s, "stream-alerts")
     live.upsert(TS.stream_alerts(stream_of(s, d), timers=False), out, scratch(s, "stream-state")).awaitTermination()
     return s.read.schema(f"{TS.ALERT_OUT}, batch int").parquet(out).select(*KEYS, "detector", *micros("t"), "fault_guess")
+
+
+# what would alert if no row came: a deadline that passes before the session's next row, or before the session ends
+_SILENT = f"""ed AS (SELECT {K3}, least(la + 60, coalesce(lead(fa) OVER (PARTITION BY station, connector ORDER BY sid), 1e12)) AS te FROM bg),
+tn AS (SELECT {K3}, seq, coalesce(lead(t) OVER ({O.P} {O.O}), te) AS nt FROM ses JOIN ed USING ({K3})),
+lim AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {v})" for k, v in K.MSG_TIMEOUT_S.items())}) x(msg, lim)),
+tr AS (SELECT trk.*, nt FROM trk JOIN tn USING ({K3}, seq)),
+cf AS (SELECT conf.*, nt, coalesce(bool_or(msg = 'SessionSetupRes') OVER (PARTITION BY {K3}, dialog {O.O} ROWS UNBOUNDED PRECEDING), false) AS done FROM conf JOIN tn USING ({K3}, seq)),
+rq AS (SELECT {K3}, dialog, t, msg, kind, coalesce(lead(t) OVER (PARTITION BY {K3}, dialog, regexp_replace(msg, '(Req|Res)$', '') {O.O}), 1e12) AS nb FROM conf WHERE kind = 'v2g' AND regexp_matches(msg, '(Req|Res)$')),
+dl AS (SELECT {K3}, dialog, coalesce(min(t) OVER ({O.P} ORDER BY dialog ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING), 1e12) AS nd FROM (SELECT {K3}, dialog, min(t) AS t FROM conf GROUP BY ALL)),
+sl AS (
+  SELECT {K3}, 'Spec' AS detector, 'COMM_FREEZE' AS g, t - cablecheck_elapsed + 40 AS due, t, nt FROM tr WHERE phase = 'cablecheck' AND cablecheck_n > 0
+  UNION ALL SELECT {K3}, 'Spec', 'SESSION_ABORT', t - link_gap + 3, t, nt FROM tr WHERE phase <> 'idle' AND link_gap IS NOT NULL
+  UNION ALL SELECT {K3}, 'Conformance', 'COMM_FREEZE', t - ongoing_s + 55, t, nt FROM cf WHERE ongoing_s > 0 OR (kind = 'v2g' AND evse_processing = 'Ongoing')
+  UNION ALL SELECT {K3}, 'Conformance', 'COMM_FREEZE', t - seq_gap_s + 60, t, nt FROM cf WHERE seq_gap_s > 0 OR (kind = 'v2g' AND msg LIKE '%Res' AND msg <> 'SessionStopRes' AND resp_code = '')
+  UNION ALL SELECT {K3}, 'Conformance', 'SESSION_ABORT', t - comm_setup_s + 20, t, nt FROM cf WHERE dialog > 0 AND NOT done
+  UNION ALL SELECT {K3}, 'Conformance', 'COMM_FREEZE', t - cablecheck_s + 40, t, nt FROM cf WHERE cablecheck_open
+  UNION ALL SELECT {K3}, 'Conformance', 'COMM_FREEZE', t + lim, t, least(nb, nd, te) FROM rq JOIN lim USING (msg) JOIN dl USING ({K3}, dialog) JOIN ed USING ({K3})),
+fa AS (SELECT {K3}, detector, t, guess AS g FROM al WHERE t <= {_WM} UNION ALL SELECT {K3}, detector, due, g FROM sl WHERE due >= t AND due < nt AND due < {_WM})"""
+
+
+@query("l4_stream_timers", f"WITH {O.SCORED}, {_CLOSED}, {_SILENT} SELECT {K3}, detector, CAST(round(min(t) * 1e6) AS BIGINT) AS t_us, arg_min(g, t) AS fault_guess FROM fa GROUP BY ALL")
+def l4(s, d):
+    """The same with timers: a deadline alerts when it passes, whether a row comes or not."""
+    out = scratch(s, "stream-alerts")
+    live.upsert(TS.stream_alerts(stream_of(s, d)), out, scratch(s, "stream-state")).awaitTermination()
+    return s.read.schema(f"{TS.ALERT_OUT}, batch int").parquet(out).select(*KEYS, "detector", *micros("t"), "fault_guess")
