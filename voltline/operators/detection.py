@@ -295,23 +295,46 @@ def evidence_board(rows: DataFrame, posts: dict[str, Column], half_life_s: float
     return rows.withColumn("alert", F.when(speaks, alert)).drop("_t0", *[f"_w_{n}" for n in names], *[f"_p_{n}" for n in names])
 
 
-def station_baselines(sessions: DataFrame, value: str, alpha: float = 0.25, default: float = 1.0, least: int = 3) -> DataFrame:
-    """``sessions`` (station, connector, t_start, healthy, value) with expected: mean + 3 sigma + 0.25 |mean| of the
-    smoothed healthy sessions of the connector before this one, all of them, not under default / 2; default until there
-    are ``least`` sessions, healthy or not, and a healthy one among them. Null values are not learned.
+def station_baselines(sessions: DataFrame, value: str, alpha: float = 0.25, default: float | str = 1.0, least: int = 3, keys: tuple[str, ...] = ("station", "connector")) -> DataFrame:
+    """``sessions`` (``keys``, t_start, healthy, value) with expected: mean + 3 sigma + 0.25 |mean| of the
+    smoothed healthy sessions of the same ``keys`` before this one, all of them, not under default / 2; default (a number or a
+    column) until there are ``least`` sessions, healthy or not, and a healthy one among them. Null values are not learned.
     """
-    place = Window.partitionBy("station", "connector").orderBy("t_start", *[c for c in SESSION if c in sessions.columns])
+    place = Window.partitionBy(*keys).orderBy("t_start", *[c for c in SESSION if c in sessions.columns])
+    otherwise = F.col(default) if isinstance(default, str) else F.lit(default)
     rows = sessions.withColumn("t", F.col("t_start")).withColumn("seq", F.row_number().over(place))
-    rows = ewm(rows.withColumn("_healthy", F.when(F.col("healthy"), F.col(value))), "_healthy", "_b", "station", "connector", alpha=alpha)
-    before = Window.partitionBy("station", "connector").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = ewm(rows.withColumn("_healthy", F.when(F.col("healthy"), F.col(value))), "_healthy", "_b", *keys, alpha=alpha)
+    before = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     state = F.last(F.when(F.col("_b_mean").isNotNull(), F.struct(F.col("_b_mean").alias("m"), F.col("_b_var").alias("v"))), True).over(before)
     rows = rows.withColumn("_s", state)
-    learned = F.greatest(F.col("_s.m") + 3 * F.sqrt("_s.v") + 0.25 * F.abs("_s.m"), F.lit(default / 2))
+    learned = F.greatest(F.col("_s.m") + 3 * F.sqrt("_s.v") + 0.25 * F.abs("_s.m"), otherwise / 2)
     known = (F.col("seq") > least) & F.col("_s").isNotNull()
-    return rows.withColumn("expected", F.when(known, learned).otherwise(default)).select(*sessions.columns, "expected")
+    return rows.withColumn("expected", F.when(known, learned).otherwise(otherwise)).select(*sessions.columns, "expected")
+
+
+# fixed values: what is learned of a connector, what is expected until then, and how fast it adapts
+LEARNED = {"slac_s": (12.0, 0.25), "handshake_s": (25.0, 0.25), "cablecheck_s": (25.0, 0.25), "precharge_s": (6.0, 0.25), "mean_ripple": (None, 0.15), "mean_latency": (None, 0.15)}
+
+
+def station_expectations(observed: DataFrame) -> DataFrame:
+    """One row per session of ``observed`` (session, t_start, healthy and the columns of LEARNED): session and expected_<name>.
+
+    The series of a connector are stacked, so one recurrence by (connector, series) learns all that adapt alike. Durations of 0 are not
+    learned. Each session sees what the connector's sessions before it have taught, never itself.
+    """
+    known = {n: F.when(F.col(n) > 0, F.col(n)) if default is not None else F.col(n) for n, (default, _) in LEARNED.items()}
+    entry = lambda n, x: F.struct(F.lit(n).alias("n"), x.cast("double").alias("x"), F.lit(LEARNED[n][0]).cast("double").alias("d"))
+    out = None
+    for alpha in sorted({a for _, a in LEARNED.values()}):
+        stacked = F.explode(F.array(*[entry(n, x) for n, x in known.items() if LEARNED[n][1] == alpha]))
+        long = observed.select(*SESSION, "t_start", "healthy", stacked.alias("e")).select(*SESSION, "t_start", "healthy", F.col("e.n").alias("series"), "e.x", "e.d")
+        part = station_baselines(long, "x", alpha, "d", keys=("station", "connector", "series"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy(*SESSION).agg(*[F.max(F.when(F.col("series") == n, F.col("expected"))).alias(f"expected_{n}") for n in LEARNED])
 
 
 register_detector("Spec", spec_rules)
 register_detector("Conformance", conformance_rules)
 register_detector("Matching", matching_rules)
+register_detector("Reflex", reflex_goals)
 register_detector("Board", lambda rows: evidence_board(rows, evidence_posts(rows)))

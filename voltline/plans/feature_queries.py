@@ -33,6 +33,14 @@ def split_sessions(spark, sf_dir) -> DataFrame:
     return Z.sessionize(T.fixture(spark, sf_dir), bucket_s=600.0)
 
 
+def busy_sessions(spark, sf_dir) -> DataFrame:
+    """Long sessions from the same events: ten stations talk as one and nobody stops the dialog; faults are stated by odd ones only."""
+    number = F.expr("CAST(substr(station, 3) AS INT) DIV 10")
+    rows = T.fixture(spark, sf_dir).where("NOT (kind = 'v2g' AND msg LIKE 'SessionStop%')").withColumn("station", F.format_string("ST%04d", number))
+    odd = F.substring("station", 3, 10).cast("int") % 2 == 1
+    return Z.sessionize(rows.withColumns({c: F.when(odd, F.col(c)).otherwise("") for c in ("resp_code", "evse_status", "isolation", "ev_err")}))
+
+
 def tracked(spark, sf_dir) -> DataFrame:
     return X.tracked(sessions(spark, sf_dir))
 

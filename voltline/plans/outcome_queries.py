@@ -23,7 +23,7 @@ from ..sources import telemetry
 from ..streaming import live
 from ..streaming import stateful as TS
 from . import oracle_base as O
-from .feature_queries import file_spans, micros, query, smoothed, us
+from .feature_queries import _TURNS, busy_sessions, file_spans, micros, query, smoothed, us
 from .label_queries import _METRICS, _OUT, _RATES, K3, _names, alerts, all_tools, board, conformance, everything, labels, outcomes, sessions, tracked
 from .more_queries import _SPANS
 from .tables import scratch, stored
@@ -121,10 +121,55 @@ def d11(s, d):
     return SF.consensus(rows, list(D.LENSES), sharpened=[f"{n}_sharp" for n in D.LENSES]).select(*KEYS, *micros("t", "confidence"), "reason")
 
 
+_SERIES = {"slac_s": "slac", "handshake_s": "handshake", "cablecheck_s": "cablecheck", "precharge_s": "precharge"}
+_OBSERVED = f"""ob AS (SELECT {K3}, min(t) AS t0, """ + ", ".join(f"arg_max(t - entered, (t, seq)) FILTER (turned AND was = '{p}' AND entered IS NOT NULL) AS {n}" for n, p in _SERIES.items()) + f""",
+  avg(req_res_latency) AS mean_latency, avg(abs(v_ripple_z)) FILTER (phase = 'delivery' AND abs(v_ripple_z) > 0) AS mean_ripple, bool_or(msg = 'SessionStopRes') AS graceful FROM tv GROUP BY ALL),
+oh AS (SELECT ob.*, graceful AND first_fault_t IS NULL AS healthy FROM ob JOIN lab USING ({K3})),
+og AS (SELECT station, connector, series, x, d, a, healthy, sid, row_number() OVER (PARTITION BY station, connector, series ORDER BY t0, sid) AS k FROM oh, LATERAL (VALUES {", ".join(f"('{n}', CASE WHEN {n} > 0 THEN {n} END, {d}, {a})" if d else f"('{n}', {n}, NULL, {a})" for n, (d, a) in D.LEARNED.items())}) v(series, x, d, a)),
+es AS (SELECT DISTINCT station, connector, series, 0::BIGINT AS k, NULL::DOUBLE AS m, NULL::DOUBLE AS v FROM og
+  UNION ALL SELECT es.station, es.connector, es.series, es.k + 1, CASE WHEN NOT healthy OR x IS NULL THEN m WHEN m IS NULL THEN x ELSE m + a * (x - m) END, CASE WHEN NOT healthy OR x IS NULL THEN v WHEN m IS NULL THEN 0 ELSE (1 - a) * (v + a * (x - m) * (x - m)) END
+  FROM es JOIN og ON es.station = og.station AND es.connector = og.connector AND es.series = og.series AND og.k = es.k + 1)"""
+
+
+def _expect_sql(name: str) -> str:
+    return f"CAST(round(max(CASE WHEN og.k > 3 AND m IS NOT NULL THEN greatest(m + 3 * sqrt(v) + 0.25 * abs(m), d / 2) ELSE d END) FILTER (og.series = '{name}') * 1e3) AS BIGINT) AS {name}_m"
+
+
+def observed_sessions(s, d) -> tuple[DataFrame, DataFrame]:
+    """All features of the rows, as a table, and which sessions are free of faults."""
+    rows = stored(sessions(s, d), "sessions")
+    healthy = G.label_sessions(rows).select(*KEYS, F.col("first_fault_t").isNull().alias("healthy"))
+    return stored(X.matching(X.conformance(X.smoothed(X.tracked(rows)))), "features"), healthy
+
+
+@query("d13_station_expectations", f"WITH RECURSIVE {O.FULL.replace('RECURSIVE', '')}, {_TURNS}, {O.LABELS}, {_OBSERVED} SELECT {', '.join('og.' + k.strip() for k in K3.split(','))}, {', '.join(map(_expect_sql, D.LEARNED))} FROM og JOIN es ON es.station = og.station AND es.connector = og.connector AND es.series = og.series AND es.k = og.k - 1 GROUP BY ALL")
+def d13_expectations(s, d):
+    rows, healthy = observed_sessions(s, d)
+    observed = X.session_observations(rows).join(rows.groupBy(*KEYS).agg(F.min("t").alias("t_start")), KEYS).join(healthy, KEYS)
+    out = D.station_expectations(observed.withColumn("healthy", F.col("healthy") & F.col("graceful")))
+    return out.select(*KEYS, *[F.round(F.col(f"expected_{n}") * 1e3).cast("bigint").alias(f"{n}_m") for n in D.LEARNED])
+
+
 @query("d12_investigations")
 def d12(s, d):
-    rows = SF.expectation_columns(all_tools(s, d), {"slac_s": 12.0, "handshake_s": 25.0, "cablecheck_s": 25.0, "precharge_s": 6.0})
-    return SF.investigations(rows).select(*KEYS, *micros("t"), "reason")
+    return SF.investigations(SF.with_expectations(*observed_sessions(s, d))).select(*KEYS, *micros("t"), "reason")
+
+
+def busy_features(s, d) -> tuple[DataFrame, DataFrame]:
+    """All features of long sessions, as a table, and the sessions whose station states no faults: those that models learn from."""
+    rows = stored(X.matching(X.conformance(X.smoothed(X.tracked(stored(busy_sessions(s, d), "sessions"))))), "features")
+    return rows, rows.select(*KEYS).distinct().where(F.substring("station", 3, 10).cast("int") % 2 == 0)
+
+
+@query("d12_model_evidence")
+def d12_models(s, d):
+    """Investigations of long sessions that also weigh reconstruction errors and forecast surprise."""
+    rows, clean = busy_features(s, d)
+    windows = stored(M.step_windows(X.feature_vector(rows)), "windows")
+    anomaly = M.anomaly_z(windows, M.fit_reconstruction(windows, clean))
+    lags = stored(M.delivery_lags(rows.withColumn("i_dev", F.coalesce("i_dev", F.lit(0.0)))), "lags")
+    ready = SF.with_expectations(rows, clean.withColumn("healthy", F.lit(True)), anomaly, M.surprise(lags, M.fit_forecast(lags, clean)))
+    return SF.investigations(ready).select(*KEYS, *micros("t"), "reason")
 
 
 def steps(s, d) -> DataFrame:
@@ -146,14 +191,16 @@ def d7(s, d):
 
 @query("d16_reconstruction")
 def d16(s, d):
-    windows = M.step_windows(X.feature_vector(smoothed(s, d)), length=4, every=2)
-    return M.anomaly_z(windows, M.fit_reconstruction(windows, labels(s, d).where("first_fault_t IS NULL"))).select(*KEYS, "seq", "anomaly")
+    rows, clean = busy_features(s, d)
+    windows = stored(M.step_windows(X.feature_vector(rows)), "windows")
+    return M.anomaly_z(windows, M.fit_reconstruction(windows, clean)).select(*KEYS, "seq", "anomaly")
 
 
 @query("d17_forecast_surprise")
 def d17(s, d):
-    lags = M.delivery_lags(tracked(s, d).withColumn("i_dev", F.coalesce("i_dev", F.lit(0.0))), context=2)
-    return M.surprise(lags, M.fit_forecast(lags, labels(s, d))).select(*KEYS, "seq", "surprise")
+    rows, clean = busy_features(s, d)
+    lags = stored(M.delivery_lags(rows.withColumn("i_dev", F.coalesce("i_dev", F.lit(0.0)))), "lags")
+    return M.surprise(lags, M.fit_forecast(lags, clean)).select(*KEYS, "seq", "surprise")
 
 
 # ---------------------------------------------------------------- captures
