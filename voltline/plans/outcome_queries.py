@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import types as ST
 from pyspark.sql import functions as F
 
 from ..functions import catalogue as FC
@@ -22,6 +23,7 @@ from ..sources import frames
 from ..sources import telemetry
 from ..streaming import live
 from ..streaming import stateful as TS
+from ..streaming import upserts as UP
 from . import oracle_base as O
 from .feature_queries import _TURNS, busy_sessions, file_spans, micros, query, smoothed, us
 from .label_queries import _METRICS, _OUT, _RATES, K3, _names, alerts, all_tools, board, conformance, everything, labels, outcomes, sessions, tracked
@@ -609,3 +611,45 @@ def l4(s, d):
     out = scratch(s, "stream-alerts")
     live.upsert(TS.stream_alerts(stream_of(s, d)), out, scratch(s, "stream-state")).awaitTermination()
     return s.read.schema(f"{TS.ALERT_OUT}, batch int").parquet(out).select(*KEYS, "detector", *micros("t"), "fault_guess")
+
+
+def _arrive(s, d, path: str, part: F.Column | None = None) -> ST.StructType:
+    """Telemetry (of ``part``) as one file more in the folder that a stream reads."""
+    rows = telemetry.fixture(s, d)
+    (rows if part is None else rows.where(part)).coalesce(1).write.mode("append").parquet(path)
+    return rows.schema
+
+
+@query("l7_session_table", f"WITH {O.SES}, {_CLOSED} SELECT {K3}, count(*) AS n_events, sum(seq)::BIGINT AS seq_sum, CAST(round(min(t) * 1e6) AS BIGINT) AS t_start_us, CAST(round(max(t) * 1e6) AS BIGINT) AS t_end_us FROM ses JOIN bg USING ({K3}) WHERE t <= {_WM} AND fa <= {_WM} GROUP BY ALL")
+def l7(s, d):
+    """The table of sessions so far, kept by a stream in six batches with merges between them."""
+    path = scratch(s, "stream-in")
+    lo, hi = telemetry.fixture(s, d).agg(F.min("t"), F.max("t")).first()
+    for i in range(6):
+        a, b = (lo + (hi - lo) * x / 6 for x in (i, i + 1))
+        schema = _arrive(s, d, path, (F.col("t") >= a) & ((F.col("t") < b) if i < 5 else F.lit(True)))
+    rows = live.with_time(s.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)).withWatermark("ts", live.LATENESS)
+    table = UP.KeyedTable(s, scratch(s, "session-table"), ST.StructType.fromDDL(TS.SESSION_OUT), tuple(KEYS), "t_end", merge_every=3)
+    UP.keep(TS.session_updates(rows), table, scratch(s, "stream-state")).awaitTermination()
+    return table.read().select(*KEYS, "n_events", "seq_sum", *micros("t_start", "t_end"))
+
+
+_HALF = "(SELECT min(t) + (max(t) - min(t)) / 2 FROM tel)"
+
+
+@query("l6_versioned_policies", f"WITH {O.TEL} SELECT seq, CASE WHEN CAST(substr(station, 3) AS INT) % 3 = 0 THEN NULL WHEN CAST(substr(station, 3) AS INT) % 2 = 0 AND t >= {_HALF} THEN 'iso15118-standard' ELSE 'baseline' END AS policy FROM tel WHERE kind = 'v2g' AND (resp_code <> '' OR evse_status <> '' OR isolation = 'Fault' OR ev_err <> '')")
+def l6_versions(s, d):
+    """Alerts of a stream with their station's policy, which changes for even stations between its two batches."""
+    path, state, out = (scratch(s, x) for x in ("stream-in", "stream-state", "enriched"))
+    stations = telemetry.fixture(s, d).select("station").distinct().withColumn("n", F.substring("station", 3, 10).cast("int"))
+    policies = UP.KeyedTable(s, scratch(s, "policies"), ST.StructType.fromDDL("station string, policy string"), ("station",))
+    policies.apply(stations.where("n % 3 <> 0").select("station", F.lit("baseline").alias("policy")), 0)
+    table = UP.KeyedTable(s, out, ST.StructType.fromDDL("seq bigint, policy string"), ("seq",))
+    lo, hi = telemetry.fixture(s, d).agg(F.min("t"), F.max("t")).first()
+    for late in (False, True):
+        if late:
+            policies.apply(stations.where("n % 3 <> 0 AND n % 2 = 0").select("station", F.lit("iso15118-standard").alias("policy")), 1)
+        schema = _arrive(s, d, path, (F.col("t") >= lo + (hi - lo) / 2) if late else (F.col("t") < lo + (hi - lo) / 2))
+        alerts_now = live.marker_alerts(s.readStream.schema(schema).parquet(path))
+        UP.keep_enriched(alerts_now, policies, "station", table, state).awaitTermination()
+    return table.read()

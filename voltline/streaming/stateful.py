@@ -201,6 +201,33 @@ class SessionProcessor(StatefulProcessor):
         return []
 
 
+class UpdateProcessor(SessionProcessor):
+    """Emits a session each time that the watermark has passed more of its rows, so a keyed table of its output is the table of sessions so far."""
+
+    def begin(self) -> None:
+        super().begin()
+        self.touched = True
+
+    def take(self, r: _Row) -> None:
+        super().take(r)
+        self.touched = True
+
+    def finish(self) -> None:
+        if self.touched:
+            super().finish()
+        self.touched = False
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.touched = False
+        yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
+
+    def deadline(self) -> float | None:
+        """Asked when all rows of a wake-up are taken: what the open session is by now goes out."""
+        if self.touched:
+            super().finish()
+        return None
+
+
 class AlertProcessor(SessionProcessor):
     """The first alert of each session by the limits of ``spec_rules`` and the criteria and timers of ``conformance_rules``.
 
@@ -392,6 +419,11 @@ def closed_sessions(events: DataFrame, lateness: str = LATENESS, **limits) -> Da
     return _run(events, SessionProcessor(**limits), _place(), lateness)
 
 
+def session_updates(events: DataFrame, lateness: str = LATENESS, **limits) -> DataFrame:
+    """The same for open sessions too, each again whenever it has grown; a later row of a session replaces an earlier one."""
+    return _run(events, UpdateProcessor(**limits), _place(), lateness)
+
+
 def stream_alerts(events: DataFrame, lateness: str = LATENESS, timers: bool = True) -> DataFrame:
     """(station, connector, sid, detector, t, fault_guess, reason): first alerts of a stream's sessions by both detectors, once each."""
     return _run(events, AlertProcessor(timers), _place() | _flags(), lateness)
