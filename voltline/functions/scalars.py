@@ -81,6 +81,13 @@ def extra_get(extra: Column, key: str) -> Column:
     return F.get_json_object(extra, f"$.{key}")
 
 
+def extra_fields(extra: Column, **fields: str) -> dict[str, Column]:
+    """Typed keys of a JSON object, which is parsed once as a variant for all of them: {name: column}. Null where the
+    object is no valid JSON, the key is missing or its value is not of the type."""
+    parsed = F.try_parse_json(extra)
+    return {name: F.try_variant_get(parsed, f"$.{name}", kind) for name, kind in fields.items()}
+
+
 def site_of(station: Column) -> Column:
     return F.regexp_replace(station, "^(2024|2025)__", "")
 

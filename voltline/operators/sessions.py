@@ -100,7 +100,9 @@ def _scanned_by_bucket(rows: DataFrame, gap_s: float, bucket_s: float) -> DataFr
     back = Window.partitionBy(*CONNECTOR).orderBy(F.desc("_b")).rowsBetween(*BEFORE)
     rows = rows.withColumn("_b", F.floor(F.col("t") / bucket_s))
     ends = rows.groupBy(*keys).agg(F.max(F.when(F.col("_act"), F.col("t"))).alias("_end"))
-    rows = _local(rows.join(ends.select(*keys, F.last("_end", True).over(order).alias("_in")), list(keys)), gap_s, keys, F.col("_in"))
+    # the hints keep the rows dealt by connector and bucket, whichever side is small
+    carried_in = ends.select(*keys, F.last("_end", True).over(order).alias("_in")).hint("shuffle_hash")
+    rows = _local(rows.join(carried_in, list(keys)), gap_s, keys, F.col("_in"))
 
     place = lambda flag, value: F.when(flag, F.struct("t", "seq", value))
     states = rows.groupBy(*keys).agg(
@@ -119,7 +121,7 @@ def _scanned_by_bucket(rows: DataFrame, gap_s: float, bucket_s: float) -> DataFr
         "_w0_in": F.last(F.col("last._w") + F.col("_w_in"), True).over(order),
         "_next_in": F.last(F.when(F.col("first").isNotNull(), F.struct(F.col("first.t").alias("t"), (F.col("first._w") + F.col("_w_in")).alias("_w"))), True).over(back),
     }
-    rows = rows.join(states.withColumns(carried).select(*keys, "_stop_in", "_w_in", *carried), list(keys))
+    rows = rows.join(states.withColumns(carried).select(*keys, "_stop_in", "_w_in", *carried).hint("shuffle_hash"), list(keys))
     after = F.when(F.col("_next").isNotNull(), F.struct(F.col("_next.t").alias("t"), (F.col("_next._w") + F.col("_w_in")).alias("_w")))
     return rows.withColumns({
         "_sid": F.col("_n_in") + F.col("_n") + F.when(F.col("_stop_in"), F.col("_u")).otherwise(0) - 1,
@@ -182,10 +184,16 @@ def drop_truncation_artifacts(labels: DataFrame, cuts: DataFrame, near_s: float
     return suspects.join(c, same & near, "left_anti").drop("_clean", "_abort")
 
 
-def collapse_clones(contents: DataFrame) -> DataFrame:
-    """(station, canonical): stations with the same set of (station, file, sha256) contents share the first name."""
-    signed = contents.groupBy("station").agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_list(F.concat_ws(":", "file", "sha256")))), 256).alias("signature"))
-    return signed.select("station", F.min("station").over(Window.partitionBy("signature")).alias("canonical"))
+def collapse_clones(contents: DataFrame, buckets: int = 1024) -> DataFrame:
+    """(station, canonical): stations with the same set of (station, file, sha256) contents share the first name.
+
+    Files are hashed by bucket of their names first, so a list holds a bucket of a station's files, or a station's buckets.
+    """
+    entry = F.concat_ws(":", "file", "sha256")
+    signed = lambda df, x, *keys: df.groupBy(*keys).agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_list(x))), 256).alias("signature"))
+    parts = signed(contents.withColumn("_b", F.pmod(F.xxhash64("file"), F.lit(buckets))), entry, "station", "_b")
+    whole = signed(parts, F.concat_ws(":", "_b", "signature"), "station")
+    return whole.select("station", F.min("station").over(Window.partitionBy("signature")).alias("canonical"))
 
 
 def complete_only(stations: DataFrame, files: DataFrame, outputs: DataFrame) -> DataFrame:

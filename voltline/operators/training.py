@@ -169,3 +169,30 @@ def select_split(index: DataFrame, split: DataFrame, wanted: str) -> DataFrame:
         return index.where(S.station_group(F.col("station")) == wanted)
     parts = F.array(*[F.lit(p.strip()) for p in wanted.split(",") if p.strip()])
     return index.where(F.exists(parts, lambda p: F.col("station").contains(p)))
+
+
+def globally_numbered(keys: DataFrame, store, least_rows: int = 1 << 20) -> DataFrame:
+    """``keys`` (distinct rows) with ``number``, their place from 0 in the order of all columns over the whole table.
+
+    Rows are dealt by range and numbered within their range; a range's offset is the count of the ranges before it, so no task sees
+    more than a range of about ``least_rows`` rows. ``store`` (DataFrame, label) writes a table and reads it: ranges depend on a
+    sample and must not be drawn twice.
+    """
+    columns = keys.columns
+    keys = store(keys, "keys")
+    ranges = max(1, -(-keys.count() // least_rows))
+    dealt = store(keys.repartitionByRange(ranges, *columns).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("bigint")).alias("_before"))
+    within = dealt.withColumn("_k", F.row_number().over(Window.partitionBy("_range").orderBy(*columns)))
+    return within.join(F.broadcast(offsets), "_range").select(*columns, (F.col("_before") + F.col("_k") - 1).alias("number"))
+
+
+def write_matrix(rows: DataFrame, numbers: DataFrame, split: DataFrame, path: str) -> None:
+    """The feature matrix and the sessions' meta data by split under ``path``: ``steps`` (number, seq, vector) and ``sessions``
+    (number, session, t_start, t_end, n_steps). ``numbers`` comes from ``globally_numbered``, ``split`` is (station, split)."""
+    placed = rows.join(numbers, list(SESSION)).join(split, "station")
+    placed.select("split", "number", "seq", "vector").write.mode("overwrite").partitionBy("split").parquet(f"{path}/steps")
+    meta = placed.groupBy("split", "number", *SESSION).agg(F.min("t").alias("t_start"), F.max("t").alias("t_end"), F.count("*").alias("n_steps"))
+    meta.write.mode("overwrite").partitionBy("split").parquet(f"{path}/sessions")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import feature_queries, label_queries, more_queries, outcome_queries  # noqa: F401  (they fill the catalogue)
+from . import feature_queries, label_queries, more_queries, outcome_queries, store_queries  # noqa: F401  (they fill the catalogue)
 from .catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

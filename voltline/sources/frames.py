@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,9 +78,25 @@ def scan_captures(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("size"), kind.alias("format"), F.sha2("content", 256).alias("sha256"), (kind.isNotNull() & (F.col("length") >= LEAST_HEADER)).alias("valid"))
 
 
-def file_spans(events: DataFrame) -> DataFrame:
-    """First and last time and rows of each source file of ``events`` (a file scan with its _metadata)."""
-    return events.groupBy("station", "connector", F.col("_metadata.file_path").alias("file")).agg(F.min("t").alias("first"), F.max("t").alias("last"), F.count("*").alias("n_rows"))
+def write_ring_files(events: DataFrame, path: str, slot_s: float, copy: int = 0) -> None:
+    """Rows as a station's ring files: one file for each connector and ``slot_s`` seconds, named by folders; ``copy`` tells fetches of one ring apart."""
+    keyed = events.withColumns({"copy": F.lit(copy), "slot": F.floor(F.col("t") / slot_s)})
+    keyed.repartition("station", "connector", "slot").write.mode("append").partitionBy("copy", "station", "connector", "slot").parquet(path)
+
+
+def read_ring_files(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Rows of ring files with their file's path and size; station and connector come from the folders."""
+    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema if f.name not in ("station", "connector"))
+    rows = spark.read.schema(f"{typed}, copy int, station string, connector string, slot bigint").parquet(path)
+    return rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size_bytes"))
+
+
+def file_spans(rows: DataFrame) -> DataFrame:
+    """First and last time, rows, size and first dialog message of each file of ``read_ring_files``: one aggregate of three columns of the scan."""
+    named = F.min_by(F.when(F.col("kind") == "v2g", F.col("msg")), F.when(F.col("kind") == "v2g", F.col("seq")))
+    return rows.groupBy("station", "connector", "file").agg(
+        F.min("t").alias("first"), F.max("t").alias("last"), F.count("*").alias("n_rows"), F.max("size_bytes").alias("size_bytes"), named.alias("first_v2g"), F.max("slot").alias("slot"), F.max("copy").alias("copy")
+    )
 
 
 def write_labels(labels: DataFrame, path: str) -> None:
@@ -96,13 +114,26 @@ def label_json(labels: DataFrame) -> DataFrame:
 
 
 def write_sessions(sessions: DataFrame, path: str, buckets: int | None = None) -> None:
-    """Rows of sessions, a partition for each station; with ``buckets`` a table named ``path``, bucketed and sorted by session,
-    which later joins and windows by session read without a shuffle."""
-    writer = sessions.write.mode("overwrite").partitionBy("station")
+    """Rows of sessions, a partition for each station; with ``buckets`` files bucketed and sorted by session, for ``session_store``."""
     if buckets is None:
-        writer.parquet(path)
+        sessions.write.mode("overwrite").partitionBy("station").parquet(path)
     else:
-        writer.bucketBy(buckets, "connector", "sid").sortBy("connector", "sid", "t").saveAsTable(path)
+        _bucketed(sessions, path, buckets)
+
+
+def session_store(sessions: DataFrame, path: str, buckets: int) -> DataFrame:
+    """``sessions`` written under ``path`` in ``buckets`` by session and read back: windows, joins and aggregates by session need no shuffle.
+
+    Rows are shuffled by session once before they are written, so each bucket is one file, sorted by session and time.
+    """
+    return _bucketed(sessions, path, buckets)
+
+
+def _bucketed(sessions: DataFrame, path: str, buckets: int) -> DataFrame:
+    keys, name = ("station", "connector", "sid"), f"sessions_{uuid.uuid4().hex}"
+    placed = sessions.repartition(buckets, *keys)
+    placed.write.mode("overwrite").option("path", path).bucketBy(buckets, *keys).sortBy(*keys, "t", "seq").saveAsTable(name)
+    return sessions.sparkSession.table(name)
 
 
 def write_alerts(alerts: DataFrame, path: str) -> None:
