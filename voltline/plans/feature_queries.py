@@ -41,6 +41,16 @@ def busy_sessions(spark, sf_dir) -> DataFrame:
     return Z.sessionize(rows.withColumns({c: F.when(odd, F.col(c)).otherwise("") for c in ("resp_code", "evse_status", "isolation", "ev_err")}))
 
 
+def dense_sessions(spark, sf_dir) -> DataFrame:
+    """Busy sessions in a fortieth of the time, so that rows follow without gaps; pre-charge answers repeat a target that is never met."""
+    number = F.expr("CAST(substr(station, 3) AS INT) DIV 10")
+    odd = number % 2 == 1
+    rows = T.fixture(spark, sf_dir).where("NOT (kind = 'v2g' AND msg LIKE 'SessionStop%')")
+    rows = rows.withColumns({c: F.when(odd, F.col(c)).otherwise("") for c in ("resp_code", "evse_status", "isolation", "ev_err")})
+    target = F.when(F.col("msg") == "PreChargeRes", F.col("evse_v") + 40).otherwise(F.col("ev_target_v"))
+    return Z.sessionize(rows.withColumns({"station": F.format_string("ST%04d", number), "t": F.col("t") / 40, "ev_target_v": target}))
+
+
 def tracked(spark, sf_dir) -> DataFrame:
     return X.tracked(sessions(spark, sf_dir))
 

@@ -125,7 +125,7 @@ def t2(s, d):
 
 @query("t3_negative_subsample")
 def t3(s, d):
-    return T.subsample_negatives(T.step_labels(sessions(s, d), labels(s, d)), ratio=2, least=10).select(*Z.SESSION, "seq", "y")
+    return T.subsample_negatives(T.step_labels(sessions(s, d), labels(s, d))).select(*Z.SESSION, "seq", "y")
 
 
 @query("t4_threshold", f"WITH {O.TRACK}, {O.LABELS}, m AS (SELECT {K3}, max(coalesce(dt_v2g, 0)) AS x FROM trk JOIN lab USING ({K3}) WHERE n_faults = 0 GROUP BY ALL) SELECT CAST(round(quantile_cont(x, 0.95) * 1e6) AS BIGINT) AS threshold_us FROM m")

@@ -25,7 +25,7 @@ from ..streaming import live
 from ..streaming import stateful as TS
 from ..streaming import upserts as UP
 from . import oracle_base as O
-from .feature_queries import _TURNS, busy_sessions, file_spans, micros, query, smoothed, us
+from .feature_queries import _TURNS, busy_sessions, dense_sessions, file_spans, micros, query, smoothed, us
 from .label_queries import _METRICS, _OUT, _RATES, K3, _names, alerts, all_tools, board, conformance, everything, labels, outcomes, sessions, tracked
 from .more_queries import _SPANS
 from .tables import scratch, stored
@@ -380,22 +380,71 @@ def _first(df: DataFrame) -> DataFrame:
     return G.first_faults(df).select(*KEYS, "family", *micros("t"))
 
 
-@query("g14_reviewed_timers")
+_NUMBER = "CAST(substr(station, 3) AS INT) // 10"
+_DENSE_SES = O.SES.replace(O.TEL, O.TEL.replace("\ntel AS (", "\ntel0 AS (") + f""", tel AS (SELECT * REPLACE ('ST' || lpad(CAST({_NUMBER} AS VARCHAR), 4, '0') AS station, t / 40 AS t, CASE WHEN msg = 'PreChargeRes' THEN evse_v + 40 ELSE ev_target_v END AS ev_target_v,
+  {", ".join(f"CASE WHEN {_NUMBER} % 2 = 1 THEN {c} ELSE '' END AS {c}" for c in ("resp_code", "evse_status", "isolation", "ev_err"))}) FROM tel0 WHERE NOT (kind = 'v2g' AND msg LIKE 'SessionStop%'))""")
+
+
+def _proven(name: str, least: int, gap: float, source: str) -> str:
+    """Candidates of ``source`` (session, t, family, a, b) whose interval has enough rows and no wider gap."""
+    return f"""{name}_c AS (SELECT *, row_number() OVER () AS c FROM ({source}) WHERE b > a),
+{name}_g AS (SELECT c.*, s.t AS at_, s.t - coalesce(lag(s.t) OVER (PARTITION BY c ORDER BY s.t), a) AS gap FROM {name}_c c JOIN (SELECT {K3}, t FROM ses) s USING ({K3}) WHERE s.t BETWEEN a AND b),
+{name} AS (SELECT {K3}, t, family FROM {name}_g GROUP BY c, {K3}, t, family, a, b HAVING count(*) >= {least} AND max(gap) <= {gap} AND b - max(at_) <= {gap})""".replace("c.*, s.t AS at_", f"{', '.join('c.' + k.strip() for k in K3.split(','))}, c.t, c.family, c.a, c.b, c.c, s.t AS at_")
+
+
+_V = f"""v0 AS (SELECT s.*, t_end, CASE WHEN msg LIKE '%Req' THEN 'Req' WHEN msg LIKE '%Res' THEN 'Res' ELSE '' END AS x, regexp_replace(msg, '(Req|Res)$', '') AS bs FROM ses s JOIN (SELECT {K3}, t_end FROM fct) USING ({K3}) WHERE kind = 'v2g'),
+lim AS (SELECT left(m, len(m) - 3) AS bs, l AS lim, greatest(2 * l, 1.5) AS margin FROM (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in K.MSG_TIMEOUT_S.items())}) x(m, l)),
+v1 AS (SELECT *, CASE x WHEN 'Req' THEN t WHEN 'Res' THEN -1 END AS st, CASE x WHEN 'Req' THEN -1 WHEN 'Res' THEN t END AS sr, bs IN ('CableCheck', 'ChargeParameterDiscovery') AND x = 'Res' AS own FROM v0 LEFT JOIN lim USING (bs)),
+v2 AS (SELECT *, last_value(st IGNORE NULLS) OVER (PARTITION BY {K3}, bs {O.O} {O.B}) AS before, last_value(st IGNORE NULLS) OVER (PARTITION BY {K3}, bs {O.O} ROWS UNBOUNDED PRECEDING) AS open_, last_value(sr IGNORE NULLS) OVER ({O.P} {O.O} {O.B}) AS since,
+  count(*) FILTER (own AND evse_processing = 'Finished') OVER (PARTITION BY {K3}, bs {O.O} ROWS UNBOUNDED PRECEDING) AS ends FROM v1),
+v3 AS (SELECT *, ends - CASE WHEN own AND evse_processing = 'Finished' THEN 1 ELSE 0 END AS wait FROM v2),
+v AS (SELECT *, min(t) FILTER (own AND evse_processing = 'Ongoing') OVER (PARTITION BY {K3}, bs, wait {O.O} ROWS UNBOUNDED PRECEDING) AS o FROM v3),
+tl AS (SELECT {K3}, bs, t_end, arg_max(open_, (t, seq)) AS open_, any_value(lim) AS lim, any_value(margin) AS margin, max(ends) AS e, arg_max(coalesce(o, -1), (t, seq)) FILTER (own) AS o, arg_max(wait, (t, seq)) FILTER (own) AS wait FROM v WHERE x <> '' GROUP BY ALL),
+en AS (SELECT {K3}, t_end, arg_max(x, (t, seq)) AS x, arg_max(t, (t, seq)) AS l FROM v WHERE x <> '' GROUP BY ALL),
+{_proven("tp1", 10, 1.0, f"SELECT {K3}, before + lim AS t, 'COMM_FREEZE' AS family, before AS a, t AS b FROM v WHERE x = 'Res' AND before >= 0 AND t - before >= margin UNION ALL SELECT {K3}, open_ + lim, 'COMM_FREEZE', open_ + lim, least(t_end, open_ + lim + 10) FROM tl WHERE open_ >= 0 AND t_end - open_ >= margin")},
+{_proven("tp2", 100, 2.0, f"SELECT {K3}, since + 60 AS t, 'COMM_FREEZE' AS family, since AS a, since + 60 AS b FROM v WHERE x = 'Req' AND msg NOT IN ('supportedAppProtocolReq', 'SessionSetupReq') AND since >= 0 AND t - since >= 60 UNION ALL SELECT {K3}, l + 60, 'COMM_FREEZE', l, l + 60 FROM en WHERE x = 'Res' AND t_end - l >= 60")},
+{_proven("tp3", 20, 5.0, f"SELECT {K3}, o + 60 AS t, 'EVSE_PROCESSING_STALL' AS family, o AS a, o + 60 AS b FROM v WHERE own AND evse_processing = 'Finished' AND t - o >= 60 UNION ALL SELECT {K3}, o + 60, 'EVSE_PROCESSING_STALL', o, o + 60 FROM tl WHERE wait = e AND o >= 0 AND t_end - o >= 60")},
+tm AS (FROM tp1 UNION ALL FROM tp2 UNION ALL FROM tp3)"""
+_FIRST = f"SELECT {K3}, family, CAST(round(min(t) * 1e6) AS BIGINT) AS t_us FROM"
+_PRE = f"""dq AS (SELECT DISTINCT {K3} FROM ses WHERE kind = 'v2g' AND resp_code = '' AND (evse_v NOT BETWEEN 0 AND 1000 OR ev_target_v NOT BETWEEN 0 AND 1000 OR ev_max_v NOT BETWEEN 0 AND 1000 OR evse_max_v NOT BETWEEN 0 AND 1000 OR soc NOT BETWEEN 0 AND 100)),
+pa AS (SELECT {K3}, min(t) AS a FROM ses WHERE msg = 'PreChargeReq' GROUP BY ALL),
+pe AS (SELECT {K3}, a, a + 10 AS b FROM ses JOIN pa USING ({K3}) WHERE kind = 'v2g' GROUP BY ALL HAVING coalesce(min(t) FILTER (t > a AND msg = 'PowerDeliveryReq'), max(t) FILTER (t >= a AND msg LIKE 'PreCharge%')) > a + 10),
+pm AS (SELECT {K3}, a, b, count(*) AS n, arg_min(abs(ev_target_v - evse_v), (t, seq)) AS f, arg_max(abs(ev_target_v - evse_v), (t, seq)) AS l FROM ses JOIN pe USING ({K3}) WHERE kind = 'v2g' AND t BETWEEN a AND b AND ev_target_v - evse_v IS NOT NULL GROUP BY ALL),
+{_proven("pf", 10, 2.0, f"SELECT {K3}, b AS t, 'PRECHARGE_FAULT' AS family, a, b FROM pm ANTI JOIN dq USING ({K3}) WHERE n >= 2 AND l > 20 AND l >= 0.5 * greatest(f, 1.0)")}"""
+
+
+def dense_parts(s, d) -> tuple[DataFrame, DataFrame]:
+    rows = stored(dense_sessions(s, d), "sessions")
+    return rows, stored(G.is_session(G.session_facts(rows)), "facts")
+
+
+@query("g14_reviewed_timers", f"WITH {O.SES}, {O.FACTS}, {_V} {_FIRST} tm GROUP BY ALL")
 def g14(s, d):
     return _first(V.timer_faults(*reviewed_parts(s, d)))
 
 
+@query("g14_dense_timers", f"WITH {_DENSE_SES}, {O.FACTS}, {_V} {_FIRST} tm GROUP BY ALL")
+def g14_dense(s, d):
+    return _first(V.timer_faults(*dense_parts(s, d)))
+
+
 @query("g15_reviewed_markers", f"WITH {O.SES}, {O.FACTS}, v AS (SELECT s.*, first_cd FROM ses s JOIN fct USING ({K3}) WHERE kind = 'v2g'), f AS (SELECT {K3}, t, 'PROTOCOL_FAILED' AS family FROM v WHERE resp_code <> '' UNION ALL SELECT {K3}, t, 'EVSE_FAULT' FROM v WHERE resp_code = '' AND evse_status <> '' UNION ALL SELECT {K3}, t, 'ISOLATION_FAULT' FROM v WHERE resp_code = '' AND isolation = 'Fault' UNION ALL SELECT {K3}, t, 'EV_ERROR' FROM v WHERE resp_code = '' AND ev_err <> '') SELECT {K3}, family, CAST(round(min(t) * 1e6) AS BIGINT) AS t_us FROM f GROUP BY ALL")
 def g15(s, d):
     return _first(V.marker_faults(*reviewed_parts(s, d)))
 
 
-@query("g16_reviewed_precharge")
+@query("g16_reviewed_precharge", f"WITH {O.SES}, {O.FACTS}, {_PRE} {_FIRST} pf GROUP BY ALL")
 def g16(s, d):
     rows, facts = reviewed_parts(s, d)
     return _first(V.precharge_faults(rows, facts, G.decode_quality(rows)))
 
 
+@query("g16_dense_precharge", f"WITH {_DENSE_SES}, {O.FACTS}, {_PRE} {_FIRST} pf GROUP BY ALL")
+def g16_dense(s, d):
+    rows, facts = dense_parts(s, d)
+    return _first(V.precharge_faults(rows, facts, G.decode_quality(rows)))
+
+
 @query("g17_reviewed_pairing", f"WITH {O.SES}, {O.FACTS}, o AS (SELECT {K3}, max(t) AS te, coalesce(min(t) FILTER (regexp_matches(msg, 'SLAC|ATTEN_CHAR')), min(t)) AS b, bool_or(kind = 'tcp' OR regexp_matches(msg, 'SLAC_PARM.CNF|SLAC_MATCH.CNF|ATTEN_CHAR.RSP')) AS own FROM ses JOIN (SELECT {K3} FROM fct WHERE n_v2g = 0) USING ({K3}) GROUP BY ALL), w AS (SELECT *, own AND te >= b + 20 AND (SELECT count(*) FROM ses s WHERE s.station = o.station AND s.connector = o.connector AND s.sid = o.sid AND s.t BETWEEN b AND b + 20) >= 20 AS shown FROM o) SELECT {K3}, CASE WHEN own THEN 'capture ended before 20s setup budget' ELSE 'shared-PLC SLAC could not be attributed' END AS reason FROM w WHERE NOT shown")
 def g17(s, d):
     return V.unpaired(*reviewed_parts(s, d))[1].select(*KEYS, "reason")
