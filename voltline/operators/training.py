@@ -9,11 +9,13 @@ from ..functions import scalars as S
 from .sessions import SESSION, per
 
 HORIZON_S = 60.0
+HASH_BITS, RANGE_BITS = 60, 16
 
 
 def hash_order(*columns: str, seed: int = 42):
-    """A deterministic order that stands for a shuffle."""
-    return F.xxhash64(F.lit(seed), *columns)
+    """A deterministic order that stands for a shuffle: the first HASH_BITS of the MD5 of the columns as text, which any engine can repeat."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns])
+    return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("bigint")
 
 
 def station_holdout(stations: DataFrame, share: float = 0.2, seed: int = 42, inherited: DataFrame | None = None) -> DataFrame:
@@ -48,7 +50,7 @@ def step_labels(rows: DataFrame, labels: DataFrame, horizon_s: float = HORIZON_S
     return j.withColumn("y", F.when(F.col("first_fault_t") - F.col("t") <= horizon_s, 1).otherwise(0))
 
 
-RANGES = 1 << 16
+RANGES = 1 << RANGE_BITS
 
 
 def least_by_hash(rows: DataFrame, n: int, *keys: str, seed: int = 42) -> DataFrame:
@@ -58,7 +60,7 @@ def least_by_hash(rows: DataFrame, n: int, *keys: str, seed: int = 42) -> DataFr
     that range's rows are ranked.
     """
     h = hash_order(*keys, seed=seed)
-    rows = rows.withColumn("_h", h).withColumn("_r", F.shiftright("_h", 48))
+    rows = rows.withColumn("_h", h).withColumn("_r", F.shiftright("_h", HASH_BITS - RANGE_BITS))
     ranges = rows.groupBy("_r").agg(F.count("*").alias("_c"))
     ranges = ranges.withColumn("_before", F.sum("_c").over(Window.orderBy("_r")) - F.col("_c"))  # at most RANGES rows
     room = ranges.where(F.col("_before") < n).select("_r", (F.lit(n) - F.col("_before")).alias("_room"), "_c")
@@ -73,7 +75,7 @@ def subsample_negatives(rows: DataFrame, ratio: int = 8, least: int = 1000, cap:
     The number of positives is a row of the plan, not an action: the threshold is found from counts of hash ranges.
     """
     h = hash_order(*SESSION, "seq", seed=seed)
-    rows = rows.withColumn("_h", h).withColumn("_r", F.shiftright("_h", 48))
+    rows = rows.withColumn("_h", h).withColumn("_r", F.shiftright("_h", HASH_BITS - RANGE_BITS))
     negatives = rows.where("y = 0")
     keep = rows.agg(F.least(F.lit(cap), ratio * F.greatest(F.count_if(F.col("y") == 1), F.lit(least))).alias("_keep"))
     ranges = negatives.groupBy("_r").agg(F.count("*").alias("_c"))

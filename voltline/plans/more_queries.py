@@ -113,7 +113,7 @@ def k9(s, d):
     return s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderdate").cast("date").alias("day")).distinct().withColumn("next", C.next_window(F.col("day")))
 
 
-@query("t1_station_holdout")
+@query("t1_station_holdout", f"WITH {O.TEL}, {O.HOLDOUT} SELECT station, station AS site, 'main' AS \"group\", split FROM ho")
 def t1(s, d):
     return T.station_holdout(telemetry.fixture(s, d))
 
@@ -123,7 +123,7 @@ def t2(s, d):
     return T.step_labels(sessions(s, d), labels(s, d)).select("seq", "y")
 
 
-@query("t3_negative_subsample")
+@query("t3_negative_subsample", f"WITH {O.SES}, {O.LABELS}, st AS (SELECT {K3}, seq, CASE WHEN first_fault_t - t <= 60 THEN 1 ELSE 0 END AS y FROM ses JOIN lab USING ({K3})), rk AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {O.hashed('station', 'connector', 'sid', 'seq')}) AS k, least(400000, 8 * greatest(count(*) FILTER (y = 1) OVER (), 1000)) AS keep FROM st) SELECT {K3}, seq, y FROM rk WHERE y = 1 OR k <= keep")
 def t3(s, d):
     return T.subsample_negatives(T.step_labels(sessions(s, d), labels(s, d))).select(*Z.SESSION, "seq", "y")
 
@@ -140,7 +140,7 @@ def t5(s, d):
     return w.select(*Z.SESSION, F.col("start").cast("int").alias("start"), F.aggregate("window", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
 
 
-@query("t6_capped_windows")
+@query("t6_capped_windows", f"WITH {O.SES}, w AS (SELECT {K3}, row_number() OVER ({O.P} {O.O}) - 1 AS start, count(*) OVER ({O.P} {O.O} ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS n FROM ses) SELECT {K3}, start FROM w WHERE n = 4 AND start % 2 = 0 ORDER BY {O.hashed('station', 'connector', 'sid', 'start')} LIMIT 200")
 def t6(s, d):
     w = T.sliding_windows(sessions(s, d), "seq", 4, 2).select(*Z.SESSION, "start")
     return T.capped(w, 200, *Z.SESSION, "start")
@@ -156,7 +156,7 @@ def t8(s, d):
     return T.transitions(sessions(s, d), labels(s, d)).select("seq", *micros("alert_reward"), "done")
 
 
-@query("t9_patch_labels")
+@query("t9_patch_labels", f"WITH {O.SCORED_L}, o AS (SELECT {K3}, first_fault_t AS a FROM lab_l), n AS (SELECT {K3}, first_fault_t AS b, true AS found FROM lab) SELECT count(*) AS sessions, count(*) FILTER (found AND (a IS NULL) <> (b IS NULL)) AS flipped, count(*) FILTER (abs(a - b) > 0.5) AS reanchored, count(*) FILTER (found IS NULL) AS missing FROM o LEFT JOIN n USING ({K3})")
 def t9(s, d):
     from ..operators import labels as G
 
@@ -164,12 +164,12 @@ def t9(s, d):
     return T.patch_labels(old, labels(s, d))
 
 
-@query("t10_clean_sample")
+@query("t10_clean_sample", f"WITH {O.SES}, {O.LABELS}, rk AS (SELECT *, row_number() OVER (PARTITION BY first_fault_t IS NULL ORDER BY {O.hashed('station', 'connector', 'sid')}) AS k FROM lab) SELECT {K3}, {us('first_fault_t')} FROM rk WHERE first_fault_t IS NOT NULL OR k <= 20")
 def t10(s, d):
     return T.clean_sample(labels(s, d), 20).select(*Z.SESSION, *micros("first_fault_t"))
 
 
-@query("t11_stage_split")
+@query("t11_stage_split", f"WITH {O.SES.replace(O.TEL, O.TEL + ', ' + O.HOLDOUT)} SELECT {K3}, count(*) AS n FROM ses JOIN ho USING (station) WHERE split = 'test' GROUP BY ALL")
 def t11(s, d):
     rows = sessions(s, d)
     return T.stage_split(rows, T.station_holdout(rows), "test").groupBy(*Z.SESSION).agg(F.count("*").alias("n"))
@@ -194,7 +194,13 @@ def b13(s, d):
     return rows.groupBy(S.reason_bucket(F.col("alert.reason")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query("d13_station_baselines")
+_LEARN = f"""og AS (SELECT {K3}, t_end - t_start AS x, graceful_close AND first_fault_t IS NULL AS healthy, row_number() OVER (PARTITION BY station, connector ORDER BY t_start, sid) AS k FROM lab),
+es AS (SELECT DISTINCT station, connector, 0::BIGINT AS k, NULL::DOUBLE AS m, NULL::DOUBLE AS v FROM og UNION ALL
+  SELECT es.station, es.connector, es.k + 1, CASE WHEN NOT healthy THEN m WHEN m IS NULL THEN x ELSE m + 0.25 * (x - m) END, CASE WHEN NOT healthy THEN v WHEN m IS NULL THEN 0 ELSE 0.75 * (v + 0.25 * (x - m) * (x - m)) END
+  FROM es JOIN og ON es.station = og.station AND es.connector = og.connector AND og.k = es.k + 1)"""
+
+
+@query("d13_station_baselines", f"WITH RECURSIVE {O.SES}, {O.LABELS}, {_LEARN} SELECT og.station, og.connector, og.sid, CAST(round(CASE WHEN og.k > 3 AND m IS NOT NULL THEN greatest(m + 3 * sqrt(v) + 0.25 * abs(m), 30) ELSE 60 END * 1e6) AS BIGINT) AS expected_us FROM og JOIN es ON es.station = og.station AND es.connector = og.connector AND es.k = og.k - 1")
 def d13(s, d):
     table = labels(s, d).select(*Z.SESSION, "t_start", (F.col("t_end") - F.col("t_start")).alias("seconds"), (F.col("graceful_close") & F.col("first_fault_t").isNull()).alias("healthy"))
     return D.station_baselines(table, "seconds", default=60.0).select(*Z.SESSION, *micros("expected"))

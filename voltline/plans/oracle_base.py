@@ -284,3 +284,12 @@ OUTCOME = "CASE WHEN first_fault_t IS NOT NULL THEN CASE WHEN a.t IS NULL THEN '
 SCORED_L = SCORED + f""", {LEGACY},
 sc_l AS (SELECT l.*, d.detector, a.t AS alert_t, a.guess, {OUTCOME} AS outcome, CASE WHEN first_fault_t IS NOT NULL AND a.t <= first_fault_t + 10 THEN greatest(0, first_fault_t - a.t) END AS lead
   FROM lab_l l CROSS JOIN (VALUES ('Spec'), ('Conformance')) d(detector) LEFT JOIN al a ON a.station = l.station AND a.connector = l.connector AND a.sid = l.sid AND a.detector = d.detector)"""
+
+
+def hashed(*columns: str, seed: int = 42) -> str:
+    """The order that samples and splits are drawn in."""
+    return f"CAST('0x' || left(md5(concat_ws('|', {seed}, {', '.join(columns)})), 15) AS BIGINT)"
+
+
+HOLDOUT = f"""so AS (SELECT station, count(*) OVER (ORDER BY h, station) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT station, {hashed('station')} AS h FROM tel)),
+ho AS (SELECT station, CASE WHEN place < ceil(0.2::DOUBLE * n) THEN 'test' ELSE 'train' END AS split FROM so)"""
