@@ -429,12 +429,75 @@ def r31(s, d):
 _P = ("spec", "conformance", "comm", "trend", "link")
 
 
-@query("d8_evidence_board")
+# all features of a row in one table, under the names of the Spark columns
+_TOOLS = f"""WITH {O.FULL}, {O.CONF.replace(O.TRACK + ",", "", 1)}, {O.MATCH.replace(O.SES + ",", "", 1)},
+ci AS (SELECT *, {O.run("sum(CASE WHEN evse_i IS NOT NULL AND NOT i_collapse THEN 1 ELSE 0 END)")} AS isl FROM full_trk),
+cr AS (SELECT *, CASE WHEN evse_i IS NOT NULL THEN {O.run("sum(CASE WHEN evse_i IS NOT NULL AND i_collapse THEN 1 ELSE 0 END)", ", isl")} END AS collapse_run FROM ci),
+tl AS (SELECT f.*, c.ongoing_s / 60 AS ongoing_ratio, c.seq_gap_s / 60 AS seq_timeout_ratio, c.cablecheck_s / 40 AS cablecheck_ratio, c.precharge_s / 7 AS precharge_ratio, c.precharge_v_gap_ratio, c.msg_timeout_ratio,
+  c.comm_setup_s / 20 AS setup, greatest(c.dialog - 1, 0) AS again, c.seq_illegal, m.v2g_seen, m.match_pending, m.match_pending_s, m.n_restart, phase = 'delivery' AS del, phase IN ('cablecheck', 'precharge', 'delivery') AS busy,
+  kind = 'v2g' AND (evse_v IS NOT NULL OR evse_i IS NOT NULL) AS trend, kind IN ('tcp', 'hpav') OR phase = 'delivery' AS link, f.t - min(f.t) OVER (PARTITION BY f.station, f.connector, f.sid) AS t0
+  FROM cr f JOIN (SELECT seq, ongoing_s, seq_gap_s, cablecheck_s, precharge_s, precharge_v_gap_ratio, msg_timeout_ratio, comm_setup_s, dialog, seq_illegal FROM conf) c USING (seq) JOIN (SELECT seq, v2g_seen, match_pending, match_pending_s, n_restart FROM mat) m USING (seq))"""
+
+
+def _strongest(*rules: tuple[str, str]) -> str:
+    return f"greatest({', '.join(f'CASE WHEN {when} THEN {weight} END' for when, weight in rules)}, NULL)"
+
+
+_POSTS = {
+    "protocol": _strongest(("resp_code <> ''", "1.0"), ("validation = 'FAIL'", "0.3"), ("del AND notification IN ('Stop', 'StopCharging')", "0.35"), ("setup > 0.5", "least(0.2 + 0.7 * setup, 0.9)"), ("seq_illegal", "0.7"), ("again > 0", "least(0.6 + 0.2 * again, 0.9)")),
+    "evse": _strongest(("evse_status <> ''", "1.0")),
+    "isolation": _strongest(("isolation = 'Fault'", "1.0"), ("isolation = 'Warning'", "0.55")),
+    "ev": _strongest(("ev_err <> ''", "1.0")),
+    "timeout": _strongest(("cablecheck_elapsed > 30", "CASE WHEN cablecheck_elapsed < 40 THEN 0.5 ELSE 0.9 END"), ("precharge_elapsed > 7", "0.6"), ("ongoing_ratio > 0.25", "least(0.3 + 0.7 * ongoing_ratio, 0.97)"),
+        ("seq_timeout_ratio > 0.25", "least(0.2 + 0.8 * seq_timeout_ratio, 0.95)"), ("cablecheck_ratio > 0.6", "least(0.3 + 0.6 * cablecheck_ratio, 0.92)"), ("msg_timeout_ratio >= 1", "0.8")),
+    "power": _strongest(("trend AND v_over", "0.9"), ("trend AND collapse_run >= 60", "0.6"), ("trend AND (abs(v_ripple_z) > 8 OR abs(i_ripple_z) > 8)", "0.25"), ("precharge_ratio > 0.7 AND precharge_v_gap_ratio > 1", "least(0.3 + 0.4 * precharge_ratio, 0.85)")),
+    "comm": _strongest(("link AND retx_60s > 12", "least(0.1 + 0.015 * retx_60s, 0.6)"), ("link AND link_gap > 2 AND phase <> 'idle'", "least(0.4 + 0.1 * link_gap, 0.9)"), ("link AND slac_attempts >= 2", "0.5 + 0.2 * least(slac_attempts - 2, 2)"),
+        ("link AND rst_seen AND busy", "0.8"), ("del AND dt_v2g > 1.5", "least(0.2 + 0.15 * dt_v2g, 0.8)"), ("link AND latency_z > 6 AND req_res_latency > 0.1", "0.35"),
+        ("NOT v2g_seen", "CASE WHEN match_pending AND match_pending_s >= 10 THEN 0.96 WHEN match_pending_s >= 1 THEN 0.45 END"), ("NOT v2g_seen AND n_restart >= 1", "0.5 + 0.15 * least(n_restart, 3)")),
+    "battery": _strongest(("trend AND remaining_trend > 5", "0.3"), ("trend AND del AND soc_rate <= 0 AND evse_i > 30 AND session_elapsed > 120", "0.45")),
+}
+_SO_FAR = f"OVER (PARTITION BY {K3} {O.O} ROWS UNBOUNDED PRECEDING)"
+_KEPT = ", ".join(f"max(CASE WHEN w_{n} > 0 THEN {{'s': log2(w_{n}) + t0 / 20, 't': t0, 'w': w_{n}}} END) {_SO_FAR} AS p_{n}" for n in _POSTS)
+_NOW = ", ".join(f"coalesce(pow(2.0, p_{n}.s - t0 / 20), 0) AS n_{n}" for n in _POSTS)
+_BELIEF = "1 - " + " * ".join(f"CASE WHEN n_{n} >= 0.05 THEN 1 - least(n_{n}, 0.99) ELSE 1 END" for n in _POSTS)
+_ACTIVE = " + ".join(f"CASE WHEN n_{n} >= 0.05 THEN 1 ELSE 0 END" for n in _POSTS)
+_HARD = " OR ".join(f"coalesce(n_{n} >= 0.05 AND p_{n}.w >= 0.95, false)" for n in _POSTS)
+_BOARD = f"""w AS (SELECT *, {", ".join(f"CAST({x} AS DOUBLE) AS w_{n}" for n, x in _POSTS.items())} FROM tl), k AS (SELECT *, {_KEPT} FROM w), n AS (SELECT *, {_NOW} FROM k),
+bd AS (SELECT *, {_BELIEF} AS belief, {_ACTIVE} AS active, {_HARD} AS hard FROM n)"""
+
+
+@query("d8_evidence_board", f"{_TOOLS}, {_BOARD} SELECT {K3}, CAST(round(arg_min(t, (t, seq)) * 1e6) AS BIGINT) AS t_us, CAST(round(least(arg_min(belief, (t, seq)), 0.99) * 1e6) AS BIGINT) AS confidence_us FROM bd WHERE hard OR (belief >= 0.85 AND active >= 2) GROUP BY ALL")
 def d8(s, d):
     rows = all_tools(s, d)
     return D.first_alerts(D.evidence_board(rows, D.evidence_posts(rows)), "Board").select(*Z.SESSION, *micros("t", "confidence"))
 
 
+@query("d9_evidence_posts", f"{_TOOLS}, {_BOARD} SELECT seq, " + ", ".join(f"CAST(round(w_{n} * 1e6) AS BIGINT) AS {n}_us" for n in _POSTS) + " FROM bd")
+def d9(s, d):
+    rows = all_tools(s, d)
+    return rows.withColumns({f"_w_{n}": w for n, w in D.evidence_posts(rows).items()}).select("seq", *[F.round(F.col(f"_w_{n}") * 1e6).cast("bigint").alias(f"{n}_us") for n in _POSTS])
+
+
+_LENS = {
+    "power": _strongest(("v_over", "0.95"), ("evse_i IS NOT NULL AND collapse_run >= 60", "0.6"), *[(f"abs({x}) > 8", f"least(0.15 + 0.03 * abs({x}), 0.45)") for x in ("v_ripple_z", "i_ripple_z")],
+        ("precharge_elapsed > 7", "least(0.4 + 0.05 * precharge_elapsed, 0.85)"), ("precharge_elapsed > 4 AND abs(precharge_v_gap) > 60", "0.55")),
+    "battery": _strongest(("ev_err <> ''", "1.0"), ("del AND soc_rate <= 0 AND evse_i > 30 AND session_elapsed > 120", "0.5"), ("remaining_trend > 5", "0.3")),
+    "protocol": _strongest(("resp_code <> '' OR evse_status <> '' OR isolation = 'Fault'", "1.0"), ("isolation = 'Warning'", "0.45"), ("validation = 'FAIL'", "0.3"), ("del AND notification IN ('Stop', 'StopCharging')", "0.45"),
+        ("cablecheck_elapsed > 25", "least(0.4 + 0.02 * cablecheck_elapsed, 0.9)"), ("del AND dt_v2g > 1.5", "least(0.2 + 0.15 * dt_v2g, 0.8)"), ("latency_z > 5 AND req_res_latency > 0.1", "0.4")),
+    "comms": _strongest(("kind = 'hpav' AND contains(msg, 'SLAC_PARM.REQ') AND slac_attempts >= 2", "CASE WHEN v2g_seen THEN 0.95::DOUBLE ELSE least(0.3 + 0.1 * slac_attempts, 0.6) END"), ("link_gap > 1.5 AND phase <> 'idle'", "least(0.35 + 0.15 * link_gap, 0.9)"),
+        ("retx_60s > 12", "least(0.1 + 0.015 * retx_60s, 0.6)"), ("rst_seen AND busy", "0.75"), ("NOT v2g_seen AND match_pending AND match_pending_s >= 10", "0.95")),
+    "standards": _strongest(("resp_code <> '' OR evse_status <> ''", "1.0"), ("ongoing_ratio > 0.25", "least(0.3 + 0.7 * least(ongoing_ratio, 1), 0.97)"), ("seq_timeout_ratio > 0.25", "least(0.2 + 0.8 * least(seq_timeout_ratio, 1), 0.95)"),
+        ("cablecheck_ratio > 0.6", "least(0.3 + 0.6 * least(cablecheck_ratio, 1), 0.92)"), ("setup > 0.5", "least(0.2 + 0.7 * least(setup, 1), 0.9)"), ("again > 0", "least(0.6 + 0.2 * again, 0.9)"), ("seq_illegal", "0.7"), ("msg_timeout_ratio >= 1", "0.8")),
+}
+
+
+# no weight is above 1; a decayed weight is never above a weight at its own row, so a session's greatest suspicion is its greatest weight
+@query("d10_lens_suspicions", f"{_TOOLS} SELECT {K3}, " + ", ".join(f"coalesce(round(max(CAST({x} AS DOUBLE)), 6), 0) AS {n}" for n, x in _LENS.items()) + " FROM tl GROUP BY ALL")
+def d10(s, d):
+    rows = D.lens_suspicions(all_tools(s, d))
+    return rows.groupBy(*Z.SESSION).agg(*[F.round(F.max(f"suspicion_{n}"), 6).alias(n) for n in D.LENSES])
+
+
 _CONFIDENCE = """CASE WHEN resp_code <> '' OR evse_status <> '' OR isolation = 'Fault' OR ev_err <> '' THEN 1.0 WHEN cablecheck_elapsed > 40 THEN 0.9 WHEN phase = 'delivery' AND dt_v2g > 3.5 THEN 0.85 WHEN v_over THEN 0.9
   WHEN retx_60s > 60 THEN 0.7 WHEN link_gap > 3 AND phase <> 'idle' THEN 0.75 WHEN slac_attempts >= 3 THEN 0.8 WHEN rst_seen AND phase IN ('delivery', 'cablecheck', 'precharge') THEN 0.8 END"""
 

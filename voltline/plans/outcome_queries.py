@@ -110,12 +110,6 @@ def d14(s, d):
     return D.first_alerts(D.reflex_goals(X.matching(conformance(s, d))), "Reflex").select(*KEYS, *micros("t"), "fault_guess")
 
 
-@query("d10_lens_suspicions")
-def d10(s, d):
-    rows = D.lens_suspicions(all_tools(s, d))
-    return rows.groupBy(*KEYS).agg(*[F.round(F.max(f"suspicion_{n}"), 6).alias(n) for n in D.LENSES])
-
-
 @query("d11_consensus")
 def d11(s, d):
     rows = all_tools(s, d)
