@@ -28,6 +28,7 @@ from . import oracle_base as O
 from .feature_queries import _TURNS, busy_sessions, dense_sessions, file_spans, micros, query, smoothed, us
 from .label_queries import _METRICS, _OUT, _RATES, K3, _names, alerts, all_tools, board, conformance, everything, labels, outcomes, sessions, tracked
 from .more_queries import _SPANS
+from .catalog import ORACLES
 from .tables import scratch, stored
 
 KEYS = list(Z.SESSION)
@@ -696,3 +697,24 @@ def l6_versions(s, d):
         alerts_now = live.marker_alerts(s.readStream.schema(schema).parquet(path))
         UP.keep_enriched(alerts_now, policies, "station", table, state).awaitTermination()
     return table.read()
+
+
+# the same watermark, from the events alone
+_WM_EVENTS = "(SELECT floor(max(epoch_us(ts) / (1e6 * 720.0)) * 1e3) / 1e3 - 600 FROM events)"
+
+
+def _streamed(s, d, rows: DataFrame) -> DataFrame:
+    """What an aggregate of the stream has closed by its end."""
+    out = scratch(s, "stream-closed")
+    live.upsert(rows, out, scratch(s, "stream-state")).awaitTermination()
+    return s.read.schema(rows.schema).parquet(out)
+
+
+@query("l2_stream_windows", f"SELECT * FROM ({ORACLES['l2_session_windows']}) WHERE t_end_us / 1e6 + 60 <= {_WM_EVENTS}")
+def l2_stream(s, d):
+    return _streamed(s, d, live.session_windows(stream_of(s, d))).select("station", "connector", "n_events", *micros("t_start", "t_end"))
+
+
+@query("l5_stream_counts", f"SELECT * FROM ({ORACLES['l5_station_counts']}) WHERE start_s + 60 <= {_WM_EVENTS}")
+def l5_stream(s, d):
+    return _streamed(s, d, live.station_counts(stream_of(s, d))).select("station", F.unix_seconds("start").alias("start_s"), "n", "retx", "failed")
