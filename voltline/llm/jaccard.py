@@ -101,11 +101,15 @@ def _possible(a: str, b: str, similarity: float):
 
 
 def _plausible(keyed: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` whose bins leave the similarity possible: sets share at most the lesser count of each bin."""
-    side = lambda x: keyed.where("id is not null").select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"bins{x}"))
+    """The ``pairs`` whose bins leave the similarity possible: sets share at most the lesser count of each bin. A set that many rows have counts once."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    known, path = common.written(keyed.where("id is not null").join(named, "fp", "left_semi").select("fp", "n", "bins").dropDuplicates(["fp"]), "bins")
+    side = lambda x: known.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"bins{x}"))
     j = pairs.join(side("a"), "a").join(side("b"), "b")
     most = F.aggregate(F.zip_with("binsa", "binsb", lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
-    return j.where(most >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b").distinct()
+    found, _ = common.written(j.where(most >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b"), "plausible-pairs")
+    common.drop_path(keyed.sparkSession, path)
+    return found
 
 
 def verified(docs: DataFrame, keyed: DataFrame, pairs: DataFrame, k: int, similarity: float) -> DataFrame:
@@ -115,7 +119,7 @@ def verified(docs: DataFrame, keyed: DataFrame, pairs: DataFrame, k: int, simila
     small it is broadcast and texts stay where they are, beyond that it is shuffled. Only the sets of a pair's two ends
     meet. Links may repeat where an id repeats.
     """
-    pairs, _ = common.written(_plausible(keyed, pairs, similarity), "plausible-pairs")
+    pairs = _plausible(keyed, pairs, similarity)
     ends, _ = common.written(pairs.select("a", "b", F.explode(F.array("a", "b")).alias("fp")), "ends")
     wanted = keyed.where("id is not null").join(ends.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("id"))
     wanted, _ = common.written(wanted.select("id").distinct(), "wanted")
@@ -135,6 +139,14 @@ def _ordered(a: F.Column, b: F.Column) -> list[F.Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The ``pairs`` whose ends ``links`` do not join."""
+    roots, _ = common.written(common.components(links), "roots")
+    for x in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")), x, "left").withColumn(f"r{x}", F.coalesce(f"r{x}", x))
+    return pairs.where("ra <> rb").select("a", "b")
+
+
 def completed_links(docs: DataFrame, keyed: DataFrame, links: DataFrame, k: int, similarity: float) -> DataFrame:
     """``links`` (a, b) between names in ``keyed``, and more: the closure of all is that of all pairs of the similarity."""
 
@@ -157,8 +169,16 @@ def completed_links(docs: DataFrame, keyed: DataFrame, links: DataFrame, k: int,
     heads = members.groupBy("s").agg(F.min(me).alias("low"), F.max(me).alias("high"), F.min(F.struct(F.xxhash64("d").alias("h"), me.alias("m"))).alias("any"))
     heads, heads_path = common.written(heads.select("s", F.array("low", "high", "any.m").alias("c")), "heads")
     star = members.select("s", me.alias("m")).join(heads, "s").select("m", F.explode("c").alias("c")).where(F.col("m.r") != F.col("c.r"))
-    stars, _ = common.written(star.where(_possible("m", "c", similarity)).select(*_ordered(F.col("m.d"), F.col("c.d"))).distinct(), "stars")
-    found, _ = common.written(links.unionByName(verified(docs, keyed, stars, k, similarity)), "links")
+    star = star.where(_possible("m", "c", similarity)).groupBy(F.col("m.d").alias("d"), F.col("c.d").alias("c")).agg(F.count("*").alias("n"))
+    star, star_path = common.written(star, "star")
+    stars, _ = common.written(star.select(*_ordered(F.col("d"), F.col("c"))).distinct(), "stars")
+    # each set is compared with the one that it meets most often; then only pairs that this has not joined
+    first = star.groupBy("d").agg(F.max(F.struct("n", "c")).alias("m")).select(*_ordered(F.col("d"), F.col("m.c"))).distinct()
+    first, _ = common.written(first, "first-pairs")
+    common.drop_path(docs.sparkSession, star_path)
+    found, _ = common.written(links.unionByName(verified(docs, keyed, first, k, similarity)), "links")
+    second, _ = common.written(_apart(stars.join(first, ["a", "b"], "left_anti"), found), "second-pairs")
+    found, _ = common.written(found.unionByName(verified(docs, keyed, second, k, similarity)), "links")
 
     again = placed(found, members.drop("r"))
     again, again_path = common.written(again.join(open_buckets(again, "s"), "s", "left_semi").select("s", me.alias("m")), "placed")
