@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FAST = "a1_read_telemetry a12_constants b4_msg_parts b5_phase_of b6_severities b7_markers s1_sessionize s2_reopen s3_carry_quiet s5_dedupe_files s6_data_cuts f1_phase f3_latency f4_ewm f5_retx f10_deviations f12_battery c1_dialogs c2_message_timeouts c5_ongoing c9_illegal_successor m2_match_pending g1_markers g4_cable_stuck g8_rematch g12_no_power k1_content_dedupe k6_training_snapshot t5_windows t7_state_stack l2_session_windows l5_station_counts".split()
+FAST = "a1_read_telemetry a4_variant_fields a8_capture_scan s5_ring_files b20_percent_of t1_station_holdout t6_capped_windows l6_versioned_policies l7_session_table s10_stream_sessions l3_stream_rules a12_constants b4_msg_parts b5_phase_of b6_severities b7_markers s1_sessionize s2_reopen s3_carry_quiet s5_dedupe_files s6_data_cuts f1_phase f3_latency f4_ewm f5_retx f10_deviations f12_battery c1_dialogs c2_message_timeouts c5_ongoing c9_illegal_successor m2_match_pending g1_markers g4_cable_stuck g8_rematch g12_no_power k1_content_dedupe k6_training_snapshot t5_windows t7_state_stack l2_session_windows l5_station_counts".split()
 
 
 @pytest.fixture(scope="module")

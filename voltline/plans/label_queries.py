@@ -352,7 +352,17 @@ def r15(s, d):
 _BUCKET = "CASE WHEN detector = 'Spec' THEN CASE guess WHEN 'PROTOCOL_FAILED' THEN 'baseline rule: ResponseCode' END END"
 
 
-@query("r16_attribution")
+_SPEC_BUCKET = """CASE WHEN resp_code <> '' THEN 'baseline rule: ResponseCode' WHEN evse_status <> '' THEN 'baseline rule: EVSE status' WHEN isolation = 'Fault' THEN 'baseline rule: isolation' WHEN ev_err <> '' THEN 'baseline rule: EV error'
+  WHEN cablecheck_elapsed > 40 THEN 'baseline rule: cablecheck 40s' WHEN phase = 'delivery' AND dt_v2g > 3.5 THEN 'baseline rule: dialog gap' WHEN v_over THEN 'baseline rule: electrical' ELSE 'baseline rule: PLC/SLAC/TCP' END"""
+_CONF_BUCKET = """CASE WHEN resp_code <> '' OR evse_status <> '' OR isolation = 'Fault' OR ev_err <> '' THEN 'ISO response/status semantics' WHEN ongoing_s >= 55 THEN 'ISO Ongoing timer [V2G2-711/713]' WHEN seq_gap_s >= 60 THEN 'ISO sequence timer [V2G2-443]'
+  WHEN comm_setup_s >= 20 THEN 'ISO comm setup [V2G2-448]' WHEN cablecheck_open AND cablecheck_s >= 40 THEN 'ISO CableCheck [V2G2-702]' WHEN dialog > 1 THEN 'ISO re-dialog [8.8.1]' ELSE 'ISO message timeout [Table 109]' END"""
+
+
+def _bucketed(source: str, rule: str, bucket: str, name: str) -> str:
+    return f"SELECT {K3}, '{name}' AS detector, arg_min(b, (t, seq)) AS bucket FROM (SELECT *, {rule} AS g, {bucket} AS b FROM {source}) WHERE g IS NOT NULL GROUP BY ALL"
+
+
+@query("r16_attribution", f"WITH {O.SCORED}, rb AS ({_bucketed('trk', O.SPEC, _SPEC_BUCKET, 'Spec')} UNION ALL {_bucketed('conf', O.CONFR, _CONF_BUCKET, 'Conformance')}) SELECT detector, bucket, " + ", ".join(f"count(*) FILTER (outcome = '{o}') AS {o}" for o in ("tp", "late", "fp")) + f" FROM sc JOIN rb USING ({K3}, detector) GROUP BY ALL")
 def r16(s, d):
     return R.attribution(outcomes(s, d))
 
