@@ -12,6 +12,7 @@ is then compared exactly: at which places a run of the template's length holds C
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import numpy as np
@@ -133,9 +134,14 @@ class Scanner:
                 share = [np.isin(wanted, part[s : s + size]).mean() for s in near]
                 found += [(x, name, lo + int(s), lo + int(s) + n_words) for s, x in zip(near, share) if x >= CONTAINMENT]
         best: list[tuple[str, int, int, float]] = []
+        taken: dict[str, list[tuple[int, int]]] = {}  # by licence, in order: those that are kept do not overlap, so only neighbours count
         for share, name, start, end in sorted(set(found), key=lambda f: (-f[0], f[2] - f[3], f[2], f[1])):
-            if not any(b[0] == name and b[1] < end and start < b[2] for b in best):
-                best.append((name, start, end, share))
+            mine = taken.setdefault(name, [])
+            at = bisect.bisect_left(mine, (start, end))
+            if (at and mine[at - 1][1] > start) or (at < len(mine) and mine[at][0] < end):
+                continue
+            mine.insert(at, (start, end))
+            best.append((name, start, end, share))
         return sorted(best, key=lambda f: (f[1], f[0]))
 
     def scan(self, texts: list[bytes]) -> list[list[tuple[str, int, int, float]]]:
