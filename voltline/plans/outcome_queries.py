@@ -445,13 +445,40 @@ def g17(s, d):
     return V.unpaired(*reviewed_parts(s, d))[1].select(*KEYS, "reason")
 
 
-@query("g19_reviewed_labels")
-def g19(s, d):
-    out = G.label_sessions(stored(sessions(s, d), "sessions"), "reviewed")
+_FLAG = "CASE " + " ".join(f"WHEN {c} NOT BETWEEN 0 AND 1000 THEN 'DECODE_ERROR:{c}=' || {c}" for c in ("evse_v", "ev_target_v", "ev_max_v", "evse_max_v")) + " WHEN soc NOT BETWEEN 0 AND 100 THEN 'DECODE_ERROR:soc=' || soc END"
+_REVIEWED = f"""{O.FACTS}, {_V}, {_PRE}, {O.REMATCH}, {O.RESET}, {O.NOPOWER}, {O.EVID},
+mv AS (SELECT s.* FROM ses s SEMI JOIN fct USING ({K3}) WHERE kind = 'v2g'),
+mf AS (SELECT {K3}, t, 'PROTOCOL_FAILED' AS family FROM mv WHERE resp_code <> '' UNION ALL SELECT {K3}, t, 'EVSE_FAULT' FROM mv WHERE resp_code = '' AND evse_status <> '' UNION ALL SELECT {K3}, t, 'ISOLATION_FAULT' FROM mv WHERE resp_code = '' AND isolation = 'Fault' UNION ALL SELECT {K3}, t, 'EV_ERROR' FROM mv WHERE resp_code = '' AND ev_err <> ''),
+cs AS (SELECT {K3}, cable_req AS a, coalesce((SELECT min(o.t) FROM ses o WHERE {O.SAME} AND o.kind = 'v2g' AND o.t > s.cable_req AND (o.msg = 'PreChargeReq' OR (o.msg = 'CableCheckRes' AND o.resp_code = '' AND o.evse_processing = 'Finished'))), last_cable) - cable_req AS span FROM fct s WHERE cable_req IS NOT NULL),
+{_proven("cf", 20, 5.0, f"SELECT {K3}, a + 40 AS t, 'COMM_FREEZE' AS family, a, a + 40 AS b FROM cs WHERE span > 40")},
+po AS (SELECT {K3}, max(t) AS te, coalesce(min(t) FILTER (regexp_matches(msg, 'SLAC|ATTEN_CHAR')), min(t)) AS b0, bool_or(kind = 'tcp' OR regexp_matches(msg, 'SLAC_PARM.CNF|SLAC_MATCH.CNF|ATTEN_CHAR.RSP')) AS own FROM ses JOIN (SELECT {K3} FROM fct WHERE n_v2g = 0) USING ({K3}) GROUP BY ALL),
+{_proven("pr", 20, 2.0, f"SELECT {K3}, b0 + 20 AS t, 'SLAC_FAILURE' AS family, b0 AS a, b0 + 20 AS b FROM po WHERE own AND te >= b0 + 20")},
+un AS (SELECT {K3}, CASE WHEN own THEN 'capture ended before 20s setup budget' ELSE 'shared-PLC SLAC could not be attributed' END AS reason FROM po ANTI JOIN pr USING ({K3})),
+ra AS (FROM mf UNION ALL FROM tm UNION ALL FROM cf UNION ALL FROM pf UNION ALL FROM pr UNION ALL FROM remat UNION ALL FROM reset UNION ALL FROM nopower UNION ALL SELECT {K3}, min(t), 'SESSION_ABORT' FROM ev_d WHERE op AND nd > 1 GROUP BY ALL),
+rl AS (SELECT {K3}, min(t) AS first_fault_t, arg_min(family, (t, family)) AS first_fault_family FROM ra GROUP BY ALL),
+fl AS (SELECT {K3}, arg_min(flag, (t, seq)) AS flag FROM (SELECT *, {_FLAG} AS flag FROM ses WHERE kind = 'v2g' AND resp_code = '') WHERE flag IS NOT NULL GROUP BY ALL),
+ev AS (SELECT {K3}, coalesce(bool_or(msg LIKE 'CurrentDemand%' AND charge_complete = 'true'), false) OR coalesce(bool_or(notification = 'StopCharging'), false) AS asked FROM ses WHERE kind = 'v2g' GROUP BY ALL),
+rw AS (SELECT {K3}, first_fault_family, first_fault_t, CASE WHEN first_fault_t IS NULL AND reason IS NOT NULL THEN reason WHEN first_fault_t IS NULL AND NOT graceful_close THEN CASE WHEN asked THEN 'normal stop evidence present but SessionStopRes was not observable' ELSE 'non-graceful end without positive fault evidence' END ELSE '' END AS censor_reason,
+  coalesce(flag, '') AS flags FROM fct LEFT JOIN rl USING ({K3}) LEFT JOIN un USING ({K3}) LEFT JOIN fl USING ({K3}) LEFT JOIN ev USING ({K3}))"""
+_CENSORED = f"SELECT {K3}, first_fault_family, {us('first_fault_t')}, censor_reason <> '' AS censored, censor_reason, flags FROM rw"
+
+
+def reviewed(rows: DataFrame) -> DataFrame:
+    out = G.label_sessions(stored(rows, "sessions"), "reviewed")
     return out.select(*KEYS, "first_fault_family", *micros("first_fault_t"), "censored", "censor_reason", F.concat_ws(",", "quality_flags").alias("flags"))
 
 
-@query("r22_censor_counts")
+@query("g19_reviewed_labels", f"WITH {O.SES}, {_REVIEWED} {_CENSORED}")
+def g19(s, d):
+    return reviewed(sessions(s, d))
+
+
+@query("g19_dense_labels", f"WITH {_DENSE_SES}, {_REVIEWED} {_CENSORED}")
+def g19_dense(s, d):
+    return reviewed(dense_sessions(s, d))
+
+
+@query("r22_censor_counts", f"WITH {O.SES}, {_REVIEWED} SELECT 'reason' AS kind, censor_reason AS value, count(*) AS n FROM rw WHERE censor_reason <> '' GROUP BY ALL UNION ALL SELECT 'flag', split_part(flags, ':', 1), count(*) FROM rw WHERE flags <> '' GROUP BY ALL")
 def r22_censored(s, d):
     return R.censor_counts(stored(G.label_sessions(stored(sessions(s, d), "sessions"), "reviewed"), "labels"))
 
