@@ -14,8 +14,9 @@ from ..operators import training as T
 from ..sources import telemetry
 from ..streaming import live
 from . import oracle_base as O
-from .feature_queries import _SPANS, micros, query, smoothed, us
+from .feature_queries import _SPANS, VECTOR_SQL, micros, numbers, numbers_sql, query, smoothed, us
 from .label_queries import K3, labels, sessions, tracked
+from .tables import stored
 
 FILES = """files AS (SELECT source AS batch, doc_id AS file_id, sha256(coalesce(text, '')) AS sha256, strlen(coalesce(text, '')) AS size, n_chars FROM documents),
 dd AS (SELECT *, row_number() OVER (PARTITION BY batch, sha256 ORDER BY file_id) = 1 AS kept, CASE WHEN file_id % 101 = 7 THEN 'unsafe_path' WHEN file_id % 101 = 8 THEN 'ignored' WHEN file_id % 101 IN (9, 10) THEN 'encrypted_or_linked' WHEN file_id % 101 = 11 THEN 'method' WHEN size <= 0 THEN 'empty' WHEN size > 536870912 THEN 'too_large' WHEN size > 65536 AND file_id % 2 = 0 THEN 'ratio' WHEN size < 40 THEN 'bad_magic' END AS reason, min(batch) OVER (PARTITION BY sha256) AS fb FROM files),
@@ -175,11 +176,11 @@ def t11(s, d):
     return T.stage_split(rows, T.station_holdout(rows), "test").groupBy(*Z.SESSION).agg(F.count("*").alias("n"))
 
 
-@query("a9_feature_matrix")
+@query("a9_feature_matrix", f"WITH {O.FULL} SELECT dense_rank() OVER (ORDER BY station, connector, sid) - 1 AS session, seq, {numbers_sql(VECTOR_SQL)} FROM full_trk")
 def a9(s, d):
-    rows = X.feature_vector(smoothed(s, d))
-    sid = F.dense_rank().over(Window.partitionBy("station").orderBy("connector", "sid")) - 1
-    return rows.select("station", sid.alias("session"), "seq", "vector")
+    rows = stored(X.feature_vector(smoothed(s, d)), "steps")
+    numbers_of = T.globally_numbered(rows.select(*Z.SESSION).distinct(), stored, least_rows=1000)
+    return rows.join(numbers_of, list(Z.SESSION)).select(F.col("number").alias("session"), "seq", *numbers("vector", len(VECTOR_SQL)))
 
 
 @query("b17_health_bands", f"WITH {O.SES}, {O.LABELS}, g AS (SELECT station, 100 - 100.0::DOUBLE * count(first_fault_t) / count(*) AS x FROM lab GROUP BY ALL) SELECT station, CASE WHEN x >= 85 THEN 'healthy' WHEN x >= 70 THEN 'watch' WHEN x >= 50 THEN 'plan_service' ELSE 'urgent' END AS band FROM g")
