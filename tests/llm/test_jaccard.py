@@ -65,3 +65,23 @@ def test_similar_sets_share_a_first_shingle_in_any_order():
         hot = np.sort(rng.choice(a, n // 2, replace=False)) if n > 1 else np.empty(0, np.uint64)
         a, b = np.unique(a), np.unique(b)
         assert np.intersect1d(jaccard.prefix(a, hot, 0.8), jaccard.prefix(b, hot, 0.8)).size
+
+
+def copies_of_one_text(seed, n, edits=(1, 2, 3, 4, 5)):
+    """A text of 150 words and copies of it with a few words of their own: up to three leave the similarity to the text, not to all other copies."""
+    rng, base = random.Random(seed), [f"g{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, n):
+        words = list(base)
+        for at in rng.sample(range(150), rng.choice(edits)):
+            words[at] = f"z{rng.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_copies_of_one_text_are_compared_in_proportion_to_their_number(spark, monkeypatch):
+    rows, asked, plain = copies_of_one_text(1, 600), [], jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda d, keyed, pairs, k, t: asked.append(pairs.count()) or plain(d, keyed, pairs, k, t))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == kept(rows)
+    assert sum(asked) < 15 * len(rows)  # of 179,700 pairs

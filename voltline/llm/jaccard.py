@@ -5,9 +5,13 @@ that holds for all sets. The order is by hash, shingles that many texts share la
 stay small; which ones are last comes from a sample of texts and changes the work, never the links.
 
 It completes what a caller has joined already: a bucket, the sets that share a shingle, whose members are all
-joined is left alone. In the others members are first compared with three of their own bucket that they are not
+joined is left alone. In the others members are first compared with up to four of their own bucket that they are not
 joined with, and then, where this leaves several parts, across parts where sizes and places in the order leave the
-similarity possible. So near copies of one text cost a number of comparisons in proportion to their number.
+similarity possible. One of the four is the bucket's center, the set with the fewest shingles before the shared one:
+of copies of a text, with words of their own that come first in the order, it is the text or the copy closest to it.
+Copies of its size that are not similar to it have so many shingles of their own that places rule the others out too.
+So near copies of one text cost a number of comparisons in proportion to their number. A group without such a
+center, whose copies are all just below the similarity of one another, still costs its square.
 """
 
 from __future__ import annotations
@@ -166,8 +170,8 @@ def completed_links(docs: DataFrame, keyed: DataFrame, links: DataFrame, k: int,
     common.drop_path(docs.sparkSession, near_path)
 
     me = F.struct("d", "n", "pos", "r")
-    heads = members.groupBy("s").agg(F.min(me).alias("low"), F.max(me).alias("high"), F.min(F.struct(F.xxhash64("d").alias("h"), me.alias("m"))).alias("any"))
-    heads, heads_path = common.written(heads.select("s", F.array("low", "high", "any.m").alias("c")), "heads")
+    heads = members.groupBy("s").agg(F.min(me).alias("low"), F.max(me).alias("high"), F.min(F.struct(F.xxhash64("d").alias("h"), me.alias("m"))).alias("any"), F.min(F.struct("pos", me.alias("m"))).alias("center"))
+    heads, heads_path = common.written(heads.select("s", F.array_distinct(F.array("low", "high", "any.m", "center.m")).alias("c")), "heads")
     star = members.select("s", me.alias("m")).join(heads, "s").select("m", F.explode("c").alias("c")).where(F.col("m.r") != F.col("c.r"))
     star = star.where(_possible("m", "c", similarity)).groupBy(F.col("m.d").alias("d"), F.col("c.d").alias("c")).agg(F.count("*").alias("n"))
     star, star_path = common.written(star, "star")
